@@ -87,3 +87,14 @@ def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """What tells documents apart where ids are null or repeated: the id, and a hash of the text."""
     return [F.coalesce(F.col(f"`{doc_id}`"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_h")]
+
+
+def attach(rows: DataFrame, stats: DataFrame, key: list[str], spread: Column, ways: int = 32) -> DataFrame:
+    """rows left-joined with stats (one row a key), however many rows share a key.
+
+    Each key's rows are dealt over `ways` sub-keys by `spread`; stats is copied only to the
+    sub-keys that occur, at most `ways` times. No task gets all rows of a key.
+    """
+    salted = rows.withColumn("_way", F.pmod(F.xxhash64(spread), F.lit(ways)).cast("int"))
+    used = salted.select(*key, "_way").distinct().join(stats, key)
+    return salted.join(used, [*key, "_way"], "left").drop("_way")

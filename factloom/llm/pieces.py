@@ -195,7 +195,7 @@ class PieceModel:
             counts.append(len(found))
             words += found
         known = self.known
-        if missing := list(dict.fromkeys(w for w in words if w not in known)):
+        if missing := list(set(words).difference(known)):
             self.learn(missing)
         lengths = self.lengths[0] if len(self.lengths) == 1 else np.concatenate(self.lengths) if self.lengths else np.zeros(0, np.int64)
         flat = self.flat[0] if len(self.flat) == 1 else np.concatenate(self.flat) if self.flat else np.zeros(0, np.int32)

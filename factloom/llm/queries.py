@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, personal, pieces, quality
+from . import media, packing, personal, pieces, quality, secrets
 from .common import documents
 
 
@@ -18,6 +19,12 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.media_table(documents(spark, sf_dir)))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source is an owner; its documents in one language are a repository."""
+    docs = documents(spark, sf_dir)
+    return secrets.secret_scan(docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang")).drop("_id", "_h", "live_spans")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
@@ -27,9 +34,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(docs, quality.train(*quality.labelled_sample(docs, labels)))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_spans(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_media_columns, op6_sentencepiece, op8_quality_rules, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op3_media_columns, op5_secret_scan, op6_sentencepiece, op8_quality_rules, op9_packing, op10_personal_data)}
 ORACLE_SQL: dict[str, str] = {}
