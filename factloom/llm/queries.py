@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, personal, pieces, quality, secrets
+from . import language, media, packing, personal, pieces, quality, secrets
 from .common import documents
 
 
@@ -19,6 +19,11 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.media_table(documents(spark, sf_dir)))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.predict(docs, language.train(docs))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source is an owner; its documents in one language are a repository."""
     docs = documents(spark, sf_dir)
@@ -42,5 +47,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_spans(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_media_columns, op5_secret_scan, op6_sentencepiece, op8_quality_rules, op9_packing, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op3_media_columns, op4_language_id, op5_secret_scan, op6_sentencepiece, op8_quality_rules, op9_packing, op10_personal_data)}
 ORACLE_SQL: dict[str, str] = {}
