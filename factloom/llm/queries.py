@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, packing, personal, pieces, quality, secrets
+from . import language, media, neardup, packing, personal, pieces, quality, secrets
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "represents")
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.media_table(documents(spark, sf_dir)))
 
@@ -47,5 +51,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_spans(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_media_columns, op4_language_id, op5_secret_scan, op6_sentencepiece, op8_quality_rules, op9_packing, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_media_columns, op4_language_id, op5_secret_scan, op6_sentencepiece, op8_quality_rules, op9_packing, op10_personal_data)}
 ORACLE_SQL: dict[str, str] = {}
