@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, neardup, packing, personal, pieces, quality, secrets
+from . import language, lines, media, neardup, packing, personal, pieces, quality, secrets
 from .common import documents
 
 
@@ -38,6 +38,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digests(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.quality_verdicts(docs, quality.train(*quality.labelled_sample(docs, labels)))
@@ -51,5 +55,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_spans(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_media_columns, op4_language_id, op5_secret_scan, op6_sentencepiece, op8_quality_rules, op9_packing, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_media_columns, op4_language_id, op5_secret_scan, op6_sentencepiece, op7_line_dedup, op8_quality_rules, op9_packing, op10_personal_data)}
 ORACLE_SQL: dict[str, str] = {}

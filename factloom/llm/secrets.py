@@ -130,3 +130,12 @@ def masked(text: Column, spans: Column) -> Column:
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit("<secret>"))).alias("out"))
 
     return F.aggregate(ordered, first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+
+
+def mask_live(df: DataFrame, *, owner: Column, repository: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df, all columns as they are but for the text, in which live credentials are masked."""
+    found = secret_scan(df, owner=owner, repository=repository, doc_id=doc_id, text=text).where("n_live > 0").select(F.col("_id").alias("__id"), F.col("_h").alias("__h"), F.col("live_spans").alias("__spans")).dropDuplicates(["__id", "__h"])
+    keys = row_key(doc_id, text)
+    joined = df.withColumns({"__id": keys[0], "__h": keys[1]}).join(found, ["__id", "__h"], "left")
+    new = F.when(F.col("__spans").isNull(), F.col(f"`{text}`")).otherwise(masked(F.col(f"`{text}`"), F.col("__spans")))
+    return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
