@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, media, neardup, packing, personal, pieces, quality, secrets
+from . import language, lines, media, neardup, packing, personal, pieces, quality, secrets, substrings
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_substrings(documents(spark, sf_dir))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "represents")
 
@@ -55,5 +59,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_spans(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_media_columns, op4_language_id, op5_secret_scan, op6_sentencepiece, op7_line_dedup, op8_quality_rules, op9_packing, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_repeated_substrings, op2_near_duplicates, op3_media_columns, op4_language_id, op5_secret_scan, op6_sentencepiece, op7_line_dedup, op8_quality_rules, op9_packing, op10_personal_data)}
 ORACLE_SQL: dict[str, str] = {}
