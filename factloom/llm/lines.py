@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cut_lineage, pa_schema, row_key, slices, texts_of
+from .common import cut_lineage, pa_schema, row_key, slices, texts_of
 
 LEAST_WORDS = 50
 
@@ -33,8 +33,9 @@ def lines_of(text: str) -> list[tuple[int, str]]:
     return [(i, x) for i, x in enumerate(text.split("\n")) if x and not x.isspace()]
 
 
-def windows(text: str, least: int = LEAST_WORDS) -> list[tuple[bytes, int, int, int]]:
-    """(hash of the content, fingerprint, first line, last line) of each window; lines count without blank ones."""
+def windows(text: str, least: int = LEAST_WORDS) -> tuple[list[tuple[bytes, int, int, int]], list[int]]:
+    """(hash of the content, fingerprint, first line, last line) of each window, where lines count
+    without blank ones; and the fingerprints, one for each line that is one."""
     lines = [x for _, x in lines_of(text)]
     sizes = [len(x.split()) for x in lines]
     names = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in lines]
@@ -55,7 +56,12 @@ def windows(text: str, least: int = LEAST_WORDS) -> list[tuple[bytes, int, int,
             start += 1
         if total >= least:
             spans.add((start, end))
-    return [(xxhash.xxh3_128_digest("\n".join(lines[a:b])), min(names[a:b]), a, b - 1) for a, b in sorted(spans)]
+    found, places = [], set()
+    for a, b in sorted(spans):
+        place = min(range(a, b), key=names.__getitem__)
+        places.add(place)
+        found.append((xxhash.xxh3_128_digest("\n".join(lines[a:b])), names[place], a, b - 1))
+    return found, [names[i] for i in places]
 
 
 def without(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
@@ -82,22 +88,22 @@ def repeated_runs(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = [[dict(zip(("hash", "mark", "first", "last"), w, strict=True)) for w in windows(t, least)] for t in texts_of(part)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, kind)], names=["_id", "_h", "windows"])
+            found = [windows(t, least) for t in texts_of(part)]
+            rows = [[dict(zip(("hash", "mark", "first", "last"), w, strict=True)) for w in f[0]] for f in found]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array(rows, kind)], names=["_id", "_h", "marks", "windows"])
 
-    ddl = "_id long, _h long, windows array<struct<hash: binary, mark: long, first: int, last: int>>"
+    ddl = "_id long, _h long, marks array<long>, windows array<struct<hash: binary, mark: long, first: int, last: int>>"
     kind = pa_schema(df.sparkSession, ddl).field("windows").type
     held = df.select(*row_key(doc_id, text), F.col(f"`{text}`").alias("text")).mapInArrow(run, ddl)
     held = cut_lineage(held.where(F.size("windows") > 0), "windows")
-    each = held.dropDuplicates(["_id", "_h"]).select("_id", "_h", F.inline("windows"))
-    own = F.struct("_id", "_h", "first")
-    marks = each.groupBy("mark").agg(F.min(F.struct("_id", "_h", "hash")).alias("low"), F.max(F.struct("_id", "_h", "hash")).alias("high"), F.count("*").alias("n")).where("n > 1").select("mark", "n")
-    shared = attach(each, marks, ["mark"], own).where("n > 1").drop("n")
-    firsts = shared.groupBy("hash").agg(F.min(F.struct("_id", "_h", "first", "last")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = attach(shared, firsts, ["hash"], own).where(F.col("head").isNotNull())
+    # Rows of a hot fingerprint or window are split by the adaptive join; counts and minima are taken before the shuffle.
+    marks = held.select(F.explode("marks").alias("mark")).groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    shared = cut_lineage(held.select("_id", "_h", F.inline("windows")).join(marks, "mark"), "shared")
+    firsts = shared.groupBy("hash").agg(F.min(F.struct("_id", "_h", "first", "last")).alias("head"), F.count("*").alias("n")).where("n > 1").select("hash", "head")
+    met = shared.select("hash", "_id", "_h", "first", "last").join(firsts, "hash")
     same: Column = (F.col("head._id") == F.col("_id")) & (F.col("head._h") == F.col("_h"))
     later = met.where(~same | (F.col("first") > F.col("head.last")))
-    return later.groupBy("_id", "_h").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    return later.groupBy("_id", "_h").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
 
 def rewritten(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
