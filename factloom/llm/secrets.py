@@ -95,7 +95,11 @@ def secret_scan(df: DataFrame, *, owner: Column, repository: Column, doc_id: str
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     scanned = df.select(*row_key(doc_id, text), F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(owner, F.lit("")).alias("_owner"), F.coalesce(repository, F.lit("")).alias("_repo"), whole.alias("_text"), base_spans(whole).alias("_base"))
     scanned = scanned.withColumn("_found", F.when((F.size("_base") > 0) | F.col("_text").rlike(PREFIXED), candidates(F.col("_base"), F.col("_text"))).otherwise(none()))
-    count = [F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS[:3])]
+
+    def of_kind(k: int):
+        return lambda s: s["kind"] == k
+
+    count = [F.size(F.filter("_base", of_kind(k))).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS[:3])]
     rows = cut_lineage(scanned.select("_id", "_h", "doc_id", "_owner", "_repo", *count, F.transform("_base", lambda s: F.struct(s["kind"], s["start"], s["stop"])).alias("_base"), F.transform("_found", lambda s: F.struct(s["start"], s["stop"], F.sha2(s["value"], 256).alias("hash"), looks_live(s["value"]).alias("live"))).alias("_found")), "secrets")
     each = rows.where(F.size("_found") > 0).select("_id", "_h", "_owner", "_repo", F.inline("_found"))
     owners = each.groupBy("hash", "_owner", "_repo").agg(F.lit(1).alias("one")).groupBy("hash", "_owner").agg(F.count("one").alias("repos"))
