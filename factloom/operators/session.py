@@ -107,7 +107,7 @@ class Session:
         obs = parsers.process_observations(scanned, "psscan", 0, F.lit(run.started_at)).unionByName(parsers.process_observations(listed, "pslist", 1, F.lit(run.started_at)))
         counts = {r["plugin"]: r["n_new"] for r in parsers.plugin_counts(obs, ["host_hostname", "pid", "start_time"]).collect()}
         folded = fold(obs.drop("_plugin"), spec)
-        keep = ["evidence_hash", "derivation", "observed_at", *spec.raw, *spec.columns]
+        keep = [c for c in ("evidence_hash", "derivation", "observed_at", *spec.raw, *spec.columns) if c in folded.columns]
         once = folded.select(*keep, "disagreements", F.col("first_seq").alias("seq"))
         run.nodes_added, run.nodes_merged = self.add_observations("Process", once)
         run.parser_stats = {"psscan_count": counts.get("psscan", 0), "pslist_count": counts.get("pslist", 0)}

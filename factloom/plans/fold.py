@@ -89,7 +89,10 @@ def fold(obs: DataFrame, spec: S.NodeType, *, strict: bool = True, seq: str = "s
         nodes = nodes.join(newest(keyed, [c for c, (_, p) in spec.columns.items() if p == S.NEWEST and c in obs.columns], spec.newest_by, seq), "node_key")
     if spec.logs:
         logged = [c for c, (_, p) in spec.columns.items() if p == S.LOGGED and c in obs.columns]
-        nodes = nodes.join(disagreements(keyed, nodes.select("node_key", *logged), logged, seq), "node_key", "left")
+        if logged:
+            nodes = nodes.join(disagreements(keyed, nodes.select("node_key", *logged), logged, seq), "node_key", "left")
+        else:
+            nodes = nodes.withColumn("disagreements", F.lit(None).cast(f"map<string,{LOG}>"))
     return nodes.withColumn("node_type", F.lit(spec.name))
 
 
