@@ -174,7 +174,9 @@ class MediaReader(DataSourceReader):
         step = max(self.step, sum(f.size for f in files) // MOST_RANGES)
         return [Range(f.path, f.size, a, min(a + step, f.size)) for f in sorted(files, key=lambda f: f.path) for a in range(0, f.size, step)]
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # a folder without archives
+            return
         system, _ = _filesystem(self.path)
         with system.open_input_file(part.path) as source:
             members = [m for m in directory(source, part.size) if part.start <= m[1] < part.end]
