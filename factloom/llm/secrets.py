@@ -76,7 +76,7 @@ def candidates(base: Column, text: Column) -> Column:
 
 
 def looks_live(value: Column) -> Column:
-    distinct = F.size(F.array_distinct(F.split(value, "")))
+    distinct = F.size(F.array_distinct(F.array_remove(F.split(value, ""), "")))
     return (F.char_length(value) >= LEAST_LENGTH) & (distinct >= LEAST_DISTINCT) & ~value.rlike(PLACEHOLDER)
 
 
@@ -143,3 +143,33 @@ def mask_live(df: DataFrame, *, owner: Column, repository: Column, doc_id: str =
     joined = df.withColumns({"__id": keys[0], "__h": keys[1]}).join(found, ["__id", "__h"], "left")
     new = F.when(F.col("__spans").isNull(), F.col(f"`{text}`")).otherwise(masked(F.col(f"`{text}`"), F.col("__spans")))
     return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+
+
+def _sql_spans(kind: str, pattern: str, name: str) -> str:
+    """A list of (kind, start, stop, value) for a pattern, from its matches m_<name> and the pieces between them g_<name>."""
+    before = f"coalesce(list_sum(list_transform(g_{name}[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m_{name}[1:i - 1], lambda x: length(x))), 0)"
+    return f"list_transform(range(1, len(m_{name}) + 1), lambda i: {{'kind': {kind}, 'start': CAST({before} AS BIGINT), 'stop': CAST({before} + length(m_{name}[i]) AS BIGINT), 'value': m_{name}[i]}})"
+
+
+def scan_sql() -> str:
+    """secret_scan() of documents as DuckDB SQL: a source is an owner."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    patterns = {"a": ASSIGN, "k": ACCESS, "h": HEX, "p": PREFIXED}
+    found = ", ".join(f"regexp_extract_all(t, {quoted(p)}, 0) AS m_{n}, string_split_regex(t, {quoted(p)}) AS g_{n}" for n, p in patterns.items())
+    group = f"regexp_extract(x.value, {quoted(ASSIGN)}, 2)"
+    spans = ", ".join(f"{_sql_spans(k, p, n)} AS s_{n}" for (n, p), k in zip(patterns.items(), "0123", strict=True))
+    text_of = lambda rows: f"coalesce(string_agg(['assign', 'access', 'hex', 'live'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind){rows}, '')"
+    return f"""
+WITH d AS (SELECT doc_id, source AS owner, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, owner, {found} FROM d),
+s AS (SELECT doc_id, owner, {spans} FROM m),
+base AS (SELECT doc_id, owner, list_concat(list_filter(s_a, lambda x: length({group}) >= 6), list_filter(s_k, lambda x: length(x.value) >= 20), s_h) AS b, s_p FROM s),
+rows_ AS (SELECT doc_id, owner, unnest(b, recursive := true) FROM base),
+cand AS (SELECT DISTINCT doc_id, owner, 3 AS kind, stop - length(v) AS start, stop, v FROM (SELECT doc_id, owner, stop, CASE WHEN kind = 0 THEN regexp_extract(value, {quoted(ASSIGN)}, 2) ELSE value END AS v FROM rows_ UNION ALL SELECT doc_id, owner, stop, value FROM (SELECT doc_id, owner, unnest(s_p, recursive := true) FROM base))),
+owners AS (SELECT v, count(DISTINCT owner) AS n FROM cand GROUP BY v),
+live AS (SELECT cand.* FROM cand JOIN owners USING (v) WHERE n <= {MOST_OWNERS} AND length(v) >= {LEAST_LENGTH} AND len(list_distinct(string_split(v, ''))) >= {LEAST_DISTINCT} AND NOT regexp_matches(v, {quoted(PLACEHOLDER)})),
+every AS (SELECT doc_id, kind, start, stop, true AS is_base FROM rows_ UNION ALL SELECT doc_id, kind, start, stop, false FROM live),
+n AS (SELECT doc_id, count(*) AS n FROM cand GROUP BY 1)
+SELECT d.doc_id, count(*) FILTER (WHERE is_base AND kind = 0) AS n_assign, count(*) FILTER (WHERE is_base AND kind = 1) AS n_access, count(*) FILTER (WHERE is_base AND kind = 2) AS n_hex,
+ sha256({text_of(" FILTER (WHERE is_base)")}) AS base_sha256, {text_of("")} AS spans, count(*) FILTER (WHERE NOT is_base) AS n_live, coalesce(any_value(n.n), 0) - count(*) FILTER (WHERE NOT is_base) AS n_example
+FROM d LEFT JOIN every ON every.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
