@@ -42,7 +42,7 @@ def detection_path(path: Column) -> Column:
 def key_text(node_type: str, *parts: Column) -> Column:
     """A node's identity as one JSON string in which types and nulls stay distinct."""
     fields = [F.lit(node_type).alias("t"), *(p.alias(f"k{i}") for i, p in enumerate(parts))]
-    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
 
 
 def account_rank(account_type: Column) -> Column:

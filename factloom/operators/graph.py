@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.filters import BadFilter, all_of
+from ..functions.text import key_text
 from ..plans.schema import NODE_TYPES
 
 DEFAULT_LIMIT = 100
@@ -164,6 +166,33 @@ class Graph:
         return {"status": "ok", "node_type": node_type, "filters_applied": filters, "total_matched": total, "returned": len(nodes), "truncated": total > len(nodes), "nodes": nodes}
 
 
+def node_key_of(spark: SparkSession, key: str | Sequence) -> str | None:
+    """A node's key from its identity as a list, [type, ...]: each element is read by the type that the
+    schema gives its position, so that a name which looks like a time stays a name. None if it cannot be read."""
+    if isinstance(key, str):
+        return key
+    spec = NODE_TYPES.get(key[0]) if key else None
+    if spec is None or len(key) != len(spec.key) + 1:
+        return None
+    values = []
+    for value, (kind, _) in zip(key[1:], spec.key.values(), strict=True):
+        try:
+            if value is None or kind == "string" and isinstance(value, str):
+                values.append(value)
+            elif kind == "timestamp":
+                values.append(value if isinstance(value, datetime) else datetime.fromisoformat(value))
+            elif kind in ("int", "long") and isinstance(value, int):
+                values.append(value)
+            elif kind.startswith("decimal"):
+                values.append(Decimal(value))
+            else:
+                return None
+        except (TypeError, ValueError, ArithmeticError):
+            return None
+    ddl = ", ".join(f"`{name}` {kind}" for name, (kind, _) in spec.key.items())
+    return spark.createDataFrame([tuple(values)], ddl).select(key_text(spec.name, *(F.col(c) for c in spec.key))).first()[0]
+
+
 def plain(value: object) -> object:
     return value.isoformat() if isinstance(value, datetime) else value
 

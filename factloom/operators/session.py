@@ -18,7 +18,7 @@ from ..plans.schema import NODE_TYPES
 from ..sources.evidence import EvidenceStore
 from ..sources.registry import READERS, check_path
 from . import gate, parsers
-from .graph import DEFAULT_LIMIT, Graph, plain, resolved_edges
+from .graph import DEFAULT_LIMIT, Graph, node_key_of, plain, resolved_edges
 from .reports import Finding, FindingReport, IngestRun, runs_summary
 
 _EDGE = "src_key string, dst_key string, edge_type string, ts timestamp, confirmed_by array<string>, evidence_hash string, derivation string, seq long"
@@ -145,11 +145,12 @@ class Session:
     def query_graph(self, node_type: str | None = None, filters: list[dict] | None = None, limit: int = DEFAULT_LIMIT) -> dict:
         return self.graph.query(node_type, filters, limit)
 
-    def get_node_provenance(self, node_key: str) -> dict:
+    def get_node_provenance(self, key: str | list) -> dict:
+        node_key = node_key_of(self.spark, key)
         try:
             node = self.graph.get_node(node_key)
         except KeyError:
-            return {"status": "error", "error": "node_not_found", "message": f"No node with key {node_key}"}
+            return {"status": "error", "error": "node_not_found", "message": f"No node with key {key}"}
         out = {"status": "ok", "node_key": node_key, "evidence_hash": node["evidence_hash"], "derivation": node["derivation"], "observed_at": plain(node["observed_at"])}
         if node.get("observed_by"):
             out["observed_by"] = node["observed_by"]
@@ -158,10 +159,10 @@ class Session:
             out["source_evidence"] = {c: meta[c] for c in ("original_name", "size_bytes", "ingested_at")}
         return out
 
-    def commit_finding(self, claim: str, supporting_node_keys: list[str], confidence_hint: str) -> dict:
+    def commit_finding(self, claim: str, supporting_node_keys: list, confidence_hint: str) -> dict:
         if confidence_hint not in CONFIDENCE_RANKS:
             return {"status": "error", "error": "bad_confidence_hint", "message": f"confidence_hint must be one of {sorted(CONFIDENCE_RANKS)}"}
-        keys = list(supporting_node_keys)
+        keys = [node_key_of(self.spark, k) or str(k) for k in supporting_node_keys]
         claims = self.spark.createDataFrame([("c", confidence_hint)], "claim_id string, hint string")
         support = self.spark.createDataFrame([("c", i, k) for i, k in enumerate(keys)], "claim_id string, pos int, node_key string")
         nodes = self.graph.nodes()

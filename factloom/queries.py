@@ -215,7 +215,7 @@ def t12_validation(spark: SparkSession, sf: str) -> DataFrame:
     return S.checked(raw, S.USER).groupBy(joined("problems").alias("problems")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {PROC} SELECT '{{\"t\":\"Process\",\"k0\":\"' || host || '\",\"k1\":' || pid || ',\"k2\":' || coalesce('\"' || strftime(start, '%Y-%m-%dT%H:%M:%S.000') || 'Z\"', 'null') || '}}' AS node_key, count(*) AS n FROM proc GROUP BY 1")
+@query(f"WITH {PROC} SELECT '{{\"t\":\"Process\",\"k0\":\"' || host || '\",\"k1\":' || pid || ',\"k2\":' || coalesce('\"' || strftime(start, '%Y-%m-%dT%H:%M:%S.000000') || 'Z\"', 'null') || '}}' AS node_key, count(*) AS n FROM proc GROUP BY 1")
 def t13_process_keys(spark: SparkSession, sf: str) -> DataFrame:
     return S.PROCESS.keyed(process_obs(spark, sf)).groupBy("node_key").agg(F.count("*").alias("n"))
 

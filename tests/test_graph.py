@@ -141,6 +141,9 @@ def test_session_from_file_to_finding(session, tmp_path):
     assert source["source_evidence"]["original_name"] == "log.xml" and source["derivation"] == "defender_evtx log.xml"
     assert session.store.read(source["evidence_hash"]).endswith(b"<broken")
     assert session.get_node_provenance("no")["error"] == "node_not_found"
+    listed = found["nodes"][0]["canonical_key"]
+    assert session.get_node_provenance(listed)["node_key"] == key
+    assert session.get_node_provenance([*listed[:-1], 5])["error"] == "node_not_found"
     done = session.commit_finding("seen", [key], "confirmed")
     assert (done["decision"], done["final_confidence"], done["total_findings"]) == ("downgraded_confidence", "inferred", 1)
     assert session.commit_finding("x", [key, "bogus"], "confirmed")["decision"] == "rejected_missing_node"
@@ -195,3 +198,45 @@ def test_streaming_fold_equals_batch_fold(spark, tmp_path):
     fold.start(stream, str(tmp_path / "checkpoint")).awaitTermination()
     columns = ["sid", "username", "account_type", "first_seq", "n_observations"]
     assert sorted(map(tuple, fold.canonical().select(*columns).collect())) == sorted(map(tuple, folds.fold(all_, S.USER).select(*columns).collect()))
+
+
+def test_keys_hold_microseconds_and_read_by_position(spark):
+    rows = [(HASH, "d", T0, "20230125", 1116, T0 + timedelta(microseconds=i), "T", i) for i in range(50)]
+    df = spark.createDataFrame(rows, "evidence_hash string, derivation string, observed_at timestamp, host_hostname string, event_id int, detection_time timestamp, threat_name string, seq long")
+    nodes = folds.fold(df, S.DETECTION)
+    assert nodes.count() == 50
+    third = nodes.where("first_seq = 3").first()["node_key"]
+    assert graph.node_key_of(spark, ["AntivirusDetection", "20230125", 1116, (T0 + timedelta(microseconds=3)).isoformat(), "T"]) == third
+    assert graph.node_key_of(spark, ["AntivirusDetection", "h", "x", None, "T"]) is None and graph.node_key_of(spark, ["Nothing"]) is None
+    g = graph.Graph({"AntivirusDetection": nodes})
+    shown = g.query(limit=10_000)
+    assert (shown["returned"], shown["truncated"]) == (50, False) and [n["detection_time"] for n in shown["nodes"]] == sorted(n["detection_time"] for n in shown["nodes"])
+
+
+def test_records_in_memory_and_runs(spark):
+    from factloom.operators.reports import IngestRun, runs_summary, runs_table
+    from factloom.sources.registry import records_frame
+
+    got = records_frame(spark, [{"pid": 1, "name": "a"}, "no record", {"pid": 2}], "pid long, name string").collect()
+    assert [tuple(r) for r in got] == [(1, "a"), (2, None)]
+    with pytest.raises(NotImplementedError):
+        records_frame(spark, "some/path", "pid long")
+    with pytest.raises(TypeError):
+        records_frame(spark, 5, "pid long")
+    runs = [IngestRun("p", nodes_added=2, finished_at=T0, started_at=T0 - timedelta(seconds=3)), IngestRun("q", nodes_merged=1)]
+    assert runs[0].duration_seconds == 3 and runs_summary(runs) == {"runs": 2, "nodes_added": 2, "nodes_merged": 1, "edges_added": 0, "edges_merged": 0}
+    assert runs_table(spark, runs).count() == 2
+
+
+def test_catalogue_on_small_tables(spark):
+    services = spark.createDataFrame([("pssdnsvc", "C:\\x\\pssdnsvc.exe"), ("a", "C:\\b.exe"), ("n", None)], "service_name string, image_path string")
+    assert [r["image_stem"] for r in catalogue.service_mismatch(services).collect()] == ["b"]
+    files = spark.createDataFrame([("f", False, ["autoruns"]), ("g", True, ["x"]), ("h", False, [])], "node_key string, on_disk boolean, referenced_by array<string>")
+    assert [r["node_key"] for r in catalogue.absent_files(files).collect()] == ["f"]
+    edges = spark.createDataFrame([("a", "b", "Spawned", T0)], "src_key string, dst_key string, edge_type string, ts timestamp")
+    window = (F.lit(T0), F.lit(T0 + timedelta(seconds=1)))
+    assert graph.stated(edges, F.lit("a"), "Spawned", F.lit("b"), *window).first()["found"] and not graph.stated(edges, F.lit("b"), "Spawned", F.lit("a"), *window).first()["found"]
+    nodes = spark.createDataFrame([("a", "Process"), ("b", "File")], "node_key string, node_type string")
+    assert graph.endpoint_lint(edges, nodes).count() == 1
+    empty = edges.limit(0)
+    assert catalogue.accuracy(empty.select("src_key"), empty.select("src_key"), "src_key").first().asDict() == {"tp": 0, "unfounded": 0, "missed": 0, "precision": None, "recall": None, "f1": None}
