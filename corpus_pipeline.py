@@ -10,32 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import language, lines, neardup, packing, secrets
-from factloom.llm.common import documents, shared_folder
+from factloom.llm.common import documents, shared_folder, small_batches
 from factloom.llm.queries import tokenizer_file
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or without a clear language go."""
+    small_batches(spark)
     return language.keep_identified(docs, language.train(docs))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of lines stay only where they occur first."""
+    small_batches(spark)
     return with_size(lines.line_dedup(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
+    small_batches(spark)
     return neardup.one_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live credentials are replaced by a mark; the documents stay."""
+    small_batches(spark)
     return with_size(secrets.mask_live(docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, placed in sequences."""
+    small_batches(spark)
     return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
 
 

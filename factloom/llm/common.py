@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,14 +12,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that Spark hands to Python at a time; long texts would make larger batches heavy.
+BATCH_ROWS = 1000
+_LIBC = ctypes.CDLL(None)
+
 #: Text bytes that one Python step works on at a time; bounds a worker's memory.
 SLICE_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """For whole texts in Python: fewer rows in an Arrow batch than Spark's 10,000."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
@@ -37,8 +48,30 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+#: The one model that a Python worker keeps between tasks.
+_resident: dict = {}
+
+
+def resident(key: tuple, make: Callable):
+    """A model that stays in the worker until another operator's task runs in it."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def settle(keep: str | None = None) -> None:
+    """Gives memory back: another operator's model, and what the allocators hold on to."""
+    if any(key[0] != keep for key in _resident):
+        _resident.clear()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, keep: str | None = None) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about `limit` bytes of text, or one row."""
+    settle(keep)
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
@@ -61,7 +94,7 @@ def utf8_of(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
 
 
-def map_texts(df: DataFrame, schema: str, names: list[str], work: Callable[[pa.RecordBatch], list], *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), limit: int = SLICE_BYTES) -> DataFrame:
+def map_texts(df: DataFrame, schema: str, names: list[str], work: Callable[[pa.RecordBatch], list], *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), limit: int = SLICE_BYTES, model: str | None = None) -> DataFrame:
     """One output row for each document: its id, then what `work` computes for a slice of documents.
 
     `work` gets a record batch with doc_id, text and the columns of `keep`, and returns one array or list per name.
@@ -70,7 +103,7 @@ def map_texts(df: DataFrame, schema: str, names: list[str], work: Callable[[pa.R
     kept = [("doc_id", doc_id), ("text", text), *((k, k) for k in keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, limit=limit):
+        for part in slices(batches, limit=limit, keep=model):
             out = [part.column(0), *work(part)]
             yield pa.RecordBatch.from_arrays([x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["doc_id", *names])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import resident, slices, texts_of
 from .pieces import spread
 
 WINDOW = 2048
@@ -34,7 +34,7 @@ BLOCK_TOKENS = 8 << 20
 #: Lengths of three-part combinations are multiples of this.
 GRID = 64
 #: Words whose ids a worker remembers; the memory is emptied when full.
-MEMORY_WORDS = 600_000
+MEMORY_WORDS = 500_000
 
 # The splitting pattern of the tokenizer, and an equal one for texts of plain characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -106,9 +106,8 @@ class WordTokenizer:
         return ids, total
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    return resident(("packing", path), lambda: WordTokenizer(path))
 
 
 @lru_cache(maxsize=4)
@@ -256,9 +255,9 @@ def pack_documents(df: DataFrame, tokenizer: str, *, window: int = WINDOW, grid:
 
         names_before: list = []
         totals_before: list[int] = []
-        tokenizer_ = load(tokenizer)
         waiting = 0
-        for part in slices(batches, limit=2 << 20):
+        for part in slices(batches, limit=2 << 20, keep="packing"):
+            tokenizer_ = load(tokenizer)
             ids, counts = tokenizer_.encode(texts_of(part))
             ids = ids.astype(np.uint16 if tokenizer_.library.get_vocab_size() <= 1 << 16 else np.int32)
             ends = np.cumsum(counts)

@@ -16,13 +16,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_texts, texts_of
+from .common import map_texts, resident, texts_of
 
 NONE = np.int32(2**31 - 1)
 #: Words whose ids a worker remembers; the memory is emptied when full.
@@ -225,10 +224,9 @@ class PieceModel:
         return out
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> PieceModel:
     """A worker reads a model once and keeps what it has learned of words for later tasks."""
-    return PieceModel(path)
+    return resident(("pieces", path), lambda: PieceModel(path))
 
 
 def piece_digests(df: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,7 +240,7 @@ def piece_digests(df: DataFrame, model: str, *, doc_id: str = "doc_id", text: st
         hashes = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return [counts, hashes, [hashlib.sha256(x).hexdigest() for x in m.decode(ids, counts)]]
 
-    return map_texts(df, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", ["n_tokens", "ids_sha256", "decoded_sha256"], work, doc_id=doc_id, text=text, limit=2 << 20)
+    return map_texts(df, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", ["n_tokens", "ids_sha256", "decoded_sha256"], work, doc_id=doc_id, text=text, limit=2 << 20, model="pieces")
 
 
 def encode_table(df: DataFrame, model: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -254,4 +252,4 @@ def encode_table(df: DataFrame, model: str, *, doc_id: str = "doc_id", text: str
         at = np.concatenate([[0], np.cumsum(counts)])
         return [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())), [x.decode("utf-8", "replace") for x in m.decode(ids, counts)]]
 
-    return map_texts(df, "doc_id long, ids array<int>, decoded string", ["ids", "decoded"], work, doc_id=doc_id, text=text, limit=2 << 20)
+    return map_texts(df, "doc_id long, ids array<int>, decoded string", ["ids", "decoded"], work, doc_id=doc_id, text=text, limit=2 << 20, model="pieces")
