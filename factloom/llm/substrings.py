@@ -8,15 +8,18 @@ arrays are built where strings can meet at all:
 2. In every 50-byte window the 20-byte string with the smallest hash is its anchor. Equal windows
    have equal anchors, so a window can only repeat if its anchor does. Anchors are counted over
    shards; those in one document only are dropped.
-3. Each shard sends its distinct contexts (the 80 bytes in which all windows of an anchor lie)
-   with their smallest id to the anchor's shard. There the contexts of anchors that have several
-   are sorted as suffixes by Larsson-Sadakane refinement; Kasai's common prefixes part them into
-   groups of equal windows, and each window gets the smallest id of its group. Contexts of an
-   anchor that has more of them than one task should hold are sorted in several parts, and each
-   part's sorted windows are looked up in the others by binary search.
-4. The answers go back to the shards, which mark windows found in smaller ids, and report.
-
-Anchors only choose what is compared; equality is always that of bytes. Null and empty texts have
+3. Each shard sends hashes of its distinct contexts (the 80 bytes in which all windows of an
+   anchor lie) with their smallest id to the anchor's partition. A context known from a smaller
+   id is a repeat as a whole. Only the first context of each kind, of anchors that have several
+   kinds, still has to be compared, and only those are fetched as bytes.
+4. Fetched contexts meet by anchor and are sorted as suffixes by Larsson-Sadakane refinement;
+   Kasai's common prefixes part them into groups of equal windows, and each window gets the
+   smallest id of its group. Contexts whose both sides cannot make up a window with any other are
+   found before, by binary search among the sorted sides, and left out.
+5. The answers go back to the shards, which mark windows found in smaller ids, and report.
+
+Anchors only choose what is compared; equality is that of bytes, or of 64-bit hashes of 80 bytes
+under a 64-bit anchor. Null and empty texts have
 no windows. A null id is smaller than all others; equal ids are never smaller than each other.
 """
 
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, shared_folder, slices, utf8_of
+from .common import cut_lineage, pa_schema, settle, shared_folder, slices, utf8_of
 from .neardup import mixed
 
 LENGTH = 50
@@ -141,43 +144,58 @@ def smallest_ids(contexts: np.ndarray, left: np.ndarray, right: np.ndarray, ids:
 
 # -- anchors of a shard
 
+def anchor_hash(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """Of 20 bytes, given as three 8-byte words of which the last counts half."""
+    h = mixed(first)
+    h ^= second * np.uint64(0x9E3779B97F4A7C15)
+    h = mixed(h)
+    h ^= third & np.uint64(0xFFFFFFFF)
+    return mixed(h)
+
+
+def context_hash(bytes_: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    words = np.ascontiguousarray(bytes_).view("<u8")
+    h = mixed((left * 128 + right).astype(np.uint64) + np.uint64(1))
+    for k in range(words.shape[1]):
+        h = mixed((h * np.uint64(0x9E3779B97F4A7C15)) ^ words[:, k])
+    return h
+
 class Shard:
-    """The texts of a shard end to end, and where each ends."""
+    """The texts of a shard end to end, where each ends, and where its anchors are."""
 
-    def __init__(self, packed: bytes, size: int, lengths: list[int], ids: list[int | None]) -> None:
-        self.data = np.frombuffer(pa.Codec("zstd").decompress(packed, size) if size else b"", np.uint8)
+    def __init__(self, data: bytes, lengths: list[int], ids: list[int | None], places: np.ndarray | None = None) -> None:
+        self.data = np.frombuffer(data, np.uint8)
         self.lengths = np.array(lengths, np.int64)
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
         self.ids = np.array([LOWEST if i is None else i for i in ids], np.int64)
+        self.places = self.find_anchors() if places is None else places
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, document, hash) of each anchor."""
-        places, hashes, first = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    def find_anchors(self) -> np.ndarray:
+        places, first = [np.zeros(0, np.int64)], 0
         while first < len(self.lengths):
             last = max(first + 1, int(np.searchsorted(self.ends, self.starts[first] + PIECE_BYTES)))
             a, b = int(self.starts[first]), int(self.ends[last - 1])
             if b - a >= LENGTH:
-                p, h = self._piece(self.data[a:b], self.ends[first:last] - a)
-                places.append(p + a)
-                hashes.append(h)
+                places.append(self._piece(self.data[a:b], self.ends[first:last] - a) + a)
             first = last
-        place = np.concatenate(places)
-        return place, np.searchsorted(self.ends, place, side="right"), np.concatenate(hashes)
+        return np.concatenate(places)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, document, hash) of each anchor."""
+        padded = np.concatenate([self.data, np.zeros(32, np.uint8)])
+        rows = padded[self.places[:, None] + np.arange(24)].view("<u8")
+        return self.places, np.searchsorted(self.ends, self.places, side="right"), anchor_hash(rows[:, 0], rows[:, 1], rows[:, 2])
 
     @staticmethod
-    def _piece(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _piece(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n = len(data)
         padded = np.concatenate([data, np.zeros(32, np.uint8)])
         word = np.empty(n + 16, np.uint64)
         for k in range(8):
             part = word[k::8]
             part[:] = padded[k : k + 8 * len(part)].view("<u8")
-        h = mixed(word[:n])
-        h ^= word[8 : n + 8] * np.uint64(0x9E3779B97F4A7C15)
-        h = mixed(h)
-        h ^= (word[16 : n + 16] if n + 16 <= len(word) else word[16:]) & np.uint64(0xFFFFFFFF)
-        h = mixed(h)
+        h = anchor_hash(word[:n], word[8 : n + 8], word[16 : n + 16])
         low = (h & ~_PLACE) | np.arange(n, dtype=np.uint64)
         for s in (1, 2, 4, 8):
             low = np.minimum(low[:-s], low[s:])
@@ -185,8 +203,7 @@ class Shard:
         start = np.arange(len(low))
         end = ends[np.searchsorted(ends, start, side="right").clip(max=len(ends) - 1)]
         place = (low[end - start >= LENGTH] & _PLACE).astype(np.int64)
-        place = place[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else place
-        return place, h[place]
+        return place[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else place
 
     def contexts(self, place: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The 80 bytes around each anchor, zero outside its document, and how many belong to it on either side."""
@@ -219,20 +236,26 @@ def distinct(h: np.ndarray, left: np.ndarray, right: np.ndarray, bytes_: np.ndar
 
 # -- the job
 
-_BLOCKS = "shard long, ids array<long>, lengths array<long>, size long, packed binary"
+_BLOCKS = "shard long, ids array<long>, lengths array<long>, size long, packed binary, n_places long, places binary"
+#: A reference to a context: its shard's number, and its slot there.
+_SLOT_BITS = 23
 
 
 def shard_table(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    schema = pa_schema(df.sparkSession, _BLOCKS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId() << 32
-        for part in slices(batches, limit=SHARD_BYTES):
+        number = TaskContext.get().partitionId() << 16
+        codec = pa.Codec("zstd", 3)
+        for part in slices(joined(batches), limit=SHARD_BYTES):
             data = utf8_of(part)
             whole = b"".join(data)
-            packed = pa.Codec("zstd", 3).compress(whole, asbytes=True) if whole else b""
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "ids": part.column(0).to_pylist(), "lengths": [len(x) for x in data], "size": len(whole), "packed": packed}], schema=pa.schema([("shard", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("size", pa.int64()), ("packed", pa.binary())]))
-            shard += 1
+            shard = Shard(whole, [len(x) for x in data], part.column(0).to_pylist())
+            gaps = np.diff(shard.places, prepend=0).astype("<u4").tobytes()
+            yield pa.RecordBatch.from_pylist([{"shard": number, "ids": part.column(0).to_pylist(), "lengths": shard.lengths.tolist(), "size": len(whole), "packed": codec.compress(whole, asbytes=True), "n_places": len(shard.places), "places": codec.compress(gaps, asbytes=True)}], schema=schema)
+            number += 1
 
     spark = df.sparkSession
     blocks = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, _BLOCKS)
@@ -242,13 +265,31 @@ def shard_table(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return spark.table(name)
 
 
+def joined(batches: Iterator[pa.RecordBatch], limit: int = SHARD_BYTES) -> Iterator[pa.RecordBatch]:
+    """Small batches put together up to about `limit` bytes, so that shards are full."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def shards_of(batch: pa.RecordBatch) -> Iterator[tuple[int, Shard, dict]]:
+    codec = pa.Codec("zstd")
     for i in range(batch.num_rows):
         row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
-        yield row["shard"].as_py(), Shard(row["packed"].as_py(), row["size"].as_py(), row["lengths"].as_py(), row["ids"].as_py()), row
+        size, n = row["size"].as_py(), row["n_places"].as_py()
+        data = codec.decompress(row["packed"].as_py(), size, asbytes=True) if size else b""
+        places = np.cumsum(np.frombuffer(codec.decompress(row["places"].as_py(), 4 * n, asbytes=True), "<u4").astype(np.int64)) if n else np.zeros(0, np.int64)
+        yield row["shard"].as_py(), Shard(data, row["lengths"].as_py(), row["ids"].as_py(), places), row
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    settle()
     for batch in batches:
         for number, shard, _ in shards_of(batch):
             _, document, h = shard.anchors()
@@ -259,18 +300,72 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.full(len(first), number)), pa.array(several)], names=["anchor", "shard", "several"])
 
 
+def _wanted(row: dict) -> np.ndarray:
+    return row["anchors"].values.to_numpy(zero_copy_only=False) if row["anchors"].is_valid else np.zeros(0, np.int64)
+
+
+def _lowest(shard: Shard, document: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
+    low = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(low, slot, shard.ids[document])
+    return low
+
+
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for number, shard, row in shards_of(batch):
-            _, document, slot, h, left, right, bytes_ = shard.shared(row["anchors"].values.to_numpy(zero_copy_only=False))
-            if not len(h):
-                continue
-            ids = shard.ids[document]
-            low, high = np.full(len(h), np.iinfo(np.int64).max), np.full(len(h), LOWEST)
-            np.minimum.at(low, slot, ids)
-            np.maximum.at(high, slot, ids)
-            whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CONTEXT), len(h), [None, pa.py_buffer(np.ascontiguousarray(bytes_))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), whole, pa.array(low), pa.array(high), pa.array(np.full(len(h), number)), pa.array(np.arange(len(h), dtype=np.int32))], names=["anchor", "lead", "follow", "context", "low", "high", "shard", "slot"])
+            _, document, slot, h, left, right, bytes_ = shard.shared(_wanted(row))
+            if len(h):
+                ref = (number << _SLOT_BITS) + np.arange(len(h))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context_hash(bytes_, left, right).view(np.int64)), pa.array(_lowest(shard, document, slot, len(h))), pa.array(ref)], names=["anchor", "context", "low", "ref"])
+
+
+def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by anchor, context and lowest id to (ref, repeat): repeat where a smaller id has the
+    context, else the context must be compared with those of other kinds. A kind alone in its anchor
+    needs no answer. Works along the rows; what may yet need comparing is the last anchor's first kind."""
+    last_anchor = last_context = None
+    lowest = 0
+    waiting: list[int] = []  # first rows of the anchor's only kind so far
+    several = False
+    for batch in batches:
+        anchor, context, low, ref = (batch.column(i).to_numpy() for i in range(4))
+        n = len(anchor)
+        new_anchor = np.concatenate([[anchor[0] != last_anchor], anchor[1:] != anchor[:-1]]) if n else np.zeros(0, bool)
+        new_context = new_anchor | (np.concatenate([[context[0] != last_context], context[1:] != context[:-1]]) if n else False)
+        heads = np.flatnonzero(new_context)
+        kind = np.cumsum(new_context) - 1  # -1: still the last batch's kind
+        floor = np.where(kind >= 0, low[heads[np.maximum(kind, 0)]] if len(heads) else lowest, lowest)
+        repeat = low > floor
+        firsts = np.flatnonzero(~repeat)
+        group = np.cumsum(new_anchor)  # 0: still the last batch's anchor
+        kinds = np.bincount(group, new_context, minlength=group[-1] + 1 if n else 1).astype(int)
+        mixed_ = kinds > 1
+        mixed_[0] = several or kinds[0] > 0 and group.size and group[0] == 0
+        compare = [ref[firsts[mixed_[group[firsts]]]]]
+        if mixed_[0] and waiting:
+            compare.append(np.array(waiting, np.int64))
+            waiting = []
+        if n:
+            end = group[-1]
+            if end > 0:
+                waiting = []
+            if not mixed_[end]:
+                waiting += ref[firsts[group[firsts] == end]].tolist()
+            several = bool(mixed_[end])
+            lowest, last_anchor, last_context = int(floor[-1]), anchor[-1], context[-1]
+        compare = np.concatenate(compare)
+        both = np.concatenate([ref[repeat], compare])
+        yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(np.arange(len(both)) < repeat.sum())], names=["ref", "repeat"])
+
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for number, shard, row in shards_of(batch):
+            _, document, slot, h, left, right, bytes_ = shard.shared(_wanted(row))
+            ask = row["asked"].values.to_numpy(zero_copy_only=False)
+            low = _lowest(shard, document, slot, len(h))
+            whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CONTEXT), len(ask), [None, pa.py_buffer(np.ascontiguousarray(bytes_[ask]))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(h[ask].view(np.int64)), pa.array(left[ask].astype(np.int32)), pa.array(right[ask].astype(np.int32)), whole, pa.array(low[ask]), pa.array((number << _SLOT_BITS) + ask.astype(np.int64))], names=["anchor", "lead", "follow", "context", "low", "ref"])
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,57 +402,64 @@ def blocks_of(anchor: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def longest_match(anchor: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """For each row the longest prefix of `side` that another row of its anchor shares: that with a neighbour in sorted order."""
+    row = np.concatenate([anchor.astype(">u8").view(np.uint8).reshape(-1, 8), side], 1)
+    order = np.argsort(np.ascontiguousarray(row).view(f"V{row.shape[1]}").ravel(), kind="stable")
+    s = row[order]
+    same = np.concatenate([s[1:] == s[:-1], np.zeros((max(0, len(s) - 1), 1), bool)], 1)
+    match = np.argmin(same, 1) - 8  # below 0: another anchor
+    out = np.zeros(len(row), np.int64)
+    out[order[1:]] = np.maximum(0, match)
+    out[order[:-1]] = np.maximum(out[order[:-1]], match)
+    return out
+
+
 def _answer(table: pa.Table) -> pa.RecordBatch:
-    h = table.column("anchor").to_numpy().view(np.uint64)
+    anchor = table.column("anchor").to_numpy().view(np.uint64)
     left, right = table.column("lead").to_numpy().astype(np.int64), table.column("follow").to_numpy().astype(np.int64)
     bytes_ = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint8).reshape(-1, CONTEXT)
-    low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
-    slot, first = distinct(h, left, right, bytes_)
-    least = np.full(len(first), np.iinfo(np.int64).max)
-    np.minimum.at(least, slot, low)
-    own = h[first]
-    alone = np.bincount(np.unique(own, return_inverse=True)[1])[np.unique(own, return_inverse=True)[1]] == 1
-    offset = np.arange(SPAN + 1)
-    fits = (SPAN - offset[None, :] <= left[first][:, None]) & (ANCHOR + offset[None, :] <= right[first][:, None])
-    smallest = np.where(fits, least[:, None], np.iinfo(np.int64).max)
-    many = np.flatnonzero(~alone)
-    if len(many):
-        smallest[many] = smallest_ids(bytes_[first][many], left[first][many], right[first][many], least[many])
-    row = smallest[slot]
-    hit = (row < high[:, None]).any(1)
-    row = row[hit]
-    return pa.RecordBatch.from_arrays(
-        [table.column("shard").combine_chunks().filter(pa.array(hit)), table.column("slot").combine_chunks().filter(pa.array(hit)), pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * (SPAN + 1), pa.int32()), pa.array(row.ravel()))],
-        names=["shard", "slot", "smallest"],
-    )
+    low, ref = table.column("low").to_numpy(), table.column("ref").to_numpy()
+    before = np.minimum(left, longest_match(anchor, bytes_[:, SPAN - 1 :: -1]))
+    after = np.minimum(right - ANCHOR, longest_match(anchor, bytes_[:, SPAN + ANCHOR :]))
+    some = np.flatnonzero(before + after >= SPAN)
+    smallest = smallest_ids(bytes_[some], left[some], right[some], low[some])
+    hit = (smallest < low[some][:, None]).any(1)
+    smallest, ref = smallest[hit], ref[some][hit]
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ref) + 1) * (SPAN + 1), pa.int32()), pa.array(smallest.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(ref >> _SLOT_BITS), pa.array((ref & ((1 << _SLOT_BITS) - 1)).astype(np.int32)), lists], names=["shard", "slot", "smallest"])
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, shard, row in shards_of(batch):
             covered = np.zeros(len(shard.data) + 1, np.int32)
-            if row["answers"].is_valid and row["anchors"].is_valid:
-                place, document, slot, h, *_ = shard.shared(row["anchors"].values.to_numpy(zero_copy_only=False))
-                answers = row["answers"].values
-                which = answers.field("slot").to_numpy()
-                values = answers.field("smallest").flatten().to_numpy().reshape(-1, SPAN + 1)
-                where = np.full(len(h), -1)
-                where[which] = np.arange(len(which))
-                at = np.flatnonzero(where[slot] >= 0)
+            place, document, slot, h, left, right, _ = shard.shared(_wanted(row))
+            if len(h):
+                offset = np.arange(SPAN + 1)
+                # What is known without answers: the smallest id that has the context in this shard.
+                smallest = np.repeat(_lowest(shard, document, slot, len(h))[:, None], SPAN + 1, 1)
+                if row["answers"].is_valid:
+                    answers = row["answers"].values
+                    values = answers.field("smallest").flatten().to_numpy().reshape(-1, SPAN + 1)
+                    which = answers.field("slot").to_numpy()
+                    smallest[which] = np.minimum(smallest[which], values)
+                fits = (SPAN - offset[None, :] <= left[:, None]) & (ANCHOR + offset[None, :] <= right[:, None])
+                repeated = np.zeros(len(h), bool)
+                if row["repeats"].is_valid:
+                    repeated[row["repeats"].values.to_numpy(zero_copy_only=False)] = True
+                ids = shard.ids[document]
                 for o in range(SPAN + 1):
-                    smaller = at[values[where[slot[at]], o] < shard.ids[document[at]]]
-                    start = place[smaller] - SPAN + o
-                    np.add.at(covered, start, 1)
-                    np.add.at(covered, start + LENGTH, -1)
+                    start = place[((smallest[slot, o] < ids) | repeated[slot]) & fits[slot, o]] - SPAN + o
+                    covered += np.bincount(start, minlength=len(covered)).astype(np.int32)
+                    covered -= np.bincount(start + LENGTH, minlength=len(covered)).astype(np.int32)
             gone = np.cumsum(covered[:-1]) > 0
             step = np.diff(gone.astype(np.int8), prepend=0) == 1
-            step[shard.starts[(shard.lengths > 0)]] = gone[shard.starts[shard.lengths > 0]]
+            filled = shard.starts[shard.lengths > 0]
+            step[filled] = gone[filled]
             total, runs = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(step)])
             removed, spans = total[shard.ends] - total[shard.starts], runs[shard.ends] - runs[shard.starts]
-            raw = shard.data.tobytes()
-            digests = []
-            for a, b, r in zip(shard.starts.tolist(), shard.ends.tolist(), removed.tolist(), strict=True):
-                digests.append(hashlib.sha256(shard.data[a:b][~gone[a:b]].tobytes() if r else raw[a:b]).hexdigest())
+            digests = [hashlib.sha256(shard.data[a:b][~gone[a:b]] if r else shard.data[a:b]).hexdigest() for a, b, r in zip(shard.starts.tolist(), shard.ends.tolist(), removed.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([row["ids"].values, pa.array(shard.lengths), pa.array(removed), pa.array(spans), pa.array(digests)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
@@ -368,9 +470,14 @@ def repeated_substrings(df: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     same = Window.partitionBy("anchor")
     met = rows.withColumn("n", F.count("*").over(same)).where((F.col("n") > 1) | F.col("several"))
     wanted = cut_lineage(met.groupBy("shard").agg(F.collect_list("anchor").alias("anchors")), "anchors")
-    found = blocks.join(wanted, "shard").mapInArrow(_context_rows, "anchor long, lead int, follow int, context binary, low long, high long, shard long, slot int")
-    found = found.repartition("anchor").sortWithinPartitions("anchor")
-    answers = found.mapInArrow(_answers, "shard long, slot int, smallest array<long>")
-    by_shard = cut_lineage(answers.groupBy("shard").agg(F.collect_list(F.struct("slot", "smallest")).alias("answers")), "answers")
-    whole = blocks.join(wanted, "shard", "left").join(by_shard, "shard", "left")
+    kinds = blocks.join(wanted, "shard").mapInArrow(_context_rows, "anchor long, context long, low long, ref long")
+    sorted_out = kinds.repartition("anchor").sortWithinPartitions("anchor", "context", "low").mapInArrow(_sort_out, "ref long, repeat boolean")
+    slot = F.col("ref").bitwiseAND((1 << _SLOT_BITS) - 1).cast("int")
+    by_shard = sorted_out.groupBy(F.shiftright("ref", _SLOT_BITS).alias("shard")).agg(F.collect_list(F.when(F.col("repeat"), slot)).alias("repeats"), F.collect_list(F.when(~F.col("repeat"), slot)).alias("asked"))
+    by_shard = cut_lineage(by_shard, "repeats")
+    asked = by_shard.where(F.size("asked") > 0).select("shard", "asked")
+    found = blocks.join(wanted, "shard").join(asked, "shard").mapInArrow(_fetch, "anchor long, lead int, follow int, context binary, low long, ref long")
+    answers = found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_answers, "shard long, slot int, smallest array<long>")
+    answers = cut_lineage(answers.groupBy("shard").agg(F.collect_list(F.struct("slot", "smallest")).alias("answers")), "answers")
+    whole = blocks.join(wanted, "shard", "left").join(by_shard.select("shard", "repeats"), "shard", "left").join(answers, "shard", "left")
     return whole.mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
