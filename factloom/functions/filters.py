@@ -1,7 +1,8 @@
 """Declarative filters {"field", "op", "value"} as typed Columns.
 
 A filter never fails on types: where the field's type cannot be compared with the value, it is
-the constant false, which the optimizer folds away.
+the constant false, which the optimizer folds away. Where the field is null a comparison is null,
+which selects no row; it is left bare so that it reaches the scan.
 """
 
 from __future__ import annotations
@@ -63,11 +64,11 @@ def condition(df: DataFrame, flt: dict, *, coerce_temporal: bool = False) -> Col
             found = F.map_contains_key(column, F.lit(value))
         else:
             return F.lit(False)
-        return F.coalesce(found, F.lit(False))
+        return found
     if not comparable(kind, value, coerce_temporal):
         return F.lit(False)
     a, b = _operands(column, kind, value)
-    return F.coalesce({"eq": a == b, "gt": a > b, "lt": a < b}[op], F.lit(False))
+    return {"eq": a == b, "gt": a > b, "lt": a < b}[op]
 
 
 def all_of(df: DataFrame, filters: Sequence[dict], *, coerce_temporal: bool = False) -> Column:

@@ -41,6 +41,18 @@ def test_filters_never_fail_on_types(spark, flt, hit):
     assert (df.where(filters.condition(df, flt)).count() == 1) == hit
 
 
+def test_filters_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([("a", 1, T0), ("b", 2, None)], "name string, pid long, start_time timestamp").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    flts = [{"field": "name", "op": "eq", "value": "a"}, {"field": "pid", "op": "lt", "value": 2}, {"field": "name", "op": "contains", "value": "a"}, {"field": "start_time", "op": "exists", "value": True}]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    hit = df.where(filters.all_of(df, flts)).select("pid")
+    plan = hit._jdf.queryExecution().toString()
+    assert hit.count() == 1 and all(x in plan for x in ("EqualTo(name,a)", "LessThan(pid,2)", "StringContains(name,a)", "IsNotNull(start_time)"))
+    never = df.where(filters.all_of(df, [{"field": "pid", "op": "eq", "value": "1"}]))
+    assert "FileScan" not in never._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bad_filter_op_is_named(spark):
     with pytest.raises(filters.BadFilter, match=r"\['contains', 'eq', 'exists', 'gt', 'lt'\]"):
         filters.all_of(spark.range(1), [{"field": "id", "op": "regex", "value": "x"}])
