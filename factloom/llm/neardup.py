@@ -8,11 +8,12 @@ before a rank of about K (ln K + 3) / total weight are ever thrown, so the cost
 on K.
 
 Equal texts are joined first, so that copies are never compared. Distinct texts whose bands agree
-meet in buckets. In a bucket each text is compared with the bucket's hub only (the text with most
-company over all its buckets), never with all others; texts that are not linked to the hub's
-component meet again, without it, around the next hub, until every bucket is one component or
-has been compared out. Each comparison is an exact Jaccard similarity of whole shingle sets.
-Classes are the connected components of the links.
+meet in buckets. Never are all pairs of a bucket compared, unless it is small: each text meets the
+bucket's hubs (the text with most company over all its buckets, the smallest and the largest) and
+its neighbours in an order in which texts that agree in the next band as well stand together. A
+similar pair shares about ten of 32 buckets, so it has as many chances to meet. Each comparison is
+an exact Jaccard similarity of whole shingle sets. Classes are the connected components of the
+links; a pair that never meets loses its class only if no third text links the two.
 
 A text of one to four words is one shingle. Null and empty texts are equal texts of no shingles.
 Rows with equal ids are kept apart by their texts; a null id sorts before all others.
@@ -34,6 +35,8 @@ from .components import components
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
+#: In a bucket of at most so many texts all are compared with each other.
+SMALL_BUCKET = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -176,37 +179,55 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def candidates(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, worth comparing, from members (bucket, key, company).
+
+    Per bucket: every text with three hubs (most company, smallest, largest); all pairs if there are
+    at most SMALL_BUCKET texts. Across a bucket: neighbours in the order of another hash of the
+    bucket's texts, in a range-partitioned sort, so that a hot bucket spreads over tasks.
+    """
+    low, high, main = F.min("key"), F.max("key"), F.max(F.struct("company", "key"))["key"]
+    hubs = members.groupBy("bucket").agg(F.count("*").alias("n"), F.array_distinct(F.array(main, low, high)).alias("hubs")).where("n > 1")
+    with_hubs = members.join(hubs, "bucket")
+    starred = with_hubs.select(F.col("key").alias("x"), F.explode(F.filter("hubs", lambda h: h != F.col("key"))).alias("y"))
+    small = with_hubs.where((F.col("n") > 3) & (F.col("n") <= SMALL_BUCKET)).groupBy("bucket").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    pairs = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice(F.col("keys"), i + 2, F.size("keys")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    every = small.select(F.inline(pairs))
+    beside = with_hubs.where(F.col("n") > SMALL_BUCKET).select("bucket", "next", "key").repartitionByRange("bucket", "next", "key").sortWithinPartitions("bucket", "next", "key").mapInArrow(_neighbours, "x binary, y binary")
+    all_ = starred.unionByName(every).unionByName(beside)
+    return all_.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, next, key) in order; each with the one before it in its bucket."""
+    last = None
+    for batch in batches:
+        rows = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+        x, y = [], []
+        for bucket, key in rows:
+            if last and last[0] == bucket:
+                x.append(last[1])
+                y.append(key)
+            last = (bucket, key)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["x", "y"])
+
+
 def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of df: doc_id, key (hash of the text), class_id (smallest id of its
     class), and whether it is the one that represents the class. Columns of df are not carried."""
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{doc_id}`"), F.lit(-(1 << 63))).alias("_id"), text_key(text).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     signed = cut_lineage(with_bands(docs, bands, rows), "signed")
     distinct = signed.groupBy("key").agg(F.min("_id").alias("first"), F.any_value("bands").alias("bands"))
-    banded = distinct.select("key", F.explode("bands").alias("bucket"))
+    # Beside each band goes the next one: texts that agree in both are neighbours in the bucket's order.
+    beside = F.transform("bands", lambda b, i: F.struct(b.alias("bucket"), F.element_at("bands", (i + 1) % bands + 1).alias("next")))
+    banded = distinct.select("key", F.inline(beside))
     full = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut_lineage(banded.join(full, "bucket").select("bucket", "key", "n"), "members")
+    members = cut_lineage(banded.join(full, "bucket").select("bucket", "next", "key", "n"), "members")
     weight = members.groupBy("key").agg(F.sum("n").alias("company"))
-    members = cut_lineage(members.select("bucket", "key").join(weight, "key"), "weighed")
+    members = members.select("bucket", "next", "key").join(weight, "key")
     needed = weight.select("key")
     texts = cut_lineage(docs.join(needed, "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text")), "texts")
-    edges = tested = None
-    left = members
-    while True:
-        hubs = left.groupBy("bucket").agg(F.max(F.struct("company", "key"))["key"].alias("b"), F.count("*").alias("n")).where("n > 1").select("bucket", "b")
-        pairs = left.join(hubs, "bucket").where(F.col("key") != F.col("b")).select(F.col("key").alias("a"), "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        new = cut_lineage(similar(pairs, texts, least), "links")
-        edges = new if edges is None else edges.union(new)
-        labels = components(edges)
-        # Texts of the hub's component have been settled in this bucket; the others go on without it.
-        named = left.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        hub_of = hubs.join(labels.withColumnRenamed("node", "b"), "b", "left").select("bucket", F.coalesce("component", "b").alias("_hub"))
-        left = cut_lineage(named.join(hub_of, "bucket").where(F.col("component") != F.col("_hub")).select("bucket", "key", "company"), "left")
-        if left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0:
-            break
+    labels = components(similar(candidates(members), texts, least))
     class_of = distinct.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
     class_of = cut_lineage(class_of, "classes")
     first = class_of.groupBy("component").agg(F.min(F.struct("first", "key")).alias("_head"))
