@@ -9,7 +9,7 @@ on K.
 
 Equal texts are joined first, so that copies are never compared. Distinct texts whose bands agree
 meet in buckets. Never are all pairs of a bucket compared, unless it is small: each text meets the
-bucket's hubs (the text with most company over all its buckets, the smallest and the largest) and
+bucket's hubs (the text with most company over all its buckets, and the smallest) and
 its neighbours in an order in which texts that agree in the next band as well stand together. A
 similar pair shares about ten of 32 buckets, so it has as many chances to meet. Each comparison is
 an exact Jaccard similarity of whole shingle sets. Classes are the connected components of the
@@ -182,15 +182,15 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def candidates(members: DataFrame) -> DataFrame:
     """Distinct pairs (a, b), a < b, worth comparing, from members (bucket, key, company).
 
-    Per bucket: every text with three hubs (most company, smallest, largest); all pairs if there are
+    Per bucket: every text with two hubs (most company, and smallest); all pairs if there are
     at most SMALL_BUCKET texts. Across a bucket: neighbours in the order of another hash of the
     bucket's texts, in a range-partitioned sort, so that a hot bucket spreads over tasks.
     """
-    low, high, main = F.min("key"), F.max("key"), F.max(F.struct("company", "key"))["key"]
-    hubs = members.groupBy("bucket").agg(F.count("*").alias("n"), F.array_distinct(F.array(main, low, high)).alias("hubs")).where("n > 1")
+    low, main = F.min("key"), F.max(F.struct("company", "key"))["key"]
+    hubs = members.groupBy("bucket").agg(F.count("*").alias("n"), F.array_distinct(F.array(main, low)).alias("hubs")).where("n > 1")
     with_hubs = members.join(hubs, "bucket")
     starred = with_hubs.select(F.col("key").alias("x"), F.explode(F.filter("hubs", lambda h: h != F.col("key"))).alias("y"))
-    small = with_hubs.where((F.col("n") > 3) & (F.col("n") <= SMALL_BUCKET)).groupBy("bucket").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    small = with_hubs.where((F.col("n") > 2) & (F.col("n") <= SMALL_BUCKET)).groupBy("bucket").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     pairs = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice(F.col("keys"), i + 2, F.size("keys")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     every = small.select(F.inline(pairs))
     beside = with_hubs.where(F.col("n") > SMALL_BUCKET).select("bucket", "next", "key").repartitionByRange("bucket", "next", "key").sortWithinPartitions("bucket", "next", "key").mapInArrow(_neighbours, "x binary, y binary")
