@@ -80,7 +80,9 @@ def spawned(relations: DataFrame, processes: DataFrame) -> tuple[DataFrame, Data
     nodes = processes.select(F.col("host_hostname").alias("host"), "pid", "start_time", F.col("node_key").alias("child_key"))
     child = rel.join(nodes, (rel["host"] == nodes["host"]) & (rel["child_pid"] == nodes["pid"]) & rel["child_start"].eqNullSafe(nodes["start_time"])).select(rel["*"], "child_key")
     edges = as_of_parent(child, processes).where("src_key is not null").select("src_key", F.col("child_key").alias("dst_key"), F.lit("Spawned").alias("edge_type"), F.col("child_start").alias("ts"), F.array(F.lit("pstree")).alias("confirmed_by"), F.col("_evidence_hash").alias("evidence_hash"), F.col("_derivation").alias("derivation"), "seq")
-    stats = relations.agg(F.count("*").alias("n_relations")).crossJoin(edges.agg(F.count("*").alias("n_edges"))).select("n_relations", "n_edges", (F.col("n_relations") - F.col("n_edges")).alias("failures"))
+    one = relations.select(F.lit(1).alias("r"), F.lit(0).alias("e")).unionAll(edges.select(F.lit(0), F.lit(1)))
+    stats = one.agg(F.coalesce(F.sum("r"), F.lit(0)).alias("n_relations"), F.coalesce(F.sum("e"), F.lit(0)).alias("n_edges"))
+    stats = stats.withColumn("failures", F.col("n_relations") - F.col("n_edges"))
     return edges, stats
 
 
