@@ -47,6 +47,19 @@ NOT_PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ]")
 EASY = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
+class Numbers(dict):
+    """Numbers words as they first occur, and lists the new ones."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordTokenizer:
     """The ids of a tokenizers file, looked up by word: the library encodes each word once."""
 
@@ -62,22 +75,25 @@ class WordTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.known = Numbers()
+        self.flat, self.lengths, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, words: list[str]) -> None:
         """Words of a space and letters are encoded many at a time, end to end: each begins where a token begins with a space."""
-        easy = [w for w in words if EASY.fullmatch(w)]
-        other = [w for w in words if not EASY.fullmatch(w)]
+        is_easy = np.fromiter((EASY.fullmatch(w) is not None for w in words), bool, len(words))
+        easy = [w for w, e in zip(words, is_easy, strict=True) if e]
+        other = [w for w, e in zip(words, is_easy, strict=True) if not e]
         joined = ["".join(easy[a : a + 500]) for a in range(0, len(easy), 500)]
         ids = np.array([i for e in self.library.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.int32)
         begins = np.flatnonzero(self.spaced[ids])
         if len(begins) != len(easy):
             raise ValueError("words and tokens are out of step")
         found = [e.ids for e in self.library.encode_batch_fast(other, add_special_tokens=False)]
-        base = len(self.known)
-        self.known.update((w, base + i) for i, w in enumerate(easy + other))
-        self.lengths = np.concatenate([self.lengths, np.diff(begins, append=len(ids)), np.fromiter(map(len, found), np.int64, len(found))])
+        lengths, starts = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        lengths[is_easy], lengths[~is_easy] = np.diff(begins, append=len(ids)), np.fromiter(map(len, found), np.int64, len(found))
+        starts[is_easy], starts[~is_easy] = begins, len(ids) + np.cumsum(lengths[~is_easy]) - lengths[~is_easy]
+        self.starts = np.concatenate([self.starts, starts + len(self.flat)])
+        self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, ids, np.array([i for x in found for i in x], np.int32)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,13 +106,12 @@ class WordTokenizer:
             found = (self.split if NOT_PLAIN.search(text) else self.plain).findall(text)
             counts.append(len(found))
             words += found
-        known = self.known
-        if missing := list(set(words).difference(known)):
-            self.learn(missing)
-        starts = np.cumsum(self.lengths) - self.lengths
-        index = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.new:
+            self.learn(self.known.new)
+            self.known.new = []
         lengths = self.lengths[index]
-        body = self.flat[spread(starts[index], lengths)] if len(index) else np.zeros(0, np.int32)
+        body = self.flat[spread(self.starts[index], lengths)] if len(index) else np.zeros(0, np.int32)
         ends = np.concatenate([[0], np.cumsum(lengths)])
         total = np.diff(ends[np.concatenate([[0], np.cumsum(counts)])]) + 1
         ids = np.empty(int(total.sum()), np.int32)
@@ -256,7 +271,7 @@ def pack_documents(df: DataFrame, tokenizer: str, *, window: int = WINDOW, grid:
         names_before: list = []
         totals_before: list[int] = []
         waiting = 0
-        for part in slices(batches, limit=2 << 20, keep="packing"):
+        for part in slices(batches, keep="packing"):
             tokenizer_ = load(tokenizer)
             ids, counts = tokenizer_.encode(texts_of(part))
             ids = ids.astype(np.uint16 if tokenizer_.library.get_vocab_size() <= 1 << 16 else np.int32)
