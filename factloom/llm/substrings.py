@@ -227,11 +227,12 @@ class Shard:
 
 def distinct(h: np.ndarray, left: np.ndarray, right: np.ndarray, bytes_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The number of each row's distinct context, by hash first, and a row for each number."""
-    if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    row = np.concatenate([h.astype(">u8").view(np.uint8).reshape(-1, 8), left[:, None].astype(np.uint8), right[:, None].astype(np.uint8), bytes_], 1)
-    _, first, slot = np.unique(np.ascontiguousarray(row).view(f"V{row.shape[1]}").ravel(), return_index=True, return_inverse=True)
-    return slot, first
+    c = context_hash(bytes_, left, right)
+    order = np.lexsort((c, h))
+    new = np.concatenate([np.ones(min(1, len(h)), bool), (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])])
+    slot = np.empty(len(h), np.int64)
+    slot[order] = np.cumsum(new) - 1
+    return slot, order[new]
 
 
 # -- the job
@@ -249,7 +250,7 @@ def shard_table(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
         number = TaskContext.get().partitionId() << 16
         codec = pa.Codec("zstd", 3)
-        for part in slices(joined(batches), limit=SHARD_BYTES):
+        for part in slices(batches, limit=SHARD_BYTES):
             data = utf8_of(part)
             whole = b"".join(data)
             shard = Shard(whole, [len(x) for x in data], part.column(0).to_pylist())
@@ -265,19 +266,6 @@ def shard_table(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return spark.table(name)
 
 
-def joined(batches: Iterator[pa.RecordBatch], limit: int = SHARD_BYTES) -> Iterator[pa.RecordBatch]:
-    """Small batches put together up to about `limit` bytes, so that shards are full."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= limit:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-    if size:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
 def shards_of(batch: pa.RecordBatch) -> Iterator[tuple[int, Shard, dict]]:
     codec = pa.Codec("zstd")
     for i in range(batch.num_rows):
@@ -449,10 +437,10 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if row["repeats"].is_valid:
                     repeated[row["repeats"].values.to_numpy(zero_copy_only=False)] = True
                 ids = shard.ids[document]
-                for o in range(SPAN + 1):
-                    start = place[((smallest[slot, o] < ids) | repeated[slot]) & fits[slot, o]] - SPAN + o
-                    covered += np.bincount(start, minlength=len(covered)).astype(np.int32)
-                    covered -= np.bincount(start + LENGTH, minlength=len(covered)).astype(np.int32)
+                starts = [place[((smallest[slot, o] < ids) | repeated[slot]) & fits[slot, o]] - SPAN + o for o in range(SPAN + 1)]
+                begin = np.bincount(np.concatenate(starts), minlength=len(covered)).astype(np.int32)
+                covered = begin
+                covered[LENGTH:] -= begin[:-LENGTH].copy()
             gone = np.cumsum(covered[:-1]) > 0
             step = np.diff(gone.astype(np.int8), prepend=0) == 1
             filled = shard.starts[shard.lengths > 0]
