@@ -175,9 +175,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     n = known.count()
     parts = 1 << 20
     share = parts if n <= rows else max(1, int(parts * rows * 0.9 / n))
-    few = known.where(F.pmod(F.xxhash64("_id"), F.lit(parts)) < share).dropDuplicates(["_id"]).limit(rows)
-    sampled = docs.join(F.broadcast(few), F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "text")
-    labels_of = {r["_id"]: r["_q"] for r in few.collect()}
+    few = known.where(F.pmod(F.xxhash64("_id"), F.lit(parts)) < share).groupBy("_id").agg(F.min("_q").alias("_q"))
+    labels_of = {r["_id"]: r["_q"] for r in few.orderBy(F.xxhash64("_id")).limit(rows).collect()}
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in labels_of], "_id long")
+    sampled = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "text")
 
     def work(batch: pa.RecordBatch) -> list:
         return [statistics(utf8_of(batch))[1].tolist()]
