@@ -52,9 +52,12 @@ PROSE = frozenset("the a an this that these those my your our his her its their
 _AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+(?:at|AT|At)\s+|\s*@\s*)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|DOT|Dot)\s+|\.)"
 _WORDED = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*?)({_AT})([A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])")
+#: A disguised dot between digits, as in addresses written 10[.]0[.]0[.]1 or 10 dot 0 dot 0 dot 1.
+_NUMBER_DOT = re.compile(r"(?i)(?<=[0-9])(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)(?=[0-9])")
 _WORD_DOT = re.compile(_DOT, re.IGNORECASE)
 _WORDED_HINT = re.compile(r"(?i)\bdot\b|\bat\b\s*[\])}>]|[\[({<]\s*(?:at|@|dot|punkt|point|punto|\.)\s*[\])}>]")
 _DIGIT_WORDS = re.compile(r"(?i)(?<![A-Za-z])(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?:[\s,.-]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9]))+(?![A-Za-z])")
+_LONE_DIGIT = re.compile(r"(?i)(?<![A-Za-z])(?:zero|one|two|three|four|five|six|seven|eight|nine)(?=\s+dot\b)|(?<=\bdot )(?:zero|one|two|three|four|five|six|seven|eight|nine)(?![A-Za-z])")
 _DIGIT_HINT = re.compile(r"(?i)\b(?:zero|one|two|three|four|five|six|seven|eight|nine)[\s,.-]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9])\b")
 _PLUS_WORD = re.compile(r"(?i)(?<![A-Za-z])plus[\s-]+(?=[0-9])")
 _ODD = re.compile("[^\x00-\x7fÀ-ÿ]")
@@ -167,16 +170,22 @@ def disguised_spans(text: str) -> list[list[tuple[int, int]]] | None:
     if odd:
         r.replace(odd)
     words = []
+    runs = [m.span() for m in _DIGIT_WORDS.finditer(r.text)]
+    for m in _LONE_DIGIT.finditer(r.text):
+        if not any(a < m.end() and m.start() < b for a, b in runs):
+            words.append((m.start(), m.end(), SPELLED[m[0].lower()]))
     for m in _DIGIT_WORDS.finditer(r.text):
         at = m.start()
         for w in re.finditer(r"[A-Za-z]+|[0-9]", m[0]):
             words.append((at + w.start(), at + w.end(), SPELLED.get(w[0].lower(), w[0])))
         for gap in re.finditer(r"[\s,.-]+", m[0]):
-            words.append((at + gap.start(), at + gap.end(), " "))
+            words.append((at + gap.start(), at + gap.end(), ""))
     if words:
         r.replace(sorted(words))
     if plus := [(m.start(), m.end(), "+") for m in _PLUS_WORD.finditer(r.text)]:
         r.replace(plus)
+    if dots := [(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(r.text)]:
+        r.replace(dots)
     edits = []
     for m in _WORDED.finditer(r.text):
         if m[2].strip().lower() == "at" and re.split(r"[^a-z0-9-]", m[3].lower())[0] in PROSE:
