@@ -96,11 +96,12 @@ def repeated_runs(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     kind = pa_schema(df.sparkSession, ddl).field("windows").type
     held = df.select(*row_key(doc_id, text), F.col(f"`{text}`").alias("text")).mapInArrow(run, ddl)
     held = cut_lineage(held.where(F.size("windows") > 0), "windows")
-    # Rows of a hot fingerprint or window are split by the adaptive join; counts and minima are taken before the shuffle.
+    # Counts and minima are aggregated before they are shuffled and written down, so that the joins
+    # have two plain shuffles, of which the adaptive engine splits a hot key's part.
     marks = held.select(F.explode("marks").alias("mark")).groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    shared = cut_lineage(held.select("_id", "_h", F.inline("windows")).join(marks, "mark"), "shared")
+    shared = cut_lineage(held.select("_id", "_h", F.inline("windows")).join(cut_lineage(marks, "marks"), "mark"), "shared")
     firsts = shared.groupBy("hash").agg(F.min(F.struct("_id", "_h", "first", "last")).alias("head"), F.count("*").alias("n")).where("n > 1").select("hash", "head")
-    met = shared.select("hash", "_id", "_h", "first", "last").join(firsts, "hash")
+    met = shared.select("hash", "_id", "_h", "first", "last").join(cut_lineage(firsts, "firsts"), "hash")
     same: Column = (F.col("head._id") == F.col("_id")) & (F.col("head._h") == F.col("_h"))
     later = met.where(~same | (F.col("first") > F.col("head.last")))
     return later.groupBy("_id", "_h").agg(F.collect_set(F.struct("first", "last")).alias("runs"))

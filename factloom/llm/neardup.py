@@ -188,7 +188,7 @@ def candidates(members: DataFrame) -> DataFrame:
     """
     low, main = F.min("key"), F.max(F.struct("company", "key"))["key"]
     hubs = members.groupBy("bucket").agg(F.count("*").alias("n"), F.array_distinct(F.array(main, low)).alias("hubs")).where("n > 1")
-    with_hubs = members.join(hubs, "bucket")
+    with_hubs = members.join(cut_lineage(hubs, "hubs"), "bucket")
     starred = with_hubs.select(F.col("key").alias("x"), F.explode(F.filter("hubs", lambda h: h != F.col("key"))).alias("y"))
     small = with_hubs.where((F.col("n") > 2) & (F.col("n") <= SMALL_BUCKET)).groupBy("bucket").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     pairs = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice(F.col("keys"), i + 2, F.size("keys")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
@@ -222,11 +222,15 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     beside = F.transform("bands", lambda b, i: F.struct(b.alias("bucket"), F.element_at("bands", (i + 1) % bands + 1).alias("next")))
     banded = distinct.select("key", F.inline(beside))
     full = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # Written down first, the join has two plain shuffles, of which the adaptive engine splits a hot bucket's part.
+    full = cut_lineage(full, "buckets")
     members = cut_lineage(banded.join(full, "bucket").select("bucket", "next", "key", "n"), "members")
     weight = members.groupBy("key").agg(F.sum("n").alias("company"))
     members = members.select("bucket", "next", "key").join(weight, "key")
     needed = weight.select("key")
-    texts = cut_lineage(docs.join(needed, "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text")), "texts")
+    # One text of many copies is chosen before the shuffle.
+    once = docs.select("key", "text").groupBy("key").agg(F.any_value("text").alias("text"))
+    texts = cut_lineage(once.join(needed, "key", "left_semi"), "texts")
     labels = components(similar(candidates(members), texts, least))
     class_of = distinct.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
     class_of = cut_lineage(class_of, "classes")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, pa_schema, settle, shared_folder, slices, utf8_of
+from .common import attach, cut_lineage, pa_schema, settle, shared_folder, slices, utf8_of
 from .neardup import mixed
 
 LENGTH = 50
@@ -44,6 +44,12 @@ CONTEXT = ANCHOR + 2 * SPAN
 SHARD_BYTES = 4 << 20
 #: Later steps have two tasks for each partition of the input, and no more than this.
 MOST_BUCKETS = 100_000
+#: An anchor that occurs more often is hot: its contexts are spread over WAYS tasks and teams.
+HOT = 20_000
+WAYS = 256
+NEAR = 4
+#: Offsets of the windows with less than NEAR bytes on one side of their anchor.
+EDGES = (*range(NEAR), *range(SPAN - NEAR + 1, SPAN + 1))
 #: Contexts that are sorted together.
 BLOCK_CONTEXTS = 8_000
 #: Bytes that are hashed at a time, in whole documents.
@@ -285,13 +291,30 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, ids = h[order], shard.ids[document[order]]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
             several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(h) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.full(len(first), number)), pa.array(several)], names=["anchor", "shard", "several"])
+            times = np.diff(first, append=len(h))
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.full(len(first), number)), pa.array(times), pa.array(several)], names=["anchor", "shard", "times", "several"])
 
 
 def _wanted(row: dict) -> np.ndarray:
     return row["anchors"].values.to_numpy(zero_copy_only=False) if row["anchors"].is_valid else np.zeros(0, np.int64)
 
 
+def _is_hot(row: dict, h: np.ndarray) -> np.ndarray:
+    """Which of these anchors occur too often for one task."""
+    hot = np.sort(row["hot"].values.to_numpy(zero_copy_only=False).view(np.uint64)) if row["hot"].is_valid else np.zeros(0, np.uint64)
+    return hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
+
+
+def _edge_hashes(bytes_: np.ndarray) -> np.ndarray:
+    """(context, 8): a hash of each window that has less than 4 bytes on one side of the anchor, and of its offset."""
+    out = np.empty((len(bytes_), len(EDGES)), np.uint64)
+    for k, o in enumerate(EDGES):
+        window = np.zeros((len(bytes_), 56), np.uint8)
+        window[:, :LENGTH] = bytes_[:, o : o + LENGTH]
+        out[:, k] = context_hash(window, np.full(len(bytes_), o), np.zeros(len(bytes_), np.int64))
+    return out
+
+
 def _lowest(shard: Shard, document: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
     low = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(low, slot, shard.ids[document])
@@ -304,19 +327,20 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             _, document, slot, h, left, right, bytes_ = shard.shared(_wanted(row))
             if len(h):
                 ref = (number << _SLOT_BITS) + np.arange(len(h))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context_hash(bytes_, left, right).view(np.int64)), pa.array(_lowest(shard, document, slot, len(h))), pa.array(ref)], names=["anchor", "context", "low", "ref"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context_hash(bytes_, left, right).view(np.int64)), pa.array(_lowest(shard, document, slot, len(h))), pa.array(ref), pa.array(_is_hot(row, h))], names=["anchor", "context", "low", "ref", "hot"])
 
 
 def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ordered by anchor, context and lowest id to (ref, repeat): repeat where a smaller id has the
     context, else the context must be compared with those of other kinds. A kind alone in its anchor
-    needs no answer. Works along the rows; what may yet need comparing is the last anchor's first kind."""
+    needs no answer; a hot anchor's kinds are spread over tasks and all ask. Works along the rows; what may yet need comparing is the last anchor's first kind."""
     last_anchor = last_context = None
     lowest = 0
     waiting: list[int] = []  # first rows of the anchor's only kind so far
     several = False
     for batch in batches:
         anchor, context, low, ref = (batch.column(i).to_numpy() for i in range(4))
+        hot = batch.column(4).to_numpy(zero_copy_only=False)
         n = len(anchor)
         new_anchor = np.concatenate([[anchor[0] != last_anchor], anchor[1:] != anchor[:-1]]) if n else np.zeros(0, bool)
         new_context = new_anchor | (np.concatenate([[context[0] != last_context], context[1:] != context[:-1]]) if n else False)
@@ -329,7 +353,8 @@ def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = np.bincount(group, new_context, minlength=group[-1] + 1 if n else 1).astype(int)
         mixed_ = kinds > 1
         mixed_[0] = several or kinds[0] > 0 and group.size and group[0] == 0
-        compare = [ref[firsts[mixed_[group[firsts]]]]]
+        asks = mixed_[group[firsts]] | hot[firsts]
+        compare = [ref[firsts[asks]]]
         if mixed_[0] and waiting:
             compare.append(np.array(waiting, np.int64))
             waiting = []
@@ -338,7 +363,7 @@ def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if end > 0:
                 waiting = []
             if not mixed_[end]:
-                waiting += ref[firsts[group[firsts] == end]].tolist()
+                waiting += ref[firsts[(group[firsts] == end) & ~asks]].tolist()
             several = bool(mixed_[end])
             lowest, last_anchor, last_context = int(floor[-1]), anchor[-1], context[-1]
         compare = np.concatenate(compare)
@@ -347,13 +372,24 @@ def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts as bytes. `team` says which are sorted together: those of an anchor, or of a hot anchor
+    those that also share the 4 bytes on either side; `edges` has hashes of the windows that this would miss."""
     for batch in batches:
         for number, shard, row in shards_of(batch):
             _, document, slot, h, left, right, bytes_ = shard.shared(_wanted(row))
             ask = row["asked"].values.to_numpy(zero_copy_only=False)
-            low = _lowest(shard, document, slot, len(h))
-            whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CONTEXT), len(ask), [None, pa.py_buffer(np.ascontiguousarray(bytes_[ask]))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(h[ask].view(np.int64)), pa.array(left[ask].astype(np.int32)), pa.array(right[ask].astype(np.int32)), whole, pa.array(low[ask]), pa.array((number << _SLOT_BITS) + ask.astype(np.int64))], names=["anchor", "lead", "follow", "context", "low", "ref"])
+            low = _lowest(shard, document, slot, len(h))[ask]
+            h, left, right, bytes_, hot = h[ask], left[ask], right[ask], bytes_[ask], _is_hot(row, h[ask])
+            near = np.ascontiguousarray(np.concatenate([bytes_[:, SPAN - NEAR : SPAN], bytes_[:, SPAN + ANCHOR : SPAN + ANCHOR + NEAR]], 1)).view("<u8")[:, 0]
+            team = np.where(hot, mixed(h ^ mixed(near + np.uint64(1))), h)
+            offset = np.array(EDGES)
+            fits = (SPAN - offset[None, :] <= left[:, None]) & (ANCHOR + offset[None, :] <= right[:, None])
+            which = np.flatnonzero(hot)
+            hashes = _edge_hashes(bytes_[which])
+            rows = iter([[x if f else None for x, f in zip(a, b, strict=True)] for a, b in zip(hashes.view(np.int64).tolist(), fits[which].tolist(), strict=True)])
+            edges = [next(rows) if x else None for x in hot.tolist()]
+            whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CONTEXT), len(ask), [None, pa.py_buffer(np.ascontiguousarray(bytes_))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(team.view(np.int64)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), whole, pa.array(low), pa.array((number << _SLOT_BITS) + ask.astype(np.int64)), pa.array(h.view(np.int64)), pa.array(edges, pa.list_(pa.int64()))], names=["team", "lead", "follow", "context", "low", "ref", "anchor", "edges"])
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,7 +440,7 @@ def longest_match(anchor: np.ndarray, side: np.ndarray) -> np.ndarray:
 
 
 def _answer(table: pa.Table) -> pa.RecordBatch:
-    anchor = table.column("anchor").to_numpy().view(np.uint64)
+    anchor = table.column("team").to_numpy().view(np.uint64)
     left, right = table.column("lead").to_numpy().astype(np.int64), table.column("follow").to_numpy().astype(np.int64)
     bytes_ = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint8).reshape(-1, CONTEXT)
     low, ref = table.column("low").to_numpy(), table.column("ref").to_numpy()
@@ -431,7 +467,7 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     answers = row["answers"].values
                     values = answers.field("smallest").flatten().to_numpy().reshape(-1, SPAN + 1)
                     which = answers.field("slot").to_numpy()
-                    smallest[which] = np.minimum(smallest[which], values)
+                    np.minimum.at(smallest, which, values)
                 fits = (SPAN - offset[None, :] <= left[:, None]) & (ANCHOR + offset[None, :] <= right[:, None])
                 repeated = np.zeros(len(h), bool)
                 if row["repeats"].is_valid:
@@ -451,21 +487,37 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([row["ids"].values, pa.array(shard.lengths), pa.array(removed), pa.array(spans), pa.array(digests)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_substrings(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def edge_answers(found: DataFrame) -> DataFrame:
+    """(shard, slot, smallest) for hot anchors' windows that lie almost wholly to one side. Hashes are
+    aggregated before they are shuffled, and smallest ids joined back salted."""
+    each = found.where(F.col("edges").isNotNull()).select("ref", "low", "anchor", F.posexplode("edges").alias("k", "edge")).where(F.col("edge").isNotNull())
+    least = each.groupBy("anchor", "edge").agg(F.min("low").alias("least"))
+    hit = attach(each, least, ["anchor", "edge"], F.col("ref")).where(F.col("least") < F.col("low"))
+    far = F.lit((1 << 63) - 1)
+    per_ref = hit.groupBy("ref").agg(F.map_from_entries(F.collect_set(F.struct(F.element_at(F.array(*map(F.lit, EDGES)), F.col("k") + 1).alias("o"), "least"))).alias("by_offset"))
+    smallest = F.transform(F.sequence(F.lit(0), F.lit(SPAN)), lambda o: F.coalesce(F.try_element_at("by_offset", o), far))
+    return per_ref.select(F.shiftright("ref", _SLOT_BITS).alias("shard"), F.col("ref").bitwiseAND((1 << _SLOT_BITS) - 1).cast("int").alias("slot"), smallest.alias("smallest"))
+
+
+def repeated_substrings(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """One row for each row of df: its bytes, how many of them are repeats in how many runs, and a hash of the others."""
     blocks = shard_table(df, doc_id, text)
-    rows = blocks.mapInArrow(_anchor_rows, "anchor long, shard long, several boolean")
+    rows = blocks.mapInArrow(_anchor_rows, "anchor long, shard long, times long, several boolean")
     same = Window.partitionBy("anchor")
-    met = rows.withColumn("n", F.count("*").over(same)).where((F.col("n") > 1) | F.col("several"))
-    wanted = cut_lineage(met.groupBy("shard").agg(F.collect_list("anchor").alias("anchors")), "anchors")
-    kinds = blocks.join(wanted, "shard").mapInArrow(_context_rows, "anchor long, context long, low long, ref long")
-    sorted_out = kinds.repartition("anchor").sortWithinPartitions("anchor", "context", "low").mapInArrow(_sort_out, "ref long, repeat boolean")
+    met = rows.withColumns({"n": F.count("*").over(same), "times": F.sum("times").over(same)}).where((F.col("n") > 1) | F.col("several"))
+    wanted = met.groupBy("shard").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("times") > hot, F.col("anchor"))).alias("hot"))
+    wanted = cut_lineage(wanted, "anchors")
+    kinds = blocks.join(wanted, "shard").mapInArrow(_context_rows, "anchor long, context long, low long, ref long, hot boolean")
+    way = F.when(F.col("hot"), F.pmod("context", F.lit(WAYS))).otherwise(F.lit(0))
+    sorted_out = kinds.repartition("anchor", way).sortWithinPartitions("anchor", "context", "low").mapInArrow(_sort_out, "ref long, repeat boolean")
     slot = F.col("ref").bitwiseAND((1 << _SLOT_BITS) - 1).cast("int")
     by_shard = sorted_out.groupBy(F.shiftright("ref", _SLOT_BITS).alias("shard")).agg(F.collect_list(F.when(F.col("repeat"), slot)).alias("repeats"), F.collect_list(F.when(~F.col("repeat"), slot)).alias("asked"))
     by_shard = cut_lineage(by_shard, "repeats")
     asked = by_shard.where(F.size("asked") > 0).select("shard", "asked")
-    found = blocks.join(wanted, "shard").join(asked, "shard").mapInArrow(_fetch, "anchor long, lead int, follow int, context binary, low long, ref long")
-    answers = found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_answers, "shard long, slot int, smallest array<long>")
+    found = blocks.join(wanted, "shard").join(asked, "shard").mapInArrow(_fetch, "team long, lead int, follow int, context binary, low long, ref long, anchor long, edges array<long>")
+    found = cut_lineage(found, "contexts")
+    answers = found.drop("anchor", "edges").repartition("team").sortWithinPartitions("team").mapInArrow(_answers, "shard long, slot int, smallest array<long>")
+    answers = answers.unionByName(edge_answers(found))
     answers = cut_lineage(answers.groupBy("shard").agg(F.collect_list(F.struct("slot", "smallest")).alias("answers")), "answers")
     whole = blocks.join(wanted, "shard", "left").join(by_shard.select("shard", "repeats"), "shard", "left").join(answers, "shard", "left")
     return whole.mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -67,7 +67,8 @@ def test_repeated_substrings(spark, odd):
     parts = ["abc" * 7, "hello wörld ", "x" * 60, "\x00\x00", "lorem ipsum dolor sit amet ", "q", "éà" * 9, "0123456789" * 3]
     rows = [(rng.randrange(60), "".join(rng.choice(parts) for _ in range(rng.randrange(12)))) for _ in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert sorted(map(tuple, substrings.repeated_substrings(df).collect()), key=str) == repeats(rows)
+    for hot in (substrings.HOT, 2):
+        assert sorted(map(tuple, substrings.repeated_substrings(df, hot=hot).collect()), key=str) == repeats(rows)
     some = [(r["doc_id"], r["text"]) for r in odd.where("length(text) < 1000 or text is null").collect()]
     got = substrings.repeated_substrings(odd.where("length(text) < 1000 or text is null")).collect()
     assert sorted(map(tuple, got), key=str) == repeats(some)
@@ -75,7 +76,8 @@ def test_repeated_substrings(spark, odd):
 
 @needs_tables
 def test_repeated_substrings_of_documents(docs, texts):
-    assert sorted(map(tuple, substrings.repeated_substrings(docs).collect()), key=str) == repeats(list(texts.items()))
+    for hot in (substrings.HOT, 1):
+        assert sorted(map(tuple, substrings.repeated_substrings(docs, hot=hot).collect()), key=str) == repeats(list(texts.items()))
 
 
 def test_sorting_out_does_not_depend_on_batches():
@@ -90,7 +92,7 @@ def test_sorting_out_does_not_depend_on_batches():
         low[a, c] = min(low.get((a, c), 99), lowest)
     want = {(i, True) for a, c, x, i in rows if x > low[a, c]} | {(i, False) for a, c, x, i in rows if x == low[a, c] and len(kinds[a]) > 1}
     for step in (1, 2, 7, 50, 200):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + step], strict=True)], names=["anchor", "context", "low", "ref"]) for k in range(0, len(rows), step)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + step], strict=True)], names=["anchor", "context", "low", "ref"]).append_column("hot", pa.array([False] * len(rows[k : k + step]))) for k in range(0, len(rows), step)]
         got = {(r["ref"], r["repeat"]) for b in substrings._sort_out(iter(batches)) for r in b.to_pylist()}
         assert got == want
 
@@ -433,6 +435,8 @@ def test_plain_identifiers():
     ("to jоhn@exаmple.com.", "email", "jоhn@exаmple.com"),
     ("plus one five five five zero one two three four five six seven", "phone", "plus one five five five zero one two three four five six seven"),
     ("card ４１１１ １１１１ １１１１ １１１１ ok", "card", "４１１１ １１１１ １１１１ １１１１"),
+    ("host 192[.]168 dot 1(.)10 up", "ip", "192[.]168 dot 1(.)10"), ("at one nine two dot one six eight dot one dot seven two.", "ip", "one nine two dot one six eight dot one dot seven two"),
+    ("+1 five five five 0 one two three four five six", "phone", "+1 five five five 0 one two three four five six"), ("u.x AT mail DOT example DOT org", "email", "u.x AT mail DOT example DOT org"),
     ("see you at the dot com bubble", None, ""), ("we met at noon. dot the i, one two three", None, ""), ("plain text", None, ""),
 ])
 def test_disguised_identifiers(text, kind, found):
@@ -446,3 +450,25 @@ def test_personal_tables(odd, empty):
     assert personal.personal_spans(empty).count() == 0
     one = odd.limit(1).withColumn("text", F.lit("a@b.co and ip 1.2.3.4"))
     assert personal.redact(one).first()["text"] == "<email> and ip <ip>"
+
+
+# -- components
+
+def test_components_of_paths_stars_and_rings(spark):
+    from factloom.llm.components import components
+
+    rng = random.Random(7)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(300 + rng.randrange(40), 300 + rng.randrange(40)) for _ in range(30)] + [(500, 500)]
+    rng.shuffle(edges)
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["node"]: r["component"] for r in got} == {x: find(x) for x in parent}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
