@@ -20,7 +20,7 @@ OPS = frozenset({"eq", "contains", "gt", "lt", "exists"})
 
 class BadFilter(ValueError):
     def __init__(self, op: object) -> None:
-        super().__init__(f"Filter op '{op}' not supported. Use one of: {sorted(OPS)}.")
+        super().__init__(f"no filter operation {op!r}; there are {sorted(OPS)}")
 
 
 def comparable(kind: T.DataType, value: object, coerce_temporal: bool) -> bool:

@@ -150,7 +150,7 @@ class Session:
         try:
             node = self.graph.get_node(node_key)
         except KeyError:
-            return {"status": "error", "error": "node_not_found", "message": f"No node with key {key}"}
+            return {"status": "error", "error": "node_not_found", "message": f"unknown node: {key}"}
         out = {"status": "ok", "node_key": node_key, "evidence_hash": node["evidence_hash"], "derivation": node["derivation"], "observed_at": plain(node["observed_at"])}
         if node.get("observed_by"):
             out["observed_by"] = node["observed_by"]
@@ -161,7 +161,7 @@ class Session:
 
     def commit_finding(self, claim: str, supporting_node_keys: list, confidence_hint: str) -> dict:
         if confidence_hint not in CONFIDENCE_RANKS:
-            return {"status": "error", "error": "bad_confidence_hint", "message": f"confidence_hint must be one of {sorted(CONFIDENCE_RANKS)}"}
+            return {"status": "error", "error": "bad_confidence_hint", "message": f"no such confidence; there are {sorted(CONFIDENCE_RANKS)}"}
         keys = [node_key_of(self.spark, k) or str(k) for k in supporting_node_keys]
         claims = self.spark.createDataFrame([("c", confidence_hint)], "claim_id string, hint string")
         support = self.spark.createDataFrame([("c", i, k) for i, k in enumerate(keys)], "claim_id string, pos int, node_key string")
@@ -174,7 +174,7 @@ class Session:
         row = gate.judge(claims, support, nodes, edges).first()
         decision = {"decision": row["decision"], "confidence_hint": confidence_hint, "final_confidence": row["final_confidence"], "total_findings": len(self.report)}
         if row["decision"].startswith("rejected"):
-            why = "A finding must cite at least one node." if row["n_cited"] == 0 else f"{row['n_missing']} supporting node key(s) do not exist in the graph. First missing: {row['first_missing']}"
+            why = "nothing is cited" if row["n_cited"] == 0 else f"{row['n_missing']} of the cited nodes are unknown, the first is {row['first_missing']}"
             return {"status": "ok", **decision, "reason": why}
         if not claim:
             return {"status": "error", "error": "empty_claim", "message": "claim must not be empty"}

@@ -20,14 +20,14 @@ def check_path(path: str, source_type: str, root: Path | None) -> tuple[Path | N
         return None, {"status": "error", "error": code, "message": message}
 
     if source_type not in READERS:
-        return error("unsupported_source_type", f"source_type '{source_type}' is not supported. Supported: {sorted(READERS)}.")
+        return error("unsupported_source_type", f"cannot read sources of type {source_type!r}, only {sorted(READERS)}")
     file = Path(path).expanduser()
     if not file.exists():
-        return error("file_not_found", f"No file at path: {path}")
+        return error("file_not_found", f"nothing there: {path}")
     if not file.is_file():
-        return error("not_a_file", f"Path is not a regular file: {path}")
+        return error("not_a_file", f"no plain file: {path}")
     if root is not None and not file.resolve().is_relative_to(root):
-        return error("path_outside_allowlist", f"Path resolves to {file.resolve()}, which is outside the evidence root ({root}).")
+        return error("path_outside_allowlist", f"{file.resolve()} does not lie in {root}")
     return file, None
 
 
