@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ NEAR = 4
 #: Offsets of the windows with less than NEAR bytes on one side of their anchor.
 EDGES = (*range(NEAR), *range(SPAN - NEAR + 1, SPAN + 1))
 #: Contexts that are sorted together.
-BLOCK_CONTEXTS = 8_000
+BLOCK_CONTEXTS = 4_000
 #: Bytes that are hashed at a time, in whole documents.
 PIECE_BYTES = 256 << 10
 _PLACE = np.uint64((1 << 30) - 1)
@@ -190,7 +191,7 @@ class Shard:
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, document, hash) of each anchor."""
         padded = np.concatenate([self.data, np.zeros(32, np.uint8)])
-        rows = padded[self.places[:, None] + np.arange(24)].view("<u8")
+        rows = np.ascontiguousarray(sliding_window_view(padded, 24)[self.places]).view("<u8")
         return self.places, np.searchsorted(self.ends, self.places, side="right"), anchor_hash(rows[:, 0], rows[:, 1], rows[:, 2])
 
     @staticmethod
@@ -215,10 +216,12 @@ class Shard:
         """The 80 bytes around each anchor, zero outside its document, and how many belong to it on either side."""
         left = np.minimum(SPAN, place - self.starts[document])
         right = np.minimum(ANCHOR + SPAN, self.ends[document] - place)
+        padded = np.concatenate([np.zeros(SPAN, np.uint8), self.data, np.zeros(ANCHOR + SPAN, np.uint8)])
+        found = np.ascontiguousarray(sliding_window_view(padded, CONTEXT)[place])
+        cut = np.flatnonzero((left < SPAN) | (right < ANCHOR + SPAN))
         at = np.arange(CONTEXT)[None, :] - SPAN
-        inside = (at >= -left[:, None]) & (at < right[:, None])
-        found = self.data[np.clip(place[:, None] + at, 0, max(0, len(self.data) - 1))] * inside
-        return found.astype(np.uint8), left, right
+        found[cut] *= (at >= -left[cut, None]) & (at < right[cut, None])
+        return found, left, right
 
     def shared(self, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
         """(place, document, slot) of each anchor in `wanted`, and the distinct contexts by slot: (hash, left, right, bytes)."""
@@ -322,6 +325,7 @@ def _lowest(shard: Shard, document: np.ndarray, slot: np.ndarray, n: int) -> np.
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    settle()
     for batch in batches:
         for number, shard, row in shards_of(batch):
             _, document, slot, h, left, right, bytes_ = shard.shared(_wanted(row))
@@ -374,6 +378,7 @@ def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts as bytes. `team` says which are sorted together: those of an anchor, or of a hot anchor
     those that also share the 4 bytes on either side; `edges` has hashes of the windows that this would miss."""
+    settle()
     for batch in batches:
         for number, shard, row in shards_of(batch):
             _, document, slot, h, left, right, bytes_ = shard.shared(_wanted(row))
@@ -382,18 +387,20 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, left, right, bytes_, hot = h[ask], left[ask], right[ask], bytes_[ask], _is_hot(row, h[ask])
             near = np.ascontiguousarray(np.concatenate([bytes_[:, SPAN - NEAR : SPAN], bytes_[:, SPAN + ANCHOR : SPAN + ANCHOR + NEAR]], 1)).view("<u8")[:, 0]
             team = np.where(hot, mixed(h ^ mixed(near + np.uint64(1))), h)
-            offset = np.array(EDGES)
-            fits = (SPAN - offset[None, :] <= left[:, None]) & (ANCHOR + offset[None, :] <= right[:, None])
-            which = np.flatnonzero(hot)
-            hashes = _edge_hashes(bytes_[which])
-            rows = iter([[x if f else None for x, f in zip(a, b, strict=True)] for a, b in zip(hashes.view(np.int64).tolist(), fits[which].tolist(), strict=True)])
-            edges = [next(rows) if x else None for x in hot.tolist()]
+            edges = pa.nulls(len(ask), pa.list_(pa.int64()))
+            if hot.any():
+                offset = np.array(EDGES)
+                fits = (SPAN - offset[None, :] <= left[:, None]) & (ANCHOR + offset[None, :] <= right[:, None])
+                values = pa.array(_edge_hashes(bytes_[hot]).view(np.int64).ravel(), mask=~fits[hot].ravel())
+                bounds = np.concatenate([[0], np.cumsum(hot * len(EDGES))])
+                edges = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values, mask=pa.array(~hot))
             whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CONTEXT), len(ask), [None, pa.py_buffer(np.ascontiguousarray(bytes_))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(team.view(np.int64)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), whole, pa.array(low), pa.array((number << _SLOT_BITS) + ask.astype(np.int64)), pa.array(h.view(np.int64)), pa.array(edges, pa.list_(pa.int64()))], names=["team", "lead", "follow", "context", "low", "ref", "anchor", "edges"])
+            yield pa.RecordBatch.from_arrays([pa.array(team.view(np.int64)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), whole, pa.array(low), pa.array((number << _SLOT_BITS) + ask.astype(np.int64)), pa.array(h.view(np.int64)), edges], names=["team", "lead", "follow", "context", "low", "ref", "anchor", "edges"])
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come ordered by anchor; anchors are taken whole, some thousand contexts at a time."""
+    settle()
     held: list[pa.RecordBatch] = []
     count = 0
     for batch in batches:
@@ -442,7 +449,9 @@ def longest_match(anchor: np.ndarray, side: np.ndarray) -> np.ndarray:
 def _answer(table: pa.Table) -> pa.RecordBatch:
     anchor = table.column("team").to_numpy().view(np.uint64)
     left, right = table.column("lead").to_numpy().astype(np.int64), table.column("follow").to_numpy().astype(np.int64)
-    bytes_ = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint8).reshape(-1, CONTEXT)
+    held = table.column("context").combine_chunks()
+    held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
+    bytes_ = np.frombuffer(held.buffers()[2], np.uint8)[CONTEXT * held.offset :][: CONTEXT * len(held)].reshape(-1, CONTEXT)
     low, ref = table.column("low").to_numpy(), table.column("ref").to_numpy()
     before = np.minimum(left, longest_match(anchor, bytes_[:, SPAN - 1 :: -1]))
     after = np.minimum(right - ANCHOR, longest_match(anchor, bytes_[:, SPAN + ANCHOR :]))
@@ -455,6 +464,7 @@ def _answer(table: pa.Table) -> pa.RecordBatch:
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    settle()
     for batch in batches:
         for _, shard, row in shards_of(batch):
             covered = np.zeros(len(shard.data) + 1, np.int32)
