@@ -13,7 +13,12 @@ bucket's hubs (the text with most company over all its buckets, and the smallest
 its neighbours in an order in which texts that agree in the next band as well stand together. A
 similar pair shares about ten of 32 buckets, so it has as many chances to meet. Each comparison is
 an exact Jaccard similarity of whole shingle sets. Classes are the connected components of the
-links; a pair that never meets loses its class only if no third text links the two.
+links.
+
+Texts of a large bucket that are still in different components are then joined exactly: two sets of
+a Jaccard similarity of at least s share one of the first |x| - ceil(s |x|) + 1 elements of each, in
+any one order of all elements. Rare shingles go first, so that what a family of texts has in common
+brings few pairs together. Every similar pair that shares a bucket is thereby linked.
 
 A text of one to four words is one shingle. Null and empty texts are equal texts of no shingles.
 Rows with equal ids are kept apart by their texts; a null id sorts before all others.
@@ -37,6 +42,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 #: In a bucket of at most so many texts all are compared with each other.
 SMALL_BUCKET = 8
+#: Counters that tell rare shingles from frequent ones; they only choose an order.
+RARITY_BINS = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -180,7 +187,7 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def candidates(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, worth comparing, from members (bucket, key, company).
+    """Distinct pairs (a, b), a < b, to be compared first, from members (bucket, key, company).
 
     Per bucket: every text with two hubs (most company, and smallest); all pairs if there are
     at most SMALL_BUCKET texts. Across a bucket: neighbours in the order of another hash of the
@@ -212,6 +219,69 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["x", "y"])
 
 
+def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, component) of the texts that share a bucket too large for all pairs with a text of another component."""
+    large = members.where(F.col("n") > SMALL_BUCKET).select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
+    named = cut_lineage(large.withColumn("component", F.coalesce("component", "key")), "named")
+    mixed_ = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    return named.join(cut_lineage(mixed_, "mixed"), "bucket", "left_semi").select("key", "component").distinct()
+
+
+def remainder(texts: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of texts (key, component, text) of different components: all that can be similar, and few others."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARITY_BINS, np.int64)
+        for part in slices(batches):
+            total += np.bincount((shingle_hashes(texts_of(part))[0] % np.uint64(RARITY_BINS)).astype(np.int64), minlength=RARITY_BINS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bin", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(RARITY_BINS, np.int64)
+    often[counted["bin"].to_numpy()] = counted["n"].to_numpy()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, limit=1 << 20):
+            hashes, counts = shingle_hashes(texts_of(part))
+            marks, sizes = [], []
+            for own in np.split(hashes, np.cumsum(counts)[:-1]):
+                own = np.unique(own)
+                own = own[np.lexsort((own, often[(own % np.uint64(RARITY_BINS)).astype(np.int64)]))]
+                sizes.append(len(own))
+                marks.append(own[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64()))], names=["key", "component", "size", "marks"])
+
+    held = cut_lineage(texts.select("key", "component", "text").mapInArrow(first, "key binary, component binary, size int, marks array<long>"), "prefixes")
+    each = held.select("key", "component", "size", F.posexplode("marks").alias("place", "mark"))
+    # A mark within one component brings no pair.
+    shared = each.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("mark")
+    each = cut_lineage(each.join(cut_lineage(shared, "shared"), "mark"), "meeting")
+    x = each.select("mark", *[F.col(c).alias(f"{c}_a") for c in ("key", "component", "size", "place")])
+    y = each.select("mark", *[F.col(c).alias(f"{c}_b") for c in ("key", "component", "size", "place")])
+    # At the first mark that both have, all they can have in common is it and what follows.
+    ahead = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    enough = ahead * (1 + least) >= least * (F.col("size_a") + F.col("size_b")) - 1e-6
+    alike = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-6
+    met = x.join(y, "mark").where((F.col("key_a") < F.col("key_b")) & (F.col("component_a") != F.col("component_b")) & alike & enough)
+    return met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+
+
+def classes(members: DataFrame, weighed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(node, component) of all texts that are similar to another one."""
+    labels = components(similar(candidates(weighed), texts, least))
+    open_ = cut_lineage(unsettled(members, labels), "unsettled")
+    left = cut_lineage(texts.join(open_, "key"), "left")
+    links = cut_lineage(similar(remainder(left, least), texts, least), "links")
+    if links.limit(1).count() == 0:
+        return labels
+    of = open_.select("key", "component")
+    between = links.join(of.withColumnsRenamed({"key": "a", "component": "x"}), "a").join(of.withColumnsRenamed({"key": "b", "component": "y"}), "b")
+    over = components(between.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("_over"))
+    alone = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return labels.unionByName(alone).join(over, "component", "left").select("node", F.coalesce("_over", "component").alias("component"))
+
+
 def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of df: doc_id, key (hash of the text), class_id (smallest id of its
     class), and whether it is the one that represents the class. Columns of df are not carried."""
@@ -226,12 +296,12 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     full = cut_lineage(full, "buckets")
     members = cut_lineage(banded.join(full, "bucket").select("bucket", "next", "key", "n"), "members")
     weight = members.groupBy("key").agg(F.sum("n").alias("company"))
-    members = members.select("bucket", "next", "key").join(weight, "key")
+    weighed = members.select("bucket", "next", "key").join(weight, "key")
     needed = weight.select("key")
     # One text of many copies is chosen before the shuffle.
     once = docs.select("key", "text").groupBy("key").agg(F.any_value("text").alias("text"))
     texts = cut_lineage(once.join(needed, "key", "left_semi"), "texts")
-    labels = components(similar(candidates(members), texts, least))
+    labels = classes(members, weighed, texts, least)
     class_of = distinct.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
     class_of = cut_lineage(class_of, "classes")
     first = class_of.groupBy("component").agg(F.min(F.struct("first", "key")).alias("_head"))

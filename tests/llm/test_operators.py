@@ -169,6 +169,23 @@ def test_a_hot_group_is_one_class(spark):
     assert got.select("class_id").distinct().count() == 1
 
 
+def test_similar_pairs_of_a_family_meet_in_large_buckets(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for k in range(150):  # members of one family, in pairs: the two alike, others not quite
+        first = list(base)
+        for j in rng.sample(range(300), 2):
+            first[j] = f"g{k}.{j}"
+        for i in range(2):
+            w = list(first)
+            for j in rng.sample(range(300), 3):
+                w[j] = f"x{k}.{i}.{j}"
+            rows.append((2 * k + i, " ".join(w)))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[d] for d, _ in rows] == classes(rows)
+
+
 # -- op3
 
 def test_media_round_trip(spark, odd, tmp_path):
