@@ -55,10 +55,10 @@ _WORDED = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+(?:{_DOT}[A-Z
 #: A disguised dot between digits, as in addresses written 10[.]0[.]0[.]1 or 10 dot 0 dot 0 dot 1.
 _NUMBER_DOT = re.compile(r"(?i)(?<=[0-9])(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)(?=[0-9])")
 _WORD_DOT = re.compile(_DOT, re.IGNORECASE)
-_WORDED_HINT = re.compile(r"(?i)\bdot\b|\bat\b\s*[\])}>]|[\[({<]\s*(?:at|@|dot|punkt|point|punto|\.)\s*[\])}>]")
+#: Wherever _WORDED or a disguised dot would change something, this finds something.
+_WORDED_HINT = re.compile(r"(?i)\bdot\b|[\[({<]\s*(?:at|@|dot|punkt|point|punto|\.)\s*[\])}>]|\sat\s+[a-z0-9-]+\.[a-z0-9-]|\s@|@\s")
 _DIGIT_WORDS = re.compile(r"(?i)(?<![A-Za-z])(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?:[\s,.-]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9]))+(?![A-Za-z])")
 _LONE_DIGIT = re.compile(r"(?i)(?<![A-Za-z])(?:zero|one|two|three|four|five|six|seven|eight|nine)(?=\s+dot\b)|(?<=\bdot )(?:zero|one|two|three|four|five|six|seven|eight|nine)(?![A-Za-z])")
-_DIGIT_HINT = re.compile(r"(?i)\b(?:zero|one|two|three|four|five|six|seven|eight|nine)[\s,.-]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9])\b")
 _PLUS_WORD = re.compile(r"(?i)(?<![A-Za-z])plus[\s-]+(?=[0-9])")
 _ODD = re.compile("[^\x00-\x7fÀ-ÿ]")
 
@@ -164,7 +164,7 @@ def _zero(c: str) -> int | None:
 def disguised_spans(text: str) -> list[list[tuple[int, int]]] | None:
     """The spans found after rewriting, or None where there is nothing to rewrite."""
     odd = [(m.start(), m.end(), n) for m in _ODD.finditer(text) if (n := fold(m[0])) != m[0]]
-    if not (odd or _WORDED_HINT.search(text) or _DIGIT_HINT.search(text)):
+    if not (odd or _WORDED_HINT.search(text) or _DIGIT_WORDS.search(text) or _PLUS_WORD.search(text)):
         return None
     r = Rewritten(text)
     if odd:

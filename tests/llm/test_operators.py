@@ -461,6 +461,16 @@ def test_disguised_identifiers(text, kind, found):
     assert [(k, text[a:b]) for k, own in zip(personal.KINDS, spans, strict=True) for a, b in own] == ([(kind, found)] if kind else [])
 
 
+@pytest.mark.parametrize(("text", "kind", "found"), [
+    ("mail john at example.com now", "email", "john at example.com"), ("mail john @ example.com now", "email", "john @ example.com"),
+    ("call plus 1 555 123 4567 now", "phone", "plus 1 555 123 4567"), ("call +one 5551234567 now", "phone", "+one 5551234567"),
+])
+def test_a_disguise_is_found_whatever_else_the_text_holds(text, kind, found):
+    for more in ("", " . dot", " \u0436\u043e"):
+        spans = personal.all_spans(text + more)[1]
+        assert [(k, text[a:b]) for k, own in zip(personal.KINDS, spans, strict=True) for a, b in own] == [(kind, found)]
+
+
 def test_personal_tables(odd, empty):
     got = personal.personal_spans(odd).collect()
     assert len(got) == odd.count() and all(r["base_sha256"] == sha("") and r["spans"] == "" for r in got)
