@@ -43,7 +43,7 @@ WIDE = range(0xFF01, 0xFF5F)
 #: Written to nothing: they only part the characters of an identifier.
 INVISIBLE = frozenset("​‌‍⁠﻿­")
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-#: Top-level domains that a spelled-out address must end in, so that prose is left alone.
+#: Top-level domains that an address with a bare "at" and no bracket must end in, so that prose is left alone.
 TOP_LEVEL = frozenset("com org net edu gov mil info biz io co ai app dev me us uk de fr es it nl eu ch at be pl se no dk fi pt ru cn jp in br au ca example test".split())
 
 #: Words that begin prose rather than a domain after a bare "at".
@@ -55,6 +55,7 @@ _WORDED = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+(?:{_DOT}[A-Z
 #: A disguised dot between digits, as in addresses written 10[.]0[.]0[.]1 or 10 dot 0 dot 0 dot 1.
 _NUMBER_DOT = re.compile(r"(?i)(?<=[0-9])(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)(?=[0-9])")
 _WORD_DOT = re.compile(_DOT, re.IGNORECASE)
+_BRACKET = re.compile(r"[\[({<]")
 #: Wherever _WORDED or a disguised dot would change something, this finds something.
 _WORDED_HINT = re.compile(r"(?i)\bdot\b|[\[({<]\s*(?:at|@|dot|punkt|point|punto|\.)\s*[\])}>]|\sat\s+[a-z0-9-]+\.[a-z0-9-]|\s@|@\s")
 _DIGIT_WORDS = re.compile(r"(?i)(?<![A-Za-z])(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?:[\s,.-]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9]))+(?![A-Za-z])")
@@ -190,7 +191,9 @@ def disguised_spans(text: str) -> list[list[tuple[int, int]]] | None:
     for m in _WORDED.finditer(r.text):
         if m[2].strip().lower() == "at" and re.split(r"[^a-z0-9-]", m[3].lower())[0] in PROSE:
             continue
-        if m[3].lower().rsplit(None, 1)[-1].rpartition(".")[2].strip("[](){}<> ") in TOP_LEVEL:
+        last = _WORD_DOT.sub(".", m[3]).rpartition(".")[2].lower()
+        bare = m[2].strip().lower() == "at" and not _BRACKET.search(m[3])
+        if last in TOP_LEVEL or not bare and len(last) > 1 and last[0].isalpha():
             edits += [(m.start(1) + d.start(), m.start(1) + d.end(), ".") for d in _WORD_DOT.finditer(m[1])]
             edits.append((m.start(2), m.end(2), "@"))
             edits += [(m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in _WORD_DOT.finditer(m[3])]

@@ -471,6 +471,16 @@ def test_a_disguise_is_found_whatever_else_the_text_holds(text, kind, found):
         assert [(k, text[a:b]) for k, own in zip(personal.KINDS, spans, strict=True) for a, b in own] == [(kind, found)]
 
 
+@pytest.mark.parametrize(("text", "found"), [
+    ("to john[at]example[dot]com now", "john[at]example[dot]com"), ("to john(at)example(dot)org.", "john(at)example(dot)org"), ("a.b{at}mail.example{dot}net", "a.b{at}mail.example{dot}net"),
+    ("to x [at] firma [dot] xyz", "x [at] firma [dot] xyz"), ("to x(at)firma(dot)cz", "x(at)firma(dot)cz"), ("to x at firma[dot]kr", "x at firma[dot]kr"),
+    ("5 apples @ 1.50 each", None), ("look at main dot xyz", None),
+])
+def test_bracketed_addresses(text, found):
+    emails = personal.all_spans(text)[1][0]
+    assert [text[a:b] for a, b in emails] == ([found] if found else [])
+
+
 def test_personal_tables(odd, empty):
     got = personal.personal_spans(odd).collect()
     assert len(got) == odd.count() and all(r["base_sha256"] == sha("") and r["spans"] == "" for r in got)
