@@ -57,7 +57,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: No stage can be expressed in DuckDB SQL as a whole; tests hold each against a brute-force version.
+#: No stage can be expressed in DuckDB SQL as a whole; tests hold line_dedup and near_dedup against brute-force versions.
 ORACLE_SQL = None
 
 

@@ -32,6 +32,30 @@ def test_stages_keep_the_columns_and_clean_documents(spark, pipeline, tmp_path):
     assert docs.select("doc_id").distinct().count() == kept["secret_scan"]
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_dedup_stages_match_brute_force(spark, pipeline):
+    from factloom.llm import lines, neardup
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(40)
+    passage = "\n".join(" ".join(f"p{i}.{j}" for j in range(20)) for i in range(4))
+    k = F.col("doc_id")
+    copies = docs.limit(20).withColumns({"doc_id": k + 1_000_000, "text": F.concat("text", F.lit(" changed"))})
+    tagged = docs.withColumn("text", F.when(k % 4 == 0, F.concat("text", F.lit("\n" + passage))).otherwise(F.col("text"))).unionByName(copies).localCheckpoint()
+    rows = [(r["doc_id"], r["text"]) for r in tagged.select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r["text"] for r in pipeline.drop_repeated_lines(spark, tagged, SF).collect()}
+    want = lines.brute_force(rows)
+    assert got == want and want != dict(rows)
+    sets = {d: neardup.shingle_set(t) for d, t in rows}
+    group = {d: d for d, _ in rows}
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and group[a] != group[b] and len(x & y) >= 0.8 * len(x | y):
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    kept = {r["doc_id"] for r in pipeline.drop_near_duplicates(spark, tagged, SF).collect()}
+    assert kept == set(group.values()) and len(kept) < len(rows)
+
+
 def test_stages_take_odd_and_empty_tables(spark, pipeline, odd, empty):
     for df in (odd, empty):
         for _, stage in pipeline.STAGES:
