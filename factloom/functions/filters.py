@@ -71,9 +71,13 @@ def condition(df: DataFrame, flt: dict, *, coerce_temporal: bool = False) -> Col
     return {"eq": a == b, "gt": a > b, "lt": a < b}[op]
 
 
-def all_of(df: DataFrame, filters: Sequence[dict], *, coerce_temporal: bool = False) -> Column:
-    """All filters together. Operations are checked before any plan is built."""
+def check_ops(filters: Sequence[dict]) -> None:
     for f in filters:
         if f.get("op") not in OPS:
             raise BadFilter(f.get("op"))
+
+
+def all_of(df: DataFrame, filters: Sequence[dict], *, coerce_temporal: bool = False) -> Column:
+    """All filters together. Operations are checked before any plan is built."""
+    check_ops(filters)
     return reduce(lambda a, b: a & b, (condition(df, f, coerce_temporal=coerce_temporal) for f in filters), F.lit(True))

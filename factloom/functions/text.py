@@ -60,7 +60,7 @@ def confidence_rank(confidence: Column) -> Column:
 
 
 def confidence_name(rank: Column) -> Column:
-    return F.element_at(F.array(*(F.lit(n) for n in CONFIDENCE_RANKS)), rank.cast("int") + 1)
+    return F.when(rank.isNotNull(), F.element_at(F.array(*(F.lit(n) for n in CONFIDENCE_RANKS)), rank.cast("int") + 1))
 
 
 def edge_confidence(confirmed_by: Column) -> Column:

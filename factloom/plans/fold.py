@@ -1,166 +1,258 @@
 """Folding: many observations of an identity into one canonical row, in order of `seq`.
 
-A fold is one grouped aggregation with partial aggregation before the shuffle. Policies that
-need a second look (differences to a baseline, values of the newest write) aggregate the
-baseline first and join it back, so that only rows which matter are collected.
+`seq` is any column that can be ordered: a number, or a struct such as (run, rank, row).
+
+Every policy is a minimum or maximum of (order, value) structs, so that parts of an identity can
+be folded in any grouping: before the shuffle, by source list, or into a row that is canonical
+already. An identity is grouped by its typed columns; its key text is rendered once, at the end.
+Policies that need a second look (differences to a baseline, values of the newest write)
+aggregate the baseline first and join it back, so that only rows which matter are collected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import MEMORY_SOURCE, account_rank
+from ..functions.text import MEMORY_SOURCE, account_rank, edge_confidence, key_text
 from . import schema as S
 
 LOG = "array<struct<value:string,source:string>>"
+_ID = "_identity"
 
 
 class MergeConflict(ValueError):
     """Two observations of one identity that must not differ do."""
 
 
-def first(c: str, seq: str = "seq") -> Column:
-    """Of the first row, even if null."""
-    return F.min_by(F.struct(F.col(c).alias("v")), F.col(seq))["v"]
+# -- policies: what a row offers, which offer wins, and where the value lies in it
+
+Policy = tuple[Callable[[str, str], Column], Callable[[Column], Column]]
 
 
-def first_known(c: str, seq: str = "seq") -> Column:
-    return F.min_by(c, F.when(F.col(c).isNotNull(), F.col(seq)))
+def _at(c: str, seq: str) -> Column:
+    return F.struct(F.col(seq).alias("s"), F.col(c).alias("v"))
 
 
-def ordered_union(c: str, seq: str = "seq") -> Column:
-    """The first row's list as it is, then what later rows add, each element once."""
-    lists = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.coalesce(F.col(c), F.array().cast("array<string>")).alias("a"))))
-    head = F.element_at(lists, 1)["a"]
-    return F.concat(head, F.array_except(F.flatten(F.transform(lists, lambda x: x["a"])), head))
+def _memory(c: str, seq: str) -> Column:
+    """Known values of the memory source come last and win; of others the first wins, so their order is turned round by two fields."""
+    return F.when(F.contains(F.lower("derivation"), F.lit(MEMORY_SOURCE)) & F.col(c).isNotNull(), _at(c, seq))
 
 
-def memory_wins(c: str, seq: str = "seq") -> Column:
-    memory = F.contains(F.lower("derivation"), F.lit(MEMORY_SOURCE)) & F.col(c).isNotNull()
-    return F.coalesce(F.max_by(c, F.when(memory, F.col(seq))), first_known(c, seq))
+OFFERS: dict[str, Policy] = {
+    S.FIRST: (_at, F.min),
+    S.KNOWN: (lambda c, seq: F.when(F.col(c).isNotNull(), _at(c, seq)), F.min),
+    S.RANKED: (lambda c, seq: F.struct((-account_rank(F.col(c))).alias("r"), F.col(seq).alias("s"), F.col(c).alias("v")), F.min),
+}
+OFFERS |= {S.LOGGED: OFFERS[S.KNOWN], S.UNIQUE: OFFERS[S.KNOWN]}
+PLAIN: dict[str, tuple[Callable[[str], Column], Callable[[Column], Column]]] = {
+    S.LATEST: (F.col, F.max),
+    S.EARLIEST: (F.col, F.min),
+    S.ANY: (lambda c: F.coalesce(F.col(c), F.lit(False)), F.bool_or),
+    S.ALL: (lambda c: F.coalesce(F.col(c), F.lit(True)), F.bool_and),
+}
 
 
-def most_specific(c: str, seq: str = "seq") -> Column:
-    return F.min_by(F.struct(F.col(c).alias("v")), F.struct(-account_rank(F.col(c)), F.col(seq)))["v"]
+class _Fold:
+    """Columns that rows offer, how they are aggregated (once or in steps), and what comes out."""
+
+    def __init__(self) -> None:
+        self.offers: dict[str, tuple[Column, Callable[[Column], Column]]] = {}
+        self.results: dict[str, Column] = {}
+
+    def add(self, name: str, policy: str, seq: str) -> None:
+        if policy in OFFERS:
+            offer, how = OFFERS[policy]
+            self.offers[f"_{name}"] = offer(name, seq), how
+            self.results[name] = F.col(f"_{name}.v")
+        elif policy == S.MEMORY:
+            self.offers[f"_{name}"] = _memory(name, seq), F.max
+            self.offers[f"_f_{name}"] = OFFERS[S.KNOWN][0](name, seq), F.min
+            self.results[name] = F.coalesce(F.col(f"_{name}.v"), F.col(f"_f_{name}.v"))
+        else:
+            offer, how = PLAIN[policy]
+            self.offers[f"_{name}"] = offer(name), how
+            self.results[name] = F.col(f"_{name}")
 
+    def rows(self) -> list[Column]:
+        return [c.alias(n) for n, (c, _) in self.offers.items()]
 
-def aggregate(column: str, policy: str, seq: str = "seq") -> Column:
-    """The aggregate of a policy that needs one pass only."""
-    made = {
-        S.FIRST: lambda: first(column, seq),
-        S.KNOWN: lambda: first_known(column, seq),
-        S.LOGGED: lambda: first_known(column, seq),
-        S.UNIQUE: lambda: first_known(column, seq),
-        S.LATEST: lambda: F.max(column),
-        S.EARLIEST: lambda: F.min(column),
-        S.ANY: lambda: F.bool_or(F.coalesce(column, F.lit(False))),
-        S.ALL: lambda: F.bool_and(F.coalesce(column, F.lit(True))),
-        S.UNION: lambda: ordered_union(column, seq),
-        S.MEMORY: lambda: memory_wins(column, seq),
-        S.RANKED: lambda: most_specific(column, seq),
-    }[policy]()
-    return made.alias(column)
+    def aggregates(self) -> list[Column]:
+        return [how(F.col(n)).alias(n) for n, (_, how) in self.offers.items()]
+
+
+def ordered_union(lists: Column) -> Column:
+    """Of (order, list) structs: the first list as it is, then what later ones add, each element once."""
+    ordered = F.array_sort(lists)
+    head = F.element_at(ordered, 1)["v"]
+    return F.concat(head, F.array_except(F.flatten(F.transform(ordered, lambda x: x["v"])), head))
 
 
 def differs(column: str) -> Column:
-    """Whether a group holds two different known values (an empty string counts as unknown)."""
-    known = F.when(F.col(column).cast("string") != "", F.col(column))
-    return F.min(known) != F.max(known)
+    """A known value (an empty string counts as unknown)."""
+    return F.when(F.col(column).cast("string") != "", F.col(column))
 
 
 def fold(obs: DataFrame, spec: S.NodeType, *, strict: bool = True, seq: str = "seq") -> DataFrame:
-    """One row for each identity. With strict, a conflict of a UNIQUE column fails the job; else it is flagged in `conflicts`."""
-    keyed = spec.keyed(obs)
-    one_pass = {c: p for c, (_, p) in spec.columns.items() if p != S.NEWEST and c in obs.columns}
-    aggs = [first(c, seq).alias(c) for c in [*S.PROVENANCE, *spec.raw] if c in obs.columns]
-    aggs += [aggregate(c, p, seq) for c, p in one_pass.items()]
-    aggs += [F.min(seq).alias("first_seq"), F.count("*").alias("n_observations")]
-    unique = [c for c, p in one_pass.items() if p == S.UNIQUE]
+    """One row for each identity. With strict, a conflict of a UNIQUE column fails the job; else it is flagged in `conflicts`.
+
+    Canonical rows may be folded again together with later observations: with `seq` set to their
+    first_seq they count as the observations that they stand for (n_observations is added up).
+    Rows that carry another node_type are an error.
+    """
+    obs = guarded(obs, spec.name)
+    keyed = obs.withColumns({name: make() for name, (_, make) in spec.key.items()}).withColumn(_ID, F.struct(*spec.key))
+    present = {c: p for c, (_, p) in spec.columns.items() if c in obs.columns}
+    unions = [c for c, p in present.items() if p == S.UNION]
+    f = _Fold()
+    for c in [*S.PROVENANCE, *spec.raw]:
+        if c in obs.columns:
+            f.add(c, S.FIRST, seq)
+    for c, p in present.items():
+        if p not in (S.NEWEST, S.UNION):
+            f.add(c, p, seq)
+    f.offers["first_seq"] = F.col(seq), F.min
+    f.offers["n_observations"] = (F.col("n_observations") if "n_observations" in obs.columns else F.lit(1).cast("long")), F.sum
+    f.results |= {"first_seq": F.col("first_seq"), "n_observations": F.col("n_observations")}
+    unique = [c for c, p in present.items() if p == S.UNIQUE]
+    for c in unique:
+        f.offers[f"_low_{c}"], f.offers[f"_high_{c}"] = (differs(c), F.min), (differs(c), F.max)
     if unique:
-        flags = F.array_compact(F.array(*(F.when(F.coalesce(differs(c), F.lit(False)), F.lit(c)) for c in unique)))
-        aggs.append(flags.alias("conflicts"))
-    # the identity columns travel with the aggregate; node_key alone decides
-    nodes = keyed.groupBy("node_key").agg(*(F.any_value(k).alias(k) for k in spec.key), *aggs)
+        f.results["conflicts"] = F.array_compact(F.array(*(F.when(F.coalesce(F.col(f"_low_{c}") != F.col(f"_high_{c}"), F.lit(False)), F.lit(c)) for c in unique)))
+    rows = keyed.select(_ID, *f.rows(), *(F.coalesce(F.col(c), F.array().cast("array<string>")).alias(f"_u_{c}") for c in unions))
+    if unions:
+        # Equal lists of an identity are folded first: what is collected is as long as its lists are different.
+        lists = [f"_u_{c}" for c in unions]
+        rows = rows.groupBy(_ID, *lists).agg(*f.aggregates())
+        for c in unions:
+            f.offers[f"_l_{c}"] = F.struct(F.col("first_seq").alias("s"), F.col(f"_u_{c}").alias("v")), F.collect_list
+            f.results[c] = ordered_union(F.col(f"_l_{c}"))
+        nodes = rows.groupBy(_ID).agg(*(how(F.col(n) if not n.startswith("_l_") else o).alias(n) for n, (o, how) in f.offers.items()))
+    else:
+        nodes = rows.groupBy(_ID).agg(*f.aggregates())
+    nodes = nodes.select(_ID, *(c.alias(n) for n, c in f.results.items()))
     if unique and strict:
-        guard = F.assert_true(F.size("conflicts") == 0, F.concat(F.lit("conflicting values of "), F.array_join("conflicts", ", "), F.lit(" for "), F.col("node_key")))
+        guard = F.assert_true(F.size("conflicts") == 0, F.concat(F.lit("conflicting values of "), F.array_join("conflicts", ", "), F.lit(" for "), F.to_json(_ID)))
         nodes = nodes.where(guard.isNull())
     if spec.newest_by:
-        nodes = nodes.join(newest(keyed, [c for c, (_, p) in spec.columns.items() if p == S.NEWEST and c in obs.columns], spec.newest_by, seq), "node_key")
+        nodes = nodes.join(newest(keyed, [c for c, p in present.items() if p == S.NEWEST], spec.newest_by, seq), _ID)
     if spec.logs:
-        logged = [c for c, (_, p) in spec.columns.items() if p == S.LOGGED and c in obs.columns]
+        logged = [c for c, p in present.items() if p == S.LOGGED]
         if logged:
-            nodes = nodes.join(disagreements(keyed, nodes.select("node_key", *logged), logged, seq), "node_key", "left")
+            nodes = nodes.join(disagreements(keyed, nodes.select(_ID, *logged), logged, seq), _ID, "left")
         else:
             nodes = nodes.withColumn("disagreements", F.lit(None).cast(f"map<string,{LOG}>"))
-    return nodes.withColumn("node_type", F.lit(spec.name))
+    keys = [F.col(f"{_ID}.{k}") for k in spec.key]
+    rest = [c for c in nodes.columns if c not in (_ID, *spec.key)]
+    return nodes.select(key_text(spec.name, *keys).alias("node_key"), *keys, *rest, F.lit(spec.name).alias("node_type"))
+
+
+def guarded(obs: DataFrame, name: str) -> DataFrame:
+    """Rows of one node type may not be folded as another: where rows say their type, it must be `name`."""
+    if "node_type" not in obs.columns:
+        return obs
+    wrong = F.concat(F.lit("cannot merge "), F.coalesce(F.col("node_type"), F.lit("null")), F.lit(f" into {name}"))
+    return obs.where(F.assert_true(F.coalesce(F.col("node_type") == name, F.lit(False)), wrong).isNull()).drop("node_type")
+
+
+def foreign(obs: DataFrame, spec: S.NodeType) -> DataFrame:
+    """The rows that `fold` would refuse because they say that they are of another type."""
+    return obs.where(~F.coalesce(F.col("node_type") == spec.name, F.lit(False)))
 
 
 def newest(keyed: DataFrame, columns: list[str], by: str, seq: str) -> DataFrame:
     """The first known values from the anchor on: the first row that has the newest time (the first row if no time is known)."""
-    anchor = keyed.groupBy("node_key").agg(F.max(F.struct(F.col(by).isNotNull().alias("has"), F.col(by).alias("at"), (-F.col(seq)).alias("s"))).alias("_a")).select("node_key", (-F.col("_a.s")).alias("_anchor"))
-    rows = keyed.select("node_key", seq, *columns).join(anchor, "node_key").where(F.col(seq) >= F.col("_anchor"))
-    return rows.groupBy("node_key").agg(*(first_known(c, seq).alias(c) for c in columns))
+    order = F.struct(F.col(by).isNull().alias("unknown"), (-F.unix_micros(F.col(by).cast("timestamp"))).alias("age"), F.col(seq).alias("s"))
+    anchor = keyed.select(_ID, order.alias("_o")).groupBy(_ID).agg(F.min("_o").alias("_o")).select(_ID, F.col("_o.s").alias("_anchor"))
+    known = [OFFERS[S.KNOWN][0](c, seq).alias(c) for c in columns]
+    rows = keyed.select(_ID, F.col(seq).alias("_s"), *known).join(anchor, _ID).where(F.col("_s") >= F.col("_anchor"))
+    return rows.groupBy(_ID).agg(*(F.min(c).alias(c) for c in columns)).select(_ID, *(F.col(f"{c}.v").alias(c) for c in columns))
 
 
-def disagreements(keyed: DataFrame, baseline: DataFrame, columns: list[str], seq: str) -> DataFrame:
-    """(node_key, disagreements): by column the known values that differ from the baseline, with their sources, in order; then what rows brought along."""
+def disagreement_rows(keyed: DataFrame, baseline: DataFrame, columns: list[str], seq: str) -> DataFrame:
+    """Long form, one row for each difference: (identity, order, place in the row, field, value, source). Nothing is collected."""
+    base = baseline.select(_ID, *(F.col(c).alias(f"_b_{c}") for c in columns))
     has_own = "disagreements" in keyed.columns
-    base = baseline.select("node_key", *(F.col(c).alias(f"_b_{c}") for c in columns))
-    rows = keyed.join(base, "node_key")
     empty = F.array().cast(LOG)
 
     def entries(c: str) -> Column:
         found = F.when(F.col(c) != F.col(f"_b_{c}"), F.array(F.struct(F.col(c).cast("string").alias("value"), F.col("derivation").alias("source"))).cast(LOG)).otherwise(empty)
         own = F.coalesce(F.try_element_at(F.col("disagreements"), F.lit(c)), empty) if has_own else empty
-        return F.concat(found, own)
+        return F.struct(F.lit(c).alias("field"), F.concat(found, own).alias("entries"))
+
+    needed = keyed.select(_ID, F.col(seq).alias("_s"), *columns, "derivation", *(["disagreements"] if has_own else []))
+    rows = needed.join(base, _ID).select(_ID, "_s", F.explode(F.filter(F.array(*map(entries, columns)), lambda e: F.size(e["entries"]) > 0)).alias("e"))
+    return rows.select(_ID, "_s", F.col("e.field").alias("field"), F.posexplode("e.entries").alias("place", "entry")).select(_ID, "_s", "place", "field", "entry.value", "entry.source")
+
+
+def disagreements(keyed: DataFrame, baseline: DataFrame, columns: list[str], seq: str) -> DataFrame:
+    """(identity, disagreements): by column the known values that differ from the baseline, with their sources, in order; then what rows brought along.
+
+    A column's log is collected on its own; where logs may outgrow a row, disagreement_rows() has them in long form.
+    """
+    rows = disagreement_rows(keyed, baseline, columns, seq)
+    logs = rows.groupBy(_ID, "field").agg(F.array_sort(F.collect_list(F.struct("_s", "place", F.struct("value", "source").alias("entry")))).alias("log"))
+    logs = logs.select(_ID, "field", F.transform("log", lambda x: x["entry"]).cast(LOG).alias("log"))
+    order = F.array(*map(F.lit, columns))
+    per_field = F.array_sort(F.collect_list(F.struct(F.array_position(order, F.col("field")).alias("n"), "field", "log")))
+    return logs.groupBy(_ID).agg(per_field.alias("_f")).select(_ID, F.map_from_entries(F.transform("_f", lambda x: F.struct(x["field"].alias("key"), x["log"].alias("value")))).alias("disagreements"))
 
-    rows = rows.select("node_key", F.col(seq).alias("_s"), *(entries(c).alias(c) for c in columns))
-    rows = rows.where(" or ".join(f"size(`{c}`) > 0" for c in columns))
-    lists = rows.groupBy("node_key").agg(F.array_sort(F.collect_list(F.struct("_s", *columns))).alias("_rows"))
-    def of(c: str):
-        return lambda row: row[c]
 
-    per_field = F.array(*(F.struct(F.lit(c).alias("key"), F.flatten(F.transform("_rows", of(c))).alias("value")) for c in columns))
-    return lists.select("node_key", F.map_from_entries(F.filter(per_field, lambda e: F.size(e["value"]) > 0)).alias("disagreements"))
+def canonical_columns(spec: S.NodeType, columns: list[str]) -> list[str]:
+    """What of canonical rows goes into a fold together with later observations."""
+    return [c for c in [*S.PROVENANCE, *spec.raw, *spec.columns, "n_observations", *(["disagreements"] if spec.logs else [])] if c in columns]
 
 
 def fold_by_run(obs: DataFrame, spec: S.NodeType, **how) -> DataFrame:
     """Two-level fold: within each run first, then the runs' results in order, as sources that fold on their own are merged."""
     parts = obs.withColumn("_run", F.coalesce("run_id", F.lit("")))
-    keyed = spec.keyed(parts)
-    per_run = fold(keyed.drop("node_key", *[k for k in spec.key if k not in spec.raw]), _with_run(spec), **how)
-    keep = [c for c in [*S.PROVENANCE, *spec.raw, *spec.columns] if c in obs.columns]
-    again = per_run.select(*keep, F.col("first_seq").alias("seq"), *(["disagreements"] if spec.logs else []))
-    return fold(again, spec, **how)
+    per_run = fold(parts, replace(spec, key=spec.key | {"k_run": ("string", lambda: F.col("_run"))}), **how)
+    return fold(per_run.select(*canonical_columns(spec, per_run.columns), F.col("first_seq").alias("seq")), spec, **how)
 
 
-def _with_run(spec: S.NodeType) -> S.NodeType:
-    from dataclasses import replace
+def merge(nodes: DataFrame | None, batch: DataFrame, spec: S.NodeType, **how) -> DataFrame:
+    """Canonical rows and later observations folded into new canonical rows: a batch costs its own size and that of the nodes, not of all history."""
+    if nodes is None:
+        return fold(batch, spec, **how)
+    old = nodes.select(*canonical_columns(spec, nodes.columns), F.col("first_seq").alias("seq"))
+    return fold(old.unionByName(batch, allowMissingColumns=True).withColumn("n_observations", F.coalesce("n_observations", F.lit(1).cast("long"))), spec, **how)
 
-    return replace(spec, key=spec.key | {"k_run": ("string", lambda: F.col("_run"))})
 
+EDGE_KEY = ["src_key", "dst_key", "edge_type", "ts"]
 
-def fold_edges(edges: DataFrame, *, seq: str = "seq", columns: list[str] | None = None) -> DataFrame:
-    """One row for each (src_key, dst_key, edge_type, ts), a null time counting as one; lists of confirming sources unite, all else is the first row's."""
-    keys = ["src_key", "dst_key", "edge_type", "ts"]
-    rest = columns if columns is not None else [c for c in edges.columns if c not in (*keys, seq, "confirmed_by")]
-    out = edges.groupBy(*keys).agg(*(first(c, seq).alias(c) for c in rest), F.min(seq).alias("first_seq"), *([ordered_union("confirmed_by", seq).alias("confirmed_by")] if "confirmed_by" in edges.columns else []))
-    if "confirmed_by" in edges.columns:
-        from ..functions.text import edge_confidence
 
-        plain = [e.name for e in S.EDGE_TYPES.values() if not e.multi]
-        out = out.withColumn("confidence", F.when(~F.col("edge_type").isin(plain), edge_confidence(F.col("confirmed_by"))))
-    return out
+def fold_edges(edges: DataFrame, *, seq: str = "seq", columns: list[str] | None = None) -> DataFrame:
+    """One row for each (src_key, dst_key, edge_type, ts), a null time counting as one; lists of confirming sources unite, all else is the first row's.
+
+    Edge types without sources take no list: one that has elements is an error.
+    """
+    rest = columns if columns is not None else [c for c in edges.columns if c not in (*EDGE_KEY, seq, "confirmed_by", "confidence", "first_seq")]
+    multi = "confirmed_by" in edges.columns
+    plain = [e.name for e in S.EDGE_TYPES.values() if not e.multi]
+    offers = F.struct(F.col(seq).alias("s"), *rest).alias("_r")
+    if not multi:
+        out = edges.select(*EDGE_KEY, offers).groupBy(*EDGE_KEY).agg(F.min("_r").alias("_r"))
+        return out.select(*EDGE_KEY, *(F.col(f"_r.{c}").alias(c) for c in rest), F.col("_r.s").alias("first_seq"))
+    wrong = F.col("edge_type").isin(plain) & (F.size("confirmed_by") > 0)
+    checked = edges.where(F.assert_true(~F.coalesce(wrong, F.lit(False)), F.concat(F.lit("an edge of type "), F.col("edge_type"), F.lit(" has no confirming sources"))).isNull())
+    rows = checked.select(*EDGE_KEY, F.coalesce("confirmed_by", F.array().cast("array<string>")).alias("_u"), offers)
+    once = rows.groupBy(*EDGE_KEY, "_u").agg(F.min("_r").alias("_r"))
+    out = once.groupBy(*EDGE_KEY).agg(F.min("_r").alias("_r"), F.collect_list(F.struct(F.col("_r.s").alias("s"), F.col("_u").alias("v"))).alias("_l"))
+    out = out.select(*EDGE_KEY, *(F.col(f"_r.{c}").alias(c) for c in rest), F.col("_r.s").alias("first_seq"), ordered_union(F.col("_l")).alias("confirmed_by"))
+    return out.withColumn("confidence", F.when(~F.col("edge_type").isin(plain), edge_confidence(F.col("confirmed_by"))))
 
 
 def counters(batch: DataFrame, existing: DataFrame | None, key: str | list[str]) -> DataFrame:
     """(added, merged) of a batch: keys that are new, and rows that met an existing key."""
     keys = [key] if isinstance(key, str) else key
-    per_key = batch.groupBy(*keys).agg(F.count("*").alias("n"))
+    per_key = batch.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("_k", F.struct(*keys))
     if existing is None:
         flagged = per_key.withColumn("old", F.lit(False))
     else:
-        flagged = per_key.join(existing.select(*keys).distinct().withColumn("old", F.lit(True)), keys, "left").withColumn("old", F.coalesce("old", F.lit(False)))
+        old = existing.select(F.struct(*keys).alias("_k")).distinct().withColumn("old", F.lit(True))
+        flagged = per_key.join(old, "_k", "left").withColumn("old", F.coalesce("old", F.lit(False)))
     added = F.count_if(~F.col("old"))
     return flagged.agg(added.alias("added"), (F.coalesce(F.sum("n"), F.lit(0)) - added).alias("merged"))

@@ -122,10 +122,40 @@ def test_two_level_fold_logs_once_a_run(spark):
 
 
 def test_edges_fold_with_null_times_and_confidence(spark):
-    rows = [("a", "b", "Spawned", None, ["p", "p"], 1), ("a", "b", "Spawned", None, ["p"], 2), ("a", "b", "Spawned", T0, ["p"], 3), ("a", "c", "Spawned", T0, [], 4), ("a", "d", "References", T0, ["p"], 5)]
+    rows = [("a", "b", "Spawned", None, ["p", "p"], 1), ("a", "b", "Spawned", None, ["p"], 2), ("a", "b", "Spawned", T0, ["p"], 3), ("a", "c", "Spawned", T0, [], 4), ("a", "d", "References", T0, [], 5)]
     df = spark.createDataFrame(rows, "src_key string, dst_key string, edge_type string, ts timestamp, confirmed_by array<string>, seq long")
     got = {(r["dst_key"], r["ts"] is None): (r["confirmed_by"], r["confidence"]) for r in folds.fold_edges(df).collect()}
-    assert got == {("b", True): (["p", "p"], "confirmed"), ("b", False): (["p"], "suspected"), ("c", False): ([], "inferred"), ("d", False): (["p"], None)}
+    assert got == {("b", True): (["p", "p"], "confirmed"), ("b", False): (["p"], "suspected"), ("c", False): ([], "inferred"), ("d", False): ([], None)}
+    with pytest.raises(Exception, match="References has no confirming sources"):
+        folds.fold_edges(df.withColumn("confirmed_by", F.array(F.lit("p")))).collect()
+
+
+def test_rows_of_another_type_are_not_merged(spark):
+    rows = [{**base(i, "d"), "sid": "S-1-5-1", "node_type": t} for i, t in enumerate(["User", "Host", None])]
+    df = frame(spark, rows, FROM + ", sid string, node_type string")
+    assert folds.fold(df.where("node_type = 'User'"), S.USER).first()["n_observations"] == 1
+    assert folds.foreign(df, S.USER).count() == 2
+    with pytest.raises(Exception, match="cannot merge Host into User"):
+        folds.fold(df.where("node_type = 'Host'"), S.USER).collect()
+
+
+def test_folding_in_batches_equals_folding_at_once(spark):
+    rng = random.Random(9)
+    ddl = FROM + ", host_hostname string, pid long, start_time timestamp, name string, image_path string, exit_time timestamp, observed_by array<string>"
+    rows = [{**base(i, rng.choice("pq")), "host_hostname": "h", "pid": rng.randrange(6), "name": rng.choice("xy"), "image_path": maybe(rng, ["a", "b"]), "exit_time": maybe(rng, [T0, T0 + timedelta(days=1)]), "observed_by": [rng.choice("abc")]} for i in range(90)]
+    nodes = None
+    for a in range(0, 90, 30):
+        nodes = folds.merge(nodes, frame(spark, rows[a : a + 30], ddl), S.PROCESS)
+    whole = folds.fold(frame(spark, rows, ddl), S.PROCESS)
+    shown = [c for c in whole.columns if c != "disagreements"]
+    log = F.to_json("disagreements").alias("log")
+    assert sorted(map(str, nodes.select(*shown, log).collect())) == sorted(map(str, whole.select(*shown, log).collect()))
+    service = FROM + ", host_hostname string, service_name string, is_running boolean"
+    more = [{**base(i, rng.choice(["svcscan", "registry"])), "host_hostname": "h", "service_name": rng.choice("st"), "is_running": maybe(rng, [True, False])} for i in range(40)]
+    nodes = None
+    for a in range(0, 40, 10):
+        nodes = folds.merge(nodes, frame(spark, more[a : a + 10], service), S.SERVICE)
+    assert sorted(map(str, nodes.select("service_name", "is_running", "n_observations").collect())) == sorted(map(str, folds.fold(frame(spark, more, service), S.SERVICE).select("service_name", "is_running", "n_observations").collect()))
 
 
 def test_counters_and_empty_tables(spark):
