@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import CONFIDENCE_RANKS, confidence_name, confidence_rank
-from .graph import touching_edges
 
 
 def missing_keys(support: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -14,15 +13,35 @@ def missing_keys(support: DataFrame, nodes: DataFrame) -> DataFrame:
     return support.join(nodes.select("node_key").distinct(), "node_key", "left_anti")
 
 
-def evidence_by_claim(support: DataFrame, edges: DataFrame) -> DataFrame:
-    """(claim_id, n_edges, all_confirmed, any_supported) over the edges with a confidence that touch cited nodes.
+def edge_evidence(edges: DataFrame) -> DataFrame:
+    """(node_key, n, all_c, any_s): for each end of an edge with a confidence, once; to be added up by node."""
+    rated = edges.where("confidence is not null").select("src_key", "dst_key", (F.col("confidence") == "confirmed").alias("all_c"), F.col("confidence").isin("confirmed", "suspected").alias("any_s"))
+    ends = [rated.groupBy(F.col(end).alias("node_key")).agg(F.count("*").alias("n"), F.bool_and("all_c").alias("all_c"), F.bool_or("any_s").alias("any_s")) for end in ("src_key", "dst_key")]
+    return ends[0].unionAll(ends[1])
 
-    Edge ends are aggregated by node first, so that a node's edges are counted once however often it is cited.
-    """
-    cited = support.select("node_key").distinct()
-    rated = edges.where("confidence is not null").select("src_key", "dst_key", "confidence")
-    per_node = touching_edges(rated, cited).groupBy("node_key").agg(F.count("*").alias("n"), F.bool_and(F.col("confidence") == "confirmed").alias("all_c"), F.bool_or(F.col("confidence").isin("confirmed", "suspected")).alias("any_s"))
-    return support.join(per_node, "node_key", "left").groupBy("claim_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_edges"), F.coalesce(F.bool_and("all_c"), F.lit(False)).alias("all_confirmed"), F.coalesce(F.bool_or("any_s"), F.lit(False)).alias("any_supported"))
+
+def node_evidence(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(node_key, known, disputed, n, all_c, any_s): all that a claim needs to know of a node, in one row each."""
+    parts = edge_evidence(edges).select("node_key", F.lit(False).alias("known"), F.lit(False).alias("disputed"), "n", "all_c", "any_s")
+    if nodes is not None:
+        own = nodes.select("node_key", F.lit(True), F.coalesce("disputed", F.lit(False)), F.lit(0).cast("long"), F.lit(None).cast("boolean"), F.lit(None).cast("boolean"))
+        parts = own.unionAll(parts)
+    return parts.toDF("node_key", "known", "disputed", "n", "all_c", "any_s").groupBy("node_key").agg(F.bool_or("known").alias("known"), F.bool_or("disputed").alias("disputed"), F.sum("n").alias("n"), F.bool_and("all_c").alias("all_c"), F.bool_or("any_s").alias("any_s"))
+
+
+def by_claim(support: DataFrame, info: DataFrame) -> DataFrame:
+    """What the nodes cited by a claim say together: one join and one aggregate."""
+    unknown = ~F.coalesce("known", F.lit(False))
+    return support.join(info, "node_key", "left").groupBy("claim_id").agg(
+        F.count("*").alias("n_cited"), F.count_if(unknown).alias("n_missing"), F.min_by("node_key", F.when(unknown, F.col("pos"))).alias("first_missing"),
+        F.coalesce(F.bool_or("disputed"), F.lit(False)).alias("any_disputed"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_edges"),
+        F.coalesce(F.bool_and("all_c"), F.lit(False)).alias("all_confirmed"), F.coalesce(F.bool_or("any_s"), F.lit(False)).alias("any_supported"),
+    )
+
+
+def evidence_by_claim(support: DataFrame, edges: DataFrame) -> DataFrame:
+    """(claim_id, n_edges, all_confirmed, any_supported) over the edges with a confidence that touch cited nodes; an edge counts once at each end that is cited."""
+    return by_claim(support, node_evidence(None, edges)).select("claim_id", "n_edges", "all_confirmed", "any_supported")
 
 
 def evidence_confidence() -> Column:
@@ -40,9 +59,7 @@ def judge(claims: DataFrame, support: DataFrame, nodes: DataFrame, edges: DataFr
     nodes: node_key, disputed. Rules in order: something is cited; all of it exists; a disputed node
     makes the claim disputed; else the lower of hint and evidence.
     """
-    flags = nodes.select("node_key", "disputed").distinct().withColumn("_known", F.lit(True))
-    cited = support.join(flags, "node_key", "left").groupBy("claim_id").agg(F.count("*").alias("n_cited"), F.count_if(F.col("_known").isNull()).alias("n_missing"), F.min_by("node_key", F.when(F.col("_known").isNull(), F.col("pos"))).alias("first_missing"), F.coalesce(F.bool_or("disputed"), F.lit(False)).alias("any_disputed"))
-    df = claims.join(cited, "claim_id", "left").join(evidence_by_claim(support, edges), "claim_id", "left")
+    df = claims.join(by_claim(support, node_evidence(nodes, edges)), "claim_id", "left")
     df = df.fillna({"n_cited": 0, "n_missing": 0, "n_edges": 0}).fillna(False, ["any_disputed", "all_confirmed", "any_supported"])
     final = F.when(F.col("any_disputed"), F.lit("disputed")).otherwise(final_confidence(F.col("hint"), evidence_confidence()))
     rejected = F.when(~F.col("hint").isin(*CONFIDENCE_RANKS), "bad_confidence_hint").when(F.col("n_cited") == 0, "rejected_empty_support").when(F.col("n_missing") > 0, "rejected_missing_node")

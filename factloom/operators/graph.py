@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 from decimal import Decimal
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.filters import BadFilter, all_of
-from ..functions.text import key_text
-from ..plans.schema import NODE_TYPES
+from ..functions.filters import BadFilter, all_of, check_ops
+from ..functions.text import confidence_name, confidence_rank, key_text
+from ..plans.lineage import cut_lineage
+from ..plans.schema import NODE_TYPES, NodeType
 
 DEFAULT_LIMIT = 100
+#: A query's rows go to the driver: never more than this, whatever limit is asked for.
+MOST_RETURNED = 10_000
 # What a node's summary shows where it has it.
 SUMMARY_FIELDS = ("name", "threat_name", "pid", "hostname", "host_hostname", "action_taken", "detection_time")
 
@@ -66,38 +70,105 @@ def touching_edges(edges: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def walk(edges: DataFrame, starts: DataFrame, most_steps: int, *, names: str = "edge_type") -> DataFrame:
-    """Paths (start, node_key, depth, path) along edges from starts, without meeting a node twice, up to most_steps."""
-    step = edges.select("src_key", "dst_key")
+    """Paths (start, node_key, depth, path) along edges from starts, without meeting a node twice, up to most_steps.
+
+    Each level is written down, so that the next one starts from it instead of walking there again.
+    """
+    step = cut_lineage(edges.select("src_key", "dst_key"), "steps")
     front = starts.select(F.col("node_key").alias("start"), "node_key", F.lit(0).alias("depth"), F.array("node_key").alias("path"))
     found = front
     for depth in range(1, most_steps + 1):
-        front = front.join(step, front["node_key"] == step["src_key"]).where(~F.array_contains("path", F.col("dst_key"))).select("start", F.col("dst_key").alias("node_key"), F.lit(depth).alias("depth"), F.array_append("path", F.col("dst_key")).alias("path"))
+        on = front.join(step, front["node_key"] == step["src_key"]).where(~F.array_contains("path", F.col("dst_key")))
+        front = cut_lineage(on.select("start", F.col("dst_key").alias("node_key"), F.lit(depth).alias("depth"), F.array_append("path", F.col("dst_key")).alias("path")), f"level{depth}")
+        if front.isEmpty():
+            break
         found = found.unionAll(front)
     return found
 
 
 def neighbourhood(edges: DataFrame, starts: DataFrame, most_steps: int) -> DataFrame:
     """(start, node_key, depth): nodes within most_steps of starts in either direction, at their least distance."""
-    both = edges.select("src_key", "dst_key").unionAll(edges.select(F.col("dst_key").alias("src_key"), F.col("src_key").alias("dst_key"))).distinct()
+    both = cut_lineage(edges.select("src_key", "dst_key").unionAll(edges.select(F.col("dst_key").alias("src_key"), F.col("src_key").alias("dst_key"))).distinct(), "steps")
     front = starts.select(F.col("node_key").alias("start"), "node_key", F.lit(0).alias("depth")).distinct()
     seen = front
     for depth in range(1, most_steps + 1):
         near = front.join(both, front["node_key"] == both["src_key"]).select("start", F.col("dst_key").alias("node_key")).distinct()
-        front = near.join(seen.select("start", "node_key"), ["start", "node_key"], "left_anti").withColumn("depth", F.lit(depth))
+        front = cut_lineage(near.join(seen.select("start", "node_key"), ["start", "node_key"], "left_anti").withColumn("depth", F.lit(depth)), f"level{depth}")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
 
+def paths_between(edges: DataFrame, pairs: DataFrame, most_steps: int = 8) -> DataFrame:
+    """(start, goal, depth, path): for each pair (start, goal) a shortest path along edges, the first in order if there are several.
+
+    Breadth first, one path a node reached; pairs that have met go no further.
+    """
+    step = cut_lineage(edges.select("src_key", "dst_key").distinct(), "steps")
+    front = pairs.select("start", "goal").distinct().select("start", "goal", F.col("start").alias("node_key"), F.array("start").alias("path"))
+    found = front.where("start = goal").select("start", "goal", F.lit(0).alias("depth"), "path")
+    front = front.where("start <> goal")
+    seen = front.select("start", "goal", "node_key")
+    for depth in range(1, most_steps + 1):
+        on = front.join(step, front["node_key"] == step["src_key"]).select("start", "goal", F.col("dst_key").alias("node_key"), F.array_append("path", F.col("dst_key")).alias("path"))
+        reached = on.groupBy("start", "goal", "node_key").agg(F.min("path").alias("path")).join(seen, ["start", "goal", "node_key"], "left_anti")
+        reached = cut_lineage(reached, f"level{depth}")
+        met = reached.where(F.col("node_key") == F.col("goal"))
+        found = found.unionByName(met.select("start", "goal", F.lit(depth).alias("depth"), "path"))
+        front = cut_lineage(reached.join(met.select("start", "goal"), ["start", "goal"], "left_anti"), f"front{depth}")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(reached.select("start", "goal", "node_key"))
+    return found
+
+
 def timeline(edges: DataFrame, start: Column, end: Column) -> DataFrame:
     return edges.where((F.col("ts") >= start) & (F.col("ts") < end)).orderBy("ts", "src_key", "dst_key", "edge_type")
 
 
 def stated(edges: DataFrame, subject: Column, edge_type: str, target: Column, start: Column, end: Column) -> DataFrame:
-    """Whether an edge of that type between two nodes exists in a time window, and how sure it is."""
+    """Whether an edge of that type between two nodes exists in a time window, and how many do."""
     hit = edges.where((F.col("src_key") == subject) & (F.col("dst_key") == target) & (F.col("edge_type") == edge_type) & (F.col("ts") >= start) & (F.col("ts") < end))
     return hit.agg((F.count("*") > 0).alias("found"), F.count("*").alias("n_edges"))
 
 
+def verify_claims(edges: DataFrame, claims: DataFrame) -> DataFrame:
+    """claims (claim_id, subject, predicate, object, start, end), an open time being null, with found, n_edges and the best confidence."""
+    e = edges.select(F.col("src_key").alias("subject"), F.col("edge_type").alias("predicate"), F.col("dst_key").alias("object"), "ts", "confidence")
+    c = claims.select("claim_id", "subject", "predicate", "object", "start", "end")
+    in_time = (F.col("start").isNull() | (F.col("ts") >= F.col("start"))) & (F.col("end").isNull() | (F.col("ts") < F.col("end")))
+    hits = c.join(e, ["subject", "predicate", "object"]).where(in_time).groupBy("claim_id").agg(F.count("*").alias("n_edges"), F.max(confidence_rank(F.col("confidence"))).alias("_r"))
+    return c.join(hits, "claim_id", "left").select("claim_id", "subject", "predicate", "object", F.col("n_edges").isNotNull().alias("found"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"), confidence_name(F.col("_r")).alias("confidence"))
+
+
+def known(keys: DataFrame, nodes: DataFrame) -> DataFrame:
+    """keys (node_key, ...) with `known`: whether the graph has the node."""
+    have = nodes.select("node_key").distinct().withColumn("known", F.lit(True))
+    return keys.join(have, "node_key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def summaries(nodes: DataFrame, spec: NodeType) -> DataFrame:
+    """node_key, node_type, evidence_hash, identity and display fields of canonical nodes; times as ISO text."""
+    shown = dict.fromkeys([*spec.key, *(c for c in SUMMARY_FIELDS if c in nodes.columns)])
+    as_text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias(c) if nodes.schema[c].dataType.typeName() == "timestamp" else F.col(c)
+    return nodes.select("node_key", F.lit(spec.name).alias("node_type"), "evidence_hash", *map(as_text, shown))
+
+
+def matched(nodes: DataFrame, where: Column, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """(total_matched, returned, truncated) of a query with a limit."""
+    n = F.count("*")
+    return nodes.where(where).agg(n.alias("total_matched"), F.least(n, F.lit(limit).cast("long")).alias("returned"), (n > limit).alias("truncated"))
+
+
+def totals(**tables: DataFrame | None) -> DataFrame:
+    """One row: how many rows each table has, in one pass over all; a table that is not there has none."""
+    ones = [df.select(F.lit(name).alias("what")) for name, df in tables.items() if df is not None]
+    if not ones:
+        return None
+    return reduce(DataFrame.unionAll, ones).agg(*(F.count_if(F.col("what") == name).alias(name) for name in tables))
+
+
 class Graph:
     """Canonical nodes by type, and edges. Immutable: each ingest makes a new one."""
 
@@ -138,30 +209,38 @@ class Graph:
         found = self.edges.where(F.col(end) == key)
         return found if edge_type is None else found.where(F.col("edge_type") == edge_type)
 
+    def counts(self) -> tuple[int, int]:
+        """Nodes and edges."""
+        row = totals(nodes=self.nodes(), edges=self.edges)
+        row = row.first() if row is not None else {"nodes": 0, "edges": 0}
+        return row["nodes"], row["edges"]
+
     def node_count(self) -> int:
-        all_ = self.nodes()
-        return 0 if all_ is None else all_.count()
+        return self.counts()[0]
 
     def edge_count(self) -> int:
-        return 0 if self.edges is None else self.edges.count()
+        return self.counts()[1]
 
     def query(self, node_type: str | None = None, filters: Sequence[dict] | None = None, limit: int = DEFAULT_LIMIT, *, coerce_temporal: bool = False) -> dict:
-        """Filters over canonical nodes: the first `limit` matches by arrival, and how many match in all."""
+        """Filters over canonical nodes: the first `limit` matches by arrival (at most MOST_RETURNED, as
+        they go to the driver), and how many match in all. One job a node type: matches are counted
+        as they pass on their way to the first ones."""
         filters = list(filters or [])
         try:
-            all_of(next(iter(self.by_type.values())), filters) if self.by_type else [BadFilter(f["op"]) for f in ()]
+            check_ops(filters)
         except BadFilter as e:
             return {"status": "error", "error": "bad_filter_op", "message": str(e)}
-        total, rows = 0, []
+        total, rows, most = 0, [], min(max(0, limit), MOST_RETURNED)
         for name, df in self.by_type.items():
             if node_type not in (None, name):
                 continue
             typed = df.withColumn("node_type", F.lit(name))
             hit = typed.where(all_of(typed, filters, coerce_temporal=coerce_temporal))
-            total += hit.count()
             shown = ["node_key", "node_type", "evidence_hash", "first_seq", *NODE_TYPES[name].key, *(c for c in SUMMARY_FIELDS if c in df.columns)]
-            rows += hit.select(*dict.fromkeys(shown)).orderBy("first_seq", "node_key").limit(max(0, limit)).collect()
-        rows = sorted(rows, key=lambda r: (r["first_seq"], r["node_key"]))[: max(0, limit)]
+            counted = Observation()
+            rows += hit.select(*dict.fromkeys(shown)).observe(counted, F.count("*").alias("n")).orderBy("first_seq", "node_key").limit(max(1, most)).collect()
+            total += counted.get["n"]
+        rows = sorted(rows, key=lambda r: (r["first_seq"], r["node_key"]))[:most]
         nodes = [summary(r.asDict()) for r in rows]
         return {"status": "ok", "node_type": node_type, "filters_applied": filters, "total_matched": total, "returned": len(nodes), "truncated": total > len(nodes), "nodes": nodes}
 

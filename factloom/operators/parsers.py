@@ -51,14 +51,14 @@ def skip_stats(marked: DataFrame) -> DataFrame:
 
 
 def process_observations(records: DataFrame, plugin: str, rank: int, observed_at: Column | None = None) -> DataFrame:
-    """Process observations of one listing plugin; rows without a required field are dropped. seq orders plugins first, rows second."""
+    """Process observations of one listing plugin; rows without a required field are dropped. seq becomes (rank, row): plugins first, rows second."""
     required = ["_evidence_hash", "_derivation", "_host_hostname", "pid", "name"]
     usable = records.where(" and ".join(f"`{c}` is not null" for c in required) + " and pid >= 0")
     ts = lambda c: parse_time(F.col(c)) if dict(records.dtypes)[c] == "string" else F.col(c)
     return usable.select(
         F.col("_evidence_hash").alias("evidence_hash"), F.col("_derivation").alias("derivation"), (observed_at if observed_at is not None else F.current_timestamp()).alias("observed_at"),
         F.col("_host_hostname").alias("host_hostname"), "pid", ts("start_time").alias("start_time"), "name", "image_path", "command_line", "parent_pid", ts("exit_time").alias("exit_time"),
-        F.array(F.lit(plugin)).alias("observed_by"), F.lit(plugin).alias("_plugin"), (F.lit(rank).cast("long") * (1 << 48) + F.col("seq")).alias("seq"),
+        F.array(F.lit(plugin)).alias("observed_by"), F.lit(plugin).alias("_plugin"), F.struct(F.lit(rank).alias("rank"), F.col("seq").cast("long").alias("row")).alias("seq"),
     )
 
 
@@ -72,8 +72,7 @@ def spawned(relations: DataFrame, processes: DataFrame) -> tuple[DataFrame, Data
 
     The child is the process of that host, pid and start. The parent is the latest process of its
     pid on the host that started no later than the child; an unknown start counts as earliest.
-    Both sides of the as-of join are laid in one sequence per (host, pid) and the parent is carried
-    forward, so that a busy pid costs a sort, not a product.
+    A busy pid costs sorts of its time buckets, not a product.
     """
     start = parse_time(F.col("child_start_time")) if dict(relations.dtypes)["child_start_time"] == "string" else F.col("child_start_time")
     rel = relations.where("child_pid is not null and parent_pid is not null and _host_hostname is not null").select(F.col("_host_hostname").alias("host"), "parent_pid", "child_pid", start.alias("child_start"), "_evidence_hash", "_derivation", "seq")
@@ -86,16 +85,29 @@ def spawned(relations: DataFrame, processes: DataFrame) -> tuple[DataFrame, Data
     return edges, stats
 
 
-def as_of_parent(children: DataFrame, processes: DataFrame) -> DataFrame:
-    """children (host, parent_pid, child_start, ...) with src_key: the parent as of child_start (the latest of all if that is null)."""
+#: Seconds of a time bucket of the as-of join.
+BUCKET = 86_400
+
+
+def as_of_parent(children: DataFrame, processes: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """children (host, parent_pid, child_start, ...) with src_key: the parent as of child_start (the latest of all if that is null).
+
+    Both sides are laid in one sequence per (host, pid) and time bucket. What a bucket hands on to
+    later ones is its last process alone, so that a busy pid is as many tasks as it has buckets.
+    """
     low = F.lit("0001-01-01 00:00:00").cast("timestamp")
     high = F.lit("9999-12-31 23:59:59").cast("timestamp")
     rest = [c for c in children.columns]
     left = children.select(F.col("host").alias("_h"), F.col("parent_pid").alias("_p"), F.coalesce(F.col("child_start").cast("timestamp"), high).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_key"), F.struct(*rest).alias("_row"))
-    right = processes.select(F.col("host_hostname").alias("_h"), F.col("pid").alias("_p"), F.coalesce(F.col("start_time").cast("timestamp"), low).alias("_t"), F.lit(0).alias("_side"), F.col("node_key").alias("_key"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"))
-    w = Window.partitionBy("_h", "_p").orderBy("_t", "_side", "_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = left.unionByName(right).withColumn("src_key", F.last("_key", ignorenulls=True).over(w)).where("_side = 1")
-    return found.select("_row.*", "src_key")
+    right = processes.where(F.col("host_hostname").isNotNull() & F.col("pid").isNotNull()).select(F.col("host_hostname").alias("_h"), F.col("pid").alias("_p"), F.coalesce(F.col("start_time").cast("timestamp"), low).alias("_t"), F.lit(0).alias("_side"), F.col("node_key").alias("_key"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"))
+    number = F.floor(F.unix_seconds("_t") / bucket).alias("_b")
+    every = left.unionByName(right).select("*", number)
+    within = Window.partitionBy("_h", "_p", "_b").orderBy("_t", "_side", "_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = every.withColumn("_near", F.last("_key", ignorenulls=True).over(within)).where("_side = 1")
+    last = F.max(F.when(F.col("_side") == 0, F.struct("_t", "_key")))["_key"]
+    before = Window.partitionBy("_h", "_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.groupBy("_h", "_p", "_b").agg(last.alias("_last")).withColumn("_far", F.last("_last", ignorenulls=True).over(before)).where("_far is not null").select("_h", "_p", "_b", "_far")
+    return found.join(carried, ["_h", "_p", "_b"], "left").select("_row.*", F.coalesce("_near", "_far").alias("src_key"))
 
 
 def process_key(host: Column, pid: Column, start: Column) -> Column:

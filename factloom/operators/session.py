@@ -1,7 +1,9 @@
 """A session: one graph, one evidence store, one report, and the five service calls on them.
 
-Observations only ever grow; canonical nodes and edges are folds over all of them, recomputed
-lazily. Each call returns a dict and reports expected problems in it.
+A run's observations are folded into the canonical rows of the runs before it, and the new rows
+are written down: a run costs its own observations and the nodes of the types that it touches.
+Order is (run, rank, row), so that whatever an earlier run saw came first. Each call returns a
+dict and reports expected problems in it.
 """
 
 from __future__ import annotations
@@ -9,11 +11,13 @@ from __future__ import annotations
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import CONFIDENCE_RANKS
-from ..plans.fold import counters, fold, fold_edges
+from ..plans.fold import EDGE_KEY, canonical_columns, counters, fold, fold_edges, merge
+from ..plans.lineage import cut_lineage
 from ..plans.schema import NODE_TYPES
 from ..sources.evidence import EvidenceStore
 from ..sources.registry import READERS, check_path
@@ -21,7 +25,7 @@ from . import gate, parsers
 from .graph import DEFAULT_LIMIT, Graph, node_key_of, plain, resolved_edges
 from .reports import Finding, FindingReport, IngestRun, runs_summary
 
-_EDGE = "src_key string, dst_key string, edge_type string, ts timestamp, confirmed_by array<string>, evidence_hash string, derivation string, seq long"
+_EDGE = "src_key string, dst_key string, edge_type string, ts timestamp, confirmed_by array<string>, evidence_hash string, derivation string"
 
 
 class Session:
@@ -29,58 +33,42 @@ class Session:
         self.spark = spark
         self.store = EvidenceStore(spark, store_root)
         self.evidence_root = None if evidence_root is None else Path(evidence_root).resolve()
-        self.observations: dict[str, DataFrame] = {}
-        self.edge_observations: DataFrame | None = None
+        self.graph = Graph({})
         self.report = FindingReport(spark)
         self.runs: list[IngestRun] = []
-        self._graph: Graph | None = None
 
     # -- the graph
 
-    @property
-    def graph(self) -> Graph:
-        if self._graph is None:
-            nodes = {name: fold(obs, NODE_TYPES[name]).cache() for name, obs in self.observations.items()}
-            graph = Graph(nodes)
-            edges = self.edge_observations
-            if edges is not None and nodes:
-                graph.edges = fold_edges(resolved_edges(edges, graph.nodes())).cache()
-            self._graph = graph
-        return self._graph
-
-    def _base(self) -> int:
-        return len(self.runs) << 40
+    def _order(self, df: DataFrame) -> Column:
+        """(run, rank, row) for a seq that is a number or (rank, row)."""
+        seq, parts = F.col("seq"), isinstance(df.schema["seq"].dataType, StructType)
+        rank, row = (seq["rank"], seq["row"]) if parts else (F.lit(0), seq)
+        return F.struct(F.lit(len(self.runs)).alias("run"), rank.cast("int").alias("rank"), row.cast("long").alias("row")).alias("seq")
 
     def add_observations(self, node_type: str, obs: DataFrame) -> tuple[int, int]:
-        """Appends observations (with seq) after all earlier ones; returns nodes added and merged."""
+        """Folds observations (with seq) into the graph, after all earlier ones; returns nodes added and merged."""
         spec = NODE_TYPES[node_type]
-        obs = obs.withColumn("seq", F.col("seq") + self._base())
+        obs = cut_lineage(obs.withColumn("seq", self._order(obs)), "observations")
         old = self.graph.by_type.get(node_type)
         counts = counters(spec.keyed(obs), old, "node_key").first()
-        held = self.observations.get(node_type)
-        self.observations[node_type] = obs if held is None else held.unionByName(obs, allowMissingColumns=True)
-        self._forget()
+        nodes = cut_lineage(merge(old, obs, spec), node_type)
+        self.graph = Graph(self.graph.by_type | {node_type: nodes}, self.graph.edges)
         return counts["added"], counts["merged"]
 
     def add_edges(self, edges: DataFrame, *, strict: bool = False) -> tuple[int, int]:
-        """Appends edges whose ends exist; with strict, an edge without an end is an error. Orphans count as neither added nor merged."""
-        edges = edges.withColumn("seq", F.col("seq") + self._base())
+        """Folds in edges whose ends exist; with strict, an edge without an end is an error. Orphans count as neither added nor merged."""
+        edges = cut_lineage(edges.withColumn("seq", self._order(edges)), "edges")
         nodes = self.graph.nodes()
-        good = resolved_edges(edges, nodes)
+        good = edges.limit(0) if nodes is None else resolved_edges(edges, nodes)
         if strict and good.count() < edges.count():
             raise KeyError("an edge's end is not in the graph")
-        counts = counters(good, self.graph.edges, ["src_key", "dst_key", "edge_type", "ts"]).first()
-        self.edge_observations = good if self.edge_observations is None else self.edge_observations.unionByName(good, allowMissingColumns=True)
-        self._forget()
+        old = self.graph.edges
+        counts = counters(good, old, EDGE_KEY).first()
+        if old is not None:
+            good = old.drop("confidence").withColumnRenamed("first_seq", "seq").unionByName(good, allowMissingColumns=True)
+        self.graph = Graph(self.graph.by_type, cut_lineage(fold_edges(good.drop("confidence")), "graph_edges"))
         return counts["added"], counts["merged"]
 
-    def _forget(self) -> None:
-        if self._graph is not None:
-            for df in [*self._graph.by_type.values(), self._graph.edges]:
-                if df is not None:
-                    df.unpersist()
-        self._graph = None
-
     # -- runs
 
     def run_detections(self, records: DataFrame, source: str | None = None) -> IngestRun:
@@ -106,9 +94,8 @@ class Session:
         spec = NODE_TYPES["Process"]
         obs = parsers.process_observations(scanned, "psscan", 0, F.lit(run.started_at)).unionByName(parsers.process_observations(listed, "pslist", 1, F.lit(run.started_at)))
         counts = {r["plugin"]: r["n_new"] for r in parsers.plugin_counts(obs, ["host_hostname", "pid", "start_time"]).collect()}
-        folded = fold(obs.drop("_plugin"), spec)
-        keep = [c for c in ("evidence_hash", "derivation", "observed_at", *spec.raw, *spec.columns) if c in folded.columns]
-        once = folded.select(*keep, "disagreements", F.col("first_seq").alias("seq"))
+        folded = cut_lineage(fold(obs.drop("_plugin"), spec), "processes")
+        once = folded.select(*canonical_columns(spec, folded.columns), F.col("first_seq").alias("seq")).drop("n_observations")
         run.nodes_added, run.nodes_merged = self.add_observations("Process", once)
         run.parser_stats = {"psscan_count": counts.get("psscan", 0), "pslist_count": counts.get("pslist", 0)}
         if relations is not None:
@@ -126,7 +113,8 @@ class Session:
         return runs_summary(self.runs)
 
     def stats(self) -> dict:
-        return {"evidence_count": len(self.store), "node_count": self.graph.node_count(), "edge_count": self.graph.edge_count(), "ingest_runs": len(self.runs), "findings": len(self.report)}
+        nodes, edges = self.graph.counts()
+        return {"evidence_count": len(self.store), "node_count": nodes, "edge_count": edges, "ingest_runs": len(self.runs), "findings": len(self.report)}
 
     # -- the five calls
 
@@ -140,7 +128,7 @@ class Session:
             run = self.run_detections(records, str(file))
         except OSError as e:
             return {"status": "error", "error": "unreadable_source", "message": str(e)}
-        return {"status": "ok", "source_type": source_type, "evidence_hash": run.evidence_hash, "records_read": n, "nodes_added": run.nodes_added, "nodes_merged": run.nodes_merged, "skipped_event_count": run.parser_stats["skipped_event_count"], "graph_totals": {"nodes": self.graph.node_count(), "edges": self.graph.edge_count()}}
+        return {"status": "ok", "source_type": source_type, "evidence_hash": run.evidence_hash, "records_read": n, "nodes_added": run.nodes_added, "nodes_merged": run.nodes_merged, "skipped_event_count": run.parser_stats["skipped_event_count"], "graph_totals": dict(zip(("nodes", "edges"), self.graph.counts(), strict=True))}
 
     def query_graph(self, node_type: str | None = None, filters: list[dict] | None = None, limit: int = DEFAULT_LIMIT) -> dict:
         return self.graph.query(node_type, filters, limit)
@@ -159,7 +147,7 @@ class Session:
             out["source_evidence"] = {c: meta[c] for c in ("original_name", "size_bytes", "ingested_at")}
         return out
 
-    def commit_finding(self, claim: str, supporting_node_keys: list, confidence_hint: str) -> dict:
+    def commit_finding(self, claim: str, supporting_node_keys: list, confidence_hint: str = "suspected") -> dict:
         if confidence_hint not in CONFIDENCE_RANKS:
             return {"status": "error", "error": "bad_confidence_hint", "message": f"no such confidence; there are {sorted(CONFIDENCE_RANKS)}"}
         keys = [node_key_of(self.spark, k) or str(k) for k in supporting_node_keys]
@@ -184,4 +172,4 @@ class Session:
 
     def list_evidence(self) -> dict:
         rows = [r.asDict() for r in self.store.list_all().orderBy(F.coalesce("ingested_at", F.lit("")), "evidence_hash").collect()]
-        return {"status": "ok", "evidence": rows, "evidence_count": len(rows), "ingest_runs": len(self.runs), "graph_totals": {"nodes": self.graph.node_count(), "edges": self.graph.edge_count()}}
+        return {"status": "ok", "evidence": rows, "evidence_count": len(rows), "ingest_runs": len(self.runs), "graph_totals": dict(zip(("nodes", "edges"), self.graph.counts(), strict=True))}

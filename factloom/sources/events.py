@@ -11,14 +11,10 @@ from ..functions.text import detection_path, iso_time_text
 
 # Names in the records.
 THREAT, ACTION, PATH = "Threat Name", "Action Name", "Path"
-EVENT_XML = """
-System struct<EventID: struct<_VALUE: string, _Qualifiers: string>,
-              TimeCreated: struct<_SystemTime: string, _VALUE: string>,
-              Computer: string,
-              EventRecordID: string>,
-EventData struct<Data: array<struct<_Name: string, _VALUE: string>>>,
-_corrupt_record string
-"""
+_SYSTEM = "System struct<EventID: struct<_VALUE: string, _Qualifiers: string>, TimeCreated: struct<_SystemTime: string, _VALUE: string>, Computer: string, EventRecordID: string>"
+_DATA = "EventData struct<Data: array<struct<_Name: string, _VALUE: string>>>"
+EVENT_XML = f"{_SYSTEM}, {_DATA}, _corrupt_record string"
+SYSTEM_XML = f"{_SYSTEM}, _corrupt_record string"
 
 
 def parse_records(records: DataFrame, xml: str = "value") -> DataFrame:
@@ -30,8 +26,7 @@ def parse_records(records: DataFrame, xml: str = "value") -> DataFrame:
     record_id = F.expr("try_cast(_e.System.EventRecordID as bigint)")
     time = system["TimeCreated"]["_SystemTime"]
     computer = F.nullif(system["Computer"], F.lit(""))
-    usable_id = F.coalesce(system["EventRecordID"], F.lit("")).isin("") | record_id.isNotNull()
-    valid = F.col("_e").isNotNull() & F.col("_e._corrupt_record").isNull() & event_id.isNotNull() & time.isNotNull() & computer.isNotNull() & usable_id
+    valid = usable()
     named = F.filter(F.coalesce(F.col("_e.EventData.Data"), F.array().cast("array<struct<_Name:string,_VALUE:string>>")), lambda d: d["_Name"].isNotNull())
     pairs = F.transform(named, lambda d: F.struct(d["_Name"].alias("k"), F.coalesce(d["_VALUE"], F.lit("")).alias("v")))
     # Of pairs with one name the last counts.
@@ -47,6 +42,20 @@ def parse_records(records: DataFrame, xml: str = "value") -> DataFrame:
     )
 
 
+def checked_records(records: DataFrame, xml: str = "value") -> DataFrame:
+    """Rows of XML text with `valid` alone: what counting needs, without the named data."""
+    e = F.from_xml(F.col(xml), SYSTEM_XML, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return records.select(e.alias("_e")).select(F.coalesce(usable(), F.lit(False)).alias("valid"))
+
+
+def usable() -> Column:
+    """Whether a parsed record `_e` is whole and has what is required of it."""
+    system = F.col("_e.System")
+    known_id = F.coalesce(system["EventRecordID"], F.lit("")).isin("") | F.expr("try_cast(_e.System.EventRecordID as bigint)").isNotNull()
+    event_id = F.expr("try_cast(_e.System.EventID._VALUE as int)")
+    return F.col("_e").isNotNull() & F.col("_e._corrupt_record").isNull() & event_id.isNotNull() & system["TimeCreated"]["_SystemTime"].isNotNull() & F.nullif(system["Computer"], F.lit("")).isNotNull() & known_id
+
+
 def read_stats(parsed: DataFrame) -> DataFrame:
     return parsed.agg(F.count("*").alias("records_read"), F.count_if("valid").alias("records_yielded"), F.count_if(~F.col("valid")).alias("records_skipped_malformed"))
 

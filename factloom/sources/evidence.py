@@ -1,4 +1,9 @@
-"""A content-addressed store of source files: one copy for each SHA-256, and a manifest."""
+"""A content-addressed store of source files: one copy for each SHA-256, and one manifest entry beside it.
+
+The manifest is a folder with a JSON file for each hash, read by Spark as a table. An entry is
+made under its final name or not at all, so that sources can be stored at the same time and a
+run that stops half-way leaves nothing that looks stored.
+"""
 
 from __future__ import annotations
 
@@ -6,33 +11,32 @@ import hashlib
 import json
 import os
 import shutil
+import uuid
 from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 64 << 10
+CHUNK = 1 << 20
 MANIFEST = "evidence_hash string, original_path string, original_name string, stored_path string, ingested_at string, size_bytes long"
 PUBLIC = ["evidence_hash", "original_name", "size_bytes", "ingested_at"]
 
 
 def hash_file(path: str | Path) -> str:
-    digest = hashlib.sha256()
     with open(path, "rb") as f:
-        while data := f.read(CHUNK):
-            digest.update(data)
-    return digest.hexdigest()
+        return hashlib.file_digest(f, "sha256").hexdigest()
 
 
 class EvidenceStore:
-    """The manifest is a JSON file next to the copies; it is replaced as a whole and survives restarts."""
-
     def __init__(self, spark: SparkSession, root: str | Path) -> None:
         self.spark, self.root = spark, Path(root)
-        self.root.mkdir(parents=True, exist_ok=True)
-        self.file = self.root / "manifest.json"
-        self.entries: dict[str, dict] = json.loads(self.file.read_text()) if self.file.exists() else {}
+        self.copies, self.book = self.root / "copies", self.root / "manifest"
+        for folder in (self.copies, self.book):
+            folder.mkdir(parents=True, exist_ok=True)
+
+    def _entry(self, sha: str) -> Path:
+        return self.book / f"{sha}.json"
 
     def ingest(self, path: str | Path) -> str:
         """Copies the file unless its content is known; the first name stays. Returns the hash."""
@@ -41,44 +45,68 @@ class EvidenceStore:
             raise FileNotFoundError(source)
         if not source.is_file():
             raise ValueError(f"not a regular file: {source}")
-        sha = hash_file(source)
-        if sha not in self.entries:
-            stored = self.root / f"{sha}{source.suffix}"
-            shutil.copyfile(source, stored)
-            self.entries[sha] = {"original_path": str(source), "original_name": source.name, "stored_path": str(stored), "ingested_at": datetime.now(UTC).isoformat(), "size_bytes": source.stat().st_size}
-            self._save()
+        draft = self.copies / f".{uuid.uuid4().hex}"
+        digest, size = hashlib.sha256(), 0
+        with source.open("rb") as a, draft.open("wb") as b:  # read once: what is hashed is what is kept
+            while data := a.read(CHUNK):
+                digest.update(data)
+                size += len(data)
+                b.write(data)
+        sha = digest.hexdigest()
+        if self.has(sha):
+            draft.unlink()
+            return sha
+        stored = self.copies / f"{sha}{source.suffix}"
+        os.replace(draft, stored)
+        row = (sha, str(source), source.name, str(stored), datetime.now(UTC).isoformat(), size)
+        text = json.dumps(dict(zip([c.split()[0] for c in MANIFEST.split(", ")], row, strict=True)))
+        draft.write_text(text)
+        try:
+            os.link(draft, self._entry(sha))  # of two that store the same at once, one wins
+        except FileExistsError:
+            pass
+        draft.unlink()
         return sha
 
-    def _save(self) -> None:
-        draft = self.file.with_suffix(".tmp")
-        draft.write_text(json.dumps(self.entries, sort_keys=True, indent=1))
-        os.replace(draft, self.file)
-
     def has(self, sha: str) -> bool:
-        return sha in self.entries
+        return self._entry(sha).exists()
 
     def __len__(self) -> int:
-        return len(self.entries)
+        return sum(p.suffix == ".json" for p in self.book.iterdir())
+
+    def get_metadata(self, sha: str) -> dict:
+        if not self.has(sha):
+            raise KeyError(sha)
+        return json.loads(self._entry(sha).read_text())
 
     def get_path(self, sha: str) -> Path:
-        return Path(self.entries[sha]["stored_path"])
+        return Path(self.get_metadata(sha)["stored_path"])
 
     def read(self, sha: str) -> bytes:
         return self.get_path(sha).read_bytes()
 
-    def get_metadata(self, sha: str) -> dict:
-        return dict(self.entries[sha])
-
     def manifest(self) -> DataFrame:
-        return self.spark.createDataFrame([(sha, *(e[c] for c in ("original_path", "original_name", "stored_path", "ingested_at", "size_bytes"))) for sha, e in self.entries.items()], MANIFEST)
+        return self.spark.read.schema(MANIFEST).json(f"file://{self.book.resolve()}")
 
     def list_all(self) -> DataFrame:
         return self.manifest().select(*PUBLIC)
 
     def contents(self) -> DataFrame:
         """path, length and SHA-256 of the stored copies, from the bytes."""
-        files = self.spark.read.format("binaryFile").load(str(self.root))
-        return files.where(~F.col("path").endswith("manifest.json")).select("path", "length", F.sha2("content", 256).alias("evidence_hash"))
+        files = self.spark.read.format("binaryFile").load(f"file://{self.copies.resolve()}")
+        return files.select("path", "length", F.sha2("content", 256).alias("evidence_hash"))
+
+
+def export_manifest(manifest: DataFrame) -> DataFrame:
+    """(evidence_hash, entry): the entries as JSON text, for systems that read one."""
+    rest = [c for c in manifest.columns if c != "evidence_hash"]
+    return manifest.select("evidence_hash", F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("entry"))
+
+
+def stored(hashes: DataFrame, manifest: DataFrame) -> DataFrame:
+    """hashes (evidence_hash, ...) with `stored`: whether the manifest has them. has() for a table."""
+    have = manifest.select("evidence_hash").distinct().withColumn("stored", F.lit(True))
+    return hashes.join(have, "evidence_hash", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
 
 
 def dedup_blobs(blobs: DataFrame, content: str, seq: str) -> DataFrame:

@@ -14,20 +14,32 @@ from ..plans.fold import fold
 from ..plans.schema import NodeType
 
 
+#: Parts that identities are dealt over; a batch reads only the parts that it touches.
+BUCKETS = 64
+
+
 class StreamingFold:
-    """Observations in `<path>/observations`, one folder a batch, so that a batch that runs again replaces itself;
-    each batch's refolded identities in `<path>/versions`. The newest version of an identity is its canonical row."""
+    """Observations in `<path>/observations`, by part of the identities and batch, so that a batch that runs again
+    replaces itself and reads only what its identities can have; each batch's refolded identities in
+    `<path>/versions`. The newest version of an identity is its canonical row."""
 
-    def __init__(self, spark: SparkSession, path: str, spec: NodeType) -> None:
-        self.spark, self.path, self.spec = spark, path.rstrip("/"), spec
+    def __init__(self, spark: SparkSession, path: str, spec: NodeType, buckets: int = BUCKETS) -> None:
+        self.spark, self.path, self.spec, self.buckets = spark, path.rstrip("/"), spec, buckets
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        keyed = self.spec.keyed(batch).drop(*[k for k in self.spec.key if k not in self.spec.raw])
-        keyed.write.mode("overwrite").parquet(f"{self.path}/observations/batch={batch_id}")
-        touched = spark.read.parquet(f"{self.path}/observations/batch={batch_id}").select("node_key").distinct()
-        all_ = spark.read.option("mergeSchema", "true").parquet(f"{self.path}/observations").where(F.col("batch") <= batch_id).drop("batch")
-        again = fold(all_.join(touched, "node_key", "left_semi").drop("node_key"), self.spec)
+        bucket = F.pmod(F.xxhash64(*self.spec.key), F.lit(self.buckets)).cast("int")
+        keyed = self.spec.keyed(batch).withColumn("bucket", bucket).drop(*[k for k in self.spec.key if k not in self.spec.raw])
+        folder = f"{self.path}/observations/batch={batch_id}"
+        keyed.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        mine = spark.read.parquet(folder)
+        touched = mine.select("bucket", "node_key").distinct()
+        parts = [r["bucket"] for r in mine.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        if not parts:
+            return
+        held = spark.read.option("mergeSchema", "true").parquet(f"{self.path}/observations")
+        near = held.where((F.col("batch") <= batch_id) & F.col("bucket").isin(parts))
+        again = fold(near.join(touched, ["bucket", "node_key"], "left_semi").drop("node_key", "batch", "bucket"), self.spec)
         again.write.mode("overwrite").parquet(f"{self.path}/versions/batch={batch_id}")
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
