@@ -8,6 +8,7 @@ import os
 import duckdb
 import pytest
 
+import factloom.service_queries  # noqa: F401
 from factloom.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
