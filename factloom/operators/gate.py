@@ -14,10 +14,10 @@ def missing_keys(support: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def edge_evidence(edges: DataFrame) -> DataFrame:
-    """(node_key, n, all_c, any_s): for each end of an edge with a confidence, once; to be added up by node."""
-    rated = edges.where("confidence is not null").select("src_key", "dst_key", (F.col("confidence") == "confirmed").alias("all_c"), F.col("confidence").isin("confirmed", "suspected").alias("any_s"))
-    ends = [rated.groupBy(F.col(end).alias("node_key")).agg(F.count("*").alias("n"), F.bool_and("all_c").alias("all_c"), F.bool_or("any_s").alias("any_s")) for end in ("src_key", "dst_key")]
-    return ends[0].unionAll(ends[1])
+    """(node_key, n, all_c, any_s) over the edges with a confidence, each counted at both its ends."""
+    sure = F.col("confidence") == "confirmed"
+    ends = edges.where("confidence is not null").select(F.explode(F.array("src_key", "dst_key")).alias("node_key"), sure.alias("c"), (sure | (F.col("confidence") == "suspected")).alias("s"))
+    return ends.groupBy("node_key").agg(F.count("*").alias("n"), F.bool_and("c").alias("all_c"), F.bool_or("s").alias("any_s"))
 
 
 def node_evidence(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:

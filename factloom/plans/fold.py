@@ -21,7 +21,8 @@ from ..functions.text import MEMORY_SOURCE, account_rank, edge_confidence, key_t
 from . import schema as S
 
 LOG = "array<struct<value:string,source:string>>"
-_ID = "_identity"
+#: An identity, and before it a hash of it: sorting and shuffling look at the number first.
+_ID = ["_hash", "_identity"]
 
 
 class MergeConflict(ValueError):
@@ -43,7 +44,6 @@ def _memory(c: str, seq: str) -> Column:
 
 
 OFFERS: dict[str, Policy] = {
-    S.FIRST: (_at, F.min),
     S.KNOWN: (lambda c, seq: F.when(F.col(c).isNotNull(), _at(c, seq)), F.min),
     S.RANKED: (lambda c, seq: F.struct((-account_rank(F.col(c))).alias("r"), F.col(seq).alias("s"), F.col(c).alias("v")), F.min),
 }
@@ -104,15 +104,15 @@ def fold(obs: DataFrame, spec: S.NodeType, *, strict: bool = True, seq: str = "s
     Rows that carry another node_type are an error.
     """
     obs = guarded(obs, spec.name)
-    keyed = obs.withColumns({name: make() for name, (_, make) in spec.key.items()}).withColumn(_ID, F.struct(*spec.key))
+    keyed = obs.withColumns({name: make() for name, (_, make) in spec.key.items()}).withColumns({"_hash": F.xxhash64(*spec.key), "_identity": F.struct(*spec.key)})
     present = {c: p for c, (_, p) in spec.columns.items() if c in obs.columns}
     unions = [c for c, p in present.items() if p == S.UNION]
     f = _Fold()
-    for c in [*S.PROVENANCE, *spec.raw]:
-        if c in obs.columns:
-            f.add(c, S.FIRST, seq)
+    head = [c for c in [*S.PROVENANCE, *spec.raw] if c in obs.columns] + [c for c, p in present.items() if p == S.FIRST]
+    f.offers["_head"] = F.struct(F.col(seq).alias("s"), *head), F.min
+    f.results |= {c: F.col(f"_head.{c}") for c in head}
     for c, p in present.items():
-        if p not in (S.NEWEST, S.UNION):
+        if p not in (S.NEWEST, S.UNION, S.FIRST):
             f.add(c, p, seq)
     f.offers["first_seq"] = F.col(seq), F.min
     f.offers["n_observations"] = (F.col("n_observations") if "n_observations" in obs.columns else F.lit(1).cast("long")), F.sum
@@ -122,31 +122,31 @@ def fold(obs: DataFrame, spec: S.NodeType, *, strict: bool = True, seq: str = "s
         f.offers[f"_low_{c}"], f.offers[f"_high_{c}"] = (differs(c), F.min), (differs(c), F.max)
     if unique:
         f.results["conflicts"] = F.array_compact(F.array(*(F.when(F.coalesce(F.col(f"_low_{c}") != F.col(f"_high_{c}"), F.lit(False)), F.lit(c)) for c in unique)))
-    rows = keyed.select(_ID, *f.rows(), *(F.coalesce(F.col(c), F.array().cast("array<string>")).alias(f"_u_{c}") for c in unions))
+    rows = keyed.select(*_ID, *f.rows(), *(F.coalesce(F.col(c), F.array().cast("array<string>")).alias(f"_u_{c}") for c in unions))
     if unions:
         # Equal lists of an identity are folded first: what is collected is as long as its lists are different.
         lists = [f"_u_{c}" for c in unions]
-        rows = rows.groupBy(_ID, *lists).agg(*f.aggregates())
+        rows = rows.groupBy(*_ID, *lists).agg(*f.aggregates())
         for c in unions:
             f.offers[f"_l_{c}"] = F.struct(F.col("first_seq").alias("s"), F.col(f"_u_{c}").alias("v")), F.collect_list
             f.results[c] = ordered_union(F.col(f"_l_{c}"))
-        nodes = rows.groupBy(_ID).agg(*(how(F.col(n) if not n.startswith("_l_") else o).alias(n) for n, (o, how) in f.offers.items()))
+        nodes = rows.groupBy(*_ID).agg(*(how(F.col(n) if not n.startswith("_l_") else o).alias(n) for n, (o, how) in f.offers.items()))
     else:
-        nodes = rows.groupBy(_ID).agg(*f.aggregates())
-    nodes = nodes.select(_ID, *(c.alias(n) for n, c in f.results.items()))
+        nodes = rows.groupBy(*_ID).agg(*f.aggregates())
+    nodes = nodes.select(*_ID, *(c.alias(n) for n, c in f.results.items()))
     if unique and strict:
-        guard = F.assert_true(F.size("conflicts") == 0, F.concat(F.lit("conflicting values of "), F.array_join("conflicts", ", "), F.lit(" for "), F.to_json(_ID)))
+        guard = F.assert_true(F.size("conflicts") == 0, F.concat(F.lit("conflicting values of "), F.array_join("conflicts", ", "), F.lit(" for "), F.to_json("_identity")))
         nodes = nodes.where(guard.isNull())
     if spec.newest_by:
         nodes = nodes.join(newest(keyed, [c for c, p in present.items() if p == S.NEWEST], spec.newest_by, seq), _ID)
     if spec.logs:
         logged = [c for c, p in present.items() if p == S.LOGGED]
         if logged:
-            nodes = nodes.join(disagreements(keyed, nodes.select(_ID, *logged), logged, seq), _ID, "left")
+            nodes = nodes.join(disagreements(keyed, nodes.select(*_ID, *logged), logged, seq), _ID, "left")
         else:
             nodes = nodes.withColumn("disagreements", F.lit(None).cast(f"map<string,{LOG}>"))
-    keys = [F.col(f"{_ID}.{k}") for k in spec.key]
-    rest = [c for c in nodes.columns if c not in (_ID, *spec.key)]
+    keys = [F.col(f"_identity.{k}") for k in spec.key]
+    rest = [c for c in nodes.columns if c not in (*_ID, *spec.key)]
     return nodes.select(key_text(spec.name, *keys).alias("node_key"), *keys, *rest, F.lit(spec.name).alias("node_type"))
 
 
@@ -166,15 +166,15 @@ def foreign(obs: DataFrame, spec: S.NodeType) -> DataFrame:
 def newest(keyed: DataFrame, columns: list[str], by: str, seq: str) -> DataFrame:
     """The first known values from the anchor on: the first row that has the newest time (the first row if no time is known)."""
     order = F.struct(F.col(by).isNull().alias("unknown"), (-F.unix_micros(F.col(by).cast("timestamp"))).alias("age"), F.col(seq).alias("s"))
-    anchor = keyed.select(_ID, order.alias("_o")).groupBy(_ID).agg(F.min("_o").alias("_o")).select(_ID, F.col("_o.s").alias("_anchor"))
+    anchor = keyed.select(*_ID, order.alias("_o")).groupBy(*_ID).agg(F.min("_o").alias("_o")).select(*_ID, F.col("_o.s").alias("_anchor"))
     known = [OFFERS[S.KNOWN][0](c, seq).alias(c) for c in columns]
-    rows = keyed.select(_ID, F.col(seq).alias("_s"), *known).join(anchor, _ID).where(F.col("_s") >= F.col("_anchor"))
-    return rows.groupBy(_ID).agg(*(F.min(c).alias(c) for c in columns)).select(_ID, *(F.col(f"{c}.v").alias(c) for c in columns))
+    rows = keyed.select(*_ID, F.col(seq).alias("_s"), *known).join(anchor, _ID).where(F.col("_s") >= F.col("_anchor"))
+    return rows.groupBy(*_ID).agg(*(F.min(c).alias(c) for c in columns)).select(*_ID, *(F.col(f"{c}.v").alias(c) for c in columns))
 
 
 def disagreement_rows(keyed: DataFrame, baseline: DataFrame, columns: list[str], seq: str) -> DataFrame:
     """Long form, one row for each difference: (identity, order, place in the row, field, value, source). Nothing is collected."""
-    base = baseline.select(_ID, *(F.col(c).alias(f"_b_{c}") for c in columns))
+    base = baseline.select(*_ID, *(F.col(c).alias(f"_b_{c}") for c in columns))
     has_own = "disagreements" in keyed.columns
     empty = F.array().cast(LOG)
 
@@ -183,9 +183,9 @@ def disagreement_rows(keyed: DataFrame, baseline: DataFrame, columns: list[str],
         own = F.coalesce(F.try_element_at(F.col("disagreements"), F.lit(c)), empty) if has_own else empty
         return F.struct(F.lit(c).alias("field"), F.concat(found, own).alias("entries"))
 
-    needed = keyed.select(_ID, F.col(seq).alias("_s"), *columns, "derivation", *(["disagreements"] if has_own else []))
-    rows = needed.join(base, _ID).select(_ID, "_s", F.explode(F.filter(F.array(*map(entries, columns)), lambda e: F.size(e["entries"]) > 0)).alias("e"))
-    return rows.select(_ID, "_s", F.col("e.field").alias("field"), F.posexplode("e.entries").alias("place", "entry")).select(_ID, "_s", "place", "field", "entry.value", "entry.source")
+    needed = keyed.select(*_ID, F.col(seq).alias("_s"), *columns, "derivation", *(["disagreements"] if has_own else []))
+    rows = needed.join(base, _ID).select(*_ID, "_s", F.explode(F.filter(F.array(*map(entries, columns)), lambda e: F.size(e["entries"]) > 0)).alias("e"))
+    return rows.select(*_ID, "_s", F.col("e.field").alias("field"), F.posexplode("e.entries").alias("place", "entry")).select(*_ID, "_s", "place", "field", "entry.value", "entry.source")
 
 
 def disagreements(keyed: DataFrame, baseline: DataFrame, columns: list[str], seq: str) -> DataFrame:
@@ -194,11 +194,11 @@ def disagreements(keyed: DataFrame, baseline: DataFrame, columns: list[str], seq
     A column's log is collected on its own; where logs may outgrow a row, disagreement_rows() has them in long form.
     """
     rows = disagreement_rows(keyed, baseline, columns, seq)
-    logs = rows.groupBy(_ID, "field").agg(F.array_sort(F.collect_list(F.struct("_s", "place", F.struct("value", "source").alias("entry")))).alias("log"))
-    logs = logs.select(_ID, "field", F.transform("log", lambda x: x["entry"]).cast(LOG).alias("log"))
+    logs = rows.groupBy(*_ID, "field").agg(F.array_sort(F.collect_list(F.struct("_s", "place", F.struct("value", "source").alias("entry")))).alias("log"))
+    logs = logs.select(*_ID, "field", F.transform("log", lambda x: x["entry"]).cast(LOG).alias("log"))
     order = F.array(*map(F.lit, columns))
     per_field = F.array_sort(F.collect_list(F.struct(F.array_position(order, F.col("field")).alias("n"), "field", "log")))
-    return logs.groupBy(_ID).agg(per_field.alias("_f")).select(_ID, F.map_from_entries(F.transform("_f", lambda x: F.struct(x["field"].alias("key"), x["log"].alias("value")))).alias("disagreements"))
+    return logs.groupBy(*_ID).agg(per_field.alias("_f")).select(*_ID, F.map_from_entries(F.transform("_f", lambda x: F.struct(x["field"].alias("key"), x["log"].alias("value")))).alias("disagreements"))
 
 
 def canonical_columns(spec: S.NodeType, columns: list[str]) -> list[str]:
