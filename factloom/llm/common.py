@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut_lineage, scratch
+
+__all__ = ["cut_lineage", "scratch"]
+
 #: Rows that Spark hands to Python at a time; long texts would make larger batches heavy.
 BATCH_ROWS = 1000
 _LIBC = ctypes.CDLL(None)
@@ -30,22 +32,21 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only where the setting is absent (local runs, tests) a temporary folder takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
-    return f"{root.rstrip('/')}/factloom-{uuid.uuid4().hex}"
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """Names for helper columns that none of `columns` has, in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes df below the shared folder and reads it back: a lost executor costs no recomputation."""
-    path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def only(df: DataFrame, **columns: str) -> DataFrame:
+    """df with the columns named, under these names, and no others: what an operator needs of a table that may have any."""
+    return df.select(*(F.col(f"`{c}`").alias(n) for n, c in columns.items()))
 
 
 #: The one model that a Python worker keeps between tasks.
@@ -141,6 +142,7 @@ def attach(rows: DataFrame, stats: DataFrame, key: list[str], spread: Column, wa
     Each key's rows are dealt over `ways` sub-keys by `spread`; stats is copied only to the
     sub-keys that occur, at most `ways` times. No task gets all rows of a key.
     """
-    salted = rows.withColumn("_way", F.pmod(F.xxhash64(spread), F.lit(ways)).cast("int"))
-    used = salted.select(*key, "_way").distinct().join(stats, key)
-    return salted.join(used, [*key, "_way"], "left").drop("_way")
+    (way,) = fresh([*rows.columns, *stats.columns], "_way")
+    salted = rows.withColumn(way, F.pmod(F.xxhash64(spread), F.lit(ways)).cast("int"))
+    used = salted.select(*key, way).distinct().join(stats, key)
+    return salted.join(used, [*key, way], "left").drop(way)

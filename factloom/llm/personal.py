@@ -1,19 +1,25 @@
 """Personal data in texts: plain identifiers, and disguised ones found by offset-preserving deobfuscation.
 
-A transducer rewrites homoglyphs, spelled digits and at/dot disguises to plain characters and
-keeps, for every character it writes, the source characters that it stands for. Detectors run
-on the rewritten text; their spans are mapped back to the source. Plain ("base") spans are
-detected on the source itself and always stay; a disguised span is added where it overlaps no
-base span of its kind.
+Three transducers read a text one after the other and write it anew: one character at a time
+(homoglyphs, wide forms, digits of other scripts, invisible characters), then token by token
+(spelled digits, "plus"), then marker by marker (at and dot disguises). Each keeps, for every
+character that it writes, the source characters that it stands for. Detectors run on what is
+written; their spans are mapped back to the source. Plain ("base") spans are detected on the
+source itself and always stay; a disguised span is added where it overlaps no base span of its
+kind. Every step is linear in the text's length.
 
 Spans are code points, end exclusive. Null and empty texts have no spans; repeated rows each
-get their row; order of rows and extra columns do not matter.
+get their row; order of rows and extra columns do not matter. Parts of addresses may have any
+number of digits.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from bisect import bisect_left
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +30,7 @@ KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
@@ -49,18 +55,13 @@ TOP_LEVEL = frozenset("com org net edu gov mil info biz io co ai app dev me us u
 #: Words that begin prose rather than a domain after a bare "at".
 PROSE = frozenset("the a an this that these those my your our his her its their it one home least last first all any some no".split())
 
-_AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+(?:at|AT|At)\s+|\s*@\s*)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|DOT|Dot)\s+|\.)"
-_WORDED = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*?)({_AT})([A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])")
-#: A disguised dot between digits, as in addresses written 10[.]0[.]0[.]1 or 10 dot 0 dot 0 dot 1.
-_NUMBER_DOT = re.compile(r"(?i)(?<=[0-9])(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)(?=[0-9])")
-_WORD_DOT = re.compile(_DOT, re.IGNORECASE)
-_BRACKET = re.compile(r"[\[({<]")
-#: Wherever _WORDED or a disguised dot would change something, this finds something.
-_WORDED_HINT = re.compile(r"(?i)\bdot\b|[\[({<]\s*(?:at|@|dot|punkt|point|punto|\.)\s*[\])}>]|\sat\s+[a-z0-9-]+\.[a-z0-9-]|\s@|@\s")
-_DIGIT_WORDS = re.compile(r"(?i)(?<![A-Za-z])(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?:[\s,.-]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9]))+(?![A-Za-z])")
-_LONE_DIGIT = re.compile(r"(?i)(?<![A-Za-z])(?:zero|one|two|three|four|five|six|seven|eight|nine)(?=\s+dot\b)|(?<=\bdot )(?:zero|one|two|three|four|five|six|seven|eight|nine)(?![A-Za-z])")
-_PLUS_WORD = re.compile(r"(?i)(?<![A-Za-z])plus[\s-]+(?=[0-9])")
+#: Markers without the white space around them, which a scan adds: a regular expression that begins with it would look at long runs again and again.
+_AT = re.compile(r"(?i)[\[({<]\s*+(?:at|@)\s*+[\])}>]|(?<!\S)at(?!\S)|@")
+_DOT = re.compile(r"(?i)[\[({<]\s*+(?:dot|punkt|point|punto|\.)\s*+[\])}>]|(?<!\S)dot(?!\S)")
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
+#: Wherever a transducer would change something that matters, this finds something.
+_HINT = re.compile(r"(?i)\bdot\b|[\[({<]\s*+(?:at|@|dot|punkt|point|punto|\.)\s*+[\])}>]|\sat\s++[a-z0-9-]++\.[a-z0-9-]|\s@|@\s|(?<![a-z])plus[\s-]++(?:[0-9]|zero|oh|one|two|three|four|five|six|seven|eight|nine)|(?<![a-z])(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[\s,.-]++(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9])")
+_TOKEN = re.compile(r"[A-Za-z]+|[0-9]|[\s,.-]+|[^A-Za-z0-9\s,.-]+")
 _ODD = re.compile("[^\x00-\x7fÀ-ÿ]")
 
 
@@ -88,7 +89,20 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 
 def addresses(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    """Runs of numbers joined by dots, taken four at a time from the left."""
+    found = []
+    for m in _NUMBERS.finditer(text):
+        if m[0].count(".") < 3:
+            continue
+        at, ends = m.start(), []
+        parts = m[0].split(".")
+        for p in parts:
+            ends.append((at, at + len(p), len(x := p.lstrip("0")) < 4 and int(x or "0") <= 255))
+            at += len(p) + 1
+        for k in range(0, len(ends) - 3, 4):
+            if all(small for _, _, small in ends[k : k + 4]):
+                found.append((ends[k][0], ends[k + 3][1]))
+    return found
 
 
 def cards(text: str) -> list[tuple[int, int]]:
@@ -145,6 +159,7 @@ class Rewritten:
         return self.start[a], self.end[b - 1]
 
 
+@cache
 def fold(c: str) -> str:
     if c in INVISIBLE:
         return ""
@@ -152,67 +167,177 @@ def fold(c: str) -> str:
         return HOMOGLYPHS[c]
     if ord(c) in WIDE:
         return chr(ord(c) - 0xFEE0)
-    return str(ord(c) - zero) if c.isdecimal() and (zero := _zero(c)) is not None else c
-
+    value = unicodedata.digit(c, None) if c.isdecimal() else None
+    return c if value is None else str(value)
+
+
+Edit = tuple[int, int, str]
+
+
+def characters(text: str) -> list[Edit]:
+    """First transducer: each character by itself."""
+    return [(m.start(), m.end(), n) for m in _ODD.finditer(text) if (n := fold(m[0])) != m[0]]
+
+
+# Second transducer: states, and the token classes that lead on.
+OUTSIDE, NUMBER, GAP, SIGN = range(4)
+
+
+def digits(text: str) -> list[Edit]:
+    """Second transducer: runs of spelled digits, and "plus" before a digit, token by token.
+
+    A run begins with a spelled digit and goes on over a gap to a spelled digit or a figure; a run
+    of one counts only beside the word "dot". What a run would write is held until it ends.
+    """
+    edits: list[Edit] = []
+    held: list[Edit] = []
+    state, sign, before = OUTSIDE, None, ""
+    tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text)]
+
+    def end(after: str, gap: Edit | None) -> None:
+        nonlocal held
+        if len(held) == 1:
+            beside = after == "dot" and gap is not None and gap[2].isspace() or before == "dot"
+            held = held if beside and text[held[0][0] : held[0][1]].lower() != "oh" else []
+        edits.extend(held)
+        held = []
+
+    gap: Edit | None = None
+    last_word, last_gap = "", ""
+    for a, b, token in tokens:
+        low = token.lower()
+        figure = SPELLED.get(low) or (token if token.isdigit() else None)
+        spacing = token[0] in ",.-" or token[0].isspace()
+        if state == SIGN and not spacing:
+            if (figure is not None) and sign is not None:
+                edits.append(sign)
+            state, sign = OUTSIDE, None
+        if state == NUMBER:
+            if spacing:
+                state, gap = GAP, (a, b, token)
+                last_gap = token
+                continue
+            if token[0].isalpha() and text[held[-1][0] : held[-1][1]].isdigit():  # a figure that goes on in letters is no digit of its own
+                held = held[:-2]
+            end(low, None)
+            state = OUTSIDE
+        elif state == GAP:
+            if figure is not None:
+                held += [(gap[0], gap[1], ""), (a, b, figure)]
+                state = NUMBER
+                last_word, last_gap = low, ""
+                continue
+            end(low, gap)
+            state = OUTSIDE
+        if low in SPELLED:
+            before = last_word if last_gap == " " else ""
+            held, state = [(a, b, SPELLED[low])], NUMBER
+        elif low == "plus":
+            state, sign = SIGN, None
+        elif state == SIGN and spacing and all(c.isspace() or c == "-" for c in token):
+            sign = (a - 4, b, "+")
+            continue
+        if spacing:
+            last_gap = token
+        else:
+            last_word, last_gap = low, ""
+    if held:
+        end("", None)
+    return sorted(edits)
+
+
+def spaced(text: str, a: int, b: int) -> tuple[int, int]:
+    """The span with the white space around it."""
+    while a > 0 and text[a - 1].isspace():
+        a -= 1
+    while b < len(text) and text[b].isspace():
+        b += 1
+    return a, b
+
+
+def markers(text: str) -> list[Edit]:
+    """Third transducer: from each at outward, over labels that plain or disguised dots join; disguised dots between figures as well.
+
+    Each stretch of text is read at most twice, by the at before it and the at after it.
+    """
+    dots = [spaced(text, m.start(), m.end()) for m in _DOT.finditer(text)]
+    edits = [(a, b, ".") for a, b in dots if a and b < len(text) and text[a - 1].isdigit() and text[b].isdigit()]
+    starts, ends = {a: b for a, b in dots}, {b: a for a, b in dots}
+    floor = 0
+    for m in _AT.finditer(text):
+        a, b = spaced(text, m.start(), m.end())
+        if m[0] == "@" and (a, b) == m.span() and not dots:
+            continue  # a plain address as it is
+        left, used = a, []
+        while left > floor:
+            if text[left - 1] in _LOCAL_SET:
+                left -= 1
+            elif left < a and left in ends and ends[left] > floor and text[ends[left] - 1] in _LOCAL_SET and text[left] != ".":
+                used.append((ends[left], left, "."))
+                left = ends[left]
+            else:
+                break
+        label = _LABEL.match(text, b)
+        if left == a or label is None:
+            continue
+        first, right, bracket, joints = label[0].lower(), label.end(), False, 0
+        while right < len(text):
+            after = right + 1 if text[right] == "." else starts.get(right)
+            label = _LABEL.match(text, after) if after else None
+            if label is None:
+                break
+            bracket |= any(c in "[({<" for c in text[right:after])
+            if text[right:after] != ".":
+                used.append((right, after, "."))
+            right, joints = label.end(), joints + 1
+        if not joints:
+            continue
+        last, bare = label_before(text, right), m[0].lower() == "at"
+        if bare and first in PROSE:
+            continue
+        if last in TOP_LEVEL or not (bare and not bracket) and len(last) > 1 and last[0].isalpha():
+            edits += [*used, (a, b, "@")]
+            floor = right
+    return sorted(set(edits))
 
-def _zero(c: str) -> int | None:
-    import unicodedata
 
-    value = unicodedata.digit(c, None)
-    return None if value is None else ord(c) - value
+def label_before(text: str, end: int) -> str:
+    a = end
+    while a > 0 and (text[a - 1].isalnum() and text[a - 1].isascii() or text[a - 1] == "-"):
+        a -= 1
+    return text[a:end].lower()
 
 
 def disguised_spans(text: str) -> list[list[tuple[int, int]]] | None:
     """The spans found after rewriting, or None where there is nothing to rewrite."""
-    odd = [(m.start(), m.end(), n) for m in _ODD.finditer(text) if (n := fold(m[0])) != m[0]]
-    if not (odd or _WORDED_HINT.search(text) or _DIGIT_WORDS.search(text) or _PLUS_WORD.search(text)):
+    odd = characters(text)
+    if not (odd or _HINT.search(text)):
         return None
     r = Rewritten(text)
-    if odd:
-        r.replace(odd)
-    words = []
-    runs = [m.span() for m in _DIGIT_WORDS.finditer(r.text)]
-    for m in _LONE_DIGIT.finditer(r.text):
-        if not any(a < m.end() and m.start() < b for a, b in runs):
-            words.append((m.start(), m.end(), SPELLED[m[0].lower()]))
-    for m in _DIGIT_WORDS.finditer(r.text):
-        at = m.start()
-        for w in re.finditer(r"[A-Za-z]+|[0-9]", m[0]):
-            words.append((at + w.start(), at + w.end(), SPELLED.get(w[0].lower(), w[0])))
-        for gap in re.finditer(r"[\s,.-]+", m[0]):
-            words.append((at + gap.start(), at + gap.end(), ""))
-    if words:
-        r.replace(sorted(words))
-    if plus := [(m.start(), m.end(), "+") for m in _PLUS_WORD.finditer(r.text)]:
-        r.replace(plus)
-    if dots := [(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(r.text)]:
-        r.replace(dots)
-    edits = []
-    for m in _WORDED.finditer(r.text):
-        if m[2].strip().lower() == "at" and re.split(r"[^a-z0-9-]", m[3].lower())[0] in PROSE:
-            continue
-        last = _WORD_DOT.sub(".", m[3]).rpartition(".")[2].lower()
-        bare = m[2].strip().lower() == "at" and not _BRACKET.search(m[3])
-        if last in TOP_LEVEL or not bare and len(last) > 1 and last[0].isalpha():
-            edits += [(m.start(1) + d.start(), m.start(1) + d.end(), ".") for d in _WORD_DOT.finditer(m[1])]
-            edits.append((m.start(2), m.end(2), "@"))
-            edits += [(m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in _WORD_DOT.finditer(m[3])]
-    if edits:
-        r.replace(edits)
+    for edits in (lambda _: odd, digits, markers):
+        if found := edits(r.text):
+            r.replace(found)
     return [[r.source(a, b) for a, b in find(r.text)] for find in DETECTORS]
 
 
+def apart(new: list[tuple[int, int]], old: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans of `new` that overlap none of `old`, which are in order and apart."""
+    starts = [a for a, _ in old]
+    out = []
+    for a, b in new:
+        k = bisect_left(starts, b)  # those before begin ahead of b; the last of them ends last
+        if k == 0 or old[k - 1][1] <= a:
+            out.append((a, b))
+    return out
+
+
 def all_spans(text: str) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
     """Base spans, and base with disguised spans, by kind and start."""
     base = base_spans(text)
     more = disguised_spans(text)
     if more is None:
         return base, base
-    both = []
-    for old, new in zip(base, more, strict=True):
-        own = sorted(old + [s for s in new if not any(s[0] < b and a < s[1] for a, b in old)])
-        both.append(own)
-    return base, both
+    return base, [sorted(old + apart(new, old)) for old, new in zip(base, more, strict=True)]
 
 
 def written(spans: list[list[tuple[int, int]]]) -> str:

@@ -35,7 +35,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, cut_lineage, pa_schema, settle, shared_folder, slices, utf8_of
+from .common import attach, cut_lineage, pa_schema, scratch, settle, slices, utf8_of
 from .neardup import mixed
 
 LENGTH = 50
@@ -271,7 +271,7 @@ def shard_table(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     blocks = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, _BLOCKS)
     buckets = max(8, min(MOST_BUCKETS, 2 * blocks._jdf.queryExecution().toRdd().getNumPartitions()))
     name = f"factloom_shards_{uuid.uuid4().hex}"
-    blocks.write.bucketBy(buckets, "shard").option("path", f"{shared_folder(spark)}/shards").option("compression", "none").saveAsTable(name)
+    blocks.write.bucketBy(buckets, "shard").option("path", f"{scratch(spark)}/shards").option("compression", "none").saveAsTable(name)
     return spark.table(name)
 
 
