@@ -3,9 +3,9 @@
 Each partition packs its own documents, in blocks of bounded size, so nothing is shuffled and a
 lost task costs only its own work. A document gives whole windows and a remainder. The
 remainders' length histogram is packed with shallow combinations that fill a window exactly (one
-to three lengths): non-negative least squares gives how often each combination repeats, rounding
-down keeps it feasible, and what is left is laid end to end, longest first, and cut at window
-ends. What a partition has left over at its end, less than a window, is cut into sequences of
+to three lengths): non-negative least squares gives how often each combination repeats, which is
+rounded to the nearest number and, most frequent first, kept within what the histogram still has;
+what is left is laid end to end, longest first, and cut at window ends. What a partition has left over at its end, less than a window, is cut into sequences of
 power-of-two lengths, which need no padding.
 
 Null and empty texts are their end id alone. Rows that repeat an id are packed as documents of
@@ -68,7 +68,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # in a text they are ordinary characters
+        # A special token in a text is one id, as the library has it: such a string is a word of its own.
+        special = list(self.library.get_added_tokens_decoder().values())
+        if any(t.lstrip or t.rstrip or t.single_word for t in special):
+            raise ValueError("special tokens that depend on what is around them")
+        names = sorted((t.content for t in special), key=len, reverse=True)
+        self.special = re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
         self.split, self.plain = regex.compile(PATTERN), re.compile(PLAIN_PATTERN)
         self.spaced = np.zeros(self.library.get_vocab_size(), bool)
         self.spaced[[i for w, i in self.library.get_vocab().items() if w.startswith("Ġ")]] = True
@@ -96,6 +101,13 @@ class WordTokenizer:
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, ids, np.array([i for x in found for i in x], np.int32)])
 
+    def words_of(self, text: str) -> list[str]:
+        split = self.split if NOT_PLAIN.search(text) else self.plain
+        if self.special is None or not self.special.search(text):
+            return split.findall(text)
+        parts = self.special.split(text)
+        return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else split.findall(part))]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, each text's followed by the end id, and how many each has."""
         if len(self.known) > MEMORY_WORDS or len(self.flat) > 8 * MEMORY_WORDS:
@@ -103,7 +115,7 @@ class WordTokenizer:
         words: list[str] = []
         counts = []
         for text in texts:
-            found = (self.split if NOT_PLAIN.search(text) else self.plain).findall(text)
+            found = self.words_of(text)
             counts.append(len(found))
             words += found
         index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
@@ -135,7 +147,7 @@ def combinations(window: int, grid: int) -> np.ndarray:
 
 def repeat_counts(histogram: np.ndarray, window: int, grid: int, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """How often each combination repeats: argmin |A x - histogram| over x >= 0 by accelerated
-    projected gradients, rounded down and kept within the histogram, most frequent first."""
+    projected gradients, rounded and kept within the histogram, most frequent first."""
     combos = combinations(window, grid)
     used = combos[(histogram[combos] * (combos > 0)).min(1, where=combos > 0, initial=1 << 62) > 0]
     if not len(used):
