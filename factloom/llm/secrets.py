@@ -3,9 +3,10 @@
 Base spans are found by regular expressions; a match's place comes from the lengths of the
 pieces between matches. The values found, and tokens with well-known prefixes, are candidates:
 their hashes are counted over the corpus by distinct repositories and owners. A candidate that
-looks live and that few owners hold is a credential of its owner (kind "live"); one that many
-owners hold was copied around and is an example. The counts are taken from pre-aggregated
-(hash, owner, repository) rows, and joined back salted, so that no value's rows meet in a task.
+looks live, that few owners hold and that stands in few repositories is a credential of its owner
+(kind "live"); one that many hold was copied around and is an example. The counts are taken from
+pre-aggregated (hash, owner, repository) rows, and joined back salted, so that no value's rows
+meet in a task; equal rows are spread over tasks in the same way.
 
 Null and empty texts have no spans; a null owner or repository counts as one of its own; rows
 with the same id and text share their spans.
@@ -13,13 +14,17 @@ with the same id and text share their spans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cut_lineage, row_key
+from .common import attach, cut_lineage, fresh, row_key
 
-#: A value that more owners hold is an example, not a secret.
+#: A value that more owners hold, or that stands in more repositories, is an example, not a secret:
+#: widely copied within one owner is copied all the same.
 MOST_OWNERS = 2
+MOST_REPOSITORIES = 3
 LEAST_LENGTH = 16
 LEAST_DISTINCT = 8
 
@@ -35,19 +40,39 @@ KINDS = ("assign", "access", "hex", "live")
 _SPAN = "struct<kind:int,start:int,stop:int,value:string>"
 
 
+#: Matches that are added up together.
+_STEP = 64
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def sums_before(lengths: Column) -> Column:
+    """For each stretch of _STEP numbers the sum of all before it. Only these few sums are appended one by one."""
+    n = F.size(lengths)
+    stretches = F.transform(F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / _STEP).cast("int"))).otherwise(F.array().cast("array<int>")), lambda b: F.aggregate(F.slice(lengths, b * _STEP + 1, _STEP), F.lit(0), lambda x, y: x + y))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(stretches, first, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+
 def matches(text: Column, pattern: str, kind: int) -> Column:
     """All matches as an array of spans. The pieces between them, from split(), give the places."""
-    empty = F.lit(None).cast(f"array<{_SPAN}>")
-    start = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast(f"array<{_SPAN}>")).alias("out"))
+    pieces = F.transform(F.split(text, pattern, -1), lambda p: F.char_length(p))
+    found = F.struct(pieces.alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
 
-    def step(acc: Column, x: Column) -> Column:
-        here = acc["at"] + F.char_length(x["gap"])
-        stop = here + F.coalesce(F.char_length(x["hit"]), F.lit(0))
-        span = F.struct(F.lit(kind).alias("kind"), here.alias("start"), stop.alias("stop"), x["hit"].alias("value"))
-        return F.struct(stop.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], span)).alias("out"))
+    def spans(x: Column) -> Column:
+        hits = F.zip_with(F.slice(x["gaps"], 1, F.size(x["hits"])), x["hits"], lambda g, h: F.struct(g.alias("gap"), h.alias("hit"), (g + F.char_length(h)).alias("n")))
+        return let(hits, lambda hs: let(F.transform(hs, lambda h: h["n"]), lambda ns: let(sums_before(ns), lambda bases: F.transform(hs, lambda h, i: span(h, i, ns, bases)))))
 
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    def span(h: Column, i: Column, ns: Column, bases: Column) -> Column:
+        stretch = F.floor(i / _STEP).cast("int")
+        inside = F.aggregate(F.slice(ns, stretch * _STEP + 1, F.pmod(i, F.lit(_STEP))), F.lit(0), lambda a, b: a + b)
+        start = F.element_at(bases, stretch + 1) + inside + h["gap"]
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start - h["gap"] + h["n"]).alias("stop"), h["hit"].alias("value"))
+
+    return let(found, spans)
 
 
 def none() -> Column:
@@ -87,7 +112,7 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"], s["stop"])), ",")
 
 
-def secret_scan(df: DataFrame, *, owner: Column, repository: Column, doc_id: str = "doc_id", text: str = "text", most_owners: int = MOST_OWNERS) -> DataFrame:
+def secret_scan(df: DataFrame, *, owner: Column, repository: Column, doc_id: str = "doc_id", text: str = "text", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """One row for each row of df: base counts and digest, all spans, and how many candidates are live or examples.
 
     Columns _id and _h tell rows apart for joins; live_spans holds the places of live values.
@@ -105,13 +130,11 @@ def secret_scan(df: DataFrame, *, owner: Column, repository: Column, doc_id: str
     owners = each.groupBy("hash", "_owner", "_repo").agg(F.lit(1).alias("one")).groupBy("hash", "_owner").agg(F.count("one").alias("repos"))
     stats = owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repositories"))
     judged = attach(each, stats, ["hash"], F.struct("_id", "_h"))
-    is_live = F.col("live") & (F.col("n_owners") <= most_owners)
-    per_row = judged.groupBy("_id", "_h").agg(
-        F.collect_set(F.when(is_live, F.struct(F.lit(3).alias("kind"), "start", "stop"))).alias("live_spans"),
-        F.count_if(is_live).alias("_n_live"),
-        F.count_if(~is_live).alias("_n_example"),
-    )
-    out = rows.join(per_row, ["_id", "_h"], "left")
+    is_live = F.col("live") & (F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories)
+    per_row = judged.where(is_live).groupBy("_id", "_h").agg(F.collect_set(F.struct(F.lit(3).alias("kind"), "start", "stop")).alias("live_spans"))
+    # Rows without candidates have nothing to look up; equal rows with some are spread over tasks.
+    without, with_ = rows.where(F.size("_found") == 0), rows.where(F.size("_found") > 0)
+    out = attach(with_, per_row, ["_id", "_h"], F.monotonically_increasing_id()).unionByName(without, allowMissingColumns=True)
     live = F.coalesce(F.col("live_spans"), F.array().cast("array<struct<kind:int,start:int,stop:int>>"))
     return out.select(
         "_id", "_h", "doc_id", "n_assign", "n_access", "n_hex",
@@ -124,24 +147,26 @@ def secret_scan(df: DataFrame, *, owner: Column, repository: Column, doc_id: str
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with the characters of each span replaced by "<secret>"; spans are in order and apart after merging."""
+    """The text with the characters of each span replaced by "<secret>"; spans that overlap count as one."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit("<secret>"))).alias("out"))
+        gap = F.struct(acc["at"].alias("start"), s["start"].alias("stop"))
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.array_append(acc["out"], gap)).alias("out"))
 
-    return F.aggregate(ordered, first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    kept = F.aggregate(ordered, first, step, lambda acc: F.array_append(acc["out"], F.struct(acc["at"].alias("start"), F.char_length(text).alias("stop"))))
+    return F.array_join(F.transform(kept, lambda g: F.substring(text, g["start"] + 1, g["stop"] - g["start"])), "<secret>")
 
 
 def mask_live(df: DataFrame, *, owner: Column, repository: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df, all columns as they are but for the text, in which live credentials are masked."""
-    found = secret_scan(df, owner=owner, repository=repository, doc_id=doc_id, text=text).where("n_live > 0").select(F.col("_id").alias("__id"), F.col("_h").alias("__h"), F.col("live_spans").alias("__spans")).dropDuplicates(["__id", "__h"])
+    id_, hash_, spans = fresh(df.columns, "_id", "_h", "_spans")
+    found = secret_scan(df, owner=owner, repository=repository, doc_id=doc_id, text=text).where("n_live > 0")
+    found = found.groupBy(F.col("_id").alias(id_), F.col("_h").alias(hash_)).agg(F.any_value("live_spans").alias(spans))
     keys = row_key(doc_id, text)
-    joined = df.withColumns({"__id": keys[0], "__h": keys[1]}).join(found, ["__id", "__h"], "left")
-    new = F.when(F.col("__spans").isNull(), F.col(f"`{text}`")).otherwise(masked(F.col(f"`{text}`"), F.col("__spans")))
+    joined = attach(df.withColumns({id_: keys[0], hash_: keys[1]}), found, [id_, hash_], F.monotonically_increasing_id())
+    new = F.when(F.col(spans).isNull(), F.col(f"`{text}`")).otherwise(masked(F.col(f"`{text}`"), F.col(spans)))
     return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
 
 
@@ -152,7 +177,7 @@ def _sql_spans(kind: str, pattern: str, name: str) -> str:
 
 
 def scan_sql() -> str:
-    """secret_scan() of documents as DuckDB SQL: a source is an owner."""
+    """secret_scan() of documents as DuckDB SQL: a source is an owner, its documents in one language are a repository."""
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
     patterns = {"a": ASSIGN, "k": ACCESS, "h": HEX, "p": PREFIXED}
     found = ", ".join(f"regexp_extract_all(t, {quoted(p)}, 0) AS m_{n}, string_split_regex(t, {quoted(p)}) AS g_{n}" for n, p in patterns.items())
@@ -160,14 +185,14 @@ def scan_sql() -> str:
     spans = ", ".join(f"{_sql_spans(k, p, n)} AS s_{n}" for (n, p), k in zip(patterns.items(), "0123", strict=True))
     text_of = lambda rows: f"coalesce(string_agg(['assign', 'access', 'hex', 'live'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind){rows}, '')"
     return f"""
-WITH d AS (SELECT doc_id, source AS owner, coalesce(text, '') AS t FROM documents),
-m AS (SELECT doc_id, owner, {found} FROM d),
-s AS (SELECT doc_id, owner, {spans} FROM m),
-base AS (SELECT doc_id, owner, list_concat(list_filter(s_a, lambda x: length({group}) >= 6), list_filter(s_k, lambda x: length(x.value) >= 20), s_h) AS b, s_p FROM s),
-rows_ AS (SELECT doc_id, owner, unnest(b, recursive := true) FROM base),
-cand AS (SELECT DISTINCT doc_id, owner, 3 AS kind, stop - length(v) AS start, stop, v FROM (SELECT doc_id, owner, stop, CASE WHEN kind = 0 THEN regexp_extract(value, {quoted(ASSIGN)}, 2) ELSE value END AS v FROM rows_ UNION ALL SELECT doc_id, owner, stop, value FROM (SELECT doc_id, owner, unnest(s_p, recursive := true) FROM base))),
-owners AS (SELECT v, count(DISTINCT owner) AS n FROM cand GROUP BY v),
-live AS (SELECT cand.* FROM cand JOIN owners USING (v) WHERE n <= {MOST_OWNERS} AND length(v) >= {LEAST_LENGTH} AND len(list_distinct(string_split(v, ''))) >= {LEAST_DISTINCT} AND NOT regexp_matches(v, {quoted(PLACEHOLDER)})),
+WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, owner, repo, {found} FROM d),
+s AS (SELECT doc_id, owner, repo, {spans} FROM m),
+base AS (SELECT doc_id, owner, repo, list_concat(list_filter(s_a, lambda x: length({group}) >= 6), list_filter(s_k, lambda x: length(x.value) >= 20), s_h) AS b, s_p FROM s),
+rows_ AS (SELECT doc_id, owner, repo, unnest(b, recursive := true) FROM base),
+cand AS (SELECT DISTINCT doc_id, owner, repo, 3 AS kind, stop - length(v) AS start, stop, v FROM (SELECT doc_id, owner, repo, stop, CASE WHEN kind = 0 THEN regexp_extract(value, {quoted(ASSIGN)}, 2) ELSE value END AS v FROM rows_ UNION ALL SELECT doc_id, owner, repo, stop, value FROM (SELECT doc_id, owner, repo, unnest(s_p, recursive := true) FROM base))),
+owners AS (SELECT v, count(DISTINCT owner) AS n, count(DISTINCT owner || chr(0) || repo) AS r FROM cand GROUP BY v),
+live AS (SELECT cand.* FROM cand JOIN owners USING (v) WHERE n <= {MOST_OWNERS} AND r <= {MOST_REPOSITORIES} AND length(v) >= {LEAST_LENGTH} AND len(list_distinct(string_split(v, ''))) >= {LEAST_DISTINCT} AND NOT regexp_matches(v, {quoted(PLACEHOLDER)})),
 every AS (SELECT doc_id, kind, start, stop, true AS is_base FROM rows_ UNION ALL SELECT doc_id, kind, start, stop, false FROM live),
 n AS (SELECT doc_id, count(*) AS n FROM cand GROUP BY 1)
 SELECT d.doc_id, count(*) FILTER (WHERE is_base AND kind = 0) AS n_assign, count(*) FILTER (WHERE is_base AND kind = 1) AS n_access, count(*) FILTER (WHERE is_base AND kind = 2) AS n_hex,
