@@ -1,38 +1,45 @@
 """Media columns: payloads stored as images in archives, read back by byte ranges.
 
 store_media() packs each partition's payloads as 8-bit grey images (PNG, 64 samples a row,
-lossless) into one ZIP archive whose members are stored as they are. MediaSource reads a folder
-of archives: it plans partitions as byte ranges of archives from file sizes alone, and a task
-finds its members in the archive's directory (those that begin in its range), streams them in
-bounded Arrow batches, and reads each by its own offset, again on its own if a read fails.
+lossless) into ZIP archives of bounded size whose members are stored as they are. MediaSource
+reads a folder of archives, its own or others (stored or deflated members): it plans partitions
+as byte ranges of archives from file sizes alone, and a task finds its members in the archive's
+directory (those that begin in its range) and reads them in blocks of neighbours, a bounded
+Arrow batch each. A member that a block does not give whole is read by its own offset, again
+on its own if that fails.
 
 Null and empty texts are 64 zero bytes. A null id is kept as null. Repeated rows are separate
 members. Task attempts write the same bytes under the same name, so a task that runs again
-replaces its archive rather than adding to it.
+replaces its archive rather than adding to it. Members whose names are not of this module's
+form have no doc_id.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import time
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import map_texts, shared_folder, slices, utf8_of
+from .common import map_texts, scratch, slices, utf8_of
 
 ROW = 64
 #: Archive bytes that one reading task covers.
 RANGE_BYTES = 16 << 20
 #: Ranges become longer where there would be more of them.
 MOST_RANGES = 50_000
-#: Media bytes in one Arrow batch.
+#: An archive ends when it is so long, so that its directory stays short.
+ARCHIVE_BYTES = 256 << 20
+#: Media bytes in one Arrow batch, and in one read.
 BATCH_BYTES = 2 << 20
 ATTEMPTS = 4
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -131,24 +138,56 @@ class ArchiveWriter:
         self._put(struct.pack("<4sHHHHIIH", _END, 0, 0, min(count, 0xFFFF), min(count, 0xFFFF), min(size, 0xFFFFFFFF), min(start, 0xFFFFFFFF), 0))
 
 
-def directory(source, size: int) -> Iterator[tuple[str, int, int, int]]:
-    """(name, offset of the local header, bytes, checksum) for each member, in order."""
-    tail = _read_at(source, max(0, size - 98), min(98, size))
-    at = tail.rfind(_END64)
+#: Names that store_media() gives: number, id, and the payload's bytes without padding.
+_NAME = re.compile(r"[0-9]+-(null|-?[0-9]+)\.([0-9]+)\.png")
+#: The longest end of an archive: a comment may have 64 KB.
+_TAIL = 22 + 0xFFFF + 76
+
+
+@dataclass(frozen=True)
+class Member:
+    name: str
+    offset: int  # of its local header
+    packed: int  # bytes in the archive
+    size: int
+    crc: int
+    method: int
+
+
+def directory(source, size: int) -> Iterator[Member]:
+    """The members of an archive, in the directory's order."""
+    base = max(0, size - _TAIL)
+    tail = _read_at(source, base, size - base)
+    at = tail.rfind(_END)
     if at < 0:
         raise ValueError("no archive directory")
-    length, start = struct.unpack("<QQ", tail[at + 40 : at + 56])
+    length, start = struct.unpack("<II", tail[at + 12 : at + 20])
+    if (wide := tail.rfind(_END64, 0, at)) >= 0 and tail[at - 20 : at - 16] == _LOCATOR:
+        length, start = struct.unpack("<QQ", tail[wide + 40 : wide + 56])
     data = _read_at(source, start, length)
     at = 0
     while at < length:
-        crc, n, _, name, extra, comment = struct.unpack("<IIIHHH", data[at + 16 : at + 34])
+        method = struct.unpack("<H", data[at + 10 : at + 12])[0]
+        crc, packed, n, name, extra, comment = struct.unpack("<IIIHHH", data[at + 16 : at + 34])
         offset = struct.unpack("<I", data[at + 42 : at + 46])[0]
-        if offset == 0xFFFFFFFF:
-            offset = struct.unpack("<Q", data[at + 46 + name + 4 : at + 46 + name + 12])[0]
-        yield data[at + 46 : at + 46 + name].decode(), offset, n, crc
+        more = data[at + 46 + name : at + 46 + name + extra]
+        values = iter(_wide_values(more))
+        n, packed, offset = (next(values) if v == 0xFFFFFFFF else v for v in (n, packed, offset))
+        yield Member(data[at + 46 : at + 46 + name].decode("utf-8", "replace"), offset, packed, n, crc, method)
         at += 46 + name + extra + comment
 
 
+def _wide_values(extra: bytes) -> list[int]:
+    """The 64-bit numbers that stand for those that do not fit a directory entry."""
+    at = 0
+    while at + 4 <= len(extra):
+        kind, n = struct.unpack("<HH", extra[at : at + 4])
+        if kind == 1:
+            return list(struct.unpack(f"<{n // 8}Q", extra[at + 4 : at + 4 + n // 8 * 8]))
+        at += 4 + n
+    return []
+
+
 def _read_at(source, offset: int, size: int) -> bytes:
     source.seek(offset)
     data = source.read(size)
@@ -157,6 +196,67 @@ def _read_at(source, offset: int, size: int) -> bytes:
     return data
 
 
+def content(m: Member, local: bytes) -> bytes | None:
+    """A member's bytes out of what begins with its local header, or None if they are not there whole."""
+    if local[:4] != _LOCAL or len(local) < 30:
+        return None
+    at = 30 + sum(struct.unpack("<HH", local[26:30]))
+    data = local[at : at + m.packed]
+    if len(data) != m.packed:
+        return None
+    if m.method == 8:
+        try:
+            data = zlib.decompress(data, -15)
+        except zlib.error:
+            return None
+    elif m.method:
+        raise ValueError(f"{m.name}: members can be stored or deflated only")
+    return data if zlib.crc32(data) == m.crc else None
+
+
+def blocks(members: list[Member]) -> Iterator[list[Member]]:
+    """Neighbours of about BATCH_BYTES together, packed or not, with no long gaps between them."""
+    held: list[Member] = []
+    total = 0
+    for m in members:
+        last = held[-1] if held else None
+        if last and (total + max(m.size, m.packed) > BATCH_BYTES or m.offset - last.offset - last.packed > BATCH_BYTES // 8):
+            yield held
+            held, total = [], 0
+        held.append(m)
+        total += max(m.size, m.packed)
+    if held:
+        yield held
+
+
+def read_block(block: list[Member], source, size: int, open_again: Callable) -> list[bytes]:
+    """The members of a block by one read; those that it does not give whole are read one by one."""
+    start, last = block[0].offset, block[-1]
+    end = min(size, last.offset + last.packed + 30 + len(last.name.encode()) + 64)  # local headers may be longer than expected
+    try:
+        data = _read_at(source, start, end - start)
+    except OSError:
+        data = b""
+    return [found if (found := content(m, data[m.offset - start :][: m.packed + 4096])) is not None else read_member(m, size, open_again) for m in block]
+
+
+def read_member(m: Member, size: int, open_again: Callable) -> bytes:
+    """One member by its own offset, with a file handle of its own each time."""
+    for attempt in range(ATTEMPTS):
+        try:
+            with open_again() as source:
+                head = _read_at(source, m.offset, 30)
+                found = content(m, head + _read_at(source, m.offset + 30, sum(struct.unpack("<HH", head[26:30])) + m.packed))
+            if found is not None:
+                return found
+        except OSError:
+            if attempt + 1 == ATTEMPTS:
+                raise
+        if attempt + 1 < ATTEMPTS:
+            time.sleep(0.1 * 2**attempt)
+    raise OSError(f"{m.name}: the member at {m.offset} is damaged")
+
+
 class Range(InputPartition):
     def __init__(self, path: str, size: int, start: int, end: int) -> None:
         self.path, self.size, self.start, self.end = path, size, start, end
@@ -179,34 +279,11 @@ class MediaReader(DataSourceReader):
             return
         system, _ = _filesystem(self.path)
         with system.open_input_file(part.path) as source:
-            members = [m for m in directory(source, part.size) if part.start <= m[1] < part.end]
-        ids, names, offsets, images, total = [], [], [], [], 0
-        source = system.open_input_file(part.path)
-        for name, offset, n, crc in members:
-            for attempt in range(ATTEMPTS):
-                try:
-                    head = _read_at(source, offset, 30)
-                    skip = sum(struct.unpack("<HH", head[26:30]))
-                    image = _read_at(source, offset + 30 + skip, n)
-                    if head[:4] != _LOCAL or zlib.crc32(image) != crc:
-                        raise OSError(f"{part.path}: member at {offset} is damaged")
-                    break
-                except OSError:
-                    if attempt + 1 == ATTEMPTS:
-                        raise
-                    time.sleep(0.1 * 2**attempt)
-                    source = system.open_input_file(part.path)
-            key = name.partition(".")[0].partition("-")[2]
-            ids.append(None if key == "null" else int(key))
-            names.append(name)
-            offsets.append(offset)
-            images.append(image)
-            total += n
-            if total >= BATCH_BYTES:
-                yield self.batch(ids, names, offsets, images)
-                ids, names, offsets, images, total = [], [], [], [], 0
-        if ids:
-            yield self.batch(ids, names, offsets, images)
+            members = sorted((m for m in directory(source, part.size) if part.start <= m.offset < part.end and not m.name.endswith("/")), key=lambda m: m.offset)
+            for block in blocks(members):
+                images = read_block(block, source, part.size, lambda: system.open_input_file(part.path))
+                found = [_NAME.fullmatch(m.name) for m in block]
+                yield self.batch([int(f[1]) if f and f[1] != "null" else None for f in found], [m.name for m in block], [m.offset for m in block], images)
 
     @staticmethod
     def batch(ids: list, names: list, offsets: list, images: list) -> pa.RecordBatch:
@@ -237,21 +314,21 @@ def store_media(df: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, at = _filesystem(folder)
-        name = f"part-{TaskContext.get().partitionId():06d}.zip"
-        held = f"{at}/.{name}.{uuid.uuid4().hex}"
-        count = 0
-        writer = out = None
-        for part in slices(batches):
-            if writer is None:
-                out = system.open_output_stream(held)
+        rows = ((i, data) for part in slices(batches) for i, data in zip(part.column(0).to_pylist(), utf8_of(part), strict=True))
+        row, number = next(rows, None), 0
+        while row is not None:
+            name = f"part-{TaskContext.get().partitionId():06d}-{number:04d}.zip"
+            held, count = f"{at}/.{name}.{uuid.uuid4().hex}", 0
+            with system.open_output_stream(held) as out:
                 writer = ArchiveWriter(out)
-            for i, data in zip(part.column(0).to_pylist(), utf8_of(part), strict=True):
-                writer.add(f"{count:09d}-{'null' if i is None else i}.{len(data)}.png", to_png(payload(data)))
-                count += 1
-        if writer is not None:
-            writer.close()
-            out.close()
+                while row is not None and writer.at < ARCHIVE_BYTES:
+                    i, data = row
+                    writer.add(f"{count:09d}-{'null' if i is None else i}.{len(data)}.png", to_png(payload(data)))
+                    count += 1
+                    row = next(rows, None)
+                writer.close()
             system.move(held, f"{at}/{name}")
+            number += 1
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], names=["archive", "members"])
 
     written = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "archive string, members long")
@@ -261,7 +338,7 @@ def store_media(df: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str
 def media_table(df: DataFrame, folder: str | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Stores the payloads of df and returns the archives' members as a table: doc_id, member, offset, image."""
     spark = df.sparkSession
-    folder = folder or shared_folder(spark) + "/media"
+    folder = folder or scratch(spark) + "/media"
     store_media(df, folder, doc_id=doc_id, text=text)
     spark.dataSource.register(MediaSource)
     return spark.read.format("factloom_media").load(folder)
@@ -274,7 +351,8 @@ def media_features(members: DataFrame) -> DataFrame:
     def work(batch: pa.RecordBatch) -> list:
         images = batch.column(1).to_pylist()
         data = [from_png(x) for x in images]
-        sizes = [int(m.split(".")[1]) for m in batch.column(2).to_pylist()]
+        named = [_NAME.fullmatch(m) for m in batch.column(2).to_pylist()]
+        sizes = [int(m[2]) if m else len(x) for m, x in zip(named, data, strict=True)]
         return [sizes, [len(x) for x in data], [hashlib.sha256(x).hexdigest() for x in data], [zlib.crc32(x[-ROW:]) for x in data], [len(x) for x in images], [hashlib.sha256(x).hexdigest() for x in images], [feature(x) for x in data]]
 
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
