@@ -4,6 +4,7 @@ The trees are trained on the driver from a bounded sample of labelled documents,
 constraints, and flattened into numpy node arrays; executors score all rows of a slice by
 stepping every row through every tree at once.
 
+Columns other than those named are not looked at, whatever their names.
 Null and empty texts have no words and fail the fixed rules. Repeated rows each get their row.
 Without labelled documents of both kinds the trees keep everything that the fixed rules keep.
 """
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, utf8_of
+from .common import map_texts, only, utf8_of
 
 #: At most so many labelled documents train the trees.
 TRAIN_ROWS = 3_000
@@ -177,8 +178,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     share = parts if n <= rows else max(1, int(parts * rows * 0.9 / n))
     few = known.where(F.pmod(F.xxhash64("_id"), F.lit(parts)) < share).groupBy("_id").agg(F.min("_q").alias("_q"))
     labels_of = {r["_id"]: r["_q"] for r in few.orderBy(F.xxhash64("_id")).limit(rows).collect()}
-    chosen = docs.sparkSession.createDataFrame([(i,) for i in labels_of], "_id long")
-    sampled = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "text")
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in labels_of], "doc_id long")  # at most `rows` numbers
+    sampled = only(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id", "left_semi")
 
     def work(batch: pa.RecordBatch) -> list:
         return [statistics(utf8_of(batch))[1].tolist()]
@@ -196,3 +197,13 @@ def quality_verdicts(df: DataFrame, forest: Forest, *, keep_at: float = KEEP_AT,
         return [*base.T, failed, p, ~failed & (p >= keep_at)]
 
     return map_texts(df, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean", [*BASE, "base_failed", "score", "kept"], work, doc_id=doc_id, text=text)
+
+
+def auc(score: np.ndarray, good: np.ndarray) -> float:
+    """How often a good document scores higher than a bad one; ties count half."""
+    order = np.argsort(score, kind="stable")
+    values, inverse, times = np.unique(score[order], return_inverse=True, return_counts=True)
+    rank = np.empty(len(score))
+    rank[order] = (np.cumsum(times) - (times - 1) / 2)[inverse]
+    n = int(good.sum())
+    return float((rank[good].sum() - n * (n + 1) / 2) / (n * (len(good) - n)))
