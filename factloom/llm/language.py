@@ -18,15 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, texts_of, utf8_of
+from .common import map_texts, only, slices, texts_of, utf8_of
 
 STEPS = 64
 HIDDEN = 8
 TRAIN_DOCS = 300
 TRAIN_PIECES = 6
+#: The network has a label for at most so many languages, the most frequent ones.
+MOST_LANGUAGES = 500
 EPOCHS = 5
 BATCH = 96
 #: Small samples are gone through more often.
@@ -181,16 +183,21 @@ def fold_of(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def train(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = TRAIN_DOCS) -> Network:
+def train(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = TRAIN_DOCS, most_languages: int = MOST_LANGUAGES) -> Network:
     """Learns from rows with text and language whose fold is not 0."""
-    known = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of() != 0))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = only(df, doc_id=doc_id, text=text, lang=lang).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of() != 0))
+    counts = known.groupBy("lang").count()
+    sizes = {r["lang"]: r["count"] for r in counts.orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     languages = sorted(sizes)
     parts = 1 << 24
-    share = F.lit(0)
-    for name in languages:
-        share = F.when(F.col("lang") == name, F.lit(int(parts * min(1.0, 1.3 * docs / sizes[name])))).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(parts)) < share)
+    spark = df.sparkSession
+    shares = spark.createDataFrame([(name, int(parts * min(1.0, 1.3 * docs / n))) for name, n in sizes.items()], "lang string, share long")  # at most most_languages rows
+    number = F.xxhash64("doc_id", "lang", "text")
+    drawn = known.join(F.broadcast(shares), "lang").withColumn("number", number).where(F.pmod("number", F.lit(parts)) < F.col("share"))
+    # Equal rows count once, and a language's documents are cut to their number before they move.
+    once = drawn.groupBy("lang", "number").agg(F.min("doc_id").alias("doc_id"), F.any_value("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("number"))
+    chosen = once.withColumn("place", place).where(F.col("place") <= docs).select("doc_id", "text", "lang")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -204,10 +211,12 @@ def train(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(kept, pa.binary())], names=["doc_id", "lang", "pieces"])
 
     rows = chosen.mapInArrow(work, "doc_id long, lang string, pieces binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"], bytes(r["pieces"])))
+    by_language: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] is not None, r["doc_id"] or 0, bytes(r["pieces"]))):
+        by_language.setdefault(r["lang"], []).append(r)
     x, y = [np.zeros((0, STEPS), np.uint8)], []
     for k, name in enumerate(languages):
-        for r in [r for r in rows if r["lang"] == name][:docs]:
+        for r in by_language.get(name, ()):
             found = np.frombuffer(bytes(r["pieces"]), np.uint8).reshape(-1, STEPS)
             x.append(found)
             y += [k] * len(found)
