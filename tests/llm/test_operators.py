@@ -215,6 +215,79 @@ def test_media_of_an_empty_table(empty, tmp_path):
     assert media.media_features(media.media_table(empty, f"file://{tmp_path}/none")).count() == 0
 
 
+def test_ordinary_archives_are_read(spark, tmp_path):
+    import zipfile
+
+    rng = random.Random(1)
+    images = {f"{'deep/' * (i % 3)}{i}.png": media.to_png(media.payload(rng.randbytes(rng.randrange(2000)))) for i in range(40)}
+    for name, method in (("stored", zipfile.ZIP_STORED), ("deflated", zipfile.ZIP_DEFLATED)):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w", method) as z:
+            z.comment = b"with a comment"
+            z.mkdir("deep")
+            for k, v in images.items():
+                z.writestr(k, v)
+    spark.dataSource.register(media.MediaSource)
+    members = spark.read.format("factloom_media").option("rangeBytes", "5000").load(f"file://{tmp_path}")
+    got = members.collect()
+    assert sorted((r["member"], bytes(r["image"])) for r in got) == sorted([*images.items()] * 2) and {r["doc_id"] for r in got} == {None}
+    assert media.media_features(members).count() == 80
+
+
+def test_members_are_read_again_by_their_offsets(tmp_path, monkeypatch):
+    monkeypatch.setattr(media.time, "sleep", lambda s: None)
+    data = [media.to_png(media.payload(str(i).encode() * 50)) for i in range(6)]
+    with open(tmp_path / "a.zip", "wb") as out:
+        writer = media.ArchiveWriter(out)
+        for i, x in enumerate(data):
+            writer.add(f"{i:09d}-{i}.3.png", x)
+        writer.close()
+    size = (tmp_path / "a.zip").stat().st_size
+    with open(tmp_path / "a.zip", "rb") as source:
+        members = list(media.directory(source, size))
+
+    class Failing:
+        """Reads fail or give wrong bytes for a while."""
+
+        opened = 0
+
+        def __init__(self, bad):
+            self.file, self.bad = open(tmp_path / "a.zip", "rb"), bad
+            Failing.opened += 1
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def seek(self, at):
+            self.file.seek(at)
+
+        def read(self, n):
+            if self.bad == "short":
+                return b""
+            return bytes(n) if self.bad == "zero" else self.file.read(n)
+
+    for first in ("short", "zero"):
+        tries = iter(["short", "zero", *[None] * 20])
+        assert media.read_block(members, Failing(first), size, lambda: Failing(next(tries))) == data
+    with pytest.raises(OSError):
+        media.read_member(members[0], size, lambda: Failing("short"))
+    with pytest.raises(OSError, match="damaged"):
+        media.read_member(members[0], size, lambda: Failing("zero"))
+    assert sum(map(len, media.blocks(members))) == 6
+
+
+def test_archives_are_cut(spark, tmp_path, monkeypatch):
+    df = spark.range(50).select(F.col("id").alias("doc_id"), F.repeat(F.lit("text "), 40).alias("text")).coalesce(1)
+    folder = f"file://{tmp_path}/cut"
+    monkeypatch.setattr(media, "ARCHIVE_BYTES", 2000)
+    media.store_media(df, folder)
+    assert len(list((tmp_path / "cut").glob("*.zip"))) >= 1
+    spark.dataSource.register(media.MediaSource)
+    assert spark.read.format("factloom_media").load(folder).select("doc_id").distinct().count() == 50
+
+
 def test_damaged_members_are_noticed(tmp_path):
     image = media.to_png(media.payload(b"text"))
     assert media.from_png(image) == b"text" + bytes(60)
@@ -289,6 +362,22 @@ def test_owners_part_examples_from_live_secrets(spark):
     assert got == {**{i: (0, 1) for i in range(5)}, 9: (1, 0), 10: (0, 1)}
     masked = {r["doc_id"]: r["text"] for r in secrets.mask_live(df, owner=F.col("source"), repository=F.col("source")).collect()}
     assert masked[9] == "x token=<secret>" and masked[0] == rows[0][1] and len(masked) == 7
+    repositories = F.concat("source", F.col("doc_id").cast("string"))
+    spread = [(i, f"x token={own}", "s1" if i % 2 else "s2") for i in range(4)]
+    for n, live in ((3, 1), (4, 0)):
+        few = spark.createDataFrame(spread[:n], "doc_id long, text string, source string")
+        assert {r["n_live"] for r in secrets.secret_scan(few, owner=F.col("source"), repository=repositories).collect()} == {live}
+
+
+def test_secrets_of_long_texts_and_equal_rows(spark):
+    text = "".join(f"x token=aQ3xZ8kLm2Np7Rt{i} 0123456789abcdef0123456789 é\n" for i in range(3000))
+    df = spark.createDataFrame([(1, text)] * 3 + [(None, "")] * 5, "doc_id long, text string").withColumns({"source": F.lit("s"), "_id": F.lit(1), "_h": F.lit(2), "_spans": F.lit(3), "_way": F.lit(4), "__id": F.lit(5)})
+    got = secrets.secret_scan(df, owner=F.col("source"), repository=F.col("source")).collect()
+    assert len(got) == 8 and {r["base_sha256"] for r in got} == {sha(",".join(base_secrets(text))), sha("")}
+    masked = secrets.mask_live(df, owner=F.col("source"), repository=F.col("source"))
+    assert masked.columns == df.columns
+    want = re.sub(r"token=\S+", "token=<secret>", text).replace("0123456789abcdef0123456789", "0123456789abcdef0123456789")
+    assert [r["text"] for r in masked.where("doc_id = 1").collect()] == [want] * 3
 
 
 # -- op6
@@ -379,6 +468,29 @@ def test_quality_of_documents(spark, docs):
     assert np.mean([r["kept"] for r in got if r["quality"] == 1]) > 0.97
 
 
+@needs_tables
+def test_trees_tell_held_out_documents_apart():
+    import duckdb
+
+    rows = duckdb.connect().execute("select text, quality from '/root/testdata/sf0.1/documents.parquet' join '/root/testdata/sf0.1/labels.parquet' using (doc_id) where quality is not null order by doc_id").fetchall()
+    base, x = quality.statistics([(t or "").encode() for t, _ in rows])
+    y = np.array([q for _, q in rows], float)
+    train = np.arange(len(rows)) % 2 == 0
+    test = ~train
+    score = quality.train(x[train][:3000], y[train][:3000]).score(x[test])
+    kept = ~quality.base_failed(base)[test] & (score >= quality.KEEP_AT)
+    print("held-out", quality.auc(score, y[test] == 1), kept[y[test] == 1].mean(), 1 - kept[y[test] == 0].mean(), test.sum())
+    assert quality.auc(score, y[test] == 1) > 0.9
+    assert quality.auc(np.array([1.0, 2, 2, 3]), np.array([False, False, True, True])) == 0.875
+
+
+def test_a_sample_from_tables_with_other_columns(spark):
+    df = spark.createDataFrame([(i, "word " * 60, i) for i in range(20)], "doc_id long, text string, _id long")
+    labels = df.select("doc_id", (F.col("doc_id") % 2).alias("quality"), "_id", F.lit("x").alias("text"))
+    x, y = quality.labelled_sample(df, labels)
+    assert len(x) == 20 and y.sum() == 10
+
+
 # -- op9
 
 def test_packing_covers_every_token_once(spark, odd, empty):
@@ -386,7 +498,6 @@ def test_packing_covers_every_token_once(spark, odd, empty):
 
     path = tokenizer_file("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["word", "naïve", "x9", "日本", "it's", "<|endoftext|>", "\n"]) for _ in range(rng.choice([0, 3, 700, 1800, 5000])))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
@@ -412,9 +523,9 @@ def test_word_tokenizer_equals_the_library():
 
     path = tokenizer_file("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     rng = random.Random(0)
     some = ["".join(rng.choice("ab'sd  \n\t_é²½日\U0001f6001٣-.,\x85ª") for _ in range(rng.randrange(40))) for _ in range(2000)]
+    some += ["<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>c", "<|endoftext|", " é<|endoftext|>日  "]
     ids, counts = packing.WordTokenizer(path).encode(some)
     at = np.concatenate([[0], np.cumsum(counts)])
     for i, t in enumerate(some):
@@ -481,6 +592,62 @@ def test_bracketed_addresses(text, found):
     assert [text[a:b] for a, b in emails] == ([found] if found else [])
 
 
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    start = time.monotonic()
+    for t in ("say dot " + "a." * 500_000, "a@b.co " * 150_000, "1" * 1_000_000, "x at " + " " * 1_000_000, "( " * 300_000, "john [at] x [dot] com " * 20_000, "one two three " * 50_000, " dot" * 200_000):
+        personal.all_spans(t)
+    assert time.monotonic() - start < 40
+    assert personal.base_spans("1" * 5000 + ".1.1.1") == [[], [], [], []] and personal.base_spans("000001.0255.3.4")[1] == [(0, 15)]
+    assert personal.all_spans("a@b.co " * 20_000)[0][0] == personal.all_spans("a@b.co " * 20_000 + " [at] ")[1][0]
+
+
+def test_disguises_in_prose_are_found_and_prose_is_left_alone():
+    rng = random.Random(12)
+    words = "the report was sent at noon and we met at the station dot by dot while nine people waited for one more train to arrive at once plus a few others".split()
+    spelled = "zero one two three four five six seven eight nine".split()
+    plain = [w for w in words if w != "dot"]
+    prose = lambda n, words=words: " ".join(rng.choice(words) for _ in range(n))
+
+    def disguise():
+        user, host, top = rng.choice(["john", "mary.lee", "x_9"]), rng.choice(["mail", "corp-net"]), rng.choice(["com", "org", "de"])
+        digits = [rng.randrange(10) for _ in range(11)]
+        kind = rng.randrange(5)
+        if kind == 0:
+            return "email", f"{user} [at] {host} [dot] {top}"
+        if kind == 1:
+            return "email", f"{user}(at){host}(dot){top}"
+        if kind == 2:
+            return "email", f"{user} at {host} dot {top}"
+        if kind == 3:
+            return "email", f"{user}@{host}.{top}".replace("o", "о").replace("a", "а")
+        return "phone", "plus " + " ".join(spelled[d] for d in digits)
+
+    found = 0
+    for _ in range(400):
+        kind, planted = disguise()
+        if kind == "email" and not set(planted) & set("оа[( "):
+            found += 1
+            continue
+        before = prose(20) + ": "
+        text = before + planted + "; " + prose(20)
+        spans = personal.all_spans(text)[1][personal.KINDS.index(kind)]
+        found += any(a <= len(before) + 2 and b >= len(before) + len(planted) - 2 for a, b in spans)
+    assert found >= 0.97 * 400
+    assert all(not any(personal.all_spans(prose(200, plain))[1]) for _ in range(200))
+
+
+def test_any_text_can_be_rewritten():
+    rng = random.Random(3)
+    bits = ["one", " ", "at", "dot", "[", "]", "@", ".", "plus", "-", "5", "a", "о", "\u200b", "４", "٣", "\n", "(dot)", "oh", ","]
+    for _ in range(4000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(40)))
+        base, both = personal.all_spans(t)
+        for old, new in zip(base, both, strict=True):
+            assert set(old) <= set(new) and new == sorted(new) and all(0 <= a < b <= len(t) for a, b in new) and all(b <= c for (_, b), (c, _) in zip(new[:-1], new[1:], strict=True))
+
+
 def test_personal_tables(odd, empty):
     got = personal.personal_spans(odd).collect()
     assert len(got) == odd.count() and all(r["base_sha256"] == sha("") and r["spans"] == "" for r in got)
