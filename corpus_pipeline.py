@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import language, lines, neardup, packing, secrets
-from factloom.llm.common import documents, shared_folder, small_batches
+from factloom.llm.common import documents, scratch, small_batches
 from factloom.llm.queries import tokenizer_file
+from factloom.plans import lineage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,11 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to the documents of sf_dir."""
-    folder = shared_folder(spark)
+    """Applies all stages to the documents of sf_dir. What a stage wrote on its way goes once its result is written."""
+    folder = scratch(spark)
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        path = f"{folder}/{name}"
+        path, before = f"{folder}/{name}", lineage.mark()
         stage(spark, docs, sf_dir).write.parquet(path)
+        lineage.discard(spark, before)
         docs = spark.read.parquet(path)
     return docs
