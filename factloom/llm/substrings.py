@@ -1,26 +1,29 @@
 """Repeated substrings: bytes covered by a 50-byte string that also starts in a document with a smaller id.
 
-Comparing all suffixes of all shards would cost a pass over every pair of shards, so suffix
-arrays are built where strings can meet at all:
+Searching each shard's suffix array in every other's costs a pass over every pair of shards, so
+suffix arrays are built where strings can meet at all:
 
 1. Documents are packed into shards of some MB, a bucketed table that later steps join to
    without moving the texts again.
 2. In every 50-byte window the 20-byte string with the smallest hash is its anchor. Equal windows
    have equal anchors, so a window can only repeat if its anchor does. Anchors are counted over
-   shards; those in one document only are dropped.
-3. Each shard sends hashes of its distinct contexts (the 80 bytes in which all windows of an
-   anchor lie) with their smallest id to the anchor's partition. A context known from a smaller
-   id is a repeat as a whole. Only the first context of each kind, of anchors that have several
-   kinds, still has to be compared, and only those are fetched as bytes.
-4. Fetched contexts meet by anchor and are sorted as suffixes by Larsson-Sadakane refinement;
-   Kasai's common prefixes part them into groups of equal windows, and each window gets the
-   smallest id of its group. Contexts whose both sides cannot make up a window with any other are
-   found before, by binary search among the sorted sides, and left out.
+   groups of shards; those in one document only are dropped.
+3. Each shard names its distinct contexts (the 80 bytes in which all windows of an anchor lie) by
+   hash, with their smallest id. A context known from a smaller id is a repeat as a whole. Only
+   the first context of each kind, of anchors that have several kinds, still has to be compared,
+   and only those are fetched as bytes.
+4. Fetched contexts are dealt in order of their anchors, in ranges of about equal size. A task
+   sorts blocks of them as suffixes by Larsson-Sadakane refinement; Kasai's common prefixes part
+   them into groups of equal windows, and each window gets the smallest id of its group. Contexts
+   whose both sides cannot make up a window with any other are found before, by binary search
+   among the sorted sides, and left out. An anchor that reaches over the end of a block or range,
+   however often it occurs, has its windows merged across blocks by an aggregate of their hashes.
 5. The answers go back to the shards, which mark windows found in smaller ids, and report.
 
-Anchors only choose what is compared; equality is that of bytes, or of 64-bit hashes of 80 bytes
-under a 64-bit anchor. Null and empty texts have
-no windows. A null id is smaller than all others; equal ids are never smaller than each other.
+Anchors only choose what is compared; equality is that of bytes, or of 64-bit hashes of 50 or 80
+bytes under a 64-bit anchor. Null and empty texts have no windows. A null id is smaller than all
+others; equal ids are never smaller than each other. Columns other than the two named are not
+looked at. A document is never split, so a task needs memory in proportion to its longest one.
 """
 
 from __future__ import annotations
@@ -45,15 +48,12 @@ CONTEXT = ANCHOR + 2 * SPAN
 SHARD_BYTES = 4 << 20
 #: Later steps have two tasks for each partition of the input, and no more than this.
 MOST_BUCKETS = 100_000
-#: An anchor that occurs more often is hot: its contexts are spread over WAYS tasks and teams.
-HOT = 20_000
-WAYS = 256
-NEAR = 4
-#: Offsets of the windows with less than NEAR bytes on one side of their anchor.
-EDGES = (*range(NEAR), *range(SPAN - NEAR + 1, SPAN + 1))
+#: Shards whose anchors are counted together before they are shuffled: an anchor has at most one row
+#: for so many bytes of text, wherever it occurs.
+GROUP_BYTES = 64 << 20
 #: Contexts that are sorted together.
 BLOCK_CONTEXTS = 4_000
-#: Bytes that are hashed at a time, in whole documents.
+#: Bytes that are hashed at a time, in whole documents or parts of a long one.
 PIECE_BYTES = 256 << 10
 _PLACE = np.uint64((1 << 30) - 1)
 LOWEST = -(1 << 63)
@@ -183,10 +183,15 @@ class Shard:
         while first < len(self.lengths):
             last = max(first + 1, int(np.searchsorted(self.ends, self.starts[first] + PIECE_BYTES)))
             a, b = int(self.starts[first]), int(self.ends[last - 1])
-            if b - a >= LENGTH:
+            if last == first + 1:  # windows that start in each part of a long document
+                for x in range(a, b - LENGTH + 1, PIECE_BYTES):
+                    y = min(b, x + PIECE_BYTES + LENGTH - 1)
+                    places.append(self._piece(self.data[x:y], np.array([y - x])) + x)
+            elif b - a >= LENGTH:
                 places.append(self._piece(self.data[a:b], self.ends[first:last] - a) + a)
             first = last
-        return np.concatenate(places)
+        found = np.concatenate(places)
+        return found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, document, hash) of each anchor."""
@@ -247,10 +252,6 @@ def distinct(h: np.ndarray, left: np.ndarray, right: np.ndarray, bytes_: np.ndar
 # -- the job
 
 _BLOCKS = "shard long, ids array<long>, lengths array<long>, size long, packed binary, n_places long, places binary"
-#: A reference to a context: its shard's number, and its slot there.
-_SLOT_BITS = 23
-
-
 def shard_table(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     schema = pa_schema(df.sparkSession, _BLOCKS)
 
@@ -272,7 +273,9 @@ def shard_table(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     buckets = max(8, min(MOST_BUCKETS, 2 * blocks._jdf.queryExecution().toRdd().getNumPartitions()))
     name = f"factloom_shards_{uuid.uuid4().hex}"
     blocks.write.bucketBy(buckets, "shard").option("path", f"{scratch(spark)}/shards").option("compression", "none").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and what has been read from the catalogue
+    return table
 
 
 def shards_of(batch: pa.RecordBatch) -> Iterator[tuple[int, Shard, dict]]:
@@ -286,35 +289,52 @@ def shards_of(batch: pa.RecordBatch) -> Iterator[tuple[int, Shard, dict]]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each anchor of a group of shards: the shards that have it, and whether it stands in several documents."""
     settle()
+    held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
     for batch in batches:
         for number, shard, _ in shards_of(batch):
             _, document, h = shard.anchors()
             order = np.argsort(h, kind="stable")
             h, ids = h[order], shard.ids[document[order]]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-            several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(h) else np.zeros(0, bool)
-            times = np.diff(first, append=len(h))
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.full(len(first), number)), pa.array(times), pa.array(several)], names=["anchor", "shard", "times", "several"])
+            if len(first):
+                held.append((number, h[first], np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)))
+            size += len(shard.data)
+            if size >= GROUP_BYTES:
+                yield from _grouped(held)
+                held, size = [], 0
+    yield from _grouped(held)
+
+
+def _grouped(held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    if not held:
+        return
+    shard = np.concatenate([np.full(len(h), number) for number, h, _, _ in held])
+    h, low, high = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
+    order = np.argsort(h, kind="stable")
+    h, shard, low, high = h[order], shard[order], low[order], high[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    several = np.minimum.reduceat(low, first) != np.maximum.reduceat(high, first)
+    bounds = np.append(first, len(h))
+    for a in range(0, len(first), 200_000):
+        b = min(len(first), a + 200_000)
+        lists = pa.ListArray.from_arrays(pa.array(bounds[a : b + 1] - bounds[a], pa.int32()), pa.array(shard[bounds[a] : bounds[b]]))
+        yield pa.RecordBatch.from_arrays([pa.array(h[first[a:b]].view(np.int64)), lists, pa.array(several[a:b])], names=["anchor", "shards", "several"])
 
 
 def _wanted(row: dict) -> np.ndarray:
     return row["anchors"].values.to_numpy(zero_copy_only=False) if row["anchors"].is_valid else np.zeros(0, np.int64)
 
 
-def _is_hot(row: dict, h: np.ndarray) -> np.ndarray:
-    """Which of these anchors occur too often for one task."""
-    hot = np.sort(row["hot"].values.to_numpy(zero_copy_only=False).view(np.uint64)) if row["hot"].is_valid else np.zeros(0, np.uint64)
-    return hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
-
-
-def _edge_hashes(bytes_: np.ndarray) -> np.ndarray:
-    """(context, 8): a hash of each window that has less than 4 bytes on one side of the anchor, and of its offset."""
-    out = np.empty((len(bytes_), len(EDGES)), np.uint64)
-    for k, o in enumerate(EDGES):
-        window = np.zeros((len(bytes_), 56), np.uint8)
+def _window_hashes(bytes_: np.ndarray) -> np.ndarray:
+    """(context, 31): a hash of each window and of its offset."""
+    out = np.empty((len(bytes_), SPAN + 1), np.uint64)
+    window = np.zeros((len(bytes_), 56), np.uint8)
+    for o in range(SPAN + 1):
         window[:, :LENGTH] = bytes_[:, o : o + LENGTH]
-        out[:, k] = context_hash(window, np.full(len(bytes_), o), np.zeros(len(bytes_), np.int64))
+        out[:, o] = context_hash(window, np.full(len(bytes_), o), np.zeros(len(bytes_), np.int64))
     return out
 
 
@@ -330,96 +350,102 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for number, shard, row in shards_of(batch):
             _, document, slot, h, left, right, bytes_ = shard.shared(_wanted(row))
             if len(h):
-                ref = (number << _SLOT_BITS) + np.arange(len(h))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context_hash(bytes_, left, right).view(np.int64)), pa.array(_lowest(shard, document, slot, len(h))), pa.array(ref), pa.array(_is_hot(row, h))], names=["anchor", "context", "low", "ref", "hot"])
-
-
-def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by anchor, context and lowest id to (ref, repeat): repeat where a smaller id has the
-    context, else the context must be compared with those of other kinds. A kind alone in its anchor
-    needs no answer; a hot anchor's kinds are spread over tasks and all ask. Works along the rows; what may yet need comparing is the last anchor's first kind."""
-    last_anchor = last_context = None
-    lowest = 0
-    waiting: list[int] = []  # first rows of the anchor's only kind so far
-    several = False
-    for batch in batches:
-        anchor, context, low, ref = (batch.column(i).to_numpy() for i in range(4))
-        hot = batch.column(4).to_numpy(zero_copy_only=False)
-        n = len(anchor)
-        new_anchor = np.concatenate([[anchor[0] != last_anchor], anchor[1:] != anchor[:-1]]) if n else np.zeros(0, bool)
-        new_context = new_anchor | (np.concatenate([[context[0] != last_context], context[1:] != context[:-1]]) if n else False)
-        heads = np.flatnonzero(new_context)
-        kind = np.cumsum(new_context) - 1  # -1: still the last batch's kind
-        floor = np.where(kind >= 0, low[heads[np.maximum(kind, 0)]] if len(heads) else lowest, lowest)
-        repeat = low > floor
-        firsts = np.flatnonzero(~repeat)
-        group = np.cumsum(new_anchor)  # 0: still the last batch's anchor
-        kinds = np.bincount(group, new_context, minlength=group[-1] + 1 if n else 1).astype(int)
-        mixed_ = kinds > 1
-        mixed_[0] = several or kinds[0] > 0 and group.size and group[0] == 0
-        asks = mixed_[group[firsts]] | hot[firsts]
-        compare = [ref[firsts[asks]]]
-        if mixed_[0] and waiting:
-            compare.append(np.array(waiting, np.int64))
-            waiting = []
-        if n:
-            end = group[-1]
-            if end > 0:
-                waiting = []
-            if not mixed_[end]:
-                waiting += ref[firsts[(group[firsts] == end) & ~asks]].tolist()
-            several = bool(mixed_[end])
-            lowest, last_anchor, last_context = int(floor[-1]), anchor[-1], context[-1]
-        compare = np.concatenate(compare)
-        both = np.concatenate([ref[repeat], compare])
-        yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(np.arange(len(both)) < repeat.sum())], names=["ref", "repeat"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context_hash(bytes_, left, right).view(np.int64)), pa.array(_lowest(shard, document, slot, len(h))), pa.array(np.full(len(h), number)), pa.array(np.arange(len(h)), pa.int32())], names=["anchor", "context", "low", "shard", "slot"])
+
+
+def sort_out(kinds: DataFrame) -> DataFrame:
+    """(shard, repeats, asked): the slots of contexts that a smaller id has as well, and of those that
+    must be compared: the first of each kind, where an anchor has several kinds.
+
+    Minima are aggregated before they are shuffled, and written down, so that the joins have two
+    plain shuffles, of which the adaptive engine splits a hot anchor's part.
+    """
+    best = cut_lineage(kinds.groupBy("anchor", "context").agg(F.min("low").alias("least")), "kinds")
+    several = cut_lineage(best.groupBy("anchor").agg(F.min("context").alias("a"), F.max("context").alias("b")).where("a <> b").select("anchor", F.lit(True).alias("several")), "several")
+    met = kinds.join(best, ["anchor", "context"]).select("anchor", "shard", "slot", (F.col("low") > F.col("least")).alias("repeat"))
+    repeats = met.where("repeat").select("shard", "slot", "repeat")
+    asked = met.where("not repeat").join(several, "anchor").select("shard", "slot", "repeat")
+    both = repeats.unionByName(asked)
+    return both.groupBy("shard").agg(F.collect_list(F.when(F.col("repeat"), F.col("slot"))).alias("repeats"), F.collect_list(F.when(~F.col("repeat"), F.col("slot"))).alias("asked"))
+
+
+_FOUND = "anchor long, lead int, follow int, context binary, low long, shard long, slot int"
+_ANSWERS = "shard long, slot int, smallest array<long>, low long, windows array<long>"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts as bytes. `team` says which are sorted together: those of an anchor, or of a hot anchor
-    those that also share the 4 bytes on either side; `edges` has hashes of the windows that this would miss."""
+    """The contexts that are asked for, as bytes."""
     settle()
     for batch in batches:
         for number, shard, row in shards_of(batch):
             _, document, slot, h, left, right, bytes_ = shard.shared(_wanted(row))
-            ask = row["asked"].values.to_numpy(zero_copy_only=False)
+            ask = np.sort(row["asked"].values.to_numpy(zero_copy_only=False))
             low = _lowest(shard, document, slot, len(h))[ask]
-            h, left, right, bytes_, hot = h[ask], left[ask], right[ask], bytes_[ask], _is_hot(row, h[ask])
-            near = np.ascontiguousarray(np.concatenate([bytes_[:, SPAN - NEAR : SPAN], bytes_[:, SPAN + ANCHOR : SPAN + ANCHOR + NEAR]], 1)).view("<u8")[:, 0]
-            team = np.where(hot, mixed(h ^ mixed(near + np.uint64(1))), h)
-            edges = pa.nulls(len(ask), pa.list_(pa.int64()))
-            if hot.any():
-                offset = np.array(EDGES)
-                fits = (SPAN - offset[None, :] <= left[:, None]) & (ANCHOR + offset[None, :] <= right[:, None])
-                values = pa.array(_edge_hashes(bytes_[hot]).view(np.int64).ravel(), mask=~fits[hot].ravel())
-                bounds = np.concatenate([[0], np.cumsum(hot * len(EDGES))])
-                edges = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values, mask=pa.array(~hot))
-            whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CONTEXT), len(ask), [None, pa.py_buffer(np.ascontiguousarray(bytes_))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(team.view(np.int64)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), whole, pa.array(low), pa.array((number << _SLOT_BITS) + ask.astype(np.int64)), pa.array(h.view(np.int64)), edges], names=["team", "lead", "follow", "context", "low", "ref", "anchor", "edges"])
+            whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CONTEXT), len(ask), [None, pa.py_buffer(np.ascontiguousarray(bytes_[ask]))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(h[ask].view(np.int64)), pa.array(left[ask].astype(np.int32)), pa.array(right[ask].astype(np.int32)), whole, pa.array(low), pa.array(np.full(len(ask), number)), pa.array(ask.astype(np.int32))], names=[c.split()[0] for c in _FOUND.split(", ")])
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by anchor; anchors are taken whole, some thousand contexts at a time."""
+    """Rows come ordered by anchor. Anchors that begin and end in here are taken whole, some thousand
+    contexts at a time. The first and the last anchor may go on in other ranges, and one that
+    fills a block goes on in the next: their windows are sent on, to be merged by hash."""
     settle()
     held: list[pa.RecordBatch] = []
     count = 0
+    through: int | None = None  # an anchor that may have been begun elsewhere
+    begun = False
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        if not begun:
+            through, begun = batch.column(0)[0].as_py(), True
         held.append(batch)
         count += batch.num_rows
         if count < BLOCK_CONTEXTS:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         anchor = table.column(0).to_numpy()
-        cut = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
-        if cut:
-            for a, b in blocks_of(anchor[:cut]):
-                yield _answer(table.slice(a, b - a))
-        rest = table.slice(cut)
+        own = int(np.searchsorted(anchor, through, side="right")) if anchor[0] == through else 0
+        if own:
+            yield _sent_on(table.slice(0, own))
+        end = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
+        if end > own:
+            for a, b in blocks_of(anchor[own:end]):
+                yield _answer(table.slice(own + a, b - a))
+        rest = table.slice(max(own, end))
+        if rest.num_rows >= BLOCK_CONTEXTS:
+            through = int(anchor[-1])
+            yield _sent_on(rest)
+            rest = rest.slice(0, 0)
         held, count = rest.to_batches(), rest.num_rows
     if count:
         table = pa.Table.from_batches(held).combine_chunks()
-        for a, b in blocks_of(table.column(0).to_numpy()):
-            yield _answer(table.slice(a, b - a))
+        anchor = table.column(0).to_numpy()
+        own = int(np.searchsorted(anchor, through, side="right")) if anchor[0] == through else 0
+        end = max(own, int(np.searchsorted(anchor, anchor[-1])))
+        if end > own:
+            for a, b in blocks_of(anchor[own:end]):
+                yield _answer(table.slice(own + a, b - a))
+        for a, b in ((0, own), (end, len(anchor))):
+            if b > a:
+                yield _sent_on(table.slice(a, b - a))
+
+
+def _bytes_of(table: pa.Table) -> np.ndarray:
+    held = table.column("context").combine_chunks()
+    held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
+    return np.frombuffer(held.buffers()[2], np.uint8)[CONTEXT * held.offset :][: CONTEXT * len(held)].reshape(-1, CONTEXT)
+
+
+def _sent_on(table: pa.Table) -> pa.RecordBatch:
+    left, right = table.column("lead").to_numpy(), table.column("follow").to_numpy()
+    offset = np.arange(SPAN + 1)
+    fits = (SPAN - offset[None, :] <= left[:, None]) & (ANCHOR + offset[None, :] <= right[:, None])
+    anchor = table.column("anchor").to_numpy().view(np.uint64)
+    hashes = mixed(_window_hashes(_bytes_of(table)) ^ mixed(anchor)[:, None])
+    windows = pa.ListArray.from_arrays(pa.array(np.arange(len(left) + 1) * (SPAN + 1), pa.int32()), pa.array(hashes.view(np.int64).ravel(), mask=~fits.ravel()))
+    columns = [table.column(c).combine_chunks() for c in ("shard", "slot", "low")]
+    return pa.RecordBatch.from_arrays([columns[0], columns[1], pa.nulls(len(left), pa.list_(pa.int64())), columns[2], windows], names=["shard", "slot", "smallest", "low", "windows"])
 
 
 def blocks_of(anchor: np.ndarray) -> list[tuple[int, int]]:
@@ -447,20 +473,18 @@ def longest_match(anchor: np.ndarray, side: np.ndarray) -> np.ndarray:
 
 
 def _answer(table: pa.Table) -> pa.RecordBatch:
-    anchor = table.column("team").to_numpy().view(np.uint64)
+    anchor = table.column("anchor").to_numpy().view(np.uint64)
     left, right = table.column("lead").to_numpy().astype(np.int64), table.column("follow").to_numpy().astype(np.int64)
-    held = table.column("context").combine_chunks()
-    held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
-    bytes_ = np.frombuffer(held.buffers()[2], np.uint8)[CONTEXT * held.offset :][: CONTEXT * len(held)].reshape(-1, CONTEXT)
-    low, ref = table.column("low").to_numpy(), table.column("ref").to_numpy()
+    bytes_, low = _bytes_of(table), table.column("low").to_numpy()
     before = np.minimum(left, longest_match(anchor, bytes_[:, SPAN - 1 :: -1]))
     after = np.minimum(right - ANCHOR, longest_match(anchor, bytes_[:, SPAN + ANCHOR :]))
     some = np.flatnonzero(before + after >= SPAN)
     smallest = smallest_ids(bytes_[some], left[some], right[some], low[some])
     hit = (smallest < low[some][:, None]).any(1)
-    smallest, ref = smallest[hit], ref[some][hit]
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ref) + 1) * (SPAN + 1), pa.int32()), pa.array(smallest.ravel()))
-    return pa.RecordBatch.from_arrays([pa.array(ref >> _SLOT_BITS), pa.array((ref & ((1 << _SLOT_BITS) - 1)).astype(np.int32)), lists], names=["shard", "slot", "smallest"])
+    smallest, some = smallest[hit], some[hit]
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * (SPAN + 1), pa.int32()), pa.array(smallest.ravel()))
+    shard, slot = (table.column(c).to_numpy()[some] for c in ("shard", "slot"))
+    return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(slot, pa.int32()), lists, pa.array(low[some]), pa.nulls(len(some), pa.list_(pa.int64()))], names=["shard", "slot", "smallest", "low", "windows"])
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -497,37 +521,32 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([row["ids"].values, pa.array(shard.lengths), pa.array(removed), pa.array(spans), pa.array(digests)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def edge_answers(found: DataFrame) -> DataFrame:
-    """(shard, slot, smallest) for hot anchors' windows that lie almost wholly to one side. Hashes are
-    aggregated before they are shuffled, and smallest ids joined back salted."""
-    each = found.where(F.col("edges").isNotNull()).select("ref", "low", "anchor", F.posexplode("edges").alias("k", "edge")).where(F.col("edge").isNotNull())
-    least = each.groupBy("anchor", "edge").agg(F.min("low").alias("least"))
-    hit = attach(each, least, ["anchor", "edge"], F.col("ref")).where(F.col("least") < F.col("low"))
-    far = F.lit((1 << 63) - 1)
-    per_ref = hit.groupBy("ref").agg(F.map_from_entries(F.collect_set(F.struct(F.element_at(F.array(*map(F.lit, EDGES)), F.col("k") + 1).alias("o"), "least"))).alias("by_offset"))
-    smallest = F.transform(F.sequence(F.lit(0), F.lit(SPAN)), lambda o: F.coalesce(F.try_element_at("by_offset", o), far))
-    return per_ref.select(F.shiftright("ref", _SLOT_BITS).alias("shard"), F.col("ref").bitwiseAND((1 << _SLOT_BITS) - 1).cast("int").alias("slot"), smallest.alias("smallest"))
+def merged_answers(sent: DataFrame) -> DataFrame:
+    """(shard, slot, smallest) for contexts whose anchors reach over blocks. Minima are aggregated
+    before they are shuffled, and joined back salted."""
+    each = sent.where(F.col("windows").isNotNull()).select("shard", "slot", "low", F.posexplode("windows").alias("o", "window")).where(F.col("window").isNotNull())
+    least = each.groupBy("window").agg(F.min("low").alias("least"))
+    hit = attach(each, least, ["window"], F.struct("shard", "slot")).where(F.col("least") < F.col("low"))
+    per_context = hit.groupBy("shard", "slot").agg(F.map_from_entries(F.collect_set(F.struct("o", "least"))).alias("by_offset"))
+    smallest = F.transform(F.sequence(F.lit(0), F.lit(SPAN)), lambda o: F.coalesce(F.try_element_at("by_offset", o), F.lit((1 << 63) - 1)))
+    return per_context.select("shard", "slot", smallest.alias("smallest"))
 
 
-def repeated_substrings(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+def repeated_substrings(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of df: its bytes, how many of them are repeats in how many runs, and a hash of the others."""
     blocks = shard_table(df, doc_id, text)
-    rows = blocks.mapInArrow(_anchor_rows, "anchor long, shard long, times long, several boolean")
-    same = Window.partitionBy("anchor")
-    met = rows.withColumns({"n": F.count("*").over(same), "times": F.sum("times").over(same)}).where((F.col("n") > 1) | F.col("several"))
-    wanted = met.groupBy("shard").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("times") > hot, F.col("anchor"))).alias("hot"))
+    rows = blocks.mapInArrow(_anchor_rows, "anchor long, shards array<long>, several boolean")
+    same = Window.partitionBy("anchor")  # a row for each group of shards at most
+    met = rows.withColumns({"n": F.count("*").over(same), "any": F.max("several").over(same)}).where((F.col("n") > 1) | F.col("any"))
+    wanted = met.select("anchor", F.explode("shards").alias("shard")).groupBy("shard").agg(F.collect_list("anchor").alias("anchors"))
     wanted = cut_lineage(wanted, "anchors")
-    kinds = blocks.join(wanted, "shard").mapInArrow(_context_rows, "anchor long, context long, low long, ref long, hot boolean")
-    way = F.when(F.col("hot"), F.pmod("context", F.lit(WAYS))).otherwise(F.lit(0))
-    sorted_out = kinds.repartition("anchor", way).sortWithinPartitions("anchor", "context", "low").mapInArrow(_sort_out, "ref long, repeat boolean")
-    slot = F.col("ref").bitwiseAND((1 << _SLOT_BITS) - 1).cast("int")
-    by_shard = sorted_out.groupBy(F.shiftright("ref", _SLOT_BITS).alias("shard")).agg(F.collect_list(F.when(F.col("repeat"), slot)).alias("repeats"), F.collect_list(F.when(~F.col("repeat"), slot)).alias("asked"))
-    by_shard = cut_lineage(by_shard, "repeats")
+    kinds = blocks.join(wanted, "shard").mapInArrow(_context_rows, "anchor long, context long, low long, shard long, slot int")
+    by_shard = cut_lineage(sort_out(cut_lineage(kinds, "contexts")), "repeats")
     asked = by_shard.where(F.size("asked") > 0).select("shard", "asked")
-    found = blocks.join(wanted, "shard").join(asked, "shard").mapInArrow(_fetch, "team long, lead int, follow int, context binary, low long, ref long, anchor long, edges array<long>")
-    found = cut_lineage(found, "contexts")
-    answers = found.drop("anchor", "edges").repartition("team").sortWithinPartitions("team").mapInArrow(_answers, "shard long, slot int, smallest array<long>")
-    answers = answers.unionByName(edge_answers(found))
+    found = cut_lineage(blocks.join(wanted, "shard").join(asked, "shard").mapInArrow(_fetch, _FOUND), "bytes")
+    place = ("anchor", "shard", "slot")
+    sent = cut_lineage(found.repartitionByRange(*place).sortWithinPartitions(*place).mapInArrow(_answers, _ANSWERS), "sent")
+    answers = sent.where(F.col("smallest").isNotNull()).select("shard", "slot", "smallest").unionByName(merged_answers(sent))
     answers = cut_lineage(answers.groupBy("shard").agg(F.collect_list(F.struct("slot", "smallest")).alias("answers")), "answers")
     whole = blocks.join(wanted, "shard", "left").join(by_shard.select("shard", "repeats"), "shard", "left").join(answers, "shard", "left")
     return whole.mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
