@@ -7,18 +7,22 @@ agree in a coordinate with the probability of their (weighted) Jaccard similarit
 before a rank of about K (ln K + 3) / total weight are ever thrown, so the cost hardly depends
 on K.
 
+Weights are 1 (sets of shingles) or, with weighted, how often a shingle stands in the text; then the
+similarity is the sum of the smaller weights over that of the larger ones.
+
 Equal texts are joined first, so that copies are never compared. Distinct texts whose bands agree
-meet in buckets. Never are all pairs of a bucket compared, unless it is small: each text meets the
-bucket's hubs (the text with most company over all its buckets, and the smallest) and
-its neighbours in an order in which texts that agree in the next band as well stand together. A
-similar pair shares about ten of 32 buckets, so it has as many chances to meet. Each comparison is
-an exact Jaccard similarity of whole shingle sets. Classes are the connected components of the
-links.
-
-Texts of a large bucket that are still in different components are then joined exactly: two sets of
-a Jaccard similarity of at least s share one of the first |x| - ceil(s |x|) + 1 elements of each, in
-any one order of all elements. Rare shingles go first, so that what a family of texts has in common
-brings few pairs together. Every similar pair that shares a bucket is thereby linked.
+meet in buckets. Never are all pairs of a bucket compared, unless it is small: each text first meets
+the bucket's hubs (the text with most company over all its buckets, and the smallest) and
+its neighbours in an order in which texts that agree in the next band as well stand together.
+Each comparison is an exact similarity of whole texts. Classes are the connected components of the
+links. Hubs and neighbours only make this cheap; what they leave open is settled exactly:
+
+Texts of a large bucket that are still in different components are joined by prefixes. Of two sets
+with a Jaccard similarity of at least s, in any one order of all elements, the smaller one x has an
+element of the other among its first |x| - ceil(2 s |x| / (1 + s)) + 1, and the larger one y among
+its first |y| - ceil(s |y|) + 1. Rare shingles go first: texts of a family that share a core, but
+too little of it, then bring no pair together. Every similar pair that shares a bucket is thereby
+in one class, whatever the number of partitions, and however large the bucket.
 
 A text of one to four words is one shingle. Null and empty texts are equal texts of no shingles.
 Rows with equal ids are kept apart by their texts; a null id sorts before all others.
@@ -34,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cut_lineage, slices, texts_of
+from .common import attach, cut_lineage, fresh, slices, texts_of
 from .components import components
 
 WORDS = 5
@@ -142,20 +146,47 @@ def band_hashes(names: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.n
     return acc
 
 
+def elements(texts: list[str], weighted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Hashes of each text's shingles end to end, how many each text has, and their weights (then each shingle once)."""
+    hashes, counts = shingle_hashes(texts)
+    if not weighted:
+        return hashes, counts, None
+    parts = [np.unique(own, return_counts=True) for own in np.split(hashes, np.cumsum(counts)[:-1])] if len(counts) else []
+    weights = np.concatenate([p[1] for p in parts]).astype(float) if parts else np.zeros(0)
+    return np.concatenate([p[0] for p in parts] or [hashes]), np.array([len(p[0]) for p in parts], np.int64), weights
+
+
+def unit_hashes(own: np.ndarray, weighted: bool) -> np.ndarray:
+    """A text's elements as a set: its shingles or, weighted, each occurrence of a shingle by its number."""
+    if not weighted:
+        return np.unique(own)
+    values, times = np.unique(own, return_counts=True)
+    number = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return np.unique(mixed(np.repeat(values, times) + _MIX * (number + 1).astype(np.uint64)))
+
+
 def text_key(text: str = "text") -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
 
 
-def with_bands(texts: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, bands) for (key, text): what the bucket join needs. Texts without words have no bands."""
+def with_bands(texts: DataFrame, bands: int, rows: int, weighted: bool = False) -> DataFrame:
+    """(key, _id, bands) for (key, _id, text): what the bucket join needs. Texts without words have no
+    bands, and of equal texts in a task only the first is signed: the others have null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for part in slices(batches, limit=1 << 20):
-            hashes, counts = shingle_hashes(texts_of(part))
-            found = band_hashes(signatures(hashes, counts, bands * rows), bands, rows).astype(np.int64)
-            size = np.where(counts > 0, bands, 0)
+            keys = part.column(0).to_pylist()
+            new = [k for k, key in enumerate(keys) if not (key in seen or seen.add(key))]
+            hashes, counts, weights = elements(texts_of(part.take(pa.array(new, pa.int64()))), weighted)
+            found = band_hashes(signatures(hashes, counts, bands * rows, weights), bands, rows).astype(np.int64)
+            size = np.zeros(len(keys), np.int64)
+            size[new] = np.where(counts > 0, bands, 0)
+            mask = np.ones(len(keys), bool)
+            mask[new] = False
             at = np.concatenate([[0], np.cumsum(size)])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found[counts > 0].ravel()))], names=["key", "_id", "bands"])
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found[counts > 0].ravel()), mask=pa.array(mask))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["key", "_id", "bands"])
 
     return texts.select("key", "_id", "text").mapInArrow(run, "key binary, _id long, bands array<long>")
 
@@ -165,8 +196,21 @@ def shingle_set(text: str, words: int = WORDS) -> set[tuple[str, ...]]:
     return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
 
 
-def similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle sets have a Jaccard similarity of at least `least`."""
+def shingle_bag(text: str, words: int = WORDS) -> set[tuple]:
+    """Each occurrence of a shingle, with its number."""
+    w = text.split()
+    times: dict[tuple[str, ...], int] = {}
+    out = set()
+    for i in range(max(1, len(w) - words + 1)) if w else ():
+        x = tuple(w[i : i + words])
+        times[x] = times.get(x, 0) + 1
+        out.add((x, times[x]))
+    return out
+
+
+def similar(pairs: DataFrame, texts: DataFrame, least: float, weighted: bool = False) -> DataFrame:
+    """The pairs (a, b) whose texts' shingle sets (or bags) have a Jaccard similarity of at least `least`."""
+    shingles = shingle_bag if weighted else shingle_set
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, set()
@@ -175,8 +219,8 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             good = []
             for key, x, y in zip(b, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 if key != last:
-                    last, held = key, shingle_set(y)
-                other = shingle_set(x)
+                    last, held = key, shingles(y)
+                other = shingles(x)
                 common = len(other & held)
                 good.append(common >= least * (len(other) + len(held) - common) - 1e-9)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -227,8 +271,11 @@ def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(cut_lineage(mixed_, "mixed"), "bucket", "left_semi").select("key", "component").distinct()
 
 
-def remainder(texts: DataFrame, least: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of texts (key, component, text) of different components: all that can be similar, and few others."""
+def remainder(texts: DataFrame, least: float, weighted: bool = False) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of texts (key, component, text) of different components: all that can be similar, and few others.
+
+    The smaller text comes with its short prefix, the larger one with its long one.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(RARITY_BINS, np.int64)
@@ -244,35 +291,36 @@ def remainder(texts: DataFrame, least: float) -> DataFrame:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=1 << 20):
             hashes, counts = shingle_hashes(texts_of(part))
-            marks, sizes = [], []
+            marks, sizes, leads = [], [], []
             for own in np.split(hashes, np.cumsum(counts)[:-1]):
-                own = np.unique(own)
+                own = unit_hashes(own, weighted)
                 own = own[np.lexsort((own, often[(own % np.uint64(RARITY_BINS)).astype(np.int64)]))]
                 sizes.append(len(own))
+                leads.append(len(own) - int(np.ceil(2 * least / (1 + least) * len(own) - 1e-9)) + 1)
                 marks.append(own[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64()))], names=["key", "component", "size", "marks"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int32()), pa.array(leads, pa.int32()), pa.array(marks, pa.list_(pa.int64()))], names=["key", "component", "size", "leads", "marks"])
 
-    held = cut_lineage(texts.select("key", "component", "text").mapInArrow(first, "key binary, component binary, size int, marks array<long>"), "prefixes")
-    each = held.select("key", "component", "size", F.posexplode("marks").alias("place", "mark"))
+    held = cut_lineage(texts.select("key", "component", "text").mapInArrow(first, "key binary, component binary, size int, leads int, marks array<long>"), "prefixes")
+    each = held.select("key", "component", "size", "leads", F.posexplode("marks").alias("place", "mark"))
     # A mark within one component brings no pair.
     shared = each.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("mark")
     each = cut_lineage(each.join(cut_lineage(shared, "shared"), "mark"), "meeting")
-    x = each.select("mark", *[F.col(c).alias(f"{c}_a") for c in ("key", "component", "size", "place")])
+    x = each.where(F.col("place") < F.col("leads")).select("mark", *[F.col(c).alias(f"{c}_a") for c in ("key", "component", "size", "place")])
     y = each.select("mark", *[F.col(c).alias(f"{c}_b") for c in ("key", "component", "size", "place")])
     # At the first mark that both have, all they can have in common is it and what follows.
     ahead = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
     enough = ahead * (1 + least) >= least * (F.col("size_a") + F.col("size_b")) - 1e-6
-    alike = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-6
-    met = x.join(y, "mark").where((F.col("key_a") < F.col("key_b")) & (F.col("component_a") != F.col("component_b")) & alike & enough)
-    return met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    alike = (F.col("size_a") <= F.col("size_b")) & (F.col("size_a") >= least * F.col("size_b") - 1e-6)
+    met = x.join(y, "mark").where((F.col("component_a") != F.col("component_b")) & alike & enough)
+    return met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
 
 
-def classes(members: DataFrame, weighed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def classes(members: DataFrame, weighed: DataFrame, texts: DataFrame, least: float, weighted: bool = False) -> DataFrame:
     """(node, component) of all texts that are similar to another one."""
-    labels = components(similar(candidates(weighed), texts, least))
+    labels = components(similar(candidates(weighed), texts, least, weighted))
     open_ = cut_lineage(unsettled(members, labels), "unsettled")
     left = cut_lineage(texts.join(open_, "key"), "left")
-    links = cut_lineage(similar(remainder(left, least), texts, least), "links")
+    links = cut_lineage(similar(remainder(left, least, weighted), texts, least, weighted), "links")
     if links.limit(1).count() == 0:
         return labels
     of = open_.select("key", "component")
@@ -282,11 +330,11 @@ def classes(members: DataFrame, weighed: DataFrame, texts: DataFrame, least: flo
     return labels.unionByName(alone).join(over, "component", "left").select("node", F.coalesce("_over", "component").alias("component"))
 
 
-def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
     """One row for each row of df: doc_id, key (hash of the text), class_id (smallest id of its
     class), and whether it is the one that represents the class. Columns of df are not carried."""
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{doc_id}`"), F.lit(-(1 << 63))).alias("_id"), text_key(text).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    signed = cut_lineage(with_bands(docs, bands, rows), "signed")
+    signed = cut_lineage(with_bands(docs, bands, rows, weighted), "signed")
     distinct = signed.groupBy("key").agg(F.min("_id").alias("first"), F.any_value("bands").alias("bands"))
     # Beside each band goes the next one: texts that agree in both are neighbours in the bucket's order.
     beside = F.transform("bands", lambda b, i: F.struct(b.alias("bucket"), F.element_at("bands", (i + 1) % bands + 1).alias("next")))
@@ -301,7 +349,7 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     # One text of many copies is chosen before the shuffle.
     once = docs.select("key", "text").groupBy("key").agg(F.any_value("text").alias("text"))
     texts = cut_lineage(once.join(needed, "key", "left_semi"), "texts")
-    labels = classes(members, weighed, texts, least)
+    labels = classes(members, weighed, texts, least, weighted)
     class_of = distinct.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
     class_of = cut_lineage(class_of, "classes")
     first = class_of.groupBy("component").agg(F.min(F.struct("first", "key")).alias("_head"))
@@ -318,7 +366,8 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
 def one_of_each(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df, all columns as they are, that represent their class. Of rows with equal id and text one stays."""
-    kept = near_duplicates(df, doc_id=doc_id, text=text).where("represents").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_kept_id"), F.col("text_key").alias("_kept_key")).distinct()
-    tagged = df.withColumn("_kept_id", F.coalesce(F.col(f"`{doc_id}`"), F.lit(-(1 << 63)))).withColumn("_kept_key", text_key(text))
-    stay = tagged.join(kept, ["_kept_id", "_kept_key"], "left_semi").drop("_kept_id")
-    return stay.dropDuplicates([doc_id, "_kept_key"]).drop("_kept_key").select(*[F.col(f"`{c}`") for c in df.columns])
+    id_, key, stays = fresh(df.columns, "_id", "_key", "_stays")
+    kept = near_duplicates(df, doc_id=doc_id, text=text).where("represents").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(id_), F.col("text_key").alias(key)).distinct().withColumn(stays, F.lit(True))
+    tagged = df.withColumns({id_: F.coalesce(F.col(f"`{doc_id}`"), F.lit(-(1 << 63))), key: text_key(text)})
+    stay = attach(tagged, kept, [id_, key], F.monotonically_increasing_id()).where(F.col(stays))
+    return stay.dropDuplicates([id_, key]).select(*[F.col(f"`{c}`") for c in df.columns])
