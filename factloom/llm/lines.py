@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, pa_schema, row_key, slices, texts_of
+from .common import attach, cut_lineage, fresh, pa_schema, row_key, slices, texts_of
 
 LEAST_WORDS = 50
 
@@ -108,15 +108,16 @@ def repeated_runs(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 
 def rewritten(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """df with repeated runs deleted from its text; adds n_lines, n_removed and n_runs with two leading underscores."""
-    tagged = df.withColumns({"__id": row_key(doc_id, text)[0], "__h": row_key(doc_id, text)[1]})
-    runs = repeated_runs(df, doc_id=doc_id, text=text, least=least).select(F.col("_id").alias("__id"), F.col("_h").alias("__h"), F.col("runs").alias("__runs"))
-    joined = tagged.join(runs, ["__id", "__h"], "left").drop("__id", "__h")
-    names = df.columns
+    """df with repeated runs deleted from its text; adds the columns counts_of(df): lines, lines removed, and in how many runs."""
+    id_, hash_, extra_ = fresh(df.columns, "_id", "_h", "_runs")
+    names, stats_ = df.columns, counts_of(df)
+    tagged = df.withColumns(dict(zip((id_, hash_), row_key(doc_id, text), strict=True)))
+    runs = repeated_runs(df, doc_id=doc_id, text=text, least=least).select(F.col("_id").alias(id_), F.col("_h").alias(hash_), F.col("runs").alias(extra_))
+    joined = attach(tagged, runs, [id_, hash_], F.monotonically_increasing_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text=text):
-            at, extra = part.schema.get_field_index(text), part.schema.get_field_index("__runs")
+            at, extra = part.schema.get_field_index(text), part.schema.get_field_index(extra_)
             new, stats = [], []
             for x, found in zip(part.column(at).to_pylist(), part.column(extra).to_pylist(), strict=True):
                 n = len(lines_of(x or ""))
@@ -127,23 +128,27 @@ def rewritten(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leas
                     stats.append((n, 0, 0))
                 new.append(x)
             columns = [pa.array(new, part.column(at).type) if i == at else part.column(i) for i in range(len(part.schema)) if i != extra]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in zip(*stats, strict=True))], names=[*(f.name for i, f in enumerate(part.schema) if i != extra), "__n_lines", "__n_removed", "__n_runs"])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in zip(*stats, strict=True))], names=[*(f.name for i, f in enumerate(part.schema) if i != extra), *stats_])
 
     from pyspark.sql.types import LongType, StructField, StructType
 
-    schema = StructType([*df.schema.fields, *(StructField(c, LongType()) for c in ("__n_lines", "__n_removed", "__n_runs"))])
-    return joined.select(*[F.col(f"`{c}`") for c in names], "__runs").mapInArrow(run, schema)
+    schema = StructType([*df.schema.fields, *(StructField(c, LongType()) for c in stats_)])
+    return joined.select(*[F.col(f"`{c}`") for c in names], extra_).mapInArrow(run, schema)
 
 
 def line_dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """The rows of df, all columns as they are but for the text, which lacks its repeated runs."""
-    return rewritten(df, doc_id=doc_id, text=text, least=least).drop("__n_lines", "__n_removed", "__n_runs")
+    return rewritten(df, doc_id=doc_id, text=text, least=least).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def counts_of(df: DataFrame) -> list[str]:
+    return fresh(df.columns, "n_lines", "n_removed", "n_runs")
 
 
 def line_digests(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """One row for each row of df: its lines, how many were removed in how many runs, and a hash of what is left."""
     out = rewritten(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), least=least)
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed_lines"), F.col("__n_runs").alias("n_runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", F.col("n_removed").alias("n_removed_lines"), "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def brute_force(rows: list[tuple[int, str]], least: int = LEAST_WORDS) -> dict[int, str]:
