@@ -26,7 +26,8 @@ from .common import map_texts, resident, texts_of
 NONE = np.int32(2**31 - 1)
 #: Words whose ids a worker remembers; the memory is emptied when full.
 MEMORY_WORDS = 300_000
-#: Longer words are merged with a heap, whose cost does not grow with the number of rounds.
+#: Longer words are merged one pair at a time with a heap, with the same result: a round costs the
+#: whole word, and random text of a megabyte without a space has thousands of rounds.
 LONG_WORD = 2_000
 
 
