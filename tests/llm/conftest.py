@@ -12,6 +12,8 @@ def odd(spark):
 
     df = spark.createDataFrame(ODD, "doc_id long, text string")
     extra = {"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(0).cast("long"), "key": F.lit(1), "hash": F.lit("h"), "marks": F.lit(2), "score": F.lit(0.5), "bucket": F.lit("b")}
+    own = ("_id", "_h", "__id", "__h", "_runs", "__runs", "n_lines", "__n_lines", "n_removed", "n_runs", "_spans", "__spans", "_kept_id", "_kept_key", "_key", "_stays", "_way", "_owner", "_repo", "_text", "_base", "_found", "_q", "first", "component", "class_id", "represents", "shard", "anchor", "_N_Lines")
+    extra |= {c: F.lit("own") for c in own}
     return df.withColumns(extra).repartition(3)
 
 

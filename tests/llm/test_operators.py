@@ -67,8 +67,7 @@ def test_repeated_substrings(spark, odd):
     parts = ["abc" * 7, "hello wörld ", "x" * 60, "\x00\x00", "lorem ipsum dolor sit amet ", "q", "éà" * 9, "0123456789" * 3]
     rows = [(rng.randrange(60), "".join(rng.choice(parts) for _ in range(rng.randrange(12)))) for _ in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for hot in (substrings.HOT, 2):
-        assert sorted(map(tuple, substrings.repeated_substrings(df, hot=hot).collect()), key=str) == repeats(rows)
+    assert sorted(map(tuple, substrings.repeated_substrings(df).collect()), key=str) == repeats(rows)
     some = [(r["doc_id"], r["text"]) for r in odd.where("length(text) < 1000 or text is null").collect()]
     got = substrings.repeated_substrings(odd.where("length(text) < 1000 or text is null")).collect()
     assert sorted(map(tuple, got), key=str) == repeats(some)
@@ -76,25 +75,57 @@ def test_repeated_substrings(spark, odd):
 
 @needs_tables
 def test_repeated_substrings_of_documents(docs, texts):
-    for hot in (substrings.HOT, 1):
-        assert sorted(map(tuple, substrings.repeated_substrings(docs, hot=hot).collect()), key=str) == repeats(list(texts.items()))
+    tables = len(docs.sparkSession.catalog.listTables())
+    assert sorted(map(tuple, substrings.repeated_substrings(docs).collect()), key=str) == repeats(list(texts.items()))
+    assert len(docs.sparkSession.catalog.listTables()) == tables
 
 
-def test_sorting_out_does_not_depend_on_batches():
-    import pyarrow as pa
-
+def test_what_is_asked_for(spark):
     rng = random.Random(4)
-    rows = sorted((rng.randrange(12), rng.randrange(3), rng.randrange(4)) for _ in range(120))
-    rows = [(*r, i) for i, r in enumerate(rows)]
+    rows = [(rng.randrange(12), rng.randrange(3), rng.randrange(4), i % 5, i // 5) for i in range(120)]
     kinds = {a: {r[1] for r in rows if r[0] == a} for a in range(12)}
     low = {}
-    for a, c, lowest, _ in rows:
+    for a, c, lowest, *_ in rows:
         low[a, c] = min(low.get((a, c), 99), lowest)
-    want = {(i, True) for a, c, x, i in rows if x > low[a, c]} | {(i, False) for a, c, x, i in rows if x == low[a, c] and len(kinds[a]) > 1}
-    for step in (1, 2, 7, 50, 200):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + step], strict=True)], names=["anchor", "context", "low", "ref"]).append_column("hot", pa.array([False] * len(rows[k : k + step]))) for k in range(0, len(rows), step)]
-        got = {(r["ref"], r["repeat"]) for b in substrings._sort_out(iter(batches)) for r in b.to_pylist()}
-        assert got == want
+    want = {(s, t, True) for a, c, x, s, t in rows if x > low[a, c]} | {(s, t, False) for a, c, x, s, t in rows if x == low[a, c] and len(kinds[a]) > 1}
+    df = spark.createDataFrame(rows, "anchor long, context long, low long, shard long, slot int")
+    got = substrings.sort_out(df).collect()
+    assert {(r["shard"], t, True) for r in got for t in r["repeats"]} | {(r["shard"], t, False) for r in got for t in r["asked"]} == want
+
+
+def test_anchors_that_reach_over_blocks(spark, monkeypatch):
+    """Blocks of a few contexts, cut at any place: the same answers, whole or sent on."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    core = rng.integers(97, 100, (6, 20)).astype(np.uint8)
+    anchor = np.sort(rng.integers(0, 6, 90))
+    contexts = np.concatenate([rng.integers(97, 99, (90, 30)), core[anchor], rng.integers(97, 99, (90, 30))], 1).astype(np.uint8)
+    contexts[::3, :30], contexts[1::4, 50:] = 97, 98
+    low = rng.integers(0, 40, 90)
+    rows = {"anchor": anchor, "lead": np.full(90, 30), "follow": np.full(90, 50), "context": [x.tobytes() for x in contexts], "low": low, "shard": np.arange(90) % 7, "slot": np.arange(90)}
+    whole = pa.table({c: pa.array(v, {"lead": pa.int32(), "follow": pa.int32(), "slot": pa.int32()}.get(c)) for c, v in rows.items()})
+    least = substrings.smallest_ids(contexts, rows["lead"], rows["follow"], low)
+    want = {(int(rows["shard"][i]), i, o): int(least[i, o]) for i in range(90) for o in range(31) if least[i, o] < low[i]}
+    for block, step in ((4000, 90), (10, 7), (3, 1), (1, 40)):
+        monkeypatch.setattr(substrings, "BLOCK_CONTEXTS", block)
+        for cuts in ((0, 90), (0, 31, 90), (0, 5, 6, 50, 90)):
+            out = [r for a, b in zip(cuts[:-1], cuts[1:], strict=True) for batch in substrings._answers(iter(whole.slice(a, b - a).to_batches(step))) for r in batch.to_pylist()]
+            got = {(r["shard"], r["slot"], o): v for r in out if r["smallest"] for o, v in enumerate(r["smallest"]) if v < r["low"]}
+            sent: dict = {}
+            for r in (r for r in out if r["windows"]):
+                for w in r["windows"]:
+                    sent[w] = min(sent.get(w, 99), r["low"])
+            got |= {(r["shard"], r["slot"], o): sent[w] for r in out if r["windows"] for o, w in enumerate(r["windows"]) if sent[w] < r["low"]}
+            assert got == want
+
+
+def test_long_documents_have_the_same_anchors(monkeypatch):
+    data = np.random.default_rng(1).integers(97, 101, 5000).astype(np.uint8).tobytes()
+    whole = substrings.Shard(data, [5000], [1]).places
+    monkeypatch.setattr(substrings, "PIECE_BYTES", 137)
+    assert substrings.Shard(data, [5000], [1]).places.tolist() == whole.tolist()
+    assert substrings.Shard(data + data[:49], [5000, 0, 49], [1, 2, 3]).places.tolist() == whole.tolist()
 
 
 # -- op2
@@ -186,6 +217,31 @@ def test_similar_pairs_of_a_family_meet_in_large_buckets(spark):
     assert [got[d] for d, _ in rows] == classes(rows)
 
 
+def test_pairs_of_a_large_template_group_are_found_and_no_others(spark):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(2600):  # pairs at a similarity of 0.9 or so; texts of different pairs at about 0.7 or less
+        first = list(base)
+        for j in range(6 + k % 5, 115, 36):
+            first[j] = f"g{k}.{j}"
+        second = list(first)
+        second[rng.randrange(20, 100)] = f"x{k}"
+        rows += [(2 * k, " ".join(first)), (2 * k + 1, " ".join(second))]
+    a, b, c = (neardup.shingle_set(rows[i][1]) for i in (0, 1, 10))
+    assert len(a & b) >= 0.8 * len(a | b) and len(a & c) < 0.8 * len(a | c)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
+def test_weighted_similarity_counts_repeats(spark):
+    line = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(line * 6)), (2, " ".join(line * 3)), (3, " ".join(line * 6 + ["end"])), (4, " ".join(line[:20] * 2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes_of = lambda weighted: [r["class_id"] for r in sorted(neardup.near_duplicates(df, weighted=weighted).collect(), key=lambda r: r["doc_id"])]
+    assert classes_of(False) == [1, 1, 1, 4] and classes_of(True) == [1, 2, 1, 4]
+
+
 # -- op3
 
 def test_media_round_trip(spark, odd, tmp_path):
@@ -402,6 +458,18 @@ def test_pieces_equal_the_library(odd, empty):
     assert pieces.piece_digests(empty, path).count() == 0 and pieces.piece_digests(odd, path).count() == odd.count()
 
 
+def test_long_words_and_short_ones_are_merged_alike(monkeypatch):
+    path = tokenizer_file("piece_bpe_32k.model")
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdeABC0189+/=éz") for _ in range(rng.randrange(1, 300))) for _ in range(60)]
+    found = []
+    for limit in (0, 100, 1 << 30):
+        monkeypatch.setattr(pieces, "LONG_WORD", limit)
+        model = pieces.PieceModel(path)
+        found.append([x.tolist() for x in model.merge([[model.characters.get(c, -1 - ord(c)) for c in w] for w in words])])
+    assert found[0] == found[1] == found[2]
+
+
 # -- op7
 
 def test_line_dedup_matches_all_runs(spark, odd, empty):
@@ -526,6 +594,8 @@ def test_word_tokenizer_equals_the_library():
     rng = random.Random(0)
     some = ["".join(rng.choice("ab'sd  \n\t_é²½日\U0001f6001٣-.,\x85ª") for _ in range(rng.randrange(40))) for _ in range(2000)]
     some += ["<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>c", "<|endoftext|", " é<|endoftext|>日  "]
+    some += ["".join(rng.choice([" ", "  ", "\n", "\t", "a", "Is", "'s", ",", "7", "_", "é", "<|", " \n"]) for _ in range(rng.randrange(30))) for _ in range(4000)]
+    some += ["".join(rng.choice([" ", "\n", "a", "Is", ",", ".", " b", " é", " word"]) for _ in range(rng.randrange(12))) for _ in range(6000)]
     ids, counts = packing.WordTokenizer(path).encode(some)
     at = np.concatenate([[0], np.cumsum(counts)])
     for i, t in enumerate(some):
