@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cut_lineage, fresh, pa_schema, row_key, slices, texts_of
+from .common import cut_lineage, fresh, pa_schema, row_key, slices, texts_of
 
 LEAST_WORDS = 50
 
@@ -113,7 +113,8 @@ def rewritten(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leas
     names, stats_ = df.columns, counts_of(df)
     tagged = df.withColumns(dict(zip((id_, hash_), row_key(doc_id, text), strict=True)))
     runs = repeated_runs(df, doc_id=doc_id, text=text, least=least).select(F.col("_id").alias(id_), F.col("_h").alias(hash_), F.col("runs").alias(extra_))
-    joined = attach(tagged, runs, [id_, hash_], F.monotonically_increasing_id())
+    # Written down first, so that equal rows, which share a key, can be split by the adaptive engine.
+    joined = tagged.join(cut_lineage(runs, "runs"), [id_, hash_], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text=text):
