@@ -132,9 +132,9 @@ def secret_scan(df: DataFrame, *, owner: Column, repository: Column, doc_id: str
     judged = attach(each, stats, ["hash"], F.struct("_id", "_h"))
     is_live = F.col("live") & (F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories)
     per_row = judged.where(is_live).groupBy("_id", "_h").agg(F.collect_set(F.struct(F.lit(3).alias("kind"), "start", "stop")).alias("live_spans"))
-    # Rows without candidates have nothing to look up; equal rows with some are spread over tasks.
+    # Rows without candidates have nothing to look up. Written down first, so that equal rows, which share a key, can be split by the adaptive engine.
     without, with_ = rows.where(F.size("_found") == 0), rows.where(F.size("_found") > 0)
-    out = attach(with_, per_row, ["_id", "_h"], F.monotonically_increasing_id()).unionByName(without, allowMissingColumns=True)
+    out = with_.join(cut_lineage(per_row, "live"), ["_id", "_h"], "left").unionByName(without, allowMissingColumns=True)
     live = F.coalesce(F.col("live_spans"), F.array().cast("array<struct<kind:int,start:int,stop:int>>"))
     return out.select(
         "_id", "_h", "doc_id", "n_assign", "n_access", "n_hex",
@@ -165,7 +165,7 @@ def mask_live(df: DataFrame, *, owner: Column, repository: Column, doc_id: str =
     found = secret_scan(df, owner=owner, repository=repository, doc_id=doc_id, text=text).where("n_live > 0")
     found = found.groupBy(F.col("_id").alias(id_), F.col("_h").alias(hash_)).agg(F.any_value("live_spans").alias(spans))
     keys = row_key(doc_id, text)
-    joined = attach(df.withColumns({id_: keys[0], hash_: keys[1]}), found, [id_, hash_], F.monotonically_increasing_id())
+    joined = df.withColumns({id_: keys[0], hash_: keys[1]}).join(cut_lineage(found, "masks"), [id_, hash_], "left")
     new = F.when(F.col(spans).isNull(), F.col(f"`{text}`")).otherwise(masked(F.col(f"`{text}`"), F.col(spans)))
     return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
 
