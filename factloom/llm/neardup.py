@@ -366,8 +366,8 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
 def one_of_each(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df, all columns as they are, that represent their class. Of rows with equal id and text one stays."""
-    id_, key, stays = fresh(df.columns, "_id", "_key", "_stays")
-    kept = near_duplicates(df, doc_id=doc_id, text=text).where("represents").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(id_), F.col("text_key").alias(key)).distinct().withColumn(stays, F.lit(True))
+    id_, key = fresh(df.columns, "_id", "_key")
+    kept = near_duplicates(df, doc_id=doc_id, text=text).where("represents").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(id_), F.col("text_key").alias(key)).distinct()
     tagged = df.withColumns({id_: F.coalesce(F.col(f"`{doc_id}`"), F.lit(-(1 << 63))), key: text_key(text)})
-    stay = attach(tagged, kept, [id_, key], F.monotonically_increasing_id()).where(F.col(stays))
+    stay = tagged.join(cut_lineage(kept, "kept"), [id_, key], "left_semi")
     return stay.dropDuplicates([id_, key]).select(*[F.col(f"`{c}`") for c in df.columns])
