@@ -44,9 +44,11 @@ def mark() -> int:
     return len(_named)
 
 
-def discard(spark: SparkSession, since: int = 0) -> None:
-    """Deletes scratch folders, once what was read from them is written elsewhere."""
+def discard(spark: SparkSession, since: int = 0, before: int | None = None) -> None:
+    """Deletes scratch folders (those from one mark to another), once what was read from them is written elsewhere."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while len(_named) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_named.pop())
+    gone = _named[since:before]
+    del _named[since:before]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)

@@ -15,7 +15,7 @@ from .operators.session import Session
 from .plans import fold as folds
 from .plans import schema as S
 from .plans.lineage import scratch
-from .queries import HASH, NIGHT, PROC, SPAWN_EDGES, process_obs, query, relations, table, xml_records
+from .queries import EDGE, HASH, NIGHT, PROC, SPAWN_EDGES, edge_table, process_nodes, process_obs, query, relations, table, xml_records
 from .sources.eventlog import read_binary_log
 from .sources.evidence import EvidenceStore, export_manifest
 from .sources.registry import check_path, records_frame
@@ -188,6 +188,12 @@ def f10_keys_from_lists(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(made, "id long, readable boolean")
 
 
+@query(f"WITH {PROC}, {EDGE} SELECT (SELECT count(*) FROM (SELECT DISTINCT host, pid, start FROM proc)) AS n_nodes, (SELECT count(*) FROM edge) AS n_edges")
+def a16_counts_of_a_graph(spark: SparkSession, sf: str) -> DataFrame:
+    counts = graph.Graph({"Process": process_nodes(spark, sf)}, edge_table(spark, sf)).counts()
+    return spark.createDataFrame([counts], "n_nodes long, n_edges long")
+
+
 # -- sessions and reports
 
 def listing(spark: SparkSession, sf: str) -> DataFrame:
