@@ -12,12 +12,12 @@ suffix arrays are built where strings can meet at all:
    hash, with their smallest id. A context known from a smaller id is a repeat as a whole. Only
    the first context of each kind, of anchors that have several kinds, still has to be compared,
    and only those are fetched as bytes.
-4. Fetched contexts are dealt in order of their anchors, in ranges of about equal size. A task
-   sorts blocks of them as suffixes by Larsson-Sadakane refinement; Kasai's common prefixes part
-   them into groups of equal windows, and each window gets the smallest id of its group. Contexts
-   whose both sides cannot make up a window with any other are found before, by binary search
-   among the sorted sides, and left out. An anchor that reaches over the end of a block or range,
-   however often it occurs, has its windows merged across blocks by an aggregate of their hashes.
+4. Fetched contexts meet by anchor. A task sorts blocks of them as suffixes by Larsson-Sadakane
+   refinement; Kasai's common prefixes part them into groups of equal windows, and each window gets
+   the smallest id of its group. Contexts whose both sides cannot make up a window with any other
+   are found before, among the sorted sides, and left out. An anchor's contexts are dealt over as
+   many tasks as they fill blocks; where that is more than one, its windows are merged across
+   blocks by an aggregate of their hashes, so that no task grows with the number of a string's kinds.
 5. The answers go back to the shards, which mark windows found in smaller ids, and report.
 
 Anchors only choose what is compared; equality is that of bytes, or of 64-bit hashes of 50 or 80
@@ -34,10 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans import lineage
 from .common import attach, cut_lineage, pa_schema, scratch, settle, slices, utf8_of
 from .neardup import mixed
 
@@ -45,7 +47,7 @@ LENGTH = 50
 ANCHOR = 20
 SPAN = LENGTH - ANCHOR  # windows lie up to so many bytes to either side of an anchor
 CONTEXT = ANCHOR + 2 * SPAN
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 20
 #: Later steps have two tasks for each partition of the input, and no more than this.
 MOST_BUCKETS = 100_000
 #: Shards whose anchors are counted together before they are shuffled: an anchor has at most one row
@@ -53,6 +55,10 @@ MOST_BUCKETS = 100_000
 GROUP_BYTES = 64 << 20
 #: Contexts that are sorted together.
 BLOCK_CONTEXTS = 4_000
+#: An anchor has a task of its own for each so many contexts.
+MOST_CONTEXTS = 16_000
+#: Anchors whose windows are marked together.
+MARK_ANCHORS = 20_000
 #: Bytes that are hashed at a time, in whole documents or parts of a long one.
 PIECE_BYTES = 256 << 10
 _PLACE = np.uint64((1 << 30) - 1)
@@ -353,20 +359,20 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context_hash(bytes_, left, right).view(np.int64)), pa.array(_lowest(shard, document, slot, len(h))), pa.array(np.full(len(h), number)), pa.array(np.arange(len(h)), pa.int32())], names=["anchor", "context", "low", "shard", "slot"])
 
 
-def sort_out(kinds: DataFrame) -> DataFrame:
-    """(shard, repeats, asked): the slots of contexts that a smaller id has as well, and of those that
+def sort_out(kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shard, repeats, asked), and (anchor, n), the kinds of each anchor that has several: the slots of contexts that a smaller id has as well, and of those that
     must be compared: the first of each kind, where an anchor has several kinds.
 
     Minima are aggregated before they are shuffled, and written down, so that the joins have two
     plain shuffles, of which the adaptive engine splits a hot anchor's part.
     """
     best = cut_lineage(kinds.groupBy("anchor", "context").agg(F.min("low").alias("least")), "kinds")
-    several = cut_lineage(best.groupBy("anchor").agg(F.min("context").alias("a"), F.max("context").alias("b")).where("a <> b").select("anchor", F.lit(True).alias("several")), "several")
+    several = cut_lineage(best.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "several")
     met = kinds.join(best, ["anchor", "context"]).select("anchor", "shard", "slot", (F.col("low") > F.col("least")).alias("repeat"))
     repeats = met.where("repeat").select("shard", "slot", "repeat")
     asked = met.where("not repeat").join(several, "anchor").select("shard", "slot", "repeat")
     both = repeats.unionByName(asked)
-    return both.groupBy("shard").agg(F.collect_list(F.when(F.col("repeat"), F.col("slot"))).alias("repeats"), F.collect_list(F.when(~F.col("repeat"), F.col("slot"))).alias("asked"))
+    return both.groupBy("shard").agg(F.collect_list(F.when(F.col("repeat"), F.col("slot"))).alias("repeats"), F.collect_list(F.when(~F.col("repeat"), F.col("slot"))).alias("asked")), several
 
 
 _FOUND = "anchor long, lead int, follow int, context binary, low long, shard long, slot int"
@@ -386,49 +392,31 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by anchor. Anchors that begin and end in here are taken whole, some thousand
-    contexts at a time. The first and the last anchor may go on in other ranges, and one that
-    fills a block goes on in the next: their windows are sent on, to be merged by hash."""
+    """Rows come ordered by anchor, with the number of tasks that have a part of it. Anchors that are
+    here as a whole are taken some thousand contexts at a time; windows of the others are sent on."""
     settle()
     held: list[pa.RecordBatch] = []
     count = 0
-    through: int | None = None  # an anchor that may have been begun elsewhere
-    begun = False
+
+    def flush(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        anchor = table.column(0).to_numpy()
+        end = len(anchor) if last else int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
+        for a, b in blocks_of(anchor[:end]) if end else ():
+            yield _answer(table.slice(a, b - a))
+        held[:] = table.slice(end).to_batches()
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        if not begun:
-            through, begun = batch.column(0)[0].as_py(), True
+        parted = pa.compute.greater(batch.column(batch.schema.get_field_index("parts")), 1)
+        if batch.num_rows and pa.compute.any(parted).as_py():
+            yield _sent_on(pa.Table.from_batches([batch.filter(parted)]))
+            batch = batch.filter(pa.compute.invert(parted))
         held.append(batch)
         count += batch.num_rows
-        if count < BLOCK_CONTEXTS:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        anchor = table.column(0).to_numpy()
-        own = int(np.searchsorted(anchor, through, side="right")) if anchor[0] == through else 0
-        if own:
-            yield _sent_on(table.slice(0, own))
-        end = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
-        if end > own:
-            for a, b in blocks_of(anchor[own:end]):
-                yield _answer(table.slice(own + a, b - a))
-        rest = table.slice(max(own, end))
-        if rest.num_rows >= BLOCK_CONTEXTS:
-            through = int(anchor[-1])
-            yield _sent_on(rest)
-            rest = rest.slice(0, 0)
-        held, count = rest.to_batches(), rest.num_rows
+        if count >= BLOCK_CONTEXTS:
+            yield from flush(pa.Table.from_batches(held).combine_chunks(), False)
+            count = sum(b.num_rows for b in held)
     if count:
-        table = pa.Table.from_batches(held).combine_chunks()
-        anchor = table.column(0).to_numpy()
-        own = int(np.searchsorted(anchor, through, side="right")) if anchor[0] == through else 0
-        end = max(own, int(np.searchsorted(anchor, anchor[-1])))
-        if end > own:
-            for a, b in blocks_of(anchor[own:end]):
-                yield _answer(table.slice(own + a, b - a))
-        for a, b in ((0, own), (end, len(anchor))):
-            if b > a:
-                yield _sent_on(table.slice(a, b - a))
+        yield from flush(pa.Table.from_batches(held).combine_chunks(), True)
 
 
 def _bytes_of(table: pa.Table) -> np.ndarray:
@@ -489,28 +477,33 @@ def _answer(table: pa.Table) -> pa.RecordBatch:
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     settle()
+    offset = np.arange(SPAN + 1)
     for batch in batches:
         for _, shard, row in shards_of(batch):
             covered = np.zeros(len(shard.data) + 1, np.int32)
-            place, document, slot, h, left, right, _ = shard.shared(_wanted(row))
+            place, document, slot, h, left, right, bytes_ = shard.shared(_wanted(row))
+            del bytes_
             if len(h):
-                offset = np.arange(SPAN + 1)
                 # What is known without answers: the smallest id that has the context in this shard.
-                smallest = np.repeat(_lowest(shard, document, slot, len(h))[:, None], SPAN + 1, 1)
+                lowest, answer = _lowest(shard, document, slot, len(h)), np.full(len(h), -1)
+                repeated = np.zeros(len(h), bool)
                 if row["answers"].is_valid:
                     answers = row["answers"].values
                     values = answers.field("smallest").flatten().to_numpy().reshape(-1, SPAN + 1)
-                    which = answers.field("slot").to_numpy()
-                    np.minimum.at(smallest, which, values)
-                fits = (SPAN - offset[None, :] <= left[:, None]) & (ANCHOR + offset[None, :] <= right[:, None])
-                repeated = np.zeros(len(h), bool)
+                    answer[answers.field("slot").to_numpy()] = np.arange(len(values))
                 if row["repeats"].is_valid:
                     repeated[row["repeats"].values.to_numpy(zero_copy_only=False)] = True
-                ids = shard.ids[document]
-                starts = [place[((smallest[slot, o] < ids) | repeated[slot]) & fits[slot, o]] - SPAN + o for o in range(SPAN + 1)]
-                begin = np.bincount(np.concatenate(starts), minlength=len(covered)).astype(np.int32)
-                covered = begin
-                covered[LENGTH:] -= begin[:-LENGTH].copy()
+                for a in range(0, len(place), MARK_ANCHORS):
+                    p, d, s = place[a : a + MARK_ANCHORS], document[a : a + MARK_ANCHORS], slot[a : a + MARK_ANCHORS]
+                    smallest = np.repeat(lowest[s][:, None], SPAN + 1, 1)
+                    known = np.flatnonzero(answer[s] >= 0)
+                    if len(known):
+                        smallest[known] = np.minimum(smallest[known], values[answer[s[known]]])
+                    hit = (smallest < shard.ids[d][:, None]) | repeated[s][:, None]
+                    hit &= (SPAN - offset[None, :] <= left[s][:, None]) & (ANCHOR + offset[None, :] <= right[s][:, None])
+                    which, o = np.nonzero(hit)
+                    np.add.at(covered, p[which] - SPAN + o, 1)
+                covered[LENGTH:] -= covered[:-LENGTH].copy()
             gone = np.cumsum(covered[:-1]) > 0
             step = np.diff(gone.astype(np.int8), prepend=0) == 1
             filled = shard.starts[shard.lengths > 0]
@@ -522,7 +515,7 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def merged_answers(sent: DataFrame) -> DataFrame:
-    """(shard, slot, smallest) for contexts whose anchors reach over blocks. Minima are aggregated
+    """(shard, slot, smallest) for contexts whose anchors are dealt over tasks. Minima are aggregated
     before they are shuffled, and joined back salted."""
     each = sent.where(F.col("windows").isNotNull()).select("shard", "slot", "low", F.posexplode("windows").alias("o", "window")).where(F.col("window").isNotNull())
     least = each.groupBy("window").agg(F.min("low").alias("least"))
@@ -540,13 +533,25 @@ def repeated_substrings(df: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     met = rows.withColumns({"n": F.count("*").over(same), "any": F.max("several").over(same)}).where((F.col("n") > 1) | F.col("any"))
     wanted = met.select("anchor", F.explode("shards").alias("shard")).groupBy("shard").agg(F.collect_list("anchor").alias("anchors"))
     wanted = cut_lineage(wanted, "anchors")
+    # Written tables go as soon as what is made of them is written.
+    spark, start = df.sparkSession, lineage.mark()
     kinds = blocks.join(wanted, "shard").mapInArrow(_context_rows, "anchor long, context long, low long, shard long, slot int")
-    by_shard = cut_lineage(sort_out(cut_lineage(kinds, "contexts")), "repeats")
+    sorted_out, several = sort_out(cut_lineage(kinds, "contexts"))
+    end = lineage.mark()
+    by_shard = cut_lineage(sorted_out, "repeats")
+    large = cut_lineage(several.where(F.col("n") > MOST_CONTEXTS).select("anchor", F.ceil(F.col("n") / MOST_CONTEXTS).cast("int").alias("parts")), "large")
+    lineage.discard(spark, start, end)
     asked = by_shard.where(F.size("asked") > 0).select("shard", "asked")
+    start = lineage.mark()
     found = cut_lineage(blocks.join(wanted, "shard").join(asked, "shard").mapInArrow(_fetch, _FOUND), "bytes")
-    place = ("anchor", "shard", "slot")
-    sent = cut_lineage(found.repartitionByRange(*place).sortWithinPartitions(*place).mapInArrow(_answers, _ANSWERS), "sent")
+    dealt = found.join(large, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("shard", "slot"), F.col("parts"))).repartition("anchor", "part").sortWithinPartitions("anchor")
+    end = lineage.mark()
+    sent = cut_lineage(dealt.select(*found.columns, "parts").mapInArrow(_answers, _ANSWERS), "sent")
+    lineage.discard(spark, start, end)
+    start = lineage.mark()
     answers = sent.where(F.col("smallest").isNotNull()).select("shard", "slot", "smallest").unionByName(merged_answers(sent))
     answers = cut_lineage(answers.groupBy("shard").agg(F.collect_list(F.struct("slot", "smallest")).alias("answers")), "answers")
+    lineage.discard(spark, start - 1, start)
     whole = blocks.join(wanted, "shard", "left").join(by_shard.select("shard", "repeats"), "shard", "left").join(answers, "shard", "left")
     return whole.mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

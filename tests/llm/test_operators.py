@@ -62,12 +62,14 @@ def test_suffix_array_and_prefixes():
         assert shared[b] == n
 
 
-def test_repeated_substrings(spark, odd):
+def test_repeated_substrings(spark, odd, monkeypatch):
     rng = random.Random(0)
     parts = ["abc" * 7, "hello wörld ", "x" * 60, "\x00\x00", "lorem ipsum dolor sit amet ", "q", "éà" * 9, "0123456789" * 3]
     rows = [(rng.randrange(60), "".join(rng.choice(parts) for _ in range(rng.randrange(12)))) for _ in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert sorted(map(tuple, substrings.repeated_substrings(df).collect()), key=str) == repeats(rows)
+    for most in (substrings.MOST_CONTEXTS, 1):
+        monkeypatch.setattr(substrings, "MOST_CONTEXTS", most)
+        assert sorted(map(tuple, substrings.repeated_substrings(df).collect()), key=str) == repeats(rows)
     some = [(r["doc_id"], r["text"]) for r in odd.where("length(text) < 1000 or text is null").collect()]
     got = substrings.repeated_substrings(odd.where("length(text) < 1000 or text is null")).collect()
     assert sorted(map(tuple, got), key=str) == repeats(some)
@@ -89,12 +91,14 @@ def test_what_is_asked_for(spark):
         low[a, c] = min(low.get((a, c), 99), lowest)
     want = {(s, t, True) for a, c, x, s, t in rows if x > low[a, c]} | {(s, t, False) for a, c, x, s, t in rows if x == low[a, c] and len(kinds[a]) > 1}
     df = spark.createDataFrame(rows, "anchor long, context long, low long, shard long, slot int")
-    got = substrings.sort_out(df).collect()
+    sorted_out, several = substrings.sort_out(df)
+    got = sorted_out.collect()
+    assert {r["anchor"]: r["n"] for r in several.collect()} == {a: len(k) for a, k in kinds.items() if len(k) > 1}
     assert {(r["shard"], t, True) for r in got for t in r["repeats"]} | {(r["shard"], t, False) for r in got for t in r["asked"]} == want
 
 
-def test_anchors_that_reach_over_blocks(spark, monkeypatch):
-    """Blocks of a few contexts, cut at any place: the same answers, whole or sent on."""
+def test_anchors_in_several_tasks(monkeypatch):
+    """Blocks of a few contexts, anchors whole or in parts: the same answers, given or sent on."""
     import pyarrow as pa
 
     rng = np.random.default_rng(5)
@@ -103,21 +107,24 @@ def test_anchors_that_reach_over_blocks(spark, monkeypatch):
     contexts = np.concatenate([rng.integers(97, 99, (90, 30)), core[anchor], rng.integers(97, 99, (90, 30))], 1).astype(np.uint8)
     contexts[::3, :30], contexts[1::4, 50:] = 97, 98
     low = rng.integers(0, 40, 90)
-    rows = {"anchor": anchor, "lead": np.full(90, 30), "follow": np.full(90, 50), "context": [x.tobytes() for x in contexts], "low": low, "shard": np.arange(90) % 7, "slot": np.arange(90)}
-    whole = pa.table({c: pa.array(v, {"lead": pa.int32(), "follow": pa.int32(), "slot": pa.int32()}.get(c)) for c, v in rows.items()})
-    least = substrings.smallest_ids(contexts, rows["lead"], rows["follow"], low)
-    want = {(int(rows["shard"][i]), i, o): int(least[i, o]) for i in range(90) for o in range(31) if least[i, o] < low[i]}
-    for block, step in ((4000, 90), (10, 7), (3, 1), (1, 40)):
+    small = {"lead": pa.int32(), "follow": pa.int32(), "slot": pa.int32(), "parts": pa.int32()}
+    least = substrings.smallest_ids(contexts, np.full(90, 30), np.full(90, 50), low)
+    shard = np.arange(90) % 7
+    want = {(int(shard[i]), i, o): int(least[i, o]) for i in range(90) for o in range(31) if least[i, o] < low[i]}
+    for block, step, large in ((4000, 90, ()), (10, 7, (2,)), (3, 1, (0, 5)), (1, 40, (0, 1, 2, 3, 4, 5))):
         monkeypatch.setattr(substrings, "BLOCK_CONTEXTS", block)
-        for cuts in ((0, 90), (0, 31, 90), (0, 5, 6, 50, 90)):
-            out = [r for a, b in zip(cuts[:-1], cuts[1:], strict=True) for batch in substrings._answers(iter(whole.slice(a, b - a).to_batches(step))) for r in batch.to_pylist()]
-            got = {(r["shard"], r["slot"], o): v for r in out if r["smallest"] for o, v in enumerate(r["smallest"]) if v < r["low"]}
-            sent: dict = {}
-            for r in (r for r in out if r["windows"]):
-                for w in r["windows"]:
-                    sent[w] = min(sent.get(w, 99), r["low"])
-            got |= {(r["shard"], r["slot"], o): sent[w] for r in out if r["windows"] for o, w in enumerate(r["windows"]) if sent[w] < r["low"]}
-            assert got == want
+        parts = np.where(np.isin(anchor, large), 3, 1)
+        rows = {"anchor": anchor, "lead": np.full(90, 30), "follow": np.full(90, 50), "context": [x.tobytes() for x in contexts], "low": low, "shard": shard, "slot": np.arange(90), "parts": parts}
+        whole = pa.table({c: pa.array(v, small.get(c)) for c, v in rows.items()})
+        task = np.where(parts > 1, np.arange(90) % 3, anchor % 3)
+        out = [r for k in range(3) for batch in substrings._answers(iter(whole.filter(pa.array(task == k)).combine_chunks().to_batches(step))) for r in batch.to_pylist()]
+        got = {(r["shard"], r["slot"], o): v for r in out if r["smallest"] for o, v in enumerate(r["smallest"]) if v < r["low"]}
+        sent: dict = {}
+        for r in (r for r in out if r["windows"]):
+            for w in r["windows"]:
+                sent[w] = min(sent.get(w, 99), r["low"])
+        got |= {(r["shard"], r["slot"], o): sent[w] for r in out if r["windows"] for o, w in enumerate(r["windows"]) if sent[w] < r["low"]}
+        assert got == want
 
 
 def test_long_documents_have_the_same_anchors(monkeypatch):
