@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,33 +24,39 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/factloom-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes df below the shared folder and reads it back: a lost executor costs no recomputation."""
+def cut_lineage(df: DataFrame, name: str = "step", by: Sequence[str] = ()) -> DataFrame:
+    """Writes df below the shared folder (in folders by the columns `by`) and reads it back: a lost executor costs no recomputation."""
     path = f"{scratch(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Folders that this driver has named, oldest first.
-_named: list[str] = []
+#: Folders that a thread of this driver has named, oldest first: what runs in another thread has marks of its own.
+_own = threading.local()
+
+
+def _named() -> list[str]:
+    if not hasattr(_own, "named"):
+        _own.named = []
+    return _own.named
 
 
 def scratch(spark: SparkSession) -> str:
-    """A shared_folder() that discard() knows of."""
-    _named.append(shared_folder(spark))
-    return _named[-1]
+    """A shared_folder() that this thread's discard() knows of."""
+    _named().append(shared_folder(spark))
+    return _named()[-1]
 
 
 def mark() -> int:
-    """How many scratch folders there are; discard(spark, mark) deletes those made after it."""
-    return len(_named)
+    """How many scratch folders this thread has; discard(spark, mark) deletes those made after it."""
+    return len(_named())
 
 
 def discard(spark: SparkSession, since: int = 0, before: int | None = None) -> None:
-    """Deletes scratch folders (those from one mark to another), once what was read from them is written elsewhere."""
+    """Deletes this thread's scratch folders (those from one mark to another), once what was read from them is written elsewhere."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    gone = _named[since:before]
-    del _named[since:before]
+    gone = _named()[since:before]
+    del _named()[since:before]
     for name in gone:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
