@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, conversations, language, lines, media, neardup, packing, personal, pieces, quality, secrets, substrings
+from . import centroids, conversations, language, lines, media, neardup, packing, personal, pieces, quality, secrets, substrings, toxicity
 from .common import documents, small_batches
 
 
@@ -68,6 +68,12 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_digests(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeated_substrings, op2_near_duplicates, op3_media_columns, op4_language_id, op5_secret_scan, op6_sentencepiece, op7_line_dedup, op8_quality_rules, op9_packing, op10_personal_data, op11_prefix_trie, op12_centroid_clusters)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    prices = toxicity.language_model(docs)
+    return toxicity.scores(docs, prices, toxicity.train(docs, labels, prices))
+
+
+QUERIES = {f.__name__: f for f in (op1_repeated_substrings, op2_near_duplicates, op3_media_columns, op4_language_id, op5_secret_scan, op6_sentencepiece, op7_line_dedup, op8_quality_rules, op9_packing, op10_personal_data, op11_prefix_trie, op12_centroid_clusters, op13_toxicity)}
 #: The other queries train models, use tokenizers or rewrite texts, which SQL cannot express; their tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {"op5_secret_scan": secrets.scan_sql(), "op11_prefix_trie": conversations.trie_sql(), "op12_centroid_clusters": centroids.cluster_sql()}
