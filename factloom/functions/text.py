@@ -42,7 +42,13 @@ def detection_path(path: Column) -> Column:
 def key_text(node_type: str, *parts: Column) -> Column:
     """A node's identity as one JSON string in which types and nulls stay distinct."""
     fields = [F.lit(node_type).alias("t"), *(p.alias(f"k{i}") for i, p in enumerate(parts))]
-    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timeZone": "UTC"})
+
+
+def utc_text(ts: Column) -> Column:
+    """An instant as ISO text in UTC, whatever the session's zone: microseconds only where there are any, and the offset +00:00."""
+    text = F.get_json_object(F.to_json(F.struct(ts.alias("t")), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx", "timeZone": "UTC"}), "$.t")
+    return F.replace(text, F.lit(".000000"), F.lit(""))
 
 
 def account_rank(account_type: Column) -> Column:

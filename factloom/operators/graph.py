@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import UTC, datetime
 from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.filters import BadFilter, all_of, check_ops
-from ..functions.text import confidence_name, confidence_rank, key_text
+from ..functions.text import confidence_name, confidence_rank, key_text, utc_text
 from ..plans.lineage import cut_lineage
 from ..plans.schema import NODE_TYPES, NodeType
 
 DEFAULT_LIMIT = 100
-#: A query's rows go to the driver: never more than this, whatever limit is asked for.
+#: A page of a query's rows goes to the driver: never more than this at once, whatever limit is asked for.
 MOST_RETURNED = 10_000
 # What a node's summary shows where it has it.
 SUMMARY_FIELDS = ("name", "threat_name", "pid", "hostname", "host_hostname", "action_taken", "detection_time")
@@ -148,11 +149,11 @@ def known(keys: DataFrame, nodes: DataFrame) -> DataFrame:
     return keys.join(have, "node_key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def summaries(nodes: DataFrame, spec: NodeType) -> DataFrame:
+def summaries(nodes: DataFrame, spec: NodeType, *beside: str) -> DataFrame:
     """node_key, node_type, evidence_hash, identity and display fields of canonical nodes; times as ISO text."""
     shown = dict.fromkeys([*spec.key, *(c for c in SUMMARY_FIELDS if c in nodes.columns)])
-    as_text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias(c) if nodes.schema[c].dataType.typeName() == "timestamp" else F.col(c)
-    return nodes.select("node_key", F.lit(spec.name).alias("node_type"), "evidence_hash", *map(as_text, shown))
+    as_text = lambda c: utc_text(F.col(c)).alias(c) if nodes.schema[c].dataType.typeName() == "timestamp" else F.col(c)
+    return nodes.select(*beside, "node_key", F.lit(spec.name).alias("node_type"), "evidence_hash", *map(as_text, shown))
 
 
 def matched(nodes: DataFrame, where: Column, limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -221,10 +222,23 @@ class Graph:
     def edge_count(self) -> int:
         return self.counts()[1]
 
-    def query(self, node_type: str | None = None, filters: Sequence[dict] | None = None, limit: int = DEFAULT_LIMIT, *, coerce_temporal: bool = False) -> dict:
-        """Filters over canonical nodes: the first `limit` matches by arrival (at most MOST_RETURNED, as
-        they go to the driver), and how many match in all. One job a node type: matches are counted
-        as they pass on their way to the first ones."""
+    def matches(self, node_type: str | None = None, filters: Sequence[dict] | None = None, *, coerce_temporal: bool = False) -> DataFrame | None:
+        """All matches of a query, however many, as a table: first_seq, node_key, node_type, evidence_hash, and the display fields as JSON."""
+        filters = list(filters or [])
+        check_ops(filters)
+        parts = []
+        for name, df in self.by_type.items():
+            if node_type in (None, name):
+                typed = df.withColumn("node_type", F.lit(name))
+                shown = summaries(typed.where(all_of(typed, filters, coerce_temporal=coerce_temporal)).select(*df.columns), NODE_TYPES[name], "first_seq")
+                fields = [c for c in shown.columns if c not in ("first_seq", "node_key", "node_type", "evidence_hash")]
+                parts.append(shown.select("first_seq", "node_key", "node_type", "evidence_hash", F.to_json(F.struct(*fields)).alias("fields")))
+        return reduce(DataFrame.unionAll, parts) if parts else None
+
+    def query(self, node_type: str | None = None, filters: Sequence[dict] | None = None, limit: int = DEFAULT_LIMIT, *, coerce_temporal: bool = False, after: Sequence | None = None) -> dict:
+        """Filters over canonical nodes: a page of the first `limit` matches by arrival (at most MOST_RETURNED, as
+        they go to the driver), and how many match in all. `next` of a page that leaves some out is the `after` of the
+        following one. One job a node type: matches are counted as they pass on their way to the first ones."""
         filters = list(filters or [])
         try:
             check_ops(filters)
@@ -238,11 +252,29 @@ class Graph:
             hit = typed.where(all_of(typed, filters, coerce_temporal=coerce_temporal))
             shown = ["node_key", "node_type", "evidence_hash", "first_seq", *NODE_TYPES[name].key, *(c for c in SUMMARY_FIELDS if c in df.columns)]
             counted = Observation()
-            rows += hit.select(*dict.fromkeys(shown)).observe(counted, F.count("*").alias("n")).orderBy("first_seq", "node_key").limit(max(1, most)).collect()
+            seen = hit.select(*dict.fromkeys(shown)).observe(counted, F.count("*").alias("n"))
+            left = seen if after is None else seen.where(F.struct("first_seq", "node_key") > self._place(df, after))
+            rows += left.orderBy("first_seq", "node_key").limit(max(1, most + 1)).collect()
             total += counted.get["n"]
-        rows = sorted(rows, key=lambda r: (r["first_seq"], r["node_key"]))[:most]
+        rows = sorted(rows, key=lambda r: (r["first_seq"], r["node_key"]))
+        more, rows = len(rows) > most, rows[:most]
         nodes = [summary(r.asDict()) for r in rows]
-        return {"status": "ok", "node_type": node_type, "filters_applied": filters, "total_matched": total, "returned": len(nodes), "truncated": total > len(nodes), "nodes": nodes}
+        out = {"status": "ok", "node_type": node_type, "filters_applied": filters, "total_matched": total, "returned": len(nodes), "truncated": total > len(nodes), "nodes": nodes}
+        if more and rows:
+            last = rows[-1]["first_seq"]
+            out["next"] = [*(last if isinstance(last, tuple) else (last,)), rows[-1]["node_key"]]
+        return out
+
+    @staticmethod
+    def _place(df: DataFrame, after: Sequence) -> Column:
+        """The place in the order of arrival that `next` of a page names."""
+        kind = df.schema["first_seq"].dataType
+        *seq, key = after
+        if isinstance(kind, StructType):
+            first = F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(seq, kind, strict=True)))
+        else:
+            first = F.lit(seq[0]).cast(kind)
+        return F.struct(first.alias("first_seq"), F.lit(key).alias("node_key"))
 
 
 def node_key_of(spark: SparkSession, key: str | Sequence) -> str | None:
@@ -273,11 +305,12 @@ def node_key_of(spark: SparkSession, key: str | Sequence) -> str | None:
 
 
 def plain(value: object) -> object:
-    return value.isoformat() if isinstance(value, datetime) else value
+    """A time as ISO text in UTC (times without a zone are the driver's local ones, as collect() gives them)."""
+    return value.astimezone(UTC).isoformat() if isinstance(value, datetime) else value
 
 
 def summary(row: dict) -> dict:
     """Compact and JSON-safe: identity as a list, type, source, and display fields that are known."""
     spec = NODE_TYPES[row["node_type"]]
-    out = {"canonical_key": [spec.name, *(plain(row[k]) for k in spec.key)], "node_key": row["node_key"], "node_type": spec.name, "evidence_hash": row["evidence_hash"]}
+    out = {"canonical_key": [spec.name, *(plain(row[k]) for k in spec.key)], "node_key": row["node_key"], "node_type": spec.name, "evidence_hash": row["evidence_hash"], "first_seq": list(row["first_seq"]) if isinstance(row["first_seq"], tuple) else row["first_seq"]}
     return out | {c: plain(row[c]) for c in SUMMARY_FIELDS if row.get(c) is not None}

@@ -16,6 +16,7 @@ from .functions import filters, text
 from .operators import catalogue, gate, graph, parsers, provenance
 from .plans import fold as folds
 from .plans import schema as S
+from .plans.lineage import cut_lineage
 from .sources import events as event_source
 from .sources.evidence import dedup_blobs, stored
 
@@ -459,7 +460,22 @@ def f01_find_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {GOOD_DET} SELECT host AS host_hostname, eid AS event_id, threat AS threat_name, min(seq) AS first_seq FROM good GROUP BY host, eid, day, threat ORDER BY first_seq LIMIT 100")
 def l01_query_limit(spark: SparkSession, sf: str) -> DataFrame:
-    return detection_nodes(spark, sf).select("host_hostname", "event_id", "threat_name", "first_seq").orderBy("first_seq").limit(graph.DEFAULT_LIMIT)
+    """Four pages of the service's answer, each asked for after the one before."""
+    g, rows, after = graph.Graph({"AntivirusDetection": cut_lineage(detection_nodes(spark, sf), "detections")}), [], None
+    for _ in range(4):
+        page = g.query("AntivirusDetection", limit=graph.DEFAULT_LIMIT // 4, after=after)
+        rows += [(*n["canonical_key"][1:3], n["threat_name"], n["first_seq"]) for n in page["nodes"]]
+        after = page.get("next")
+        if after is None:
+            break
+    return spark.createDataFrame(rows, "host_hostname string, event_id int, threat_name string, first_seq long")  # at most DEFAULT_LIMIT rows
+
+
+@query(f"WITH {GOOD_DET} SELECT 'AntivirusDetection' AS node_type, host AS host_hostname, threat AS threat_name, min(seq) AS first_seq FROM good WHERE threat = 'T:3' GROUP BY host, eid, day, threat")
+def l01_all_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """The same answer without a limit, as a table."""
+    found = graph.Graph({"AntivirusDetection": detection_nodes(spark, sf)}).matches(None, [{"field": "threat_name", "op": "eq", "value": "T:3"}])
+    return found.select("node_type", F.get_json_object("fields", "$.host_hostname").alias("host_hostname"), F.get_json_object("fields", "$.threat_name").alias("threat_name"), "first_seq")
 
 
 @query(f"WITH {GOOD_DET}, d AS (SELECT DISTINCT host, eid, day, threat FROM good WHERE threat = 'T:3') SELECT count(*) AS total_matched, least(count(*), 100) AS returned, count(*) > 100 AS truncated FROM d")
@@ -467,9 +483,9 @@ def l01_total_matched(spark: SparkSession, sf: str) -> DataFrame:
     return graph.matched(detection_nodes(spark, sf), F.col("threat_name") == "T:3")
 
 
-@query(f"WITH {GOOD_DET} SELECT 'AntivirusDetection' AS node_type, repeat('a', 64) AS evidence_hash, threat AS threat_name, host AS host_hostname, min_by(action, seq) FILTER (WHERE action IS NOT NULL) AS action_taken, strftime(day, '%Y-%m-%dT%H:%M:%S+00:00') AS detection_time FROM good GROUP BY host, eid, day, threat")
+@query(f"WITH {GOOD_DET} SELECT 'AntivirusDetection' AS node_type, repeat('a', 64) AS evidence_hash, threat AS threat_name, host AS host_hostname, min_by(action, seq) FILTER (WHERE action IS NOT NULL) AS action_taken, replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00'), '.000000', '') AS detection_time FROM good GROUP BY host, eid, ts, threat")
 def f08_f09_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.summaries(detection_nodes(spark, sf), S.DETECTION).select("node_type", "evidence_hash", "threat_name", "host_hostname", "action_taken", "detection_time")
+    return graph.summaries(detection_nodes(spark, sf, by_day=False), S.DETECTION).select("node_type", "evidence_hash", "threat_name", "host_hostname", "action_taken", "detection_time")
 
 
 @query("SELECT c_custkey, c_custkey % 3 = 0 AS known FROM customer")

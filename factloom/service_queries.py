@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +16,13 @@ from .operators.service import build_server
 from .operators.session import Session
 from .plans import fold as folds
 from .plans import schema as S
-from .plans.lineage import scratch
-from .queries import EDGE, HASH, NIGHT, PROC, SPAWN_EDGES, edge_table, process_nodes, process_obs, query, relations, table, xml_records
-from .sources.eventlog import read_binary_log
+from .plans.lineage import cut_lineage, scratch
+from .queries import DET, EDGE, HASH, NIGHT, PROC, SPAWN_EDGES, detection_records, edge_table, process_nodes, process_obs, query, relations, table, xml_records
+from .sources.binxml import encode_events
+from .sources.eventlog import BINARY_XML, read_binary_log
 from .sources.evidence import EvidenceStore, export_manifest
 from .sources.registry import check_path, records_frame
+from .sources.vault import Vault
 
 
 def folder(spark: SparkSession) -> str:
@@ -52,6 +56,40 @@ def s01_event_log_files(spark: SparkSession, sf: str) -> DataFrame:
     return parsed.select(F.regexp_extract("value", "<!--([0-9]+)-->$", 1).cast("long").alias("seq"), "valid", "computer")
 
 
+@query(f"WITH {DET} SELECT seq, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS time_created, eid AS event_id, host AS computer, coalesce(threat, '') AS threat_name, true AS valid FROM det WHERE seq % 11 <> 0 UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, false FROM det WHERE seq % 11 = 0")
+def s01_s04_binary_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as chunks of binary records, one in eleven damaged, stored by executors and read again from the packs in ranges of chunks."""
+    log = cut_lineage(binary_log(detection_records(spark, sf, by_day=False)), "chunks")
+    vault = Vault(spark, scratch(spark))
+    vault.store_table(log, content="chunk", path=F.concat(F.lit("log-"), "first"))
+    parsed = read_binary_log(spark, vault.packs()[0], BINARY_XML, header=0, chunks=16)
+    return parsed.select(F.col("_record_id").alias("seq"), "time_created", "event_id", "computer", "threat_name", "valid")
+
+
+def binary_log(records: DataFrame) -> DataFrame:
+    """(first, chunk): detection records as chunks of binary XML, with the number of each chunk's first record."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in b.to_pylist())
+        for chunk in encode_events(rows, ["Threat Name", "Action Name"]):
+            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(chunk[8:16], "little")]), pa.array([chunk], pa.binary())], names=["first", "chunk"])
+
+    micros = F.unix_micros("time_created")
+    ticks = F.when(F.col("seq") % 11 == 0, F.lit((1 << 63) - 1)).otherwise(micros * 10 + 116444736000000000)  # no time that there is, or one since 1601
+    named = records.select(F.col("seq").alias("number"), "event_id", ticks.alias("ticks"), "computer", F.col("threat_name").alias("Threat Name"), F.col("action").alias("Action Name"))
+    return named.mapInArrow(run, "first long, chunk binary")
+
+
+@query("SELECT sha256(text) AS evidence_hash, 'doc' || min(doc_id) AS original_name, CAST(strlen(text) AS BIGINT) AS size_bytes, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL GROUP BY text")
+def s04_s08_p03_vault(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents stored by executors in two jobs that overlap, listed, and read back from their packs."""
+    docs, vault = table(spark, sf, "documents"), Vault(spark, scratch(spark))
+    for part in (docs.where("doc_id % 3 <> 0"), docs):  # the second job adds what the first did not have
+        vault.store_table(part, content="text", path=F.concat(F.lit("doc"), "doc_id"), order=F.col("doc_id"))
+    back = vault.contents().select("evidence_hash", F.sha2("content", 256).alias("content_hash"))
+    first = docs.groupBy(F.sha2("text", 256).alias("evidence_hash")).agg(F.concat(F.lit("doc"), F.min("doc_id")).alias("original_name"))
+    return vault.list_all().select("evidence_hash", "size_bytes").join(first, "evidence_hash").join(back, "evidence_hash", "left").select("evidence_hash", "original_name", "size_bytes", "content_hash")
+
+
 @query("SELECT sha256('region ' || n_regionkey) AS evidence_hash, printf('%02d.txt', min(n_nationkey)) AS original_name, CAST(length('region ' || n_regionkey) AS BIGINT) AS size_bytes, true AS same_bytes FROM nation GROUP BY n_regionkey")
 def s04_s06_s08_k01_store(spark: SparkSession, sf: str) -> DataFrame:
     """Files stored twice, the store opened again, and its copies hashed from their bytes."""

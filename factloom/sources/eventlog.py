@@ -2,9 +2,9 @@
 
 Such logs are a header and chunks of a fixed size that can be read on their own, so a file is
 as many partitions as it has chunk ranges. The format's decoder is named by an option
-(`module:function`; it gets a chunk's bytes and yields records as XML text) and is no part of
-this library; `lines` decodes text with one record a line, in which a chunk begins after the
-first line feed and ends with the line that it began.
+(`module:function`; it gets a chunk's bytes and yields records as XML text, an empty one for what
+is damaged): BINARY_XML is that of binary logs; `lines` decodes text with one record a line, in which a chunk begins
+after the first line feed and ends with the line that it began.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .events import parse_records
 
+#: The decoder of binary logs (factloom.sources.binxml).
+BINARY_XML = "factloom.sources.binxml:decode"
 HEADER = 4096
 CHUNK = 64 << 10
 #: Chunks that one task decodes.

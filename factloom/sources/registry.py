@@ -7,10 +7,20 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .binxml import FILE_MAGIC
+from .eventlog import BINARY_XML, read_binary_log
 from .events import read_event_log
 
+
+def read_detection_log(spark: SparkSession, path: str) -> DataFrame:
+    """A log file of either form: binary ones are known by their first bytes."""
+    with open(path, "rb") as f:
+        binary = f.read(len(FILE_MAGIC)) == FILE_MAGIC
+    return read_binary_log(spark, path, BINARY_XML) if binary else read_event_log(spark, path)
+
+
 #: Source type -> reader of a path into records. Register more readers here.
-READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"defender_evtx": read_event_log}
+READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"defender_evtx": read_detection_log}
 
 
 def check_path(path: str, source_type: str, root: Path | None) -> tuple[Path | None, dict | None]:
