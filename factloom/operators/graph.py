@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from datetime import UTC, datetime
 from decimal import Decimal
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.filters import BadFilter, all_of, check_ops
-from ..functions.text import confidence_name, confidence_rank, key_text, utc_text
+from ..functions.text import CONFIDENCE_RANKS, confidence_name, confidence_rank, key_text, utc_text
+from ..plans.buckets import BucketStore
 from ..plans.lineage import cut_lineage
+from ..plans.prefix import running_sums
 from ..plans.schema import NODE_TYPES, NodeType
 
 DEFAULT_LIMIT = 100
@@ -70,23 +73,53 @@ def touching_edges(edges: DataFrame, keys: DataFrame) -> DataFrame:
     return out.unionAll(into).join(keys.select("node_key").distinct(), "node_key", "left_semi")
 
 
-def walk(edges: DataFrame, starts: DataFrame, most_steps: int, *, names: str = "edge_type") -> DataFrame:
-    """Paths (start, node_key, depth, path) along edges from starts, without meeting a node twice, up to most_steps.
+def chains(edges: DataFrame, starts: DataFrame, most_steps: int) -> DataFrame:
+    """(start, node_key, depth, n_walks): for each start the nodes at the end of a walk of `depth` steps along edges, and by how
+    many walks. Walks may meet a node again; on a tree there is one. A level has a row a start and node, however many walks there are.
 
     Each level is written down, so that the next one starts from it instead of walking there again.
     """
-    step = cut_lineage(edges.select("src_key", "dst_key"), "steps")
-    front = starts.select(F.col("node_key").alias("start"), "node_key", F.lit(0).alias("depth"), F.array("node_key").alias("path"))
+    step = cut_lineage(edges.select("src_key", "dst_key").distinct(), "steps")
+    one = F.lit(1).cast("decimal(38,0)")
+    front = starts.select(F.col("node_key").alias("start"), "node_key").distinct().select("start", "node_key", F.lit(0).alias("depth"), one.alias("n_walks"))
     found = front
     for depth in range(1, most_steps + 1):
-        on = front.join(step, front["node_key"] == step["src_key"]).where(~F.array_contains("path", F.col("dst_key")))
-        front = cut_lineage(on.select("start", F.col("dst_key").alias("node_key"), F.lit(depth).alias("depth"), F.array_append("path", F.col("dst_key")).alias("path")), f"level{depth}")
+        on = front.join(step, front["node_key"] == step["src_key"]).groupBy("start", F.col("dst_key").alias("node_key")).agg(F.sum("n_walks").cast("decimal(38,0)").alias("n_walks"))
+        front = cut_lineage(on.select("start", "node_key", F.lit(depth).alias("depth"), "n_walks"), f"level{depth}")
         if front.isEmpty():
             break
         found = found.unionAll(front)
     return found
 
 
+def unfolded(edges: DataFrame, levels: DataFrame, ends: DataFrame) -> DataFrame:
+    """(start, node_key, depth, path): the paths without a repeated node that lead to asked ends (start, node_key, depth) of chains().
+
+    Goes back from the ends over the levels, so only walks that end where it was asked are ever laid out.
+    """
+    step = cut_lineage(edges.select("src_key", "dst_key").distinct(), "steps")
+    held = cut_lineage(levels.select("start", "node_key", "depth"), "levels")
+    front = ends.select("start", "node_key", "depth").distinct().join(held, ["start", "node_key", "depth"], "left_semi")
+    front = front.select("start", "node_key", "depth", F.col("depth").alias("at"), F.col("node_key").alias("head"), F.array("node_key").alias("path"))
+    done = front.where("at = 0 and head = start")
+    front = front.where("at > 0")
+    while not front.isEmpty():
+        back = front.join(step, front["head"] == step["dst_key"]).where(~F.array_contains("path", F.col("src_key")))
+        back = back.select("start", "node_key", "depth", (F.col("at") - 1).alias("at"), F.col("src_key").alias("head"), F.concat(F.array("src_key"), "path").alias("path"))
+        near = held.select("start", F.col("node_key").alias("head"), F.col("depth").alias("at"))
+        front = cut_lineage(back.join(near, ["start", "head", "at"], "left_semi"), "back")
+        done = done.unionByName(front.where("at = 0 and head = start"))
+        front = front.where("at > 0")
+    return done.select("start", "node_key", "depth", "path")
+
+
+def walk(edges: DataFrame, starts: DataFrame, most_steps: int) -> DataFrame:
+    """Paths (start, node_key, depth, path) along edges from starts, without meeting a node twice, up to most_steps: all of
+    them, so as many as there are; chains() has a row a node and level."""
+    levels = chains(edges, starts, most_steps)
+    return unfolded(edges, levels, levels)
+
+
 def neighbourhood(edges: DataFrame, starts: DataFrame, most_steps: int) -> DataFrame:
     """(start, node_key, depth): nodes within most_steps of starts in either direction, at their least distance."""
     both = cut_lineage(edges.select("src_key", "dst_key").unionAll(edges.select(F.col("dst_key").alias("src_key"), F.col("src_key").alias("dst_key"))).distinct(), "steps")
@@ -104,24 +137,58 @@ def neighbourhood(edges: DataFrame, starts: DataFrame, most_steps: int) -> DataF
 def paths_between(edges: DataFrame, pairs: DataFrame, most_steps: int = 8) -> DataFrame:
     """(start, goal, depth, path): for each pair (start, goal) a shortest path along edges, the first in order if there are several.
 
-    Breadth first, one path a node reached; pairs that have met go no further.
+    Searches meet in the middle: levels go forward from the starts and back from the goals, the shorter front first, and are
+    shared by all pairs with the same start or goal. A pair has met once a node is in the newest levels of both;
+    then its shortest paths are those from level to level, of which one node a step is followed.
     """
     step = cut_lineage(edges.select("src_key", "dst_key").distinct(), "steps")
-    front = pairs.select("start", "goal").distinct().select("start", "goal", F.col("start").alias("node_key"), F.array("start").alias("path"))
-    found = front.where("start = goal").select("start", "goal", F.lit(0).alias("depth"), "path")
-    front = front.where("start <> goal")
-    seen = front.select("start", "goal", "node_key")
-    for depth in range(1, most_steps + 1):
-        on = front.join(step, front["node_key"] == step["src_key"]).select("start", "goal", F.col("dst_key").alias("node_key"), F.array_append("path", F.col("dst_key")).alias("path"))
-        reached = on.groupBy("start", "goal", "node_key").agg(F.min("path").alias("path")).join(seen, ["start", "goal", "node_key"], "left_anti")
-        reached = cut_lineage(reached, f"level{depth}")
-        met = reached.where(F.col("node_key") == F.col("goal"))
-        found = found.unionByName(met.select("start", "goal", F.lit(depth).alias("depth"), "path"))
-        front = cut_lineage(reached.join(met.select("start", "goal"), ["start", "goal"], "left_anti"), f"front{depth}")
-        if front.isEmpty():
+    back = step.select(F.col("dst_key").alias("src_key"), F.col("src_key").alias("dst_key"))
+    open_ = cut_lineage(pairs.select("start", "goal").distinct(), "pairs")
+    ways = {"start": step, "goal": back}
+    levels = {side: [cut_lineage(open_.select(side, F.col(side).alias("node_key")).distinct(), f"{side}0")] for side in ways}
+    seen = {side: levels[side][0] for side in ways}
+    sizes = {side: levels[side][0].count() for side in ways}
+    met_at: list[tuple[int, int, DataFrame]] = []
+    for depth in range(most_steps + 1):
+        if depth:
+            side = min(ways, key=lambda s: (sizes[s], s != "start"))
+            front = levels[side][-1].join(open_.select(side).distinct(), side, "left_semi")
+            on = front.join(ways[side], front["node_key"] == ways[side]["src_key"]).select(side, F.col("dst_key").alias("node_key")).distinct()
+            new = cut_lineage(on.join(seen[side], [side, "node_key"], "left_anti"), f"{side}{len(levels[side])}")
+            levels[side].append(new)
+            seen[side] = seen[side].unionByName(new)
+            sizes[side] = new.count()
+        met = open_.join(levels["goal"][-1], "goal").join(levels["start"][-1], ["start", "node_key"]).select("start", "goal", "node_key").distinct()
+        met = cut_lineage(met, f"met{depth}")
+        met_at.append((len(levels["start"]) - 1, len(levels["goal"]) - 1, met))
+        open_ = cut_lineage(open_.join(met.select("start", "goal").distinct(), ["start", "goal"], "left_anti"), f"open{depth}")
+        if not min(sizes.values()) or open_.isEmpty():
             break
-        seen = seen.unionByName(reached.select("start", "goal", "node_key"))
-    return found
+    return reduce(DataFrame.unionByName, [_first_paths(step, levels, *m) for m in met_at])
+
+
+def _first_paths(step: DataFrame, levels: dict[str, list[DataFrame]], forward: int, backward: int, met: DataFrame) -> DataFrame:
+    """Of pairs that met (start, goal, node_key) after so many levels, the first of their shortest paths."""
+    # From the meetings back to the start: which nodes of each level lead to one.
+    leads = [met]
+    for i in range(forward - 1, -1, -1):
+        last = leads[-1]
+        near = last.join(step, last["node_key"] == step["dst_key"]).select("start", "goal", F.col("src_key").alias("node_key")).distinct()
+        leads.append(cut_lineage(near.join(levels["start"][i], ["start", "node_key"], "left_semi"), f"leads{i}"))
+    leads.reverse()
+    at = leads[0].select("start", "goal", "node_key", F.array("node_key").alias("path"))
+    for i in range(1, forward + 1):
+        at = _smallest_step(at, step, leads[i], ["start", "goal", "node_key"])
+    for i in range(backward - 1, -1, -1):
+        at = _smallest_step(at, step, levels["goal"][i], ["goal", "node_key"])
+    return at.select("start", "goal", F.lit(forward + backward).alias("depth"), "path")
+
+
+def _smallest_step(at: DataFrame, step: DataFrame, into: DataFrame, key: list[str]) -> DataFrame:
+    """One step on, to the smallest node of a level; a row a pair, before and after."""
+    on = at.join(step, at["node_key"] == step["src_key"]).select("start", "goal", "path", F.col("dst_key").alias("node_key")).join(into, key, "left_semi")
+    chosen = on.groupBy("start", "goal").agg(F.min("node_key").alias("node_key"), F.any_value("path").alias("path"))
+    return cut_lineage(chosen.select("start", "goal", "node_key", F.array_append("path", F.col("node_key")).alias("path")), "path")
 
 
 def timeline(edges: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -135,12 +202,32 @@ def stated(edges: DataFrame, subject: Column, edge_type: str, target: Column, st
 
 
 def verify_claims(edges: DataFrame, claims: DataFrame) -> DataFrame:
-    """claims (claim_id, subject, predicate, object, start, end), an open time being null, with found, n_edges and the best confidence."""
-    e = edges.select(F.col("src_key").alias("subject"), F.col("edge_type").alias("predicate"), F.col("dst_key").alias("object"), "ts", "confidence")
-    c = claims.select("claim_id", "subject", "predicate", "object", "start", "end")
-    in_time = (F.col("start").isNull() | (F.col("ts") >= F.col("start"))) & (F.col("end").isNull() | (F.col("ts") < F.col("end")))
-    hits = c.join(e, ["subject", "predicate", "object"]).where(in_time).groupBy("claim_id").agg(F.count("*").alias("n_edges"), F.max(confidence_rank(F.col("confidence"))).alias("_r"))
-    return c.join(hits, "claim_id", "left").select("claim_id", "subject", "predicate", "object", F.col("n_edges").isNotNull().alias("found"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"), confidence_name(F.col("_r")).alias("confidence"))
+    """claims (claim_id, subject, predicate, object, start, end), an open time being null, with found, n_edges and the best confidence.
+
+    Edges of a triple are counted in order of time, by confidence; a claim is what the count has come to before its end less what it
+    had before its start. So a claim costs two rows in that order, however many edges its triple has. Edges
+    without a time count where both times are open. A null in a claim's triple finds nothing.
+    """
+    triple = ["subject", "predicate", "object"]
+    c = claims.select("claim_id", *triple, "start", "end")
+    e = edges.select(F.col("src_key").alias("subject"), F.col("edge_type").alias("predicate"), F.col("dst_key").alias("object"), F.col("ts").cast("timestamp").alias("at"), confidence_rank(F.col("confidence")).alias("rank"))
+    e = e.join(c.select(*triple).distinct(), triple, "left_semi")
+    # Order: by reach (a time; behind all times; no time; behind everything), time, and what is asked before what is counted.
+    edge = e.select(*triple, F.when(F.col("at").isNull(), 2).otherwise(0).alias("reach"), "at", F.lit(1).alias("turn"), F.lit(None).cast(c.schema["claim_id"].dataType).alias("claim_id"), F.lit(0).alias("sign"), "rank")
+    asked = c.where("subject is not null and predicate is not null and object is not null")
+    bound = lambda rows, reach, at, sign: rows.select(*triple, reach.alias("reach"), at.cast("timestamp").alias("at"), F.lit(0).alias("turn"), "claim_id", F.lit(sign).alias("sign"), F.lit(None).cast("int").alias("rank"))
+    until = F.when(F.col("end").isNotNull(), 0).when(F.col("start").isNotNull(), 1).otherwise(3)
+    ends = bound(asked, until, F.col("end"), 1)
+    starts = bound(asked.where("start is not null"), F.lit(0), F.col("start"), -1)
+    counted = F.col("turn") == 1
+    sums = {"n_any": counted.cast("long")} | {f"n_{r}": (counted & F.coalesce(F.col("rank") == r, F.lit(False))).cast("long") for r in CONFIDENCE_RANKS.values()}
+    placed = running_sums(edge.unionByName(ends).unionByName(starts), triple, ["reach", "at", "turn"], sums)
+    per = placed.where("turn = 0").groupBy("claim_id").agg(*(F.sum(F.col("sign") * F.col(n)).alias(n) for n in sums))
+    # A window that ends before it starts holds nothing.
+    some = lambda n: F.coalesce(F.greatest(F.col(n), F.lit(0)), F.lit(0))
+    best = reduce(lambda found, r: F.when(some(f"n_{r}") > 0, F.lit(r)).otherwise(found), sorted(CONFIDENCE_RANKS.values()), F.lit(None).cast("int"))
+    out = c.join(per, "claim_id", "left")
+    return out.select("claim_id", *triple, (some("n_any") > 0).alias("found"), some("n_any").alias("n_edges"), confidence_name(best).alias("confidence"))
 
 
 def known(keys: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -171,10 +258,13 @@ def totals(**tables: DataFrame | None) -> DataFrame:
 
 
 class Graph:
-    """Canonical nodes by type, and edges. Immutable: each ingest makes a new one."""
+    """Canonical nodes by type, and edges. Immutable: each ingest makes a new one.
+
+    Where bucketed stores stand behind the tables, look-ups by key read the buckets of the keys alone.
+    """
 
-    def __init__(self, nodes: dict[str, DataFrame], edges: DataFrame | None = None) -> None:
-        self.by_type, self.edges = nodes, edges
+    def __init__(self, nodes: dict[str, DataFrame], edges: DataFrame | None = None, stores: dict[str, BucketStore] | None = None) -> None:
+        self.by_type, self.edges, self.stores = nodes, edges, stores or {}
 
     def nodes(self) -> DataFrame | None:
         """node_key, node_type, first_seq, evidence_hash, derivation, observed_at of all nodes."""
@@ -188,13 +278,26 @@ class Graph:
         frames = [df for name, df in self.by_type.items() if node_type in (None, name)]
         return [df.where(where) if where is not None else df for df in frames]
 
+    def nodes_of(self, keys: Sequence[str]) -> dict[str, DataFrame]:
+        """By type the rows of a few keys. A key's text names its type, so no other type is looked at."""
+        by_type: dict[str, list[str]] = {}
+        for key in dict.fromkeys(keys):
+            if (kind := type_of(key)) in self.by_type:
+                by_type.setdefault(kind, []).append(key)
+        found = {}
+        for kind, mine in by_type.items():
+            if kind not in self.stores:
+                found[kind] = self.by_type[kind].where(F.col("node_key").isin(mine))
+            elif (rows := self.stores[kind].lookup(mine)) is not None:
+                found[kind] = rows
+        return found
+
     def has_node(self, key: str) -> bool:
-        all_ = self.nodes()
-        return all_ is not None and all_.where(F.col("node_key") == key).limit(1).count() > 0
+        return any(df.limit(1).count() > 0 for df in self.nodes_of([key]).values())
 
     def get_node(self, key: str) -> dict:
-        for df in self.by_type.values():
-            if row := df.where(F.col("node_key") == key).first():
+        for df in self.nodes_of([key]).values():
+            if row := df.first():
                 return row.asDict(recursive=True)
         raise KeyError(key)
 
@@ -207,7 +310,8 @@ class Graph:
     def _edges_at(self, key: str, edge_type: str | None, end: str) -> DataFrame:
         if not self.has_node(key):
             raise KeyError(key)
-        found = self.edges.where(F.col(end) == key)
+        rows = self.stores["edges"].lookup([key]) if end == "src_key" and "edges" in self.stores else self.edges
+        found = (self.edges.limit(0) if rows is None else rows).where(F.col(end) == key)
         return found if edge_type is None else found.where(F.col("edge_type") == edge_type)
 
     def counts(self) -> tuple[int, int]:
@@ -277,6 +381,15 @@ class Graph:
         return F.struct(first.alias("first_seq"), F.lit(key).alias("node_key"))
 
 
+def type_of(key: str | None) -> str | None:
+    """The node type that a key's text begins with."""
+    try:
+        found = json.loads(key)
+    except (TypeError, ValueError):
+        return None
+    return found.get("t") if isinstance(found, dict) else None
+
+
 def node_key_of(spark: SparkSession, key: str | Sequence) -> str | None:
     """A node's key from its identity as a list, [type, ...]: each element is read by the type that the
     schema gives its position, so that a name which looks like a time stays a name. None if it cannot be read."""

@@ -1,13 +1,15 @@
 """A session: one graph, one evidence store, one report, and the five service calls on them.
 
-A run's observations are folded into the canonical rows of the runs before it, and the new rows
-are written down: a run costs its own observations and the nodes of the types that it touches.
+A run's observations go into hash buckets beside the canonical rows of the runs before it
+(factloom.plans.buckets): a run writes its own rows and, now and then, the buckets that have outgrown their
+base. How many nodes and edges there are is what runs have added; nothing is counted again.
 Order is (run, rank, row), so that whatever an earlier run saw came first. Each call returns a
 dict and reports expected problems in it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import CONFIDENCE_RANKS
-from ..plans.fold import EDGE_KEY, canonical_columns, counters, fold, fold_edges, merge
+from ..plans.buckets import BucketStore, edge_store, node_store
+from ..plans.fold import canonical_columns, fold
 from ..plans.lineage import cut_lineage
 from ..plans.schema import NODE_TYPES
 from ..sources.evidence import EvidenceStore
@@ -25,6 +28,7 @@ from . import gate, parsers
 from .graph import DEFAULT_LIMIT, Graph, node_key_of, plain, resolved_edges
 from .reports import Finding, FindingReport, IngestRun, runs_summary
 
+EDGES = "edges"
 _EDGE = "src_key string, dst_key string, edge_type string, ts timestamp, confirmed_by array<string>, evidence_hash string, derivation string"
 
 
@@ -34,6 +38,7 @@ class Session:
         self.store = EvidenceStore(spark, store_root)
         self.evidence_root = None if evidence_root is None else Path(evidence_root).resolve()
         self.graph = Graph({})
+        self.stores: dict[str, BucketStore] = {}
         self.report = FindingReport(spark)
         self.runs: list[IngestRun] = []
 
@@ -45,15 +50,30 @@ class Session:
         rank, row = (seq["rank"], seq["row"]) if parts else (F.lit(0), seq)
         return F.struct(F.lit(len(self.runs)).alias("run"), rank.cast("int").alias("rank"), row.cast("long").alias("row")).alias("seq")
 
+    def _store(self, what: str, make: Callable[[], BucketStore]) -> BucketStore:
+        return self.stores.setdefault(what, make())
+
+    def _refresh(self, what: str) -> None:
+        """The graph as it is now; tables read before the last change stay readable until vacuum()."""
+        store = self.stores[what]
+        rows = store.rows()
+        if rows is None:
+            return
+        nodes, edges = (self.graph.by_type, rows) if what == EDGES else (self.graph.by_type | {what: rows}, self.graph.edges)
+        self.graph = Graph(nodes, edges, self.stores)
+
+    def vacuum(self) -> None:
+        """Deletes the files of earlier states of the graph."""
+        for store in self.stores.values():
+            store.vacuum()
+
     def add_observations(self, node_type: str, obs: DataFrame) -> tuple[int, int]:
         """Folds observations (with seq) into the graph, after all earlier ones; returns nodes added and merged."""
         spec = NODE_TYPES[node_type]
-        obs = cut_lineage(obs.withColumn("seq", self._order(obs)), "observations")
-        old = self.graph.by_type.get(node_type)
-        counts = counters(spec.keyed(obs), old, "node_key").first()
-        nodes = cut_lineage(merge(old, obs, spec), node_type)
-        self.graph = Graph(self.graph.by_type | {node_type: nodes}, self.graph.edges)
-        return counts["added"], counts["merged"]
+        store = self._store(node_type, lambda: node_store(self.spark, spec))
+        counts = store.add(obs.withColumn("seq", self._order(obs)), len(self.runs))
+        self._refresh(node_type)
+        return counts
 
     def add_edges(self, edges: DataFrame, *, strict: bool = False) -> tuple[int, int]:
         """Folds in edges whose ends exist; with strict, an edge without an end is an error. Orphans count as neither added nor merged."""
@@ -62,12 +82,9 @@ class Session:
         good = edges.limit(0) if nodes is None else resolved_edges(edges, nodes)
         if strict and good.count() < edges.count():
             raise KeyError("an edge's end is not in the graph")
-        old = self.graph.edges
-        counts = counters(good, old, EDGE_KEY).first()
-        if old is not None:
-            good = old.drop("confidence").withColumnRenamed("first_seq", "seq").unionByName(good, allowMissingColumns=True)
-        self.graph = Graph(self.graph.by_type, cut_lineage(fold_edges(good.drop("confidence")), "graph_edges"))
-        return counts["added"], counts["merged"]
+        counts = self._store(EDGES, lambda: edge_store(self.spark)).add(good.drop("confidence"), len(self.runs))
+        self._refresh(EDGES)
+        return counts
 
     # -- runs
 
@@ -109,11 +126,15 @@ class Session:
         self.runs.append(run)
         return run
 
+    def totals(self) -> tuple[int, int]:
+        """Nodes and edges, by what runs have added."""
+        return sum(s.added for name, s in self.stores.items() if name != EDGES), self.stores[EDGES].added if EDGES in self.stores else 0
+
     def summary(self) -> dict:
         return runs_summary(self.runs)
 
     def stats(self) -> dict:
-        nodes, edges = self.graph.counts()
+        nodes, edges = self.totals()
         return {"evidence_count": len(self.store), "node_count": nodes, "edge_count": edges, "ingest_runs": len(self.runs), "findings": len(self.report)}
 
     # -- the five calls
@@ -128,7 +149,7 @@ class Session:
             run = self.run_detections(records, str(file))
         except OSError as e:
             return {"status": "error", "error": "unreadable_source", "message": str(e)}
-        return {"status": "ok", "source_type": source_type, "evidence_hash": run.evidence_hash, "records_read": n, "nodes_added": run.nodes_added, "nodes_merged": run.nodes_merged, "skipped_event_count": run.parser_stats["skipped_event_count"], "graph_totals": dict(zip(("nodes", "edges"), self.graph.counts(), strict=True))}
+        return {"status": "ok", "source_type": source_type, "evidence_hash": run.evidence_hash, "records_read": n, "nodes_added": run.nodes_added, "nodes_merged": run.nodes_merged, "skipped_event_count": run.parser_stats["skipped_event_count"], "graph_totals": dict(zip(("nodes", "edges"), self.totals(), strict=True))}
 
     def query_graph(self, node_type: str | None = None, filters: list[dict] | None = None, limit: int = DEFAULT_LIMIT) -> dict:
         return self.graph.query(node_type, filters, limit)
@@ -172,4 +193,4 @@ class Session:
 
     def list_evidence(self) -> dict:
         rows = [r.asDict() for r in self.store.list_all().orderBy(F.coalesce("ingested_at", F.lit("")), "evidence_hash").collect()]
-        return {"status": "ok", "evidence": rows, "evidence_count": len(rows), "ingest_runs": len(self.runs), "graph_totals": dict(zip(("nodes", "edges"), self.graph.counts(), strict=True))}
+        return {"status": "ok", "evidence": rows, "evidence_count": len(rows), "ingest_runs": len(self.runs), "graph_totals": dict(zip(("nodes", "edges"), self.totals(), strict=True))}

@@ -54,9 +54,12 @@ def mark() -> int:
 
 def discard(spark: SparkSession, since: int = 0, before: int | None = None) -> None:
     """Deletes this thread's scratch folders (those from one mark to another), once what was read from them is written elsewhere."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     gone = _named()[since:before]
     del _named()[since:before]
     for name in gone:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
+        delete(spark, name)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -635,13 +635,33 @@ def q01_j08_parent_of(spark: SparkSession, sf: str) -> DataFrame:
     return catalogue.parents_of(n.select("node_key", "host_hostname", "pid"), edges, n).select("host_hostname", "pid", "parent_pid", F.date_format("parent_start_time", "yyyy").alias("parent_year"))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 300 AS a, (o_custkey * 7 + 1) % 300 AS b FROM orders), w AS (SELECT k AS start, k AS node, 0 AS depth, ',' || k || ',' AS path FROM (SELECT range * 30 AS k FROM range(10)) UNION ALL SELECT start, b, depth + 1, path || b || ',' FROM w JOIN e ON w.node = e.a WHERE depth < 6 AND NOT contains(path, ',' || b || ',')) SELECT start AS start_node, node, depth FROM w")
+HOPS = "n AS (SELECT max(c_custkey) AS n FROM customer), e AS (SELECT DISTINCT o_custkey AS a, (o_custkey * 7 + 1 + 50 * (o_orderkey % 2)) % n + 1 AS b FROM orders, n)"
+
+
+def hops(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
+    """Edges between customers, at most two from each; every twentieth customer; and how many customers there are."""
+    n = table(spark, sf, "customer").agg(F.max("c_custkey")).first()[0]
+    k = F.col("o_custkey")
+    e = table(spark, sf, "orders").select(k.alias("src_key"), ((k * 7 + 1 + 50 * (F.col("o_orderkey") % 2)) % n + 1).alias("dst_key")).distinct().withColumn("edge_type", F.lit("Spawned"))
+    return e, table(spark, sf, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("node_key")), n
+
+
+WALKS = f"{HOPS}, w AS (SELECT c_custkey AS start, c_custkey AS node, 0 AS depth, ',' || c_custkey || ',' AS path FROM customer WHERE c_custkey % 20 = 0 UNION ALL SELECT start, b, depth + 1, path || b || ',' FROM w JOIN e ON w.node = e.a WHERE depth < 6"
+
+
+@query(f"WITH RECURSIVE {WALKS} AND NOT contains(path, ',' || b || ',')) SELECT start AS start_node, node, depth FROM w")
 def q02_j09_chains(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "orders").select((F.col("o_custkey") % 300).alias("src_key"), ((F.col("o_custkey") * 7 + 1) % 300).alias("dst_key")).distinct().withColumn("edge_type", F.lit("Spawned"))
-    starts = spark.range(10).select((F.col("id") * 30).alias("node_key"))
+    e, starts, _ = hops(spark, sf)
     return catalogue.execution_chains(e, starts, 6).select(F.col("start").alias("start_node"), F.col("node_key").alias("node"), F.col("depth"))
 
 
+@query(f"WITH RECURSIVE {WALKS}) SELECT start AS start_node, node, depth, count(*) AS n_walks FROM w GROUP BY 1, 2, 3")
+def q02_chain_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """A row a start, node and level, with the number of walks instead of the walks."""
+    e, starts, _ = hops(spark, sf)
+    return graph.chains(e, starts, 6).select(F.col("start").alias("start_node"), F.col("node_key").alias("node"), "depth", F.col("n_walks").cast("long").alias("n_walks"))
+
+
 @query("SELECT p_partkey, lower(n) AS name FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'svchost.exe' WHEN 1 THEN 'Explorer.exe' ELSE 'other.exe' END AS n, p_size FROM part) WHERE n <> 'other.exe' AND NOT ((n = 'svchost.exe' AND p_size % 2 = 0) OR (n = 'Explorer.exe' AND p_size % 5 = 0 AND p_size % 2 <> 0))")
 def q03_masquerade(spark: SparkSession, sf: str) -> DataFrame:
     k, s = F.col("p_partkey") % 3, F.col("p_size")
@@ -736,14 +756,10 @@ def j12_neighbourhood(spark: SparkSession, sf: str) -> DataFrame:
     return graph.neighbourhood(edge_table(spark, sf), spark.createDataFrame([("n1",)], "node_key string"), 2).select("node_key", "depth")
 
 
-HOPS = "e AS (SELECT DISTINCT o_custkey % 300 AS a, (o_custkey * 7 + 1 + 50 * (o_orderkey % 2)) % 300 AS b FROM orders)"
-
-
-@query(f"WITH RECURSIVE {HOPS}, p AS (SELECT n_nationkey * 12 AS start, (n_nationkey * 11 + 5) % 300 AS goal FROM nation), w(start, goal, node, depth) AS (SELECT start, goal, start, 0 FROM p UNION SELECT w.start, w.goal, e.b, depth + 1 FROM w JOIN e ON w.node = e.a WHERE depth < 8) SELECT start AS start_node, goal AS goal_node, min(depth) AS depth, min(depth) + 1 AS n_nodes FROM w WHERE node = goal GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {HOPS}, p AS (SELECT c_custkey AS start, (c_custkey * 11 + 5) % n + 1 AS goal FROM customer, n WHERE c_custkey % 20 = 0), w(start, goal, node, depth) AS (SELECT start, goal, start, 0 FROM p UNION SELECT w.start, w.goal, e.b, depth + 1 FROM w JOIN e ON w.node = e.a WHERE depth < 8) SELECT start AS start_node, goal AS goal_node, min(depth) AS depth, min(depth) + 1 AS n_nodes FROM w WHERE node = goal GROUP BY 1, 2")
 def j12_paths(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "orders").select((F.col("o_custkey") % 300).alias("src_key"), ((F.col("o_custkey") * 7 + 1 + 50 * (F.col("o_orderkey") % 2)) % 300).alias("dst_key"))
-    k = F.col("n_nationkey").cast("long")
-    pairs = table(spark, sf, "nation").select((k * 12).alias("start"), ((k * 11 + 5) % 300).alias("goal"))
+    e, starts, n = hops(spark, sf)
+    pairs = starts.select(F.col("node_key").alias("start"), ((F.col("node_key") * 11 + 5) % n + 1).alias("goal"))
     return graph.paths_between(e, pairs, 8).select(F.col("start").alias("start_node"), F.col("goal").alias("goal_node"), "depth", F.size("path").alias("n_nodes"))
 
 

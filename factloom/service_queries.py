@@ -235,8 +235,9 @@ def a16_counts_of_a_graph(spark: SparkSession, sf: str) -> DataFrame:
 # -- sessions and reports
 
 def listing(spark: SparkSession, sf: str) -> DataFrame:
-    obs = process_obs(spark, sf).where("seq % 7 <> 0")
-    return obs.select("pid", "name", "image_path", "command_line", "parent_pid", "start_time", "exit_time", F.col("evidence_hash").alias("_evidence_hash"), F.col("derivation").alias("_derivation"), F.col("host_hostname").alias("_host_hostname"), "seq")
+    """Whole rows, one in seven without a name: those the parser drops."""
+    obs = process_obs(spark, sf)
+    return obs.select("pid", F.when(F.col("seq") % 7 != 0, F.col("name")).alias("name"), "image_path", "command_line", "parent_pid", "start_time", "exit_time", F.col("evidence_hash").alias("_evidence_hash"), F.col("derivation").alias("_derivation"), F.col("host_hostname").alias("_host_hostname"), "seq")
 
 
 @query(f"WITH {PROC}, p AS (SELECT *, (seq % 2) * 1000000000000 + seq AS place FROM proc WHERE seq % 7 <> 0) SELECT host AS host_hostname, pid, strftime(start, '%Y') AS year, min_by(name, place) AS name, CASE WHEN count(DISTINCT seq % 2) = 2 THEN 'pslist,psscan' WHEN min(seq % 2) = 0 THEN 'pslist' ELSE 'psscan' END AS observed_by FROM p GROUP BY host, pid, start")
