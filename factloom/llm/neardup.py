@@ -335,7 +335,8 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     class), and whether it is the one that represents the class. Columns of df are not carried."""
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{doc_id}`"), F.lit(-(1 << 63))).alias("_id"), text_key(text).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     signed = cut_lineage(with_bands(docs, bands, rows, weighted), "signed")
-    distinct = signed.groupBy("key").agg(F.min("_id").alias("first"), F.any_value("bands").alias("bands"))
+    # Copies in a task carry no bands, and which row comes first is not known.
+    distinct = signed.groupBy("key").agg(F.min("_id").alias("first"), F.any_value("bands", ignoreNulls=True).alias("bands"))
     # Beside each band goes the next one: texts that agree in both are neighbours in the bucket's order.
     beside = F.transform("bands", lambda b, i: F.struct(b.alias("bucket"), F.element_at("bands", (i + 1) % bands + 1).alias("next")))
     banded = distinct.select("key", F.inline(beside))

@@ -1,13 +1,17 @@
 """Personal data in texts: plain identifiers, and disguised ones found by offset-preserving deobfuscation.
 
 Three transducers read a text one after the other and write it anew: one character at a time
-(homoglyphs, wide forms, digits of other scripts, invisible characters), then token by token
+(homoglyphs, letters that Unicode decomposes into one Latin letter, digits of other scripts, invisible characters,
+character references and percent forms, and characters that spaces part around an @), then token by token
 (spelled digits, "plus"), then marker by marker (at and dot disguises). Each keeps, for every
 character that it writes, the source characters that it stands for. Detectors run on what is
 written; their spans are mapped back to the source. Plain ("base") spans are detected on the
 source itself and always stay; a disguised span is added where it overlaps no base span of its
 kind. Every step is linear in the text's length.
 
+A bare "at" is common in prose, so by itself it makes no address: it needs a second sign, which is a disguised dot or bracket,
+a name with a digit, dot or underscore in it, or a cue such as "mail" shortly before.
+
 Spans are code points, end exclusive. Null and empty texts have no spans; repeated rows each
 get their row; order of rows and extra columns do not matter. Parts of addresses may have any
 number of digits.
@@ -16,6 +20,7 @@ number of digits.
 from __future__ import annotations
 
 import hashlib
+import html
 import re
 import unicodedata
 from bisect import bisect_left
@@ -56,11 +61,17 @@ TOP_LEVEL = frozenset("com org net edu gov mil info biz io co ai app dev me us u
 PROSE = frozenset("the a an this that these those my your our his her its their it one home least last first all any some no".split())
 
 #: Markers without the white space around them, which a scan adds: a regular expression that begins with it would look at long runs again and again.
-_AT = re.compile(r"(?i)[\[({<]\s*+(?:at|@)\s*+[\])}>]|(?<!\S)at(?!\S)|@")
-_DOT = re.compile(r"(?i)[\[({<]\s*+(?:dot|punkt|point|punto|\.)\s*+[\])}>]|(?<!\S)dot(?!\S)")
+_AT = re.compile(r"(?i)[\[({<]\s*+(?:at|arroba|@)\s*+[\])}>]|(?<!\S)(?:at|arroba)(?!\S)|@")
+_DOT = re.compile(r"(?i)[\[({<]\s*+(?:dot|punkt|point|punto|ponto|\.)\s*+[\])}>]|(?<!\S)(?:dot|punkt|point|punto|ponto)(?!\S)")
+#: Words that say that an address follows, and how far before it they may stand.
+_CUE = re.compile(r"(?i)(?<![a-z])(?:e-?mails?|mail(?:to|ing)?|contact|write|reach|address|schreib\w*|kontakt|adresse|courriel|contacte[rz]?|correo|escrib\w*|contacto|direcci[oó]n)(?![a-z])")
+_CUE_REACH = 40
+_REFERENCE = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8});|%[2-7][0-9A-Fa-f]")
+_PARTED = re.compile(r"(?<!\S)[A-Za-z0-9._@+-](?:[ \t][A-Za-z0-9._@+-](?!\S)){4,}")
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
+_NAMED = re.compile("[0-9._]")
 #: Wherever a transducer would change something that matters, this finds something.
-_HINT = re.compile(r"(?i)\bdot\b|[\[({<]\s*+(?:at|@|dot|punkt|point|punto|\.)\s*+[\])}>]|\sat\s++[a-z0-9-]++\.[a-z0-9-]|\s@|@\s|(?<![a-z])plus[\s-]++(?:[0-9]|zero|oh|one|two|three|four|five|six|seven|eight|nine)|(?<![a-z])(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[\s,.-]++(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9])")
+_HINT = re.compile(r"(?i)\b(?:dot|punkt|point|punto|ponto|arroba)\b|&[#a-z]|%[2-7][0-9a-f]|[\[({<]\s*+(?:at|@|dot|punkt|point|punto|ponto|arroba|\.)\s*+[\])}>]|\sat\s++[a-z0-9-]++\.[a-z0-9-]|\s@|@\s|(?<![a-z])plus[\s-]++(?:[0-9]|zero|oh|one|two|three|four|five|six|seven|eight|nine)|(?<![a-z])(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[\s,.-]++(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9])")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]|[\s,.-]+|[^A-Za-z0-9\s,.-]+")
 _ODD = re.compile("[^\x00-\x7fÀ-ÿ]")
 
@@ -168,15 +179,31 @@ def fold(c: str) -> str:
     if ord(c) in WIDE:
         return chr(ord(c) - 0xFEE0)
     value = unicodedata.digit(c, None) if c.isdecimal() else None
-    return c if value is None else str(value)
+    if value is not None:
+        return str(value)
+    plain = unicodedata.normalize("NFKC", c)
+    return plain if len(plain) == 1 and plain.isascii() else c
 
 
 Edit = tuple[int, int, str]
 
 
 def characters(text: str) -> list[Edit]:
-    """First transducer: each character by itself."""
-    return [(m.start(), m.end(), n) for m in _ODD.finditer(text) if (n := fold(m[0])) != m[0]]
+    """First transducer: each character by itself, however it is written."""
+    odd = [(m.start(), m.end(), n) for m in _ODD.finditer(text) if (n := fold(m[0])) != m[0]]
+    if "&" in text or "%" in text:
+        odd += [(m.start(), m.end(), n) for m in _REFERENCE.finditer(text) if (n := referred(m[0])) is not None]
+    if "@" in text:
+        parted = [m for m in _PARTED.finditer(text) if "@" in m[0]]
+        odd += [(at, at + 1, "") for m in parted for at in range(m.start() + 1, m.end(), 2)]
+    return sorted(odd)
+
+
+@cache
+def referred(code: str) -> str | None:
+    """The printable ASCII character that a character reference or a percent form stands for."""
+    c = chr(int(code[1:], 16)) if code[0] == "%" else html.unescape(code)
+    return c if len(c) == 1 and " " < c < "\x7f" else None
 
 
 # Second transducer: states, and the token classes that lead on.
@@ -280,7 +307,7 @@ def markers(text: str) -> list[Edit]:
         label = _LABEL.match(text, b)
         if left == a or label is None:
             continue
-        first, right, bracket, joints = label[0].lower(), label.end(), False, 0
+        first, right, bracket, worded, joints = label[0].lower(), label.end(), False, bool(used), 0
         while right < len(text):
             after = right + 1 if text[right] == "." else starts.get(right)
             label = _LABEL.match(text, after) if after else None
@@ -289,13 +316,15 @@ def markers(text: str) -> list[Edit]:
             bracket |= any(c in "[({<" for c in text[right:after])
             if text[right:after] != ".":
                 used.append((right, after, "."))
+                worded = True
             right, joints = label.end(), joints + 1
         if not joints:
             continue
         last, bare = label_before(text, right), m[0].lower() == "at"
-        if bare and first in PROSE:
+        if bare and (first in PROSE or not (worded or _NAMED.search(text, left, a) or _CUE.search(text, max(0, left - _CUE_REACH), left))):
             continue
-        if last in TOP_LEVEL or not (bare and not bracket) and len(last) > 1 and last[0].isalpha():
+        # Every label of two letters may be a country's.
+        if last in TOP_LEVEL or worded and len(last) == 2 and last.isalpha() or not (bare and not bracket) and len(last) > 1 and last[0].isalpha():
             edits += [*used, (a, b, "@")]
             floor = right
     return sorted(set(edits))

@@ -68,6 +68,7 @@ _SHAPES = re.compile(f"[{''.join(SAME_SHAPE)}]")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 _EDGES = ".,;:?\"'()[]{}<>-_/\\~^`=&%"
 _PAIR = re.compile(r"(.)\1")
+_STRETCHED = re.compile(r"([^\W\d_])\1\1")
 _MEMO = 200_000
 
 
@@ -143,8 +144,8 @@ def single(seen: str, at: int, way: int) -> bool:
     return 0 <= at < len(seen) and seen[at].isalnum() and not (0 <= at + way < len(seen) and seen[at + way].isalnum())
 
 
-def lattice(seen: str) -> list[Place]:
-    """The places of a token, or of single characters between spaces."""
+def lattice(seen: str, twice: bool = False) -> list[Place]:
+    """The places of a token, or of single characters between spaces; with twice, three or more equal letters stand for two."""
     places: list[Place] = []
     i, n = 0, len(seen)
     while i < n:
@@ -160,7 +161,7 @@ def lattice(seen: str) -> list[Place]:
             elif times == 2:
                 places.append([((c,), DOUBLED), ((c, c), DOUBLE_KEPT)])
             else:
-                places.append([((c,), 0.0), ((c, c), STRETCHED_TO_TWO)])
+                places.append([((c, c), 0.0)] if twice else [((c,), 0.0), ((c, c), STRETCHED_TO_TWO)])
         elif c in LOOK_ALIKES:
             digit = c.isdigit()
             meant: Place = [((x,), LOOKS_LIKE) for x in LOOK_ALIKES[c]]
@@ -241,6 +242,8 @@ class Reader:
         found: set[str] = set()
         for seen in set(text.split()):
             found.update(self.token(seen))
+            if _STRETCHED.search(seen):  # whether one letter or two were stretched, short contexts cannot tell: both count
+                found.update(decoded(lattice(seen.strip(_EDGES), True), self.prices))
         for m in _SPACED.finditer(text):
             found.update(self.run(m[0]))
         return found

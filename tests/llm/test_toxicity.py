@@ -89,7 +89,7 @@ def test_plain_words_stay(prices):
 DISGUISES = [
     lambda w: w.upper() + "!!", lambda w: " ".join(w), lambda w: ".".join(w), lambda w: "-".join(w), lambda w: "_".join(w), lambda w: "  ".join(w.upper()),
     lambda w: w.replace("o", "0").replace("i", "1"), lambda w: w.replace("s", "$").replace("a", "@"), lambda w: w.replace("e", "3").replace("t", "7"), lambda w: "".join(c * 4 if c in "aiou" else c for c in w),
-    lambda w: w[0] + "​" + w[1:], lambda w: w.replace("o", "о").replace("e", "е"), lambda w: "".join(chr(ord(c) + 0xFEE0) for c in w), lambda w: w.replace("o", "ö").replace("i", "í"), lambda w: f"***{w}***", lambda w: w[:2] + w[1] * 5 + w[2:], lambda w: f"so,{w},yes",
+    lambda w: w[0] + "​" + w[1:], lambda w: w.replace("o", "о").replace("e", "е"), lambda w: "".join(chr(ord(c) + 0xFEE0) for c in w), lambda w: w.replace("o", "ö").replace("i", "í"), lambda w: f"***{w}***", lambda w: w[:2] + w[1] * 5 + w[2:], lambda w: w + w[-1] * 4, lambda w: f"so,{w},yes",
 ]
 
 
