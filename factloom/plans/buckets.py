@@ -13,6 +13,8 @@ The driver keeps numbers by bucket and names of folders, never rows. Old folders
 
 from __future__ import annotations
 
+import json
+import uuid
 import zlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -24,11 +26,13 @@ from pyspark.sql import functions as F
 from .fold import EDGE_KEY, counters, fold, fold_edges, merge
 from .lineage import delete, shared_folder
 from .schema import NodeType
+from .states import united
 
 BUCKETS = 64
 FANOUT = 8
 SLACK = 0.5
-_BLOOM = {"parquet.bloom.filter.enabled#{}": "true", "parquet.block.size": str(16 << 20)}
+#: Bases are written with filters of their keys, as large as the keys of a row group need.
+_FILTERS = {"parquet.bloom.filter.enabled#{}": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": str(128 << 10), "parquet.block.size": str(16 << 20)}
 
 
 @dataclass
@@ -57,6 +61,7 @@ class BucketStore:
     base: dict[int, tuple[str, int]] = field(default_factory=dict)  # bucket: folder of its base, rows in it
     floor: dict[int, int] = field(default_factory=dict)  # bucket: the last run that its base has
     later: list[Later] = field(default_factory=list)
+    root: str | None = None  # where tables are written; a scratch folder each, if not given
     added: int = 0  # canonical rows there are: what runs added
     merged: int = 0
     rows_written: int = 0
@@ -70,12 +75,12 @@ class BucketStore:
     def _bucket(self, df: DataFrame) -> DataFrame:
         return df.withColumn("_bucket", (F.crc32(F.coalesce(F.col(self.by), F.lit("")).cast("binary")) % self.buckets).cast("int"))
 
-    def _write(self, df: DataFrame) -> tuple[str, dict[int, int]]:
-        """Rows (with _bucket), sorted in files of their bucket with a filter of their keys; large buckets in several files."""
-        path = shared_folder(self.spark)
+    def _write(self, df: DataFrame, filters: bool = False) -> tuple[str, dict[int, int]]:
+        """Rows (with _bucket), sorted in files of their bucket; large buckets in several files."""
+        path = f"{self.root.rstrip('/')}/{uuid.uuid4().hex}" if self.root else shared_folder(self.spark)
         self._made.append(path)
         writer = df.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", self.by).write.partitionBy("_bucket")
-        for name, value in _BLOOM.items():
+        for name, value in _FILTERS.items() if filters else ():
             writer = writer.option(name.format(self.by), value)
         writer.parquet(path)
         rows = {r["_bucket"]: r["n"] for r in self._read(path, df).groupBy("_bucket").agg(F.count("*").alias("n")).collect()}  # at most `buckets` rows
@@ -86,12 +91,13 @@ class BucketStore:
         reader = self.spark.read
         return (reader if like is None else reader.schema(like.schema)).parquet(path)
 
-    def add(self, rows: DataFrame, run: int) -> tuple[int, int]:
-        """Takes in the rows of a run, later than all before it; returns how many canonical rows are new, and how many rows met one."""
+    def add(self, rows: DataFrame, run: int, *, count: bool = True) -> tuple[int, int]:
+        """Takes in the rows of a run, later than all before it; returns how many canonical rows are new, and how many rows
+        met one, which reads the keys of the buckets that the run touches (without count: nothing, and (0, 0))."""
         path, held = self._write(self._bucket(self.keyed(rows)))
         if not held:
             return 0, 0
-        counts = counters(self._read(path), self.keys(list(held)), self.key).first()
+        counts = counters(self._read(path), self.keys(list(held)), self.key).first() if count else {"added": 0, "merged": 0}
         self.added += counts["added"]
         self.merged += counts["merged"]
         self.later.append(Later(path, 0, run, run, held))
@@ -109,7 +115,7 @@ class BucketStore:
         if not due:
             return
         last = max(x.last for x in self.later)
-        path, rows = self._write(self._bucket(self._folded(due)))
+        path, rows = self._write(self._bucket(self._folded(due)), filters=True)
         for b in due:
             self.base[b], self.floor[b] = (path, rows.get(b, 0)), last
         self.later = [x for x in self.later if any(x.last > self.floor.get(b, -1) for b in x.rows)]
@@ -132,6 +138,19 @@ class BucketStore:
                 delete(self.spark, path)
         self._made = [p for p in self._made if p in live]
 
+    # -- state
+
+    def state(self) -> str:
+        """All that the driver knows, as text: restored() goes on from it."""
+        return json.dumps({"base": [[b, *x] for b, x in self.base.items()], "floor": list(self.floor.items()), "later": [[x.path, x.level, x.first, x.last, list(x.rows.items())] for x in self.later], "added": self.added, "merged": self.merged, "made": self._made})
+
+    def restored(self, text: str) -> BucketStore:
+        old = json.loads(text)
+        self.base, self.floor = {b: (path, n) for b, path, n in old["base"]}, dict(map(tuple, old["floor"]))
+        self.later = [Later(path, level, first, last, dict(map(tuple, rows))) for path, level, first, last, rows in old["later"]]
+        self.added, self.merged, self._made = old["added"], old["merged"], old["made"]
+        return self
+
     # -- reading
 
     def _later_rows(self, buckets: Sequence[int] | None, tables: Sequence[Later] | None = None) -> DataFrame | None:
@@ -206,6 +225,15 @@ def node_store(spark: SparkSession, spec: NodeType, **options) -> BucketStore:
     return BucketStore(spark, ["node_key"], "node_key", fold_in, spec.keyed, **options)
 
 
+def state_store(spark: SparkSession, spec: NodeType, **options) -> BucketStore:
+    """Of states (factloom.plans.states): rows() has united ones, whatever the order of runs."""
+    def fold_in(base: DataFrame | None, later: DataFrame) -> DataFrame:
+        later = later.drop("seq")
+        return united(later if base is None else base.unionByName(later), spec)
+
+    return BucketStore(spark, ["node_key"], "node_key", fold_in, **options)
+
+
 def edge_store(spark: SparkSession, **options) -> BucketStore:
     def fold_in(base: DataFrame | None, later: DataFrame) -> DataFrame:
         rows = later if base is None else base.drop("confidence").withColumnRenamed("first_seq", "seq").unionByName(later, allowMissingColumns=True)

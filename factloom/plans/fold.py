@@ -96,32 +96,38 @@ def differs(column: str) -> Column:
     return F.when(F.col(column).cast("string") != "", F.col(column))
 
 
-def fold(obs: DataFrame, spec: S.NodeType, *, strict: bool = True, seq: str = "seq") -> DataFrame:
-    """One row for each identity. With strict, a conflict of a UNIQUE column fails the job; else it is flagged in `conflicts`.
-
-    Canonical rows may be folded again together with later observations: with `seq` set to their
-    first_seq they count as the observations that they stand for (n_observations is added up).
-    Rows that carry another node_type are an error.
-    """
-    obs = guarded(obs, spec.name)
-    keyed = obs.withColumns({name: make() for name, (_, make) in spec.key.items()}).withColumns({"_hash": F.xxhash64(*spec.key), "_identity": F.struct(*spec.key)})
-    present = {c: p for c, (_, p) in spec.columns.items() if c in obs.columns}
-    unions = [c for c, p in present.items() if p == S.UNION]
+def planned(columns: list[str], spec: S.NodeType, seq: str = "seq") -> tuple[_Fold, list[str], list[str]]:
+    """What rows with these columns offer, the columns that are united, and those that must not differ."""
+    present = {c: p for c, (_, p) in spec.columns.items() if c in columns}
     f = _Fold()
-    head = [c for c in [*S.PROVENANCE, *spec.raw] if c in obs.columns] + [c for c, p in present.items() if p == S.FIRST]
+    head = [c for c in [*S.PROVENANCE, *spec.raw] if c in columns] + [c for c, p in present.items() if p == S.FIRST]
     f.offers["_head"] = F.struct(F.col(seq).alias("s"), *head), F.min
     f.results |= {c: F.col(f"_head.{c}") for c in head}
     for c, p in present.items():
         if p not in (S.NEWEST, S.UNION, S.FIRST):
             f.add(c, p, seq)
     f.offers["first_seq"] = F.col(seq), F.min
-    f.offers["n_observations"] = (F.col("n_observations") if "n_observations" in obs.columns else F.lit(1).cast("long")), F.sum
+    f.offers["n_observations"] = (F.col("n_observations") if "n_observations" in columns else F.lit(1).cast("long")), F.sum
     f.results |= {"first_seq": F.col("first_seq"), "n_observations": F.col("n_observations")}
     unique = [c for c, p in present.items() if p == S.UNIQUE]
     for c in unique:
         f.offers[f"_low_{c}"], f.offers[f"_high_{c}"] = (differs(c), F.min), (differs(c), F.max)
     if unique:
         f.results["conflicts"] = F.array_compact(F.array(*(F.when(F.coalesce(F.col(f"_low_{c}") != F.col(f"_high_{c}"), F.lit(False)), F.lit(c)) for c in unique)))
+    return f, [c for c, p in present.items() if p == S.UNION], unique
+
+
+def fold(obs: DataFrame, spec: S.NodeType, *, strict: bool = True, seq: str = "seq") -> DataFrame:
+    """One row for each identity. With strict, a conflict of a UNIQUE column fails the job; else it is flagged in `conflicts`.
+
+    Canonical rows may be folded again together with later observations: with `seq` set to their
+    first_seq they count as the observations that they stand for (n_observations is added up).
+    Rows that carry another node_type are an error.
+    """
+    obs = guarded(obs, spec.name)
+    keyed = obs.withColumns({name: make() for name, (_, make) in spec.key.items()}).withColumns({"_hash": F.xxhash64(*spec.key), "_identity": F.struct(*spec.key)})
+    present = {c: p for c, (_, p) in spec.columns.items() if c in obs.columns}
+    f, unions, unique = planned(obs.columns, spec, seq)
     rows = keyed.select(*_ID, *f.rows(), *(F.coalesce(F.col(c), F.array().cast("array<string>")).alias(f"_u_{c}") for c in unions))
     if unions:
         # Equal lists of an identity are folded first: what is collected is as long as its lists are different.

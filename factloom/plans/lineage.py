@@ -63,3 +63,22 @@ def discard(spark: SparkSession, since: int = 0, before: int | None = None) -> N
 def delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file on any storage that Spark knows, whole or not at all."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    draft, final = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp"), jvm.org.apache.hadoop.fs.Path(path)
+    system = final.getFileSystem(conf)
+    out = system.create(draft)
+    out.write(bytearray(text.encode()))
+    out.close()
+    system.delete(final, False)
+    if not system.rename(draft, final):
+        raise OSError(f"cannot write {path}")
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in system.listStatus(path)) if system.exists(path) else []

@@ -1,7 +1,8 @@
-"""Continuous ingestion: append each micro-batch of observations, refold only the identities it touches.
+"""Continuous ingestion: a micro-batch is folded on its own and merged into what is known, at the cost of its own size.
 
-Folding is ordered by seq, not by time of arrival, so no watermark is needed: a late row changes
-its identity's fold and nothing else.
+Node types whose fold has states (factloom.plans.states) are ordered by seq, not by time of arrival, so no watermark is
+needed: a late row changes its identity's fold and nothing else. Types with logs of differences or newest writes are
+folded in order of arrival, by (batch, seq).
 """
 
 from __future__ import annotations
@@ -10,43 +11,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.fold import fold
+from ..plans.buckets import BUCKETS, BucketStore, node_store, state_store
+from ..plans.lineage import names_in, put_text
 from ..plans.schema import NodeType
-
-
-#: Parts that identities are dealt over; a batch reads only the parts that it touches.
-BUCKETS = 64
+from ..plans.states import has_states, rendered, states
 
 
 class StreamingFold:
-    """Observations in `<path>/observations`, by part of the identities and batch, so that a batch that runs again
-    replaces itself and reads only what its identities can have; each batch's refolded identities in
-    `<path>/versions`. The newest version of an identity is its canonical row."""
+    """Buckets of states or rows in `<path>/rows` (factloom.plans.buckets), and after each batch their state in `<path>/state`.
+
+    A batch goes on from the state of the batch before it, so that one that runs again replaces itself. It writes its own rows and,
+    now and then, buckets that have outgrown their base; it reads nothing else of what is known.
+    """
 
     def __init__(self, spark: SparkSession, path: str, spec: NodeType, buckets: int = BUCKETS) -> None:
         self.spark, self.path, self.spec, self.buckets = spark, path.rstrip("/"), spec, buckets
+        self.free = has_states(spec)
+
+    def store(self, before: int | None = None) -> BucketStore:
+        """As it was after the last batch (before one)."""
+        store = (state_store if self.free else node_store)(self.spark, self.spec, buckets=self.buckets, root=f"{self.path}/rows")
+        numbers = [int(n.removesuffix(".json")) for n in names_in(self.spark, f"{self.path}/state") if n.endswith(".json")]
+        done = [n for n in numbers if before is None or n < before]
+        if done:
+            store.restored("\n".join(r["value"] for r in self.spark.read.text(f"{self.path}/state/{max(done)}.json", wholetext=True).collect()))
+        return store
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(*self.spec.key), F.lit(self.buckets)).cast("int")
-        keyed = self.spec.keyed(batch).withColumn("bucket", bucket).drop(*[k for k in self.spec.key if k not in self.spec.raw])
-        folder = f"{self.path}/observations/batch={batch_id}"
-        keyed.write.mode("overwrite").partitionBy("bucket").parquet(folder)
-        mine = spark.read.parquet(folder)
-        touched = mine.select("bucket", "node_key").distinct()
-        parts = [r["bucket"] for r in mine.select("bucket").distinct().collect()]  # at most `buckets` numbers
-        if not parts:
-            return
-        held = spark.read.option("mergeSchema", "true").parquet(f"{self.path}/observations")
-        near = held.where((F.col("batch") <= batch_id) & F.col("bucket").isin(parts))
-        again = fold(near.join(touched, ["bucket", "node_key"], "left_semi").drop("node_key", "batch", "bucket"), self.spec)
-        again.write.mode("overwrite").parquet(f"{self.path}/versions/batch={batch_id}")
+        store = self.store(batch_id)
+        if self.free:
+            rows = states(batch, self.spec).withColumn("seq", F.struct(F.lit(batch_id).cast("long").alias("run")))
+        else:
+            rows = batch.withColumn("seq", F.struct(F.lit(batch_id).cast("long").alias("run"), F.lit(0).alias("rank"), F.col("seq").cast("long").alias("row")))
+        store.add(rows, batch_id, count=False)
+        put_text(self.spark, f"{self.path}/state/{batch_id}.json", store.state())
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
-    def canonical(self) -> DataFrame:
-        versions = self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/versions")
-        rest = [c for c in versions.columns if c not in ("node_key", "batch")]
-        return versions.groupBy("node_key").agg(F.max_by(F.struct(*rest), "batch").alias("r")).select("node_key", "r.*")
+    def canonical(self) -> DataFrame | None:
+        """Canonical rows after the last batch; None before the first row."""
+        rows = self.store().rows()
+        return rows if rows is None or not self.free else rendered(rows, self.spec)

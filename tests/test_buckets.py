@@ -12,6 +12,8 @@ from factloom.operators.session import Session
 from factloom.plans import fold as folds
 from factloom.plans import schema as S
 from factloom.plans.buckets import edge_store, node_store
+from factloom.plans.states import rendered, states, united
+from factloom.streaming.ingest import StreamingFold
 
 T0 = datetime(2023, 1, 25, 8, tzinfo=UTC)
 HASH = "a" * 64
@@ -126,3 +128,46 @@ def test_session_totals_are_those_of_a_count(spark, tmp_path):
     assert {r["dst_key"] for r in session.graph.outgoing_edges(ends[0]).collect()} == out
     session.vacuum()
     assert session.totals() == session.graph.counts()
+
+
+FILE = "evidence_hash string, derivation string, observed_at timestamp, host_hostname string, full_path string, sha256 string, size_bytes long, mtime timestamp, is_deleted boolean, referenced_by array<string>, seq long"
+
+
+def test_states_unite_in_any_order(spark):
+    rng = random.Random(4)
+    rows = [(HASH, f"d{i}", T0, "h", f"C:\\f{rng.randrange(8)}", None, rng.choice([None, 1, 2]), rng.choice([None, T0, T0 + timedelta(days=1)]), rng.choice([None, True, False]), rng.choice([None, ["a"], ["b", "a"], ["c"]]), i) for i in range(80)]
+    parts = [rows[i::4] for i in (2, 0, 3, 1)]
+    made = [states(spark.createDataFrame(p, FILE), S.FILE) for p in parts]
+    together = united(united(made[0].unionByName(made[1]), S.FILE).unionByName(united(made[2].unionByName(made[3]), S.FILE)), S.FILE)
+    columns = ["node_key", "full_path", "size_bytes", "mtime", "is_deleted", "referenced_by", "first_seq", "n_observations", "derivation", "conflicts"]
+    as_rows = lambda df: sorted(map(repr, df.select(*columns).collect()))
+    assert as_rows(rendered(together, S.FILE)) == as_rows(folds.fold(spark.createDataFrame(rows, FILE), S.FILE))
+
+
+def test_a_batch_costs_its_own_size_and_can_run_again(spark, tmp_path):
+    def batch(ids, n):
+        return ids.select(F.lit(HASH).alias("evidence_hash"), F.lit("d").alias("derivation"), F.lit(T0).alias("observed_at"), F.concat(F.lit("S-1-5-"), "id").alias("sid"), F.lit(f"u{n}").alias("username"), (F.col("id") + n * 10_000).alias("seq"))
+
+    fold = StreamingFold(spark, str(tmp_path / "out"), S.USER, buckets=8)
+    fold.apply(batch(spark.range(3000), 0), 0)
+    sizes = []
+    for n in range(1, 13):
+        before = sum(p.stat().st_size for p in (tmp_path / "out/rows").rglob("*.parquet"))
+        fold.apply(batch(spark.range(n, n + 20), n), n)
+        sizes.append(sum(p.stat().st_size for p in (tmp_path / "out/rows").rglob("*.parquet")) - before)
+    assert sizes[11] <= 1.2 * sizes[1] and sum(sizes) <= 2.5 * 12 * sizes[1]
+    fold.apply(batch(spark.range(12, 32), 12), 12)  # again, as after a failure
+    got = fold.canonical()
+    assert got.count() == 3000 and got.agg(F.sum("n_observations")).first()[0] == 3000 + 12 * 20 and got.where("username <> 'u0'").count() == 0
+
+
+def test_logs_are_folded_in_order_of_arrival(spark, tmp_path):
+    ddl, rng = PROCESS.replace(SEQ, "long"), random.Random(6)
+    fold, all_ = StreamingFold(spark, str(tmp_path / "out"), S.PROCESS, buckets=4), []
+    for n in range(3):
+        rows = [(*r[:9], r[9][2]) for r in process_rows(n, 25, rng)]
+        fold.apply(spark.createDataFrame(rows, ddl), n)
+        all_ += [(*r[:9], (n, 0, r[9])) for r in rows]
+    want = folds.fold(spark.createDataFrame(all_, PROCESS), S.PROCESS).drop("first_seq")
+    as_rows = lambda df: sorted(map(repr, df.select(*want.columns).collect()))
+    assert as_rows(fold.canonical()) == as_rows(want)
