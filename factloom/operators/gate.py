@@ -65,3 +65,14 @@ def judge(claims: DataFrame, support: DataFrame, nodes: DataFrame, edges: DataFr
     rejected = F.when(~F.col("hint").isin(*CONFIDENCE_RANKS), "bad_confidence_hint").when(F.col("n_cited") == 0, "rejected_empty_support").when(F.col("n_missing") > 0, "rejected_missing_node")
     decision = F.coalesce(rejected, F.when(final != F.col("hint"), "downgraded_confidence").otherwise("accepted"))
     return df.select("claim_id", "hint", "n_cited", "n_missing", "first_missing", "n_edges", decision.alias("decision"), F.when(rejected.isNull(), final).alias("final_confidence"))
+
+
+def commits(claims: DataFrame, support: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Findings put forward as a table: claims (claim_id, claim, hint) with their outcome, and the confidence of those that are taken.
+
+    What the service answers one by one: a hint that there is not, then what the gate rejects, then an empty claim.
+    """
+    judged = judge(claims.select("claim_id", "hint"), support, nodes, edges)
+    empty = ~F.col("decision").startswith("rejected") & (F.col("decision") != "bad_confidence_hint") & (F.coalesce("claim", F.lit("")) == "")
+    df = claims.select("claim_id", "claim").join(judged, "claim_id").withColumn("_empty", empty)
+    return df.select("claim_id", F.when(F.col("_empty"), "empty_claim").otherwise(F.col("decision")).alias("outcome"), F.when(~F.col("_empty"), F.col("final_confidence")).alias("final_confidence"), "n_missing", "first_missing")

@@ -609,6 +609,15 @@ def g02_g07_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return gate.judge(*claims(spark, sf))
 
 
+@query(f"WITH {CLAIMS}, o AS (SELECT id, CASE WHEN id % 13 = 0 THEN 'bad_confidence_hint' WHEN n_cited = 0 THEN 'rejected_empty_support' WHEN n_missing > 0 THEN 'rejected_missing_node' WHEN id % 7 < 2 THEN 'empty_claim' WHEN final <> hint THEN 'downgraded_confidence' ELSE 'accepted' END AS outcome, final FROM r) SELECT id AS claim_id, outcome, CASE WHEN outcome IN ('accepted', 'downgraded_confidence') THEN final END AS final_confidence FROM o")
+def g08_g09_commits(spark: SparkSession, sf: str) -> DataFrame:
+    """A finding an order: some with a hint that there is not, some with a claim that is empty or null."""
+    made, support, nodes, edges = claims(spark, sf)
+    k = F.col("claim_id")
+    made = made.withColumns({"hint": F.when(k % 13 == 0, "certain").otherwise(F.col("hint")), "claim": F.when(k % 7 == 0, "").when(k % 7 != 1, F.concat(F.lit("claim "), k))})
+    return gate.commits(made, support, nodes, edges).select("claim_id", "outcome", "final_confidence")
+
+
 @query(f"WITH {CLAIMS} SELECT CASE WHEN n_cited = 0 THEN 'rejected_empty_support' WHEN n_missing > 0 THEN 'rejected_missing_node' WHEN final <> hint THEN 'downgraded_confidence' ELSE 'accepted' END AS decision, count(*) AS n FROM r GROUP BY 1")
 def g07_decision_counts(spark: SparkSession, sf: str) -> DataFrame:
     return gate.judge(*claims(spark, sf)).groupBy("decision").agg(F.count("*").alias("n"))

@@ -16,6 +16,7 @@ from .operators.service import build_server
 from .operators.session import Session
 from .plans import fold as folds
 from .plans import schema as S
+from .plans.buckets import BucketStore, node_store
 from .plans.lineage import cut_lineage, scratch
 from .queries import DET, EDGE, HASH, NIGHT, PROC, SPAWN_EDGES, detection_records, edge_table, process_nodes, process_obs, query, relations, table, xml_records
 from .sources.binxml import encode_events
@@ -260,6 +261,47 @@ def k04_run_summary(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(found["runs"], found["nodes_added"], found["nodes_merged"], found["node_count"])], "runs int, nodes_added long, nodes_merged long, node_count long")
 
 
+RUNS = f"{PROC}, p AS (SELECT *, seq % 10 AS run, (seq % 10) * 1000000000000 + seq AS place FROM proc)"
+
+
+def in_runs(spark: SparkSession, sf: str) -> tuple[BucketStore, list[tuple[int, int, int]]]:
+    """Process observations in ten runs into buckets; what each run added and merged."""
+    store, obs, counts = node_store(spark, S.PROCESS, buckets=8), cut_lineage(process_obs(spark, sf), "observations"), []
+    for run in range(10):
+        mine = obs.where(F.col("seq") % 10 == run).withColumn("seq", F.struct(F.lit(run).alias("run"), F.lit(0).alias("rank"), F.col("seq").cast("long").alias("row")))
+        counts.append((run, *store.add(mine, run)))
+    return store, counts
+
+
+@query(f"WITH {RUNS} SELECT host AS host_hostname, pid, strftime(start, '%Y') AS year, min_by(name, place) AS name, min_by(image, place) FILTER (WHERE image IS NOT NULL) AS image_path, count(*) AS n_observations, CAST(min(run) AS INTEGER) AS first_run FROM p GROUP BY host, pid, start")
+def u04_ten_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten runs into buckets: what is known after them is one fold of all rows in order of runs."""
+    store, _ = in_runs(spark, sf)
+    return store.rows().select("host_hostname", "pid", F.date_format("start_time", "yyyy").alias("year"), "name", "image_path", "n_observations", F.col("first_seq.run").alias("first_run"))
+
+
+@query(f"WITH {RUNS}, f AS (SELECT min(run) AS run FROM p GROUP BY host, pid, start), r AS (SELECT run, count(*) AS n FROM p GROUP BY run), a AS (SELECT run, count(*) AS n FROM f GROUP BY run) SELECT CAST(run AS INTEGER) AS run, coalesce(a.n, 0) AS added, r.n - coalesce(a.n, 0) AS merged, CAST(sum(coalesce(a.n, 0)) OVER (ORDER BY run) AS BIGINT) AS total FROM r LEFT JOIN a USING (run)")
+def a15_a17_run_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """What each run added and merged, and the totals that are kept instead of counting."""
+    _, counts = in_runs(spark, sf)
+    total, rows = 0, []
+    for run, added, merged in counts:
+        total += added
+        rows.append((run, added, merged, total))
+    return spark.createDataFrame(rows, "run int, added long, merged long, total long")
+
+
+@query(f"WITH {PROC}, ask AS (SELECT host, pid, start, bool_or(true) FROM proc WHERE seq % 20 = 0 GROUP BY ALL) SELECT p.host AS host_hostname, p.pid, strftime(p.start, '%Y') AS year, count(*) AS n_observations FROM proc p JOIN ask ON p.host = ask.host AND p.pid = ask.pid AND p.start IS NOT DISTINCT FROM ask.start GROUP BY p.host, p.pid, p.start")
+def f12_lookup_of_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes by a table of keys, those of every twentieth order and some that there are not; buckets meet buckets."""
+    obs = process_obs(spark, sf)
+    store = node_store(spark, S.PROCESS, buckets=16)
+    store.add(obs.withColumn("seq", F.struct(F.lit(0).alias("run"), F.lit(0).alias("rank"), F.col("seq").cast("long").alias("row"))), 0)
+    asked = S.PROCESS.keyed(obs.where("seq % 20 = 0")).select("node_key")
+    found = store.lookup_table(asked.unionAll(asked.select(F.concat("node_key", F.lit("?")))))
+    return found.select("host_hostname", "pid", F.date_format("start_time", "yyyy").alias("year"), "n_observations")
+
+
 CASES = """(VALUES (1, 'accepted', 'inferred', 1), (2, 'rejected_empty_support', NULL, 1), (3, 'rejected_missing_node', NULL, 1), (4, 'downgraded_confidence', 'inferred', 2), (5, 'bad_confidence_hint', NULL, 2), (6, 'empty_claim', NULL, 2), (7, 'bad_arguments', NULL, 2), (8, 'unknown_tool', NULL, 2))"""
 
 
