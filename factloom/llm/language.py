@@ -5,7 +5,8 @@ sample: at most TRAIN_DOCS labelled documents of a language, from each at most T
 pieces of STEPS bytes spread over its text. It labels every byte of a text; a document's
 probabilities are the means over the bytes of its letters.
 
-A text is read in pieces of STEPS bytes, in both directions, and all its bytes are read. Null
+All bytes of a text are read, in both directions. The state is carried through the text, in spans of SPAN bytes for long ones;
+a span is entered RUN_IN bytes early from either side, so no byte is labelled by a state that has only just begun. Null
 texts and texts without a letter are "und" with score 0. Repeated rows each get their row. If
 nothing is labelled, everything is "und".
 """
@@ -24,17 +25,19 @@ from pyspark.sql import functions as F
 from .common import map_texts, only, slices, texts_of, utf8_of
 
 STEPS = 64
+#: Bytes of a text through which the network's state is carried, and bytes read before they are labelled.
+SPAN, RUN_IN = 2048, 64
 HIDDEN = 8
 TRAIN_DOCS = 300
 TRAIN_PIECES = 6
-#: The network has a label for at most so many languages, the most frequent ones.
+#: The network has a label for at most so many languages, the most frequent ones: with TRAIN_DOCS it bounds the sample that is fitted.
 MOST_LANGUAGES = 500
 EPOCHS = 5
 BATCH = 96
 #: Small samples are gone through more often.
 LEAST_STEPS = 250
-#: Pieces that are stepped through together; their state fits a core's cache.
-TOGETHER = 1024
+#: Bytes that are stepped through together, whose states are held at once.
+TOGETHER = 1 << 20
 UNKNOWN = "und"
 #: A document goes if its best language has less than this mean probability.
 REJECT_BELOW = 0.4
@@ -102,6 +105,34 @@ class Network:
                 all_[t, :, way * h : (way + 1) * h] = state
         return all_
 
+    def ragged_states(self, x: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """Hidden states (byte, 2 * hidden) for texts of different lengths, the longest first: x has step for step the bytes of the
+        texts that are that long, and active how many those are."""
+        h, first = self.inner.shape[1], np.cumsum(active) - active
+        out = np.empty((len(x), 2 * h), np.float32)
+        for way in (0, 1):
+            state = np.zeros((int(active[0]), h), np.float32)
+            table, inner = self.table[way], self.inner[way]
+            gates_in, cand_in = np.ascontiguousarray(inner[:, : 2 * h]), np.ascontiguousarray(inner[:, 2 * h :])
+            for t in range(len(active)) if way == 0 else range(len(active) - 1, -1, -1):
+                m = int(active[t])
+                at = slice(int(first[t]), int(first[t]) + m)
+                a, s = table[x[at]], state[:m]
+                g = s @ gates_in
+                g += a[:, : 2 * h]
+                g *= 0.5
+                np.tanh(g, g)
+                g += 1
+                g *= 0.5
+                c = (g[:, :h] * s) @ cand_in
+                c += a[:, 2 * h :]
+                np.tanh(c, c)
+                s -= c  # in place: a text's state goes on at its next step
+                s *= g[:, h:]
+                s += c
+                out[at, way * h : (way + 1) * h] = s
+        return out
+
     def labels(self, states: np.ndarray) -> np.ndarray:
         logits = states @ self.out
         logits += self.bias
@@ -162,22 +193,40 @@ class Network:
     def documents(self, texts: list[bytes]) -> np.ndarray:
         """Mean label probabilities over each text's letter bytes; a row of zeros where there are none."""
         k = len(self.languages)
-        out = np.zeros((len(texts), k))
-        rows = [pieces(t) for t in texts]
-        owner = np.repeat(np.arange(len(texts)), [len(r) for r in rows])
-        if not len(owner) or not k:
-            return out
-        every = np.concatenate(rows)
-        count = np.zeros(len(texts))
-        for a in range(0, len(every), TOGETHER):
-            x = np.ascontiguousarray(every[a : a + TOGETHER].T)
-            letter = _LETTER_BYTE[x]
-            p = self.labels(self.states(x))
-            p *= letter[:, :, None]
-            np.add.at(out, owner[a : a + TOGETHER], p.sum(0))
-            np.add.at(count, owner[a : a + TOGETHER], letter.sum(0))
+        out, count = np.zeros((len(texts), k)), np.zeros(len(texts))
+        spans = [(i, *s) for i, t in enumerate(texts) for s in spans_of(len(t))] if k else []
+        spans.sort(key=lambda s: s[1] - s[2])  # the longest first
+        while spans:
+            size, n = 0, 0
+            while n < len(spans) and (not n or size + spans[n][2] - spans[n][1] <= TOGETHER):
+                size += spans[n][2] - spans[n][1]
+                n += 1
+            self._add_labels(texts, spans[:n], out, count)
+            spans = spans[n:]
         return out / np.maximum(count, 1)[:, None]
 
+    def _add_labels(self, texts: list[bytes], spans: list[tuple[int, int, int, int, int]], out: np.ndarray, count: np.ndarray) -> None:
+        lengths = np.array([b - a for _, a, b, _, _ in spans])
+        padded = np.zeros((len(spans), lengths[0]), np.uint8)
+        counted = np.zeros(padded.shape, bool)
+        for row, (i, a, b, from_, to) in enumerate(spans):
+            padded[row, : b - a] = np.frombuffer(texts[i], np.uint8, b - a, a)
+            counted[row, from_ - a : to - a] = True
+        active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+        there = np.arange(len(spans))[None] < active[:, None]  # (step, span)
+        x = padded.T[there]
+        letter = _LETTER_BYTE[x] & counted.T[there]
+        owner = np.broadcast_to(np.array([s[0] for s in spans])[None], there.shape)[there][letter]
+        p = self.labels(self.ragged_states(x, active)[letter])
+        count += np.bincount(owner, minlength=len(count))
+        for j in range(p.shape[1]):
+            out[:, j] += np.bincount(owner, p[:, j], len(out))
+
+
+def spans_of(n: int) -> list[tuple[int, int, int, int]]:
+    """(read from, read to, label from, label to) of a text of n bytes."""
+    return [(max(0, a - RUN_IN), min(n, a + SPAN + RUN_IN), a, min(n, a + SPAN)) for a in range(0, n, SPAN)]
+
 
 def fold_of(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")) % 5

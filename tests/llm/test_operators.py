@@ -383,6 +383,57 @@ def test_language_of_held_out_documents(spark, odd, empty):
     assert {r["lang_pred"] for r in language.predict(odd, nothing).collect()} == {"und"}
 
 
+def byte_by_byte(net, text):
+    """Mean probabilities of a text's letter bytes, one byte, gate and direction at a time."""
+    h = net.inner.shape[1]
+    sums, n = np.zeros(len(net.languages)), 0
+    for a in range(0, len(text), language.SPAN):
+        lo, hi = max(0, a - language.RUN_IN), min(len(text), a + language.SPAN + language.RUN_IN)
+        seen = {}
+        for way, order in ((0, range(lo, hi)), (1, range(hi - 1, lo - 1, -1))):
+            state = np.zeros(h)
+            for t in order:
+                own = net.table[way][text[t]].astype(float)
+                gates = 1 / (1 + np.exp(-(state @ net.inner[way][:, : 2 * h] + own[: 2 * h])))
+                r, z = gates[:h], gates[h:]
+                c = np.tanh((r * state) @ net.inner[way][:, 2 * h :] + own[2 * h :])
+                state = z * state + (1 - z) * c
+                seen[way, t] = state
+        for t in range(a, min(len(text), a + language.SPAN)):
+            if language._LETTER_BYTE[text[t]]:
+                logits = np.concatenate([seen[0, t], seen[1, t]]) @ net.out + net.bias
+                e = np.exp(logits - logits.max())
+                sums, n = sums + e / e.sum(), n + 1
+    return sums / max(1, n)
+
+
+def test_documents_are_labelled_as_byte_by_byte(monkeypatch):
+    rng = random.Random(1)
+    net = language.Network.fresh(["a", "b", "c"], 4)
+    net.out *= 4
+    texts = ["", "x", "12 34", "Über den Wolken 日本語 \U0001f600", *("".join(rng.choice("abcdé \n.1жш") for _ in range(n)) for n in (63, 64, 65, 200, 700, 1500))]
+    texts = [t.encode() for t in texts]
+    for span, together in ((language.SPAN, language.TOGETHER), (100, 500)):
+        monkeypatch.setattr(language, "SPAN", span)
+        monkeypatch.setattr(language, "RUN_IN", min(64, span // 4))
+        monkeypatch.setattr(language, "TOGETHER", together)
+        assert np.abs(net.documents(texts) - np.array([byte_by_byte(net, t) for t in texts])).max() < 1e-4
+
+
+def test_texts_in_many_scripts_and_mixed_ones(spark):
+    """Six made-up languages in four scripts, and texts of which two thirds are in one of them."""
+    rng = random.Random(2)
+    parts = {"aa": "th er on an re he in ed nd ha", "bb": "que les eau oi en tre é è ai ç", "cc": "ко на то ра пр ен ли", "dd": "のにはをたがでて", "ee": "ال من في على ها", "ff": "το και να με που"}
+    word = lambda lang: "".join(rng.choice(parts[lang].split() if " " in parts[lang] else parts[lang]) for _ in range(rng.randrange(1, 4)))
+    text = lambda lang, n: " ".join(word(lang) for _ in range(n))
+    rows = [(i, text(lang, 40), lang) for i, lang in enumerate(rng.choice(sorted(parts)) for _ in range(400))]
+    network = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    fresh = [(lang, text(lang, n)) for lang in parts for n in (3, 30, 600)]
+    mixed = [(a, f"{text(a, 60)} {text(b, 12)} {text(a, 60)}") for a, b in zip(parts, [*list(parts)[1:], "aa"], strict=True)]
+    p = network.documents([t.encode() for _, t in fresh + mixed])
+    assert [network.languages[k] for k in p.argmax(1)] == [lang for lang, _ in fresh + mixed]
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     net = language.Network.fresh(["a", "b", "c"], 4)
