@@ -5,7 +5,8 @@ lossless) into ZIP archives of bounded size whose members are stored as they are
 reads a folder of archives, its own or others (stored or deflated members): it plans partitions
 as byte ranges of archives from file sizes alone, and a task finds its members in the archive's
 directory (those that begin in its range) and reads them in blocks of neighbours, a bounded
-Arrow batch each. A member that a block does not give whole is read by its own offset, again
+Arrow batch each. An archive of this module says in its comment where in its directory the members of each INDEX_BYTES
+begin, so that a range reads its part of the directory; of others it is read whole. A member that a block does not give whole is read by its own offset, again
 on its own if that fails.
 
 Null and empty texts are 64 zero bytes. A null id is kept as null. Repeated rows are separate
@@ -39,11 +40,15 @@ RANGE_BYTES = 16 << 20
 MOST_RANGES = 50_000
 #: An archive ends when it is so long, so that its directory stays short.
 ARCHIVE_BYTES = 256 << 20
+#: A place in the directory is noted for each so many archive bytes; the notes must fit a comment of 64 KB.
+INDEX_BYTES = 1 << 20
 #: Media bytes in one Arrow batch, and in one read.
 BATCH_BYTES = 2 << 20
 ATTEMPTS = 4
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _LOCAL, _CENTRAL, _END, _END64, _LOCATOR = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
+_INDEX = b"factloom index 1\n"
+_MOST_NOTES = (0xFFFF - len(_INDEX)) // 16
 
 
 # -- the image format
@@ -128,14 +133,19 @@ class ArchiveWriter:
         self.entries.append((raw, crc, len(data), start))
 
     def close(self) -> None:
-        start = self.at
+        start, notes, last = self.at, [], -1
+        step = max(INDEX_BYTES, -(-start // _MOST_NOTES))
         for raw, crc, n, offset in self.entries:
+            if offset // step > last:
+                last = offset // step
+                notes.append((offset, self.at))
             extra = struct.pack("<HHQ", 1, 8, offset) if offset >= 0xFFFFFFFF else b""
             self._put(struct.pack("<4sHHHHHHIIIHHHHHII", _CENTRAL, 45, 45 if extra else 20, 0x800, 0, 0, 33, crc, n, n, len(raw), len(extra), 0, 0, 0, 0, min(offset, 0xFFFFFFFF)) + raw + extra)
         size, count, end = self.at - start, len(self.entries), self.at
         self._put(struct.pack("<4sQHHIIQQQQ", _END64, 44, 45, 45, 0, 0, count, count, size, start))
         self._put(struct.pack("<4sIQI", _LOCATOR, 0, end, 1))
-        self._put(struct.pack("<4sHHHHIIH", _END, 0, 0, min(count, 0xFFFF), min(count, 0xFFFF), min(size, 0xFFFFFFFF), min(start, 0xFFFFFFFF), 0))
+        self._put(struct.pack("<4sHHHHIIH", _END, 0, 0, min(count, 0xFFFF), min(count, 0xFFFF), min(size, 0xFFFFFFFF), min(start, 0xFFFFFFFF), len(_INDEX) + 16 * len(notes)))
+        self._put(_INDEX + b"".join(struct.pack("<QQ", *x) for x in notes))
 
 
 #: Names that store_media() gives: number, id, and the payload's bytes without padding.
@@ -154,8 +164,8 @@ class Member:
     method: int
 
 
-def directory(source, size: int) -> Iterator[Member]:
-    """The members of an archive, in the directory's order."""
+def directory(source, size: int, first: int = 0, end: int | None = None) -> Iterator[Member]:
+    """The members of an archive, in the directory's order: all, or at least those that begin from `first` on and before `end`."""
     base = max(0, size - _TAIL)
     tail = _read_at(source, base, size - base)
     at = tail.rfind(_END)
@@ -164,6 +174,13 @@ def directory(source, size: int) -> Iterator[Member]:
     length, start = struct.unpack("<II", tail[at + 12 : at + 20])
     if (wide := tail.rfind(_END64, 0, at)) >= 0 and tail[at - 20 : at - 16] == _LOCATOR:
         length, start = struct.unpack("<QQ", tail[wide + 40 : wide + 56])
+    stop = start + length
+    comment = tail[at + 22 :]
+    if comment.startswith(_INDEX):
+        notes = list(struct.iter_unpack("<QQ", comment[len(_INDEX) :]))
+        start = max([p for o, p in notes if o <= first], default=start)
+        stop = min([p for o, p in notes if end is not None and o >= end], default=stop)
+    length = max(0, stop - start)
     data = _read_at(source, start, length)
     at = 0
     while at < length:
@@ -279,7 +296,7 @@ class MediaReader(DataSourceReader):
             return
         system, _ = _filesystem(self.path)
         with system.open_input_file(part.path) as source:
-            members = sorted((m for m in directory(source, part.size) if part.start <= m.offset < part.end and not m.name.endswith("/")), key=lambda m: m.offset)
+            members = sorted((m for m in directory(source, part.size, part.start, part.end) if part.start <= m.offset < part.end and not m.name.endswith("/")), key=lambda m: m.offset)
             for block in blocks(members):
                 images = read_block(block, source, part.size, lambda: system.open_input_file(part.path))
                 found = [_NAME.fullmatch(m.name) for m in block]

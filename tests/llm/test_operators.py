@@ -360,6 +360,42 @@ def test_archives_are_cut(spark, tmp_path, monkeypatch):
     assert spark.read.format("factloom_media").load(folder).select("doc_id").distinct().count() == 50
 
 
+def test_ranges_read_their_part_of_the_directory(tmp_path, monkeypatch):
+    monkeypatch.setattr(media, "INDEX_BYTES", 4000)
+    image, n = media.to_png(media.payload(b"some text")), 3000
+    with open(tmp_path / "a.zip", "wb") as out:
+        writer = media.ArchiveWriter(out)
+        for i in range(n):
+            writer.add(f"{i:09d}-{i}.9.png", image)
+        end = writer.at
+        writer.close()
+    size = (tmp_path / "a.zip").stat().st_size
+
+    class Counted:
+        def __init__(self, file):
+            self.file, self.bytes = file, 0
+
+        def seek(self, at):
+            self.file.seek(at)
+
+        def read(self, k):
+            self.bytes += k
+            return self.file.read(k)
+
+    found, read = [], 0
+    with open(tmp_path / "a.zip", "rb") as file:
+        for a in range(0, size, 20_000):
+            source = Counted(file)
+            found += [m.offset for m in media.directory(source, size, a, min(size, a + 20_000)) if a <= m.offset < a + 20_000]
+            read += source.bytes - min(size, media._TAIL)
+        whole = [m.offset for m in media.directory(file, size)]
+    assert found == whole and len(found) == n and read <= 1.6 * (size - end)
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip") as z:
+        assert z.testzip() is None and len(z.namelist()) == n
+
+
 def test_damaged_members_are_noticed(tmp_path):
     image = media.to_png(media.payload(b"text"))
     assert media.from_png(image) == b"text" + bytes(60)
