@@ -20,7 +20,8 @@ def op1_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "represents")
+    """Shingles weigh as often as they stand in a text."""
+    return neardup.near_duplicates(documents(spark, sf_dir), weighted=True).select("doc_id", "class_id", "represents")
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
