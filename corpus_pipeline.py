@@ -16,7 +16,7 @@ from factloom.plans import lineage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter or without a clear language go."""
+    """Documents without a letter or without a clear language go. Needs a column lang to learn from."""
     small_batches(spark)
     return language.keep_identified(docs, language.train(docs))
 
@@ -34,9 +34,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live credentials are replaced by a mark; the documents stay."""
+    """Live credentials are replaced by a mark; the documents stay. Without a column source all have one owner, without lang one repository each."""
     small_batches(spark)
-    return with_size(secrets.mask_live(docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang")))
+    owner = F.col("source") if "source" in docs.columns else F.lit("")
+    repository = F.concat_ws("/", owner, "lang") if "lang" in docs.columns else owner
+    return with_size(secrets.mask_live(docs, owner=owner, repository=repository))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
