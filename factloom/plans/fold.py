@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import MEMORY_SOURCE, account_rank, edge_confidence, key_text
 from . import schema as S
+from .lineage import cut_lineage
+from .prefix import running_sums
 
 LOG = "array<struct<value:string,source:string>>"
+#: Entries of a log in one row.
+SEGMENT = 1000
 #: An identity, and before it a hash of it: sorting and shuffling look at the number first.
 _ID = ["_hash", "_identity"]
 
@@ -117,12 +121,12 @@ def planned(columns: list[str], spec: S.NodeType, seq: str = "seq") -> tuple[_Fo
     return f, [c for c, p in present.items() if p == S.UNION], unique
 
 
-def fold(obs: DataFrame, spec: S.NodeType, *, strict: bool = True, seq: str = "seq") -> DataFrame:
+def fold(obs: DataFrame, spec: S.NodeType, *, strict: bool = True, seq: str = "seq", logs: bool = True) -> DataFrame:
     """One row for each identity. With strict, a conflict of a UNIQUE column fails the job; else it is flagged in `conflicts`.
 
     Canonical rows may be folded again together with later observations: with `seq` set to their
     first_seq they count as the observations that they stand for (n_observations is added up).
-    Rows that carry another node_type are an error.
+    Rows that carry another node_type are an error. Without logs, types that log differences have none: fold_in_segments() has them as a table.
     """
     obs = guarded(obs, spec.name)
     keyed = obs.withColumns({name: make() for name, (_, make) in spec.key.items()}).withColumns({"_hash": F.xxhash64(*spec.key), "_identity": F.struct(*spec.key)})
@@ -147,7 +151,7 @@ def fold(obs: DataFrame, spec: S.NodeType, *, strict: bool = True, seq: str = "s
         nodes = nodes.join(newest(keyed, [c for c, p in present.items() if p == S.NEWEST], spec.newest_by, seq), _ID)
     if spec.logs:
         logged = [c for c, p in present.items() if p == S.LOGGED]
-        if logged:
+        if logged and logs:
             nodes = nodes.join(disagreements(keyed, nodes.select(*_ID, *logged), logged, seq), _ID, "left")
         else:
             nodes = nodes.withColumn("disagreements", F.lit(None).cast(f"map<string,{LOG}>"))
@@ -197,7 +201,7 @@ def disagreement_rows(keyed: DataFrame, baseline: DataFrame, columns: list[str],
 def disagreements(keyed: DataFrame, baseline: DataFrame, columns: list[str], seq: str) -> DataFrame:
     """(identity, disagreements): by column the known values that differ from the baseline, with their sources, in order; then what rows brought along.
 
-    A column's log is collected on its own; where logs may outgrow a row, disagreement_rows() has them in long form.
+    A column's log is collected on its own; where logs may outgrow a row, fold_in_segments() has them as a table.
     """
     rows = disagreement_rows(keyed, baseline, columns, seq)
     logs = rows.groupBy(*_ID, "field").agg(F.array_sort(F.collect_list(F.struct("_s", "place", F.struct("value", "source").alias("entry")))).alias("log"))
@@ -207,6 +211,28 @@ def disagreements(keyed: DataFrame, baseline: DataFrame, columns: list[str], seq
     return logs.groupBy(*_ID).agg(per_field.alias("_f")).select(*_ID, F.map_from_entries(F.transform("_f", lambda x: F.struct(x["field"].alias("key"), x["log"].alias("value")))).alias("disagreements"))
 
 
+def fold_in_segments(obs: DataFrame, spec: S.NodeType, *, seq: str = "seq", segment: int = SEGMENT) -> tuple[DataFrame, DataFrame]:
+    """fold() of a type that logs differences, for identities with logs of any length: nodes without the log but with
+    n_disagreements, and the log as a table of bounded rows (node_key, field, segment, entries), at most `segment` entries a row.
+
+    The place of an entry in its log is a running count over parts of the log, so a long one is no single task's.
+    """
+    obs = guarded(obs, spec.name)
+    logged = [c for c, (_, p) in spec.columns.items() if p == S.LOGGED and c in obs.columns]
+    nodes = cut_lineage(fold(obs, spec, seq=seq, logs=False), "nodes")
+    ids = lambda df: df.withColumns({"_hash": F.xxhash64(*spec.key), "_identity": F.struct(*spec.key)})
+    keyed = ids(obs.withColumns({name: make() for name, (_, make) in spec.key.items()}))
+    rows = disagreement_rows(keyed, ids(nodes).select(*_ID, *logged), logged, seq)
+    named = rows.select(key_text(spec.name, *(F.col(f"_identity.{k}") for k in spec.key)).alias("node_key"), "field", "_s", "place", "value", "source")
+    placed = running_sums(named, ["node_key", "field"], ["_s", "place"], {"n": F.lit(1).cast("long")})
+    entry = F.struct("n", F.struct("value", "source").alias("entry"))
+    kept = placed.groupBy("node_key", "field", F.floor((F.col("n") - 1) / segment).cast("long").alias("segment")).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    segments = cut_lineage(kept.select("node_key", "field", "segment", F.transform("e", lambda x: x["entry"]).alias("entries")), "segments")
+    counts = segments.groupBy("node_key").agg(F.sum(F.size("entries")).alias("n_disagreements"))
+    out = nodes.drop("disagreements").join(counts, "node_key", "left").withColumn("n_disagreements", F.coalesce("n_disagreements", F.lit(0).cast("long")))
+    return out, segments
+
+
 def canonical_columns(spec: S.NodeType, columns: list[str]) -> list[str]:
     """What of canonical rows goes into a fold together with later observations."""
     return [c for c in [*S.PROVENANCE, *spec.raw, *spec.columns, "n_observations", *(["disagreements"] if spec.logs else [])] if c in columns]

@@ -331,6 +331,19 @@ def a08_disagreements(spark: SparkSession, sf: str) -> DataFrame:
     return process_nodes(spark, sf).select("host_hostname", "pid", F.date_format("start_time", "yyyy").alias("year"), "image_path", log("command_line").alias("command_log"), log("name").alias("name_log"))
 
 
+LONG_LOG = "proc AS (SELECT o_orderkey AS seq, 'n' || (o_custkey % 3) AS host, 'C' || o_orderpriority AS name, o_orderstatus AS cmd, 'src' || (o_orderkey % 3) AS deriv FROM orders), b AS (SELECT *, min_by(name, seq) OVER (PARTITION BY host) AS b_name, min_by(cmd, seq) OVER (PARTITION BY host) AS b_cmd FROM proc), d AS (SELECT host, seq, deriv, 'name' AS field, name AS value FROM b WHERE name <> b_name UNION ALL SELECT host, seq, deriv, 'command_line', cmd FROM b WHERE cmd <> b_cmd), p AS (SELECT *, (row_number() OVER (PARTITION BY host, field ORDER BY seq) - 1) // 100 AS segment FROM d)"
+
+
+@query(f"WITH {LONG_LOG} SELECT host AS host_hostname, field, CAST(segment AS BIGINT) AS segment, count(*) AS n_entries, string_agg(value || '@' || deriv, ';' ORDER BY seq) AS log FROM p GROUP BY 1, 2, 3")
+def a08_log_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders as observations of three processes, whose logs grow with the table, in rows of a hundred entries."""
+    key = F.col("o_orderkey")
+    raw = table(spark, sf, "orders").select(key.alias("seq"), F.concat(F.lit("n"), F.col("o_custkey") % 3).alias("host_hostname"), F.lit(1).cast("long").alias("pid"), F.lit(None).cast("timestamp").alias("start_time"), F.concat(F.lit("C"), "o_orderpriority").alias("name"), F.col("o_orderstatus").alias("command_line"), F.concat(F.lit("src"), key % 3).alias("d"))
+    _, segments = folds.fold_in_segments(sourced(raw, F.col("d")).drop("d"), S.PROCESS, segment=100)
+    log = F.array_join(F.transform("entries", lambda e: F.concat(e["value"], F.lit("@"), e["source"])), ";")
+    return segments.select(F.get_json_object("node_key", "$.k0").alias("host_hostname"), "field", "segment", F.size("entries").cast("long").alias("n_entries"), log.alias("log"))
+
+
 @query(f"WITH {ITEM}, a AS (SELECT *, max(seen) OVER w AS m FROM item WINDOW w AS (PARTITION BY host, name)), b AS (SELECT *, min(CASE WHEN m IS NULL OR seen = m THEN seq END) OVER (PARTITION BY host, name) AS anchor FROM a) SELECT host AS host_hostname, name AS value_name, strftime(max(seen), '%Y-%m-%d') AS last_write_time, min_by(val, seq) FILTER (WHERE val IS NOT NULL AND seq >= anchor) AS value_data, min_by(l_linestatus, seq) FILTER (WHERE seq >= anchor) AS value_type FROM b GROUP BY host, name")
 def a09_registry_latest(spark: SparkSession, sf: str) -> DataFrame:
     obs = item_obs(spark, sf, hive_name=F.lit("SYSTEM"), key_path=F.lit("\\Current\\Services\\"), value_name=F.col("thing"), value_str=F.col("val"), value_bin=F.lit(None).cast("binary"), value_type=F.col("l_linestatus"), last_write_time=F.col("at"))

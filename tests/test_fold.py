@@ -173,3 +173,17 @@ def test_schema_is_closed_and_checked(spark):
     assert problems == [[], ["evidence_hash", "derivation", "observed_at", "sid_length"]]
     with pytest.raises(ValueError, match="outside the schema"):
         S.checked(df.withColumn("colour", F.lit(1)), S.USER)
+
+
+def test_long_logs_in_segments_hold_what_maps_hold(spark):
+    ddl = "evidence_hash string, derivation string, observed_at timestamp, host_hostname string, pid long, start_time timestamp, name string, command_line string, seq long"
+    rows = [("a" * 64, f"d{i}", None, "h", i % 2 if i < 100 else 0, None, f"n{i % 4}", None if i % 3 else f"c{i % 5}", i) for i in range(900)]
+    obs = spark.createDataFrame(rows, ddl).repartition(3)
+    nodes, segments = folds.fold_in_segments(obs, S.PROCESS, segment=50)
+    want = {(r["node_key"], f): [tuple(e) for e in log] for r in folds.fold(obs, S.PROCESS).collect() for f, log in (r["disagreements"] or {}).items()}
+    got: dict = {}
+    for r in sorted(segments.collect(), key=lambda r: r["segment"]):
+        assert len(r["entries"]) <= 50
+        got.setdefault((r["node_key"], r["field"]), []).extend(tuple(e) for e in r["entries"])
+    assert got == want
+    assert {r["node_key"]: r["n_disagreements"] for r in nodes.collect()} == {k: sum(len(v) for (n, _), v in want.items() if n == k) for k in {n for n, _ in want}}
