@@ -280,7 +280,10 @@ def remainder(texts: DataFrame, least: float, weighted: bool = False) -> DataFra
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(RARITY_BINS, np.int64)
         for part in slices(batches):
-            total += np.bincount((shingle_hashes(texts_of(part))[0] % np.uint64(RARITY_BINS)).astype(np.int64), minlength=RARITY_BINS)
+            hashes, counts = shingle_hashes(texts_of(part))
+            if weighted:  # marks are occurrences by number then, and so is what is counted
+                hashes = np.concatenate([unit_hashes(own, True) for own in np.split(hashes, np.cumsum(counts)[:-1])] or [hashes])
+            total += np.bincount((hashes % np.uint64(RARITY_BINS)).astype(np.int64), minlength=RARITY_BINS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bin", "n"])
 

@@ -250,6 +250,14 @@ def test_copies_without_bands_may_come_first(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in got} == {**dict.fromkeys([*range(8), 9], 0), 10: 10}
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_what_a_family_shares_brings_no_pairs_together(spark, weighted):
+    """Texts of one template, each its own component: rare marks go first, so the remainder is far from all pairs."""
+    rows = [(bytes([k // 256, k % 256]), bytes([k // 256, k % 256]), " ".join(f"w{j}" if j % 15 else f"g{k}.{j}" for j in range(120)) + " the common end of all texts here") for k in range(300)]
+    texts = spark.createDataFrame(rows, "key binary, component binary, text string")
+    assert neardup.remainder(texts, 0.8, weighted).count() < 300
+
+
 def test_weighted_similarity_counts_repeats(spark):
     line = [f"w{i}" for i in range(40)]
     rows = [(1, " ".join(line * 6)), (2, " ".join(line * 3)), (3, " ".join(line * 6 + ["end"])), (4, " ".join(line[:20] * 2))]
