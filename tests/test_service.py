@@ -87,6 +87,14 @@ def test_log_files_in_ranges(spark, tmp_path, chunk, chunks):
     assert read_binary_log(spark, str(tmp_path / "b.log"), chunk=chunk, chunks=chunks).count() == 20
 
 
+def test_small_ranges_share_tasks(spark, tmp_path):
+    texts = logged(spark, 200)
+    for i in range(20):
+        (tmp_path / f"{i:02d}.log").write_text("\n".join(texts[i * 10 : i * 10 + 10]))
+    got = read_binary_log(spark, str(tmp_path), chunk=32, chunks=1)
+    assert got.rdd.getNumPartitions() <= 2 * 64 and got.select("computer").distinct().count() == got.count() == 200
+
+
 def test_logs_in_chunks_with_a_decoder(spark, tmp_path, monkeypatch):
     texts = logged(spark, 5)
     data = bytes(16) + b"".join("\n".join([t, t]).encode().ljust(1024, b"\0") for t in texts)
