@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import UTC, datetime
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,7 +38,8 @@ class Session:
         self.spark = spark
         self.store = EvidenceStore(spark, store_root)
         self.evidence_root = None if evidence_root is None else Path(evidence_root).resolve()
-        self.graph = Graph({})
+        self._graph = Graph({})
+        self._stale: set[str] = set()
         self.stores: dict[str, BucketStore] = {}
         self.report = FindingReport(spark)
         self.runs: list[IngestRun] = []
@@ -53,14 +55,24 @@ class Session:
     def _store(self, what: str, make: Callable[[], BucketStore]) -> BucketStore:
         return self.stores.setdefault(what, make())
 
-    def _refresh(self, what: str) -> None:
-        """The graph as it is now; tables read before the last change stay readable until vacuum()."""
-        store = self.stores[what]
-        rows = store.rows()
-        if rows is None:
-            return
-        nodes, edges = (self.graph.by_type, rows) if what == EDGES else (self.graph.by_type | {what: rows}, self.graph.edges)
-        self.graph = Graph(nodes, edges, self.stores)
+    @property
+    def graph(self) -> Graph:
+        """The graph as it is now, read when it is asked for: runs in between cost no fold. Tables read before the last change stay readable until vacuum()."""
+        nodes, edges = dict(self._graph.by_type), self._graph.edges
+        for what in sorted(self._stale):
+            rows = self.stores[what].rows()
+            if what == EDGES:
+                edges = edges if rows is None else rows
+            elif rows is not None:
+                nodes[what] = rows
+        if self._stale:
+            self._graph, self._stale = Graph(nodes, edges, self.stores), set()
+        return self._graph
+
+    def node_keys(self) -> DataFrame | None:
+        """node_key of all nodes, some more than once: nothing is folded for it."""
+        parts = [keys for what, store in self.stores.items() if what != EDGES and (keys := store.keys(store.known_buckets())) is not None]
+        return reduce(DataFrame.unionAll, parts) if parts else None
 
     def vacuum(self) -> None:
         """Deletes the files of earlier states of the graph."""
@@ -72,18 +84,18 @@ class Session:
         spec = NODE_TYPES[node_type]
         store = self._store(node_type, lambda: node_store(self.spark, spec))
         counts = store.add(obs.withColumn("seq", self._order(obs)), len(self.runs))
-        self._refresh(node_type)
+        self._stale.add(node_type)
         return counts
 
     def add_edges(self, edges: DataFrame, *, strict: bool = False) -> tuple[int, int]:
         """Folds in edges whose ends exist; with strict, an edge without an end is an error. Orphans count as neither added nor merged."""
         edges = cut_lineage(edges.withColumn("seq", self._order(edges)), "edges")
-        nodes = self.graph.nodes()
+        nodes = self.node_keys()
         good = edges.limit(0) if nodes is None else resolved_edges(edges, nodes)
         if strict and good.count() < edges.count():
             raise KeyError("an edge's end is not in the graph")
         counts = self._store(EDGES, lambda: edge_store(self.spark)).add(good.drop("confidence"), len(self.runs))
-        self._refresh(EDGES)
+        self._stale.add(EDGES)
         return counts
 
     # -- runs

@@ -2,8 +2,8 @@
 
 A bucket is a base (canonical rows, folded up to some run) and the rows of later runs, as they came. A run
 is written as one table of rows, in folders by bucket. Runs are put together as they pile up: FANOUT tables of one level become one of the next,
-so a row is moved a logarithm of times. When a bucket's later rows outgrow SLACK of its base, the two are folded into a new base; that bucket alone is
-rewritten. Reading folds only buckets that have later rows.
+so a row is moved a logarithm of times. When a bucket's later rows have outgrown SLACK of its base, the next read folds the two into a new base; that bucket
+alone is rewritten. Runs between two reads thus share one fold, and runs that nobody reads cost none. Reading folds only buckets that have later rows.
 
 Folding a base with later rows equals folding all rows at once as long as a later run's rows come later in order
 (factloom.plans.fold): their seq is a struct that begins with `run`.
@@ -91,9 +91,10 @@ class BucketStore:
         reader = self.spark.read
         return (reader if like is None else reader.schema(like.schema)).parquet(path)
 
-    def add(self, rows: DataFrame, run: int, *, count: bool = True) -> tuple[int, int]:
+    def add(self, rows: DataFrame, run: int, *, count: bool = True, settle: bool = False) -> tuple[int, int]:
         """Takes in the rows of a run, later than all before it; returns how many canonical rows are new, and how many rows
-        met one, which reads the keys of the buckets that the run touches (without count: nothing, and (0, 0))."""
+        met one, which reads the keys of the buckets that the run touches (without count: nothing, and (0, 0)). With settle,
+        buckets are folded as they fall due, not by the next read."""
         path, held = self._write(self._bucket(self.keyed(rows)))
         if not held:
             return 0, 0
@@ -101,7 +102,8 @@ class BucketStore:
         self.added += counts["added"]
         self.merged += counts["merged"]
         self.later.append(Later(path, 0, run, run, held))
-        self._settle(list(held))
+        if settle:
+            self._settle(list(held))
         self._pile_up()
         return counts["added"], counts["merged"]
 
@@ -111,7 +113,7 @@ class BucketStore:
 
     def _settle(self, touched: Sequence[int]) -> None:
         """Folds the buckets whose later rows have outgrown their base."""
-        due = [b for b in touched if self._waiting(b) > self.slack * self.base.get(b, ("", 0))[1]]
+        due = [b for b in touched if self._waiting(b) > self.slack * max(1, self.base.get(b, ("", 0))[1])]  # no base counts as a row
         if not due:
             return
         last = max(x.last for x in self.later)
@@ -121,14 +123,17 @@ class BucketStore:
         self.later = [x for x in self.later if any(x.last > self.floor.get(b, -1) for b in x.rows)]
 
     def _pile_up(self) -> None:
-        """As many tables of one level as fanout become one of the next."""
+        """As many tables of one level as fanout become one of the next. A table that has more rows than the level's others together waits until they have as many."""
+        size = lambda x: sum(x.rows.values())
         for level in range(64):
-            same = [x for x in self.later if x.level == level]
+            same = sorted((x for x in self.later if x.level == level), key=size)
+            while same and size(same[-1]) > sum(map(size, same[:-1])):
+                same.pop()
             if len(same) < self.fanout:
                 return
-            together = self._later_rows(None, same)
-            path, rows = self._write(together)
-            self.later = [x for x in self.later if x.level != level] + [Later(path, level + 1, min(x.first for x in same), max(x.last for x in same), rows)]
+            path, rows = self._write(self._later_rows(None, same))
+            done = {x.path for x in same}
+            self.later = [x for x in self.later if x.path not in done] + [Later(path, level + 1, min(x.first for x in same), max(x.last for x in same), rows)]
 
     def vacuum(self) -> None:
         """Deletes what neither the store nor, any more, a table that was read from it needs."""
@@ -191,6 +196,7 @@ class BucketStore:
     def rows(self, buckets: Sequence[int] | None = None) -> DataFrame | None:
         """Canonical rows, of some buckets or all."""
         chosen = self.known_buckets() if buckets is None else [b for b in buckets if b in set(self.known_buckets())]
+        self._settle(chosen)
         open_ = [b for b in chosen if self._waiting(b)]
         settled = [b for b in chosen if b not in set(open_)]
         base = self._base_rows(settled)
@@ -202,6 +208,7 @@ class BucketStore:
         buckets = sorted({self.bucket_of(v) for v in values} & set(self.known_buckets()))
         if not buckets:
             return None
+        self._settle(buckets)
         hit = F.col(self.by).isin(list(dict.fromkeys(values)))
         base, later = self._base_rows(buckets), self._later_rows(buckets)
         base = None if base is None else base.where(hit).drop("_bucket")
@@ -210,11 +217,12 @@ class BucketStore:
         return found if where is None else found.where(where)
 
     def lookup_table(self, keys: DataFrame) -> DataFrame | None:
-        """Canonical rows for a table of keys (a column named as `by`) of any size: buckets meet buckets."""
+        """Canonical rows for a table of keys (a column named as `by`) of any size: of the keys' buckets, the rows that are asked for are folded and no others."""
         asked = self._bucket(keys.select(self.by).distinct())
         chosen = [r["_bucket"] for r in asked.select("_bucket").distinct().collect()]  # at most `buckets` numbers
-        found = self.rows(chosen)
-        return None if found is None else found.join(asked.drop("_bucket"), self.by, "left_semi")
+        hit = lambda df: None if df is None else df.drop("_bucket").join(asked.select(self.by), self.by, "left_semi")
+        base, later = hit(self._base_rows(chosen)), hit(self._later_rows(chosen))
+        return base if later is None else self.fold_in(base, later)
 
 
 def node_store(spark: SparkSession, spec: NodeType, **options) -> BucketStore:

@@ -43,7 +43,7 @@ class StreamingFold:
             rows = states(batch, self.spec).withColumn("seq", F.struct(F.lit(batch_id).cast("long").alias("run")))
         else:
             rows = batch.withColumn("seq", F.struct(F.lit(batch_id).cast("long").alias("run"), F.lit(0).alias("rank"), F.col("seq").cast("long").alias("row")))
-        store.add(rows, batch_id, count=False)
+        store.add(rows, batch_id, count=False, settle=True)
         put_text(self.spark, f"{self.path}/state/{batch_id}.json", store.state())
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:

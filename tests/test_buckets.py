@@ -171,3 +171,18 @@ def test_logs_are_folded_in_order_of_arrival(spark, tmp_path):
     want = folds.fold(spark.createDataFrame(all_, PROCESS), S.PROCESS).drop("first_seq")
     as_rows = lambda df: sorted(map(repr, df.select(*want.columns).collect()))
     assert as_rows(fold.canonical()) == as_rows(want)
+
+
+def test_runs_that_nobody_reads_cost_no_fold(spark):
+    rng, folds_made = random.Random(7), []
+    store = node_store(spark, S.PROCESS, buckets=3)
+    fold_in = store.fold_in
+    store.fold_in = lambda base, later: folds_made.append(1) or fold_in(base, later)
+    for run in range(5):
+        store.add(spark.createDataFrame(process_rows(run, 30, rng), PROCESS), run)
+    keys = store.keys(store.known_buckets()).distinct()
+    assert not folds_made and store.rows_written == 150 and store.added == keys.count()
+    some = keys.orderBy("node_key").limit(4)
+    asked = store.lookup_table(some.unionAll(some.select(F.concat("node_key", F.lit("?")).alias("node_key"))))
+    assert asked.count() == 4 and len(folds_made) == 1 and not store.base  # what is asked for is folded, not all that is known
+    assert store.rows().count() == store.added and len(store.base) == 3
