@@ -99,9 +99,9 @@ def repeated_runs(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     # Counts and minima are aggregated before they are shuffled and written down, so that the joins
     # have two plain shuffles, of which the adaptive engine splits a hot key's part.
     marks = held.select(F.explode("marks").alias("mark")).groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    shared = cut_lineage(held.select("_id", "_h", F.inline("windows")).join(cut_lineage(marks, "marks"), "mark"), "shared")
+    shared = cut_lineage(held.select("_id", "_h", F.inline("windows")).join(cut_lineage(marks, "marks").hint("merge"), "mark"), "shared")
     firsts = shared.groupBy("hash").agg(F.min(F.struct("_id", "_h", "first", "last")).alias("head"), F.count("*").alias("n")).where("n > 1").select("hash", "head")
-    met = shared.select("hash", "_id", "_h", "first", "last").join(cut_lineage(firsts, "firsts"), "hash")
+    met = shared.select("hash", "_id", "_h", "first", "last").join(cut_lineage(firsts, "firsts").hint("merge"), "hash")
     same: Column = (F.col("head._id") == F.col("_id")) & (F.col("head._h") == F.col("_h"))
     later = met.where(~same | (F.col("first") > F.col("head.last")))
     return later.groupBy("_id", "_h").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
@@ -113,8 +113,9 @@ def rewritten(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leas
     names, stats_ = df.columns, counts_of(df)
     tagged = df.withColumns(dict(zip((id_, hash_), row_key(doc_id, text), strict=True)))
     runs = repeated_runs(df, doc_id=doc_id, text=text, least=least).select(F.col("_id").alias(id_), F.col("_h").alias(hash_), F.col("runs").alias(extra_))
-    # Written down first, so that equal rows, which share a key, can be split by the adaptive engine.
-    joined = tagged.join(cut_lineage(runs, "runs"), [id_, hash_], "left")
+    # Written down first, so that equal rows, which share a key, can be split by the adaptive engine; by shuffles at any size, as
+    # the runs grow with the table: a small table costs its share of what a large one does.
+    joined = tagged.join(cut_lineage(runs, "runs").hint("merge"), [id_, hash_], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text=text):

@@ -890,3 +890,9 @@ def test_components_of_paths_stars_and_rings(spark):
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["node"]: r["component"] for r in got} == {x: find(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_line_dedup_joins_by_shuffles_at_any_size(spark):
+    df = spark.createDataFrame([(i, "\n".join(f"w{j} " * 20 for j in range(i, i + 6))) for i in range(8)], "doc_id long, text string")
+    plan = lines.rewritten(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
