@@ -14,6 +14,8 @@ Words that are merely cut in two longer parts are not joined.
 Documents are scored by the words in them once restored. Which words count is chosen by a logistic model under L1 and L2 penalties (few words, but none left out because it goes with another), fitted on a
 bounded sample of at most TRAIN_DOCS labelled texts (equal texts count once, and so do near copies); what a word counts is the share of the
 texts with it that are toxic, and words add up as independent causes, so that one is enough. Labels, languages, sources and ids are no inputs.
+Languages that build words leave no single word frequent. In training texts without any chosen word, stems (how words begin) are therefore
+chosen one after the other: the one that tells most about the texts that none before it is in, and of those in the same texts the longest.
 
 Null and empty texts score what a text without any known word scores. Repeated rows each get their row; repeated labels
 of a document are averaged, labels that are null or neither 0 nor 1 are ignored. Without labels of both kinds every text
@@ -46,6 +48,8 @@ TRAIN_DOCS = 20_000
 #: A word is looked at if so many training texts have it, and if its share of toxic ones is so many standard deviations off.
 LEAST_TEXTS, LEAST_Z = 5, 4.0
 LASSO, RIDGE = 0.01, 0.03
+#: Stems have so many letters. One counts if most texts with it are toxic and twice its log likelihood ratio is so much, which chance reaches once in billions of stems.
+STEMS, STEM_EVIDENCE = (4, 12), 40.0
 TOXIC_AT = 0.3
 
 # What a digit or sign may stand for.
@@ -213,6 +217,7 @@ class Reader:
 
     prices: array.array
     memo: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    both: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, prices: np.ndarray) -> Reader:
@@ -233,6 +238,18 @@ class Reader:
             self.memo[seen] = words
         return words
 
+    def readings(self, seen: str) -> tuple[str, ...]:
+        """The words of a token; whether one letter or two were stretched, short contexts cannot tell: both count."""
+        words = self.both.get(seen)
+        if words is None:
+            if len(self.both) >= _MEMO:
+                self.both.clear()
+            words = self.token(seen)
+            if _STRETCHED.search(seen):
+                words += decoded(lattice(seen.strip(_EDGES), True), self.prices)
+            self.both[seen] = words
+        return words
+
     def run(self, seen: str) -> tuple[str, ...]:
         return decoded(lattice(" ".join(seen.split())), self.prices) if any(map(str.isalpha, seen)) else ()
 
@@ -241,9 +258,7 @@ class Reader:
         text = folded(text)
         found: set[str] = set()
         for seen in set(text.split()):
-            found.update(self.token(seen))
-            if _STRETCHED.search(seen):  # whether one letter or two were stretched, short contexts cannot tell: both count
-                found.update(decoded(lattice(seen.strip(_EDGES), True), self.prices))
+            found.update(self.readings(seen))
         for m in _SPACED.finditer(text):
             found.update(self.run(m[0]))
         return found
@@ -265,14 +280,18 @@ class Reader:
 
 @dataclass
 class Scorer:
-    """Each known word makes a text toxic by a chance of its own, whatever else is there; without any there is a chance left.
+    """Each known word or stem makes a text toxic by a chance of its own, whatever else is there; without any there is a chance left.
     Chances that it does not are kept as negative logarithms."""
 
     weights: dict[str, float]
     start: float
+    stems: dict[str, float] = field(default_factory=dict)
 
     def score(self, words: set[str]) -> float:
-        return 1 - math.exp(-self.start - sum(sorted(self.weights[w] for w in self.weights.keys() & words)))
+        found = [self.weights[w] for w in self.weights.keys() & words]
+        for k in {len(s) for s in self.stems}:
+            found += [self.stems[s] for s in self.stems.keys() & {w[:k] for w in words}]
+        return 1 - math.exp(-self.start - sum(sorted(found)))
 
 
 def logistic(row: np.ndarray, column: np.ndarray, y: np.ndarray, k: int, lasso: float, ridge: float, steps: int = 400) -> tuple[np.ndarray, float]:
@@ -308,6 +327,37 @@ def families(texts: list[str]) -> list[str]:
     return out
 
 
+def stem_pairs(read: DataFrame, known: list[str], rate: float) -> pa.Table:
+    """(doc_id, stem) of the texts without a known word, for stems that tell enough where a text is toxic at this rate."""
+    least, most = STEMS
+    bare = read.where(~F.arrays_overlap("words", F.array(*map(F.lit, known)))) if known else read
+    long = F.filter("words", lambda w: F.length(w) >= least)
+    stems = F.array_distinct(F.flatten(F.transform(long, lambda w: F.transform(F.sequence(F.lit(least), F.least(F.length(w), F.lit(most))), lambda k: F.substring(w, F.lit(1), k)))))
+    pairs = bare.select("doc_id", "y", F.explode(stems).alias("stem"))
+    share = F.avg("y")
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+    evidence = 2 * F.count("*") * (share * F.log(share / rate) + rest)
+    told = pairs.groupBy("stem").agg(F.count("*").alias("n"), share.alias("share"), evidence.alias("evidence"))
+    told = told.where((F.col("n") >= LEAST_TEXTS) & (F.col("share") > max(0.5, rate)) & (F.col("evidence") >= STEM_EVIDENCE)).select("stem")
+    return pairs.join(told, "stem").select("doc_id", "stem").toArrow()
+
+
+def chosen_stems(row: np.ndarray, column: np.ndarray, y: np.ndarray, k: int, rate: float) -> tuple[list[tuple[int, float, int]], np.ndarray]:
+    """(number, toxic texts, texts) of stems one after the other, each counted over the texts that none before it is in, and which texts have one."""
+    chosen, done = [], np.zeros(len(y), bool)
+    while True:
+        on = ~done[row]
+        n, toxic = np.bincount(column[on], minlength=k), np.bincount(column[on], y[row[on]], k)
+        share = np.clip(toxic / np.maximum(n, 1), 1e-12, 1 - 1e-12)
+        evidence = 2 * n * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate)))
+        evidence[(n < LEAST_TEXTS) | (share <= max(0.5, rate))] = 0
+        best = int(np.argmax(evidence)) if k else 0
+        if not k or evidence[best] < STEM_EVIDENCE:
+            return chosen, done
+        chosen.append((best, float(toxic[best]), int(n[best])))
+        done[row[column == best]] = True
+
+
 def fold_of(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")) % 4
 
@@ -344,7 +394,19 @@ def train(df: DataFrame, labels: DataFrame, prices: np.ndarray, *, doc_id: str =
     chosen = np.flatnonzero(w > 0)
     bare = np.bincount(row[np.isin(column, chosen)], minlength=len(y)) == 0
     chance = lambda toxic, n: -np.log1p(-(toxic + rate) / (n + 1))  # noqa: E731  one more text, as toxic as all are
-    return Scorer({words[i]: float(chance(n_toxic[i], n_texts[i])) for i in chosen.tolist()}, float(chance(y[bare].sum(), bare.sum())))
+    weights, stems = {words[i]: float(chance(n_toxic[i], n_texts[i])) for i in chosen.tolist()}, {}
+    left = float(y[bare].mean()) if bare.any() else 0.0
+    if 0 < left < 1:
+        found = stem_pairs(read, sorted(weights), left)
+        names = sorted(set(found["stem"].to_pylist()), key=lambda s: (-len(s), s))
+        number = {s: i for i, s in enumerate(names)}
+        row = np.searchsorted(every["doc_id"].to_numpy(), found["doc_id"].to_numpy())
+        column = np.fromiter((number[s] for s in found["stem"].to_pylist()), np.int64, len(found))
+        order = np.lexsort((column, row))
+        picked, done = chosen_stems(row[order], column[order], y, len(names), left)
+        stems = {names[i]: float(chance(toxic, n)) for i, toxic, n in picked}
+        bare &= ~done
+    return Scorer(weights, float(chance(y[bare].sum(), bare.sum())), stems)
 
 
 _reader: list = []

@@ -130,6 +130,26 @@ def test_labels_of_the_held_out_fold_are_not_looked_at(docs, labels, prices, sco
     assert toxicity.train(docs, turned, prices) == scorer
 
 
+def test_stems_count_where_no_single_word_is_frequent(spark):
+    rng = random.Random(5)
+    part = lambda n: "".join(rng.choice("abdefgiklmnoprstu") for _ in range(n))
+    common, ends = [part(rng.randrange(3, 9)) for _ in range(300)], [part(rng.randrange(2, 5)) for _ in range(400)]
+    rows = []
+    for i in range(600):
+        words = rng.choices(common, k=30)
+        bad = i % 10 == 0
+        words[3:3] = [f"zorbl{rng.choice(ends)}"] if bad else [f"zo{rng.choice(ends)}"]
+        rows.append((i, " ".join(words), int(bad)))
+    rows = [(i, t, 1 - y if i in (7, 77) else y) for i, t, y in rows]  # two wrong labels
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    prices = toxicity.language_model(table)
+    scorer = toxicity.train(table, table.select("doc_id", "toxic"), prices)
+    assert list(scorer.stems) == ["zorbl"]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.scores(table, prices, scorer).collect()}
+    assert got == {i: int(i % 10 == 0) for i in range(600)}
+    assert scorer.score({"zorblunseen"}) > 0.3 > scorer.score({"zorb", "zorunseen"})
+
+
 def test_odd_tables(spark, odd, empty):
     prices = toxicity.language_model(odd)
     labels = spark.createDataFrame([(1, 1), (4, 0), (4, 1), (5, None), (None, 1), (6, 7)], "doc_id long, toxic int")
