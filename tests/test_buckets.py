@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -12,6 +13,7 @@ from factloom.operators.session import Session
 from factloom.plans import fold as folds
 from factloom.plans import schema as S
 from factloom.plans.buckets import edge_store, node_store
+from factloom.plans.lineage import cut_lineage
 from factloom.plans.states import rendered, states, united
 from factloom.streaming.ingest import StreamingFold
 
@@ -186,3 +188,18 @@ def test_runs_that_nobody_reads_cost_no_fold(spark):
     asked = store.lookup_table(some.unionAll(some.select(F.concat("node_key", F.lit("?")).alias("node_key"))))
     assert asked.count() == 4 and len(folds_made) == 1 and not store.base  # what is asked for is folded, not all that is known
     assert store.rows().count() == store.added and len(store.base) == 3
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before, setting = shuffled(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting, None)
+    step = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("n")))
+    assert spark.conf.get(setting, None) == was
+    for _ in range(50):  # files are deleted in the background
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.2)
+    assert not left
+    assert dict(map(tuple, step.collect())) == {k: sum(range(k, 1000, 7)) for k in range(7)}
