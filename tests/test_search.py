@@ -8,6 +8,7 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import functions as F
 
 from factloom.operators import graph
+from factloom.plans.lineage import cut_lineage
 from factloom.plans.prefix import running_sums
 
 T0 = datetime(2024, 1, 1, tzinfo=UTC)
@@ -34,6 +35,27 @@ def test_chain_levels_count_walks_and_unfold_asked_ends(spark):
     assert got == sorted(x for x in simple if (x[0] == 0 and x[2][-1] < 6) or (x[0] == 3 and len(x[2]) == 1))
 
 
+def test_walks_write_each_path_once(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = {(rng.randrange(15), rng.randrange(15)) for _ in range(40)}
+    df = spark.createDataFrame(sorted(edges), "src_key long, dst_key long")
+    written = []
+
+    def counted(rows, name="step", by=()):
+        out = cut_lineage(rows, name, by)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut_lineage", counted)
+    got = [(r["start"], r["depth"], tuple(r["path"])) for r in graph.walk(df, spark.createDataFrame([(0,), (4,), (4,), (None,)], "node_key long"), 5).collect()]
+    want, front = [], [(0,), (4,)]
+    for depth in range(6):
+        want += [(p[0], depth, p) for p in front]
+        front = [(*p, b) for p in front for a, b in edges if a == p[-1] and b not in p]
+    assert sorted(got) == sorted(want)
+    assert sum(written) <= len(edges) + len(want)
+
+
 def test_a_dense_graph_has_a_row_a_node_and_level(spark):
     n = 10_000
     df = spark.range(n * 12).select((F.col("id") % n).alias("src_key"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("dst_key"))
