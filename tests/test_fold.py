@@ -187,3 +187,18 @@ def test_long_logs_in_segments_hold_what_maps_hold(spark):
         got.setdefault((r["node_key"], r["field"]), []).extend(tuple(e) for e in r["entries"])
     assert got == want
     assert {r["node_key"]: r["n_disagreements"] for r in nodes.collect()} == {k: sum(len(v) for (n, _), v in want.items() if n == k) for k in {n for n, _ in want}}
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_united_lists_are_folded_aside_and_only_if_asked_for(spark):
+    rows = [{**base(i, "d"), "host_hostname": "h", "full_path": p, "size_bytes": i, "on_disk": False, "referenced_by": lists} for i, (p, lists) in enumerate([("C:\\A", None), ("c:/a", ["x", "x"]), ("c:/b", ["y", "y"]), ("c:/b", ["y", "z"]), ("c:/b", ["y", "y"]), ("c:/c", None)])]
+    df = frame(spark, rows, FROM + ", host_hostname string, full_path string, size_bytes long, on_disk boolean, referenced_by array<string>")
+    nodes = folds.fold(df, S.FILE)
+    assert {r["k_path"]: (r["referenced_by"], r["host_hostname"], r["full_path"]) for r in nodes.collect()} == {"c:/a": (["x"], "h", "C:\\A"), "c:/b": (["y", "y", "z"], "h", "c:/b"), "c:/c": ([], "h", "c:/c")}
+    plain = nodes.select("host_hostname", "k_path", "size_bytes", "on_disk")
+    assert shuffles(plain) == 1
+    assert "derivation" not in plain._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+    assert shuffles(nodes.select("k_path", "referenced_by", "observed_at")) == 3
