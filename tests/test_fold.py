@@ -202,3 +202,12 @@ def test_united_lists_are_folded_aside_and_only_if_asked_for(spark):
     assert shuffles(plain) == 1
     assert "derivation" not in plain._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
     assert shuffles(nodes.select("k_path", "referenced_by", "observed_at")) == 3
+
+
+def test_the_newest_write_takes_one_shuffle(spark):
+    ddl = FROM + ", host_hostname string, hive_name string, key_path string, value_name string, value_str string, value_type string, last_write_time timestamp"
+    rows = [{**base(i, "reg"), "host_hostname": "h", "hive_name": "S", "key_path": "k", "value_name": "v", "value_str": v, "value_type": k, "last_write_time": t and T0 + timedelta(days=t)} for i, (v, k, t) in enumerate([("a", None, 1), (None, "x", None), (None, None, 3), ("b", None, 2), ("c", "y", 3)])]
+    nodes = folds.fold(frame(spark, rows, ddl), S.REGISTRY)
+    assert shuffles(nodes) == 1
+    (row,) = nodes.collect()
+    assert (row["value_str"], row["value_type"], row["n_observations"], row["first_seq"]) == ("b", "y", 5, 0)
