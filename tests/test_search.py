@@ -56,6 +56,21 @@ def test_walks_write_each_path_once(spark, monkeypatch):
     assert sum(written) <= len(edges) + len(want)
 
 
+def test_searches_for_paths_send_no_table_through_the_driver(spark, monkeypatch):
+    df = spark.createDataFrame([(i, (i * 3 + 1) % 40) for i in range(40)], "src_key long, dst_key long")
+    plans = []
+
+    def noted(rows, name="step", by=()):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return cut_lineage(rows, name, by)
+
+    monkeypatch.setattr(graph, "cut_lineage", noted)
+    found = graph.paths_between(df, spark.createDataFrame([(1, 13), (2, 2), (5, 0)], "start long, goal long"), 4)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {(r["start"], r["goal"]): r["path"] for r in found.collect()} == {(1, 13): [1, 4, 13], (2, 2): [2]}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_a_dense_graph_has_a_row_a_node_and_level(spark):
     n = 10_000
     df = spark.range(n * 12).select((F.col("id") % n).alias("src_key"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("dst_key"))
