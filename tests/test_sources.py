@@ -157,3 +157,24 @@ def test_what_is_not_committed_is_not_published(tmp_path):
     writer.commit([kept, None])
     files = [p for p in (tmp_path / "vault").rglob("*") if p.is_file()]
     assert {p.name for p in files} == {*kept.packs, *kept.parts} and not (tmp_path / "vault/_staging/j").exists()
+
+
+def test_templates_are_written_without_filling_them_anew(monkeypatch):
+    gap = lambda n: binxml.Gap(n, True)
+    element = binxml.Element
+    template = element("A", [("x", ["k", gap(0)]), ("y", [gap(1)])], [element("B", [], [gap(2)]), element("C", [], [element("D", [], [gap(3)]), element("E", [("n", ["1"])], [gap(3)])])])
+    writer = binxml.ChunkWriter(1)
+    string = lambda t: (binxml.STRING, t.encode("utf-16-le"))
+    empty, none, many = (binxml.STRING | binxml.ARRAY, b""), (binxml.NULL, b""), (binxml.STRING | binxml.ARRAY, "p\0q\0".encode("utf-16-le"))
+    cases = [[string("a&"), none, string("<"), string("v")], [none, string(""), many, empty], [none, none, string(""), many], []]
+    for values in cases:
+        assert writer.record(1, 5, template, values)
+    want = [
+        '<A x="ka&amp;"><B>&lt;</B><C><D>v</D><E n="1">v</E></C></A>', '<A x="k" y=""><B>p</B><B>q</B><C/></A>',
+        '<A x="k"><B/><C><D>p</D><D>q</D><E n="1">p</E><E n="1">q</E></C></A>', '<A x="k"><B/><C><D/><E n="1"/></C></A>',
+    ]
+    assert list(binxml.decode(writer.bytes())) == want
+    called, filled = [], binxml.filled
+    monkeypatch.setattr(binxml, "filled", lambda part, values: called.append(part) if isinstance(part, element) else filled(part, values))
+    rows = [{"number": i, "event_id": 1, "ticks": 10 * i, "computer": "c", "K": None if i % 2 else "v"} for i in range(50)]
+    assert sum(len(list(binxml.decode(c))) for c in binxml.encode_events(rows, ["K"])) == 50 and not called
