@@ -18,7 +18,8 @@ suffix arrays are built where strings can meet at all:
    are found before, among the sorted sides, and left out. An anchor's contexts are dealt over as
    many tasks as they fill blocks; where that is more than one, its windows are merged across
    blocks by an aggregate of their hashes, so that no task grows with the number of a string's kinds.
-5. The answers go back to the shards, which mark windows found in smaller ids, and report.
+5. The answers go back to the shards, a bit for each window of a context, and these mark windows
+   found in smaller ids, and report.
 
 Anchors only choose what is compared; equality is that of bytes, or of 64-bit hashes of 50 or 80
 bytes under a 64-bit anchor. Null and empty texts have no windows. A null id is smaller than all
@@ -57,8 +58,10 @@ GROUP_BYTES = 64 << 20
 BLOCK_CONTEXTS = 4_000
 #: An anchor has a task of its own for each so many contexts.
 MOST_CONTEXTS = 16_000
-#: Anchors whose windows are marked together.
+#: Anchors whose contexts are read, or whose windows are marked, together.
 MARK_ANCHORS = 20_000
+#: Anchors of a group of shards that are counted together.
+COUNT_ANCHORS = 200_000
 #: Bytes that are hashed at a time, in whole documents or parts of a long one.
 PIECE_BYTES = 256 << 10
 _PLACE = np.uint64((1 << 30) - 1)
@@ -67,34 +70,45 @@ LOWEST = -(1 << 63)
 
 # -- suffix arrays
 
+def place_type(n: int) -> type:
+    """Integers that hold places among n bytes and sums of two: half as wide wherever they do, as arrays of them are a task's memory."""
+    return np.int32 if n < 1 << 30 else np.int64
+
+
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes of data in order of their first `depth` bytes at least, and each suffix's rank (its group's first place).
 
     Starts from 8-byte keys and doubles: only groups of more than one suffix are sorted on.
     """
     n = len(data)
+    small = place_type(n)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
     for k in range(8):
-        key = key << np.uint64(8) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int64)
-    sorted_key = key[order]
-    head = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
+        key <<= np.uint64(8)
+        key |= padded[k : k + n]
+    order = np.argsort(key, kind="stable").astype(small)
+    key = key[order]
+    head = np.concatenate([[True], key[1:] != key[:-1]])
+    del key
     # Zero bytes past the end sort as such; a suffix that ends differs in length, which deeper ranks tell.
-    first = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    rank[order] = first
+    rank = np.empty(n, small)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=small), small(0)))
     h = 8
-    open_ = np.flatnonzero(~head | np.append(~head[1:], False))
+    open_ = np.flatnonzero(~head | np.append(~head[1:], False)).astype(small)
     while h < depth and len(open_):
         suffix = order[open_]
-        follow = np.where(suffix + h < n, rank[np.minimum(suffix + h, n - 1)] + 1, 0)
+        follow = np.where(suffix + h < n, rank[np.minimum(suffix + h, n - 1)] + 1, 0).astype(small)
         group = rank[suffix]
-        by = np.argsort(group * (n + 1) + follow, kind="stable")
+        both = group * np.int64(n + 1)
+        both += follow
+        by = np.argsort(both, kind="stable").astype(small)
+        del both
         suffix, group, follow = suffix[by], group[by], follow[by]
+        del by
         order[open_] = suffix
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])])
-        start = np.maximum.accumulate(np.where(new, open_, 0))
+        start = np.maximum.accumulate(np.where(new, open_, small(0)))
         rank[suffix] = start
         alone = new & np.append(new[1:], True)
         open_ = open_[~alone]
@@ -109,10 +123,10 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, width: int, most: int)
     loses at most one byte of the common prefix.
     """
     n = len(data)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, order.dtype)
     before[order[1:]] = order[:-1]
     padded = np.concatenate([data, np.zeros(most, np.uint8)])
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     rows = np.arange(0, n, width)
     known = np.zeros(len(rows), np.int64)
     for o in range(width):
@@ -141,17 +155,16 @@ def smallest_ids(contexts: np.ndarray, left: np.ndarray, right: np.ndarray, ids:
     if n < 2:
         return out
     data = contexts.reshape(-1)
-    order, _ = suffix_array(data, len(data))  # Kasai's rule needs the full order
-    shared = common_prefixes(data, order, CONTEXT, LENGTH)
-    place = order % CONTEXT
-    whole = place <= SPAN
-    owner, place = order // CONTEXT, np.minimum(place, SPAN)
-    value = np.where(whole & fits[owner, place], ids[owner], np.iinfo(np.int64).max)
-    group = np.cumsum(shared[order] < LENGTH) - 1
-    least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, value)
-    ok = whole & fits[owner, place]
-    out[owner[ok], place[ok]] = least[group[ok]]
+    order = suffix_array(data, len(data))[0]  # Kasai's rule needs the full order
+    group = np.cumsum(common_prefixes(data, order, CONTEXT, LENGTH)[order] < LENGTH, dtype=order.dtype) - 1
+    least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
+    ok = order % CONTEXT <= SPAN  # a window starts there, if the text goes on for as long
+    order, group = order[ok], group[ok]
+    owner, place = order // CONTEXT, order % CONTEXT
+    ok = fits[owner, place]
+    owner, place, group = owner[ok], place[ok], group[ok]
+    np.minimum.at(least, group, ids[owner])
+    out[owner, place] = least[group]
     return out
 
 
@@ -223,31 +236,35 @@ class Shard:
         place = (low[end - start >= LENGTH] & _PLACE).astype(np.int64)
         return place[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else place
 
-    def contexts(self, place: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The 80 bytes around each anchor, zero outside its document, and how many belong to it on either side."""
-        left = np.minimum(SPAN, place - self.starts[document])
-        right = np.minimum(ANCHOR + SPAN, self.ends[document] - place)
+    def sides(self, place: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many bytes around each anchor's place belong to its document on either side, as far as windows go."""
+        return np.minimum(SPAN, place - self.starts[document]), np.minimum(ANCHOR + SPAN, self.ends[document] - place)
+
+    def contexts(self, place: np.ndarray, document: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The 80 bytes around each anchor, zero outside its document, and the sides of it, some anchors at a time."""
         padded = np.concatenate([np.zeros(SPAN, np.uint8), self.data, np.zeros(ANCHOR + SPAN, np.uint8)])
-        found = np.ascontiguousarray(sliding_window_view(padded, CONTEXT)[place])
-        cut = np.flatnonzero((left < SPAN) | (right < ANCHOR + SPAN))
         at = np.arange(CONTEXT)[None, :] - SPAN
-        found[cut] *= (at >= -left[cut, None]) & (at < right[cut, None])
-        return found, left, right
+        for a in range(0, len(place), MARK_ANCHORS):
+            p, d = place[a : a + MARK_ANCHORS], document[a : a + MARK_ANCHORS]
+            left, right = self.sides(p, d)
+            found = np.ascontiguousarray(sliding_window_view(padded, CONTEXT)[p])
+            cut = np.flatnonzero((left < SPAN) | (right < ANCHOR + SPAN))
+            found[cut] *= (at >= -left[cut, None]) & (at < right[cut, None])
+            yield found, left, right
 
     def shared(self, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(place, document, slot) of each anchor in `wanted`, and the distinct contexts by slot: (hash, left, right, bytes)."""
+        """(place, document, slot) of each anchor in `wanted`, and by slot, for each distinct context: its anchor's hash, its own, and a row that has it."""
         place, document, h = self.anchors()
         wanted = np.sort(wanted.view(np.uint64))
         hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h if len(wanted) else np.zeros(len(h), bool)
         place, document, h = place[hit], document[hit], h[hit]
-        bytes_, left, right = self.contexts(place, document)
-        slot, first = distinct(h, left, right, bytes_)
-        return place, document, slot, h[first], left[first], right[first], bytes_[first]
+        c = np.concatenate([np.zeros(0, np.uint64), *(context_hash(*x) for x in self.contexts(place, document))])
+        slot, first = distinct(h, c)
+        return place, document, slot, h[first], c[first], first
 
 
-def distinct(h: np.ndarray, left: np.ndarray, right: np.ndarray, bytes_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each row's distinct context, by hash first, and a row for each number."""
-    c = context_hash(bytes_, left, right)
+def distinct(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's distinct context, by anchor first, and a row for each number."""
     order = np.lexsort((c, h))
     new = np.concatenate([np.ones(min(1, len(h)), bool), (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])])
     slot = np.empty(len(h), np.int64)
@@ -284,14 +301,15 @@ def shard_table(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return table
 
 
-def shards_of(batch: pa.RecordBatch) -> Iterator[tuple[int, Shard, dict]]:
+def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Shard, dict]]:
     codec = pa.Codec("zstd")
-    for i in range(batch.num_rows):
-        row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
-        size, n = row["size"].as_py(), row["n_places"].as_py()
-        data = codec.decompress(row["packed"].as_py(), size, asbytes=True) if size else b""
-        places = np.cumsum(np.frombuffer(codec.decompress(row["places"].as_py(), 4 * n, asbytes=True), "<u4").astype(np.int64)) if n else np.zeros(0, np.int64)
-        yield row["shard"].as_py(), Shard(data, row["lengths"].as_py(), row["ids"].as_py(), places), row
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
+            size, n = row["size"].as_py(), row["n_places"].as_py()
+            data = codec.decompress(row["packed"].as_buffer(), size) if size else b""
+            places = np.cumsum(np.frombuffer(codec.decompress(row["places"].as_buffer(), 4 * n), "<u4"), dtype=np.int64) if n else np.zeros(0, np.int64)
+            yield row["shard"].as_py(), Shard(data, row["lengths"].as_py(), row["ids"].as_py(), places), row
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,35 +317,38 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     settle()
     held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
-    for batch in batches:
-        for number, shard, _ in shards_of(batch):
-            _, document, h = shard.anchors()
-            order = np.argsort(h, kind="stable")
-            h, ids = h[order], shard.ids[document[order]]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-            if len(first):
-                held.append((number, h[first], np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)))
-            size += len(shard.data)
-            if size >= GROUP_BYTES:
-                yield from _grouped(held)
-                held, size = [], 0
+    for number, shard, _ in shards_of(batches):
+        _, document, h = shard.anchors()
+        order = np.argsort(h, kind="stable")
+        h, ids = h[order], shard.ids[document[order]]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        if len(first):
+            low = np.minimum.reduceat(ids, first)
+            held.append((number, h[first], low, low != np.maximum.reduceat(ids, first)))
+        size += len(shard.data)
+        if size >= GROUP_BYTES:
+            yield from _grouped(held)
+            held, size = [], 0
     yield from _grouped(held)
 
 
 def _grouped(held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Shards' anchors, each shard's in order, put together by ranges of hashes: only a range is sorted at a time."""
     if not held:
         return
-    shard = np.concatenate([np.full(len(h), number) for number, h, _, _ in held])
-    h, low, high = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
-    order = np.argsort(h, kind="stable")
-    h, shard, low, high = h[order], shard[order], low[order], high[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    several = np.minimum.reduceat(low, first) != np.maximum.reduceat(high, first)
-    bounds = np.append(first, len(h))
-    for a in range(0, len(first), 200_000):
-        b = min(len(first), a + 200_000)
-        lists = pa.ListArray.from_arrays(pa.array(bounds[a : b + 1] - bounds[a], pa.int32()), pa.array(shard[bounds[a] : bounds[b]]))
-        yield pa.RecordBatch.from_arrays([pa.array(h[first[a:b]].view(np.int64)), lists, pa.array(several[a:b])], names=["anchor", "shards", "several"])
+    some = np.sort(np.concatenate([h[::64] for _, h, _, _ in held]))  # being minima, most hashes are low
+    bounds = np.unique(some[:: max(1, COUNT_ANCHORS // 64)])[1:]
+    cuts = [[0, *np.searchsorted(h, bounds).tolist(), len(h)] for _, h, _, _ in held]
+    for k in range(len(bounds) + 1):
+        part = [(number, *(x[c[k] : c[k + 1]] for x in columns)) for (number, *columns), c in zip(held, cuts, strict=True)]
+        shard = np.concatenate([np.full(len(h), number) for number, h, _, _ in part])
+        h, low, several = (np.concatenate([x[i] for x in part]) for i in (1, 2, 3))
+        order = np.argsort(h, kind="stable")
+        h, shard, low, several = h[order], shard[order], low[order], several[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        several = np.logical_or.reduceat(several, first) | (np.minimum.reduceat(low, first) != np.maximum.reduceat(low, first))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)), pa.int32()), pa.array(shard))
+        yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), lists, pa.array(several)], names=["anchor", "shards", "several"])
 
 
 def _wanted(row: dict) -> np.ndarray:
@@ -352,11 +373,10 @@ def _lowest(shard: Shard, document: np.ndarray, slot: np.ndarray, n: int) -> np.
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     settle()
-    for batch in batches:
-        for number, shard, row in shards_of(batch):
-            _, document, slot, h, left, right, bytes_ = shard.shared(_wanted(row))
-            if len(h):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context_hash(bytes_, left, right).view(np.int64)), pa.array(_lowest(shard, document, slot, len(h))), pa.array(np.full(len(h), number)), pa.array(np.arange(len(h)), pa.int32())], names=["anchor", "context", "low", "shard", "slot"])
+    for number, shard, row in shards_of(batches):
+        _, document, slot, h, c, _ = shard.shared(_wanted(row))
+        if len(h):
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(_lowest(shard, document, slot, len(h))), pa.array(np.full(len(h), number)), pa.array(np.arange(len(h)), pa.int32())], names=["anchor", "context", "low", "shard", "slot"])
 
 
 def sort_out(kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -376,19 +396,23 @@ def sort_out(kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 _FOUND = "anchor long, lead int, follow int, context binary, low long, shard long, slot int"
-_ANSWERS = "shard long, slot int, smallest array<long>, low long, windows array<long>"
+_ANSWERS = "shard long, slot int, found int, low long, windows array<long>"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The contexts that are asked for, as bytes."""
     settle()
-    for batch in batches:
-        for number, shard, row in shards_of(batch):
-            _, document, slot, h, left, right, bytes_ = shard.shared(_wanted(row))
-            ask = np.sort(row["asked"].values.to_numpy(zero_copy_only=False))
-            low = _lowest(shard, document, slot, len(h))[ask]
-            whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CONTEXT), len(ask), [None, pa.py_buffer(np.ascontiguousarray(bytes_[ask]))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(h[ask].view(np.int64)), pa.array(left[ask].astype(np.int32)), pa.array(right[ask].astype(np.int32)), whole, pa.array(low), pa.array(np.full(len(ask), number)), pa.array(ask.astype(np.int32))], names=[c.split()[0] for c in _FOUND.split(", ")])
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+    for number, shard, row in shards_of(batches):
+        place, document, slot, h, _, first = shard.shared(_wanted(row))
+        low = _lowest(shard, document, slot, len(h))
+        ask = np.sort(row["asked"].values.to_numpy(zero_copy_only=False))
+        at = 0
+        for bytes_, left, right in shard.contexts(place[first[ask]], document[first[ask]]):
+            some = ask[at : at + len(bytes_)]
+            at += len(bytes_)
+            whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CONTEXT), len(some), [None, pa.py_buffer(bytes_)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), whole, pa.array(low[some]), pa.array(np.full(len(some), number)), pa.array(some.astype(np.int32))], names=names)
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,54 +499,64 @@ def _answer(table: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(slot, pa.int32()), lists, pa.array(low[some]), pa.nulls(len(some), pa.list_(pa.int64()))], names=["shard", "slot", "smallest", "low", "windows"])
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers with a bit for each offset whose window a smaller id has. It is smaller than all that the context has in its shard, so that is all there is to know."""
+    for batch in _answers(batches):
+        shard, slot, smallest, low, windows = batch.columns
+        given = np.flatnonzero(smallest.is_valid().to_numpy(zero_copy_only=False))
+        found = np.zeros(len(smallest), np.int32)
+        found[given] = (smallest.flatten().to_numpy().reshape(-1, SPAN + 1) < low.to_numpy()[given, None]) @ (1 << np.arange(SPAN + 1))
+        yield pa.RecordBatch.from_arrays([shard, slot, pa.array(found, mask=found == 0), low, windows], names=[c.split()[0] for c in _ANSWERS.split(", ")])
+
+
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     settle()
     offset = np.arange(SPAN + 1)
-    for batch in batches:
-        for _, shard, row in shards_of(batch):
-            covered = np.zeros(len(shard.data) + 1, np.int32)
-            place, document, slot, h, left, right, bytes_ = shard.shared(_wanted(row))
-            del bytes_
-            if len(h):
-                # What is known without answers: the smallest id that has the context in this shard.
-                lowest, answer = _lowest(shard, document, slot, len(h)), np.full(len(h), -1)
-                repeated = np.zeros(len(h), bool)
-                if row["answers"].is_valid:
-                    answers = row["answers"].values
-                    values = answers.field("smallest").flatten().to_numpy().reshape(-1, SPAN + 1)
-                    answer[answers.field("slot").to_numpy()] = np.arange(len(values))
-                if row["repeats"].is_valid:
-                    repeated[row["repeats"].values.to_numpy(zero_copy_only=False)] = True
-                for a in range(0, len(place), MARK_ANCHORS):
-                    p, d, s = place[a : a + MARK_ANCHORS], document[a : a + MARK_ANCHORS], slot[a : a + MARK_ANCHORS]
-                    smallest = np.repeat(lowest[s][:, None], SPAN + 1, 1)
-                    known = np.flatnonzero(answer[s] >= 0)
-                    if len(known):
-                        smallest[known] = np.minimum(smallest[known], values[answer[s[known]]])
-                    hit = (smallest < shard.ids[d][:, None]) | repeated[s][:, None]
-                    hit &= (SPAN - offset[None, :] <= left[s][:, None]) & (ANCHOR + offset[None, :] <= right[s][:, None])
-                    which, o = np.nonzero(hit)
-                    np.add.at(covered, p[which] - SPAN + o, 1)
-                covered[LENGTH:] -= covered[:-LENGTH].copy()
-            gone = np.cumsum(covered[:-1]) > 0
-            step = np.diff(gone.astype(np.int8), prepend=0) == 1
-            filled = shard.starts[shard.lengths > 0]
-            step[filled] = gone[filled]
-            total, runs = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(step)])
-            removed, spans = total[shard.ends] - total[shard.starts], runs[shard.ends] - runs[shard.starts]
-            digests = [hashlib.sha256(shard.data[a:b][~gone[a:b]] if r else shard.data[a:b]).hexdigest() for a, b, r in zip(shard.starts.tolist(), shard.ends.tolist(), removed.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([row["ids"].values, pa.array(shard.lengths), pa.array(removed), pa.array(spans), pa.array(digests)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    for _, shard, row in shards_of(batches):
+        n = len(shard.data)
+        place, document, slot, h, _, _ = shard.shared(_wanted(row))
+        # What is known without answers: the smallest id that has the context in this shard.
+        lowest, found, repeated = _lowest(shard, document, slot, len(h)), np.zeros(len(h), np.int32), np.zeros(len(h), bool)
+        if row["answers"].is_valid:
+            answers = row["answers"].values.to_numpy(zero_copy_only=False)
+            found[answers >> SPAN + 1] = answers & (1 << SPAN + 1) - 1
+        if row["repeats"].is_valid:
+            repeated[row["repeats"].values.to_numpy(zero_copy_only=False)] = True
+        starts = np.zeros(n, bool)  # of windows that are repeats
+        for a in range(0, len(place), MARK_ANCHORS):
+            p, d, s = place[a : a + MARK_ANCHORS], document[a : a + MARK_ANCHORS], slot[a : a + MARK_ANCHORS]
+            whole = (lowest[s] < shard.ids[d]) | repeated[s]
+            some = np.flatnonzero(whole | (found[s] != 0))
+            p, d, s, whole = p[some], d[some], s[some], whole[some]
+            left, right = shard.sides(p, d)
+            hit = whole[:, None] | (found[s][:, None] >> offset[None, :] & 1).astype(bool)
+            hit &= (SPAN - offset[None, :] <= left[:, None]) & (ANCHOR + offset[None, :] <= right[:, None])
+            which, o = np.nonzero(hit)
+            starts[p[which] - SPAN + o] = True
+        so_far = np.zeros(n + 1, place_type(n))
+        np.cumsum(starts, out=so_far[1:])
+        gone = np.empty(n, bool)  # a window starts at a byte or less than LENGTH before
+        gone[:LENGTH] = so_far[1 : LENGTH + 1] > 0
+        np.greater(so_far[LENGTH + 1 :], so_far[1:-LENGTH], out=gone[LENGTH:])
+        np.cumsum(gone, out=so_far[1:])
+        removed = so_far[shard.ends] - so_far[shard.starts]
+        step = gone.copy()
+        step[1:] &= ~gone[:-1]
+        filled = shard.starts[shard.lengths > 0]
+        step[filled] = gone[filled]
+        np.cumsum(step, out=so_far[1:])
+        spans = so_far[shard.ends] - so_far[shard.starts]
+        digests = [hashlib.sha256(shard.data[a:b][~gone[a:b]] if r else shard.data[a:b]).hexdigest() for a, b, r in zip(shard.starts.tolist(), shard.ends.tolist(), removed.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([row["ids"].values, pa.array(shard.lengths), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def merged_answers(sent: DataFrame) -> DataFrame:
-    """(shard, slot, smallest) for contexts whose anchors are dealt over tasks. Minima are aggregated
+    """(shard, slot, found) for contexts whose anchors are dealt over tasks. Minima are aggregated
     before they are shuffled, and joined back salted."""
     each = sent.where(F.col("windows").isNotNull()).select("shard", "slot", "low", F.posexplode("windows").alias("o", "window")).where(F.col("window").isNotNull())
     least = each.groupBy("window").agg(F.min("low").alias("least"))
     hit = attach(each, least, ["window"], F.struct("shard", "slot")).where(F.col("least") < F.col("low"))
-    per_context = hit.groupBy("shard", "slot").agg(F.map_from_entries(F.collect_set(F.struct("o", "least"))).alias("by_offset"))
-    smallest = F.transform(F.sequence(F.lit(0), F.lit(SPAN)), lambda o: F.coalesce(F.try_element_at("by_offset", o), F.lit((1 << 63) - 1)))
-    return per_context.select("shard", "slot", smallest.alias("smallest"))
+    return hit.groupBy("shard", "slot").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("o"))).alias("found"))
 
 
 def repeated_substrings(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -547,11 +581,12 @@ def repeated_substrings(df: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     dealt = found.join(large, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("shard", "slot"), F.col("parts"))).repartition("anchor", "part").sortWithinPartitions("anchor")
     end = lineage.mark()
-    sent = cut_lineage(dealt.select(*found.columns, "parts").mapInArrow(_answers, _ANSWERS), "sent")
+    sent = cut_lineage(dealt.select(*found.columns, "parts").mapInArrow(_marked, _ANSWERS), "sent")
     lineage.discard(spark, start, end)
     start = lineage.mark()
-    answers = sent.where(F.col("smallest").isNotNull()).select("shard", "slot", "smallest").unionByName(merged_answers(sent))
-    answers = cut_lineage(answers.groupBy("shard").agg(F.collect_list(F.struct("slot", "smallest")).alias("answers")), "answers")
+    answers = sent.where(F.col("found").isNotNull()).select("shard", "slot", "found").unionByName(merged_answers(sent))
+    slot_and_bits = F.shiftleft(F.col("slot").cast("long"), SPAN + 1).bitwiseOR(F.col("found").cast("long"))
+    answers = cut_lineage(answers.groupBy("shard").agg(F.collect_list(slot_and_bits).alias("answers")), "answers")
     lineage.discard(spark, start - 1, start)
     whole = blocks.join(wanted, "shard", "left").join(by_shard.select("shard", "repeats"), "shard", "left").join(answers, "shard", "left")
     return whole.mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

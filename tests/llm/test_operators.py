@@ -135,6 +135,77 @@ def test_long_documents_have_the_same_anchors(monkeypatch):
     assert substrings.Shard(data + data[:49], [5000, 0, 49], [1, 2, 3]).places.tolist() == whole.tolist()
 
 
+def most_held(work):
+    """The most MB that `work` holds in arrays at a time."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_worker(spark):
+    """What a group of shards, an anchor's largest block and a shard's report take, in proportion to what they are made of."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(97, 123, 1 << 20).astype(np.uint8).tobytes().decode()) for i in range(24)]
+    rows += [(24 + i, t[:300_000]) for i, (_, t) in enumerate(rows[:6])]
+    blocks = substrings.shard_table(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "doc_id", "text").toArrow().combine_chunks()
+    each = [b for i in range(blocks.num_rows) for b in blocks.slice(i, 1).to_batches()]
+    counted: list = []
+    assert most_held(lambda: counted.extend(substrings._anchor_rows(iter(each)))) < 90
+    anchors = pa.Table.from_batches(counted)
+    number = {substrings.LOWEST: 0}
+    held = [(n, set(s.anchors()[2].view(np.int64).tolist()), s) for n, s, _ in substrings.shards_of(iter(each))]
+    at = {n: {} for n, *_ in held}
+    for a, shards, several in zip(*(c.to_pylist() for c in anchors.columns), strict=True):
+        assert a not in number
+        number[a] = len(shards)
+        for n in shards:
+            at[n][a] = several
+    assert all(at[n].keys() == h for n, h, _ in held)
+    ids = {}
+    for _, _, s in held:
+        _, document, h = s.anchors()
+        for a, d in set(zip(h.view(np.int64).tolist(), s.ids[document].tolist(), strict=True)):
+            ids.setdefault(a, set()).add(d)
+    assert {a for x in at.values() for a, several in x.items() if several} == {a for a, d in ids.items() if len(d) > 1}
+    wanted = pa.array([list(at[n]) for n, *_ in held], pa.list_(pa.int64()))
+    whole = blocks.append_column("anchors", wanted).append_column("repeats", pa.nulls(len(held), pa.list_(pa.int32()))).append_column("answers", pa.nulls(len(held), pa.list_(pa.int64())))
+    assert most_held(lambda: list(substrings._report(iter([b for i in range(len(held)) for b in whole.slice(i, 1).to_batches()])))) < 75
+    contexts = rng.integers(97, 99, (substrings.MOST_CONTEXTS, 80)).astype(np.uint8)
+    contexts[:, 30:50], contexts[::3, :30], contexts[1::4, 50:] = 97, 98, 99
+    full = np.full(len(contexts), 50)
+    assert most_held(lambda: substrings.smallest_ids(contexts, full - 20, full, np.arange(len(contexts)))) < 60 * contexts.size / 1e6
+
+
+def test_an_answer_is_a_bit_for_each_window(spark):
+    """Whether an anchor is in one task or in several, its contexts get the bits of the windows that smaller ids have."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    n = 60
+    contexts = np.concatenate([rng.integers(97, 99, (n, 30)), np.full((n, 20), 120), rng.integers(97, 99, (n, 30))], 1).astype(np.uint8)
+    contexts[::3, :30], contexts[1::4, 50:] = 97, 98
+    low = rng.integers(0, 40, n)
+    least = substrings.smallest_ids(contexts, np.full(n, 30), np.full(n, 50), low)
+    want = {i: sum(1 << o for o in range(31) if least[i, o] < low[i]) for i in range(n) if (least[i] < low[i]).any()}
+    assert len(want) > 10
+    for parts in (1, 2):
+        small = {"anchor": pa.int64(), "lead": pa.int32(), "follow": pa.int32(), "slot": pa.int32(), "parts": pa.int32()}
+        rows = {"anchor": np.zeros(n, int), "lead": np.full(n, 30), "follow": np.full(n, 50), "context": [x.tobytes() for x in contexts], "low": low, "shard": np.arange(n) * 0, "slot": np.arange(n), "parts": np.full(n, parts)}
+        batch = pa.table({c: pa.array(v, small.get(c)) for c, v in rows.items()}).to_batches()
+        sent = pa.Table.from_batches(substrings._marked(iter(batch)))
+        given = {r["slot"]: r["found"] for r in sent.to_pylist() if r["found"]}
+        df = spark.createDataFrame([(r["shard"], r["slot"], r["low"], r["windows"]) for r in sent.to_pylist()], "shard long, slot int, low long, windows array<long>")
+        given |= {r["slot"]: r["found"] for r in substrings.merged_answers(df).collect()}
+        assert given == want
+
+
 # -- op2
 
 def classes(rows, least=0.8):
