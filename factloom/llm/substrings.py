@@ -295,7 +295,7 @@ def shard_table(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     blocks = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, _BLOCKS)
     buckets = max(8, min(MOST_BUCKETS, 2 * blocks._jdf.queryExecution().toRdd().getNumPartitions()))
     name = f"factloom_shards_{uuid.uuid4().hex}"
-    blocks.write.bucketBy(buckets, "shard").option("path", f"{scratch(spark)}/shards").option("compression", "none").saveAsTable(name)
+    blocks.write.bucketBy(buckets, "shard").options(**lineage.LONG_ROWS).option("path", f"{scratch(spark)}/shards").option("compression", "none").saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay, and what has been read from the catalogue
     return table
@@ -566,13 +566,13 @@ def repeated_substrings(df: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     same = Window.partitionBy("anchor")  # a row for each group of shards at most
     met = rows.withColumns({"n": F.count("*").over(same), "any": F.max("several").over(same)}).where((F.col("n") > 1) | F.col("any"))
     wanted = met.select("anchor", F.explode("shards").alias("shard")).groupBy("shard").agg(F.collect_list("anchor").alias("anchors"))
-    wanted = cut_lineage(wanted, "anchors")
+    wanted = cut_lineage(wanted, "anchors", long_rows=True)
     # Written tables go as soon as what is made of them is written.
     spark, start = df.sparkSession, lineage.mark()
     kinds = blocks.join(wanted, "shard").mapInArrow(_context_rows, "anchor long, context long, low long, shard long, slot int")
     sorted_out, several = sort_out(cut_lineage(kinds, "contexts"))
     end = lineage.mark()
-    by_shard = cut_lineage(sorted_out, "repeats")
+    by_shard = cut_lineage(sorted_out, "repeats", long_rows=True)
     large = cut_lineage(several.where(F.col("n") > MOST_CONTEXTS).select("anchor", F.ceil(F.col("n") / MOST_CONTEXTS).cast("int").alias("parts")), "large")
     lineage.discard(spark, start, end)
     asked = by_shard.where(F.size("asked") > 0).select("shard", "asked")
@@ -586,7 +586,7 @@ def repeated_substrings(df: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     start = lineage.mark()
     answers = sent.where(F.col("found").isNotNull()).select("shard", "slot", "found").unionByName(merged_answers(sent))
     slot_and_bits = F.shiftleft(F.col("slot").cast("long"), SPAN + 1).bitwiseOR(F.col("found").cast("long"))
-    answers = cut_lineage(answers.groupBy("shard").agg(F.collect_list(slot_and_bits).alias("answers")), "answers")
+    answers = cut_lineage(answers.groupBy("shard").agg(F.collect_list(slot_and_bits).alias("answers")), "answers", long_rows=True)
     lineage.discard(spark, start - 1, start)
     whole = blocks.join(wanted, "shard", "left").join(by_shard.select("shard", "repeats"), "shard", "left").join(answers, "shard", "left")
     return whole.mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

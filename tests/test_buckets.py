@@ -203,3 +203,17 @@ def test_steps_leave_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not left
     assert dict(map(tuple, step.collect())) == {k: sum(range(k, 1000, 7)) for k in range(7)}
+
+
+def test_long_rows_are_written_in_small_pages(spark):
+    """Rows of 400 KB: a row group ends when it is full, not after a hundred rows."""
+    import pyarrow.parquet as pq
+
+    rows = spark.range(0, 60, 1, 1).select("id", F.transform(F.sequence(F.lit(1), F.lit(50_000)), lambda x: F.xxhash64(x, "id")).alias("a"))
+    step = cut_lineage(rows, long_rows=True)
+    (path,) = (p.removeprefix("file://") for p in step.inputFiles())
+    file = pq.ParquetFile(path).metadata
+    groups = [file.row_group(i) for i in range(file.num_row_groups)]
+    assert max(g.column(1).total_uncompressed_size for g in groups) < 20 << 20
+    assert sum(g.total_byte_size for g in groups) > 20 << 20
+    assert step.select(F.sum("id"), F.sum(F.size("a"))).first() == (sum(range(60)), 60 * 50_000)
